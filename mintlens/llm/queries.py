@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, sharding, simhash
+from . import bpe, secrets, sharding, simhash
 from .common import read
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": lambda spark, sf_dir: sharding.shard_documents(read(spark, sf_dir, "documents")),
     "op2_secret_scans": lambda spark, sf_dir: secrets.digest(read(spark, sf_dir, "documents")),
     "op3_simhash": lambda spark, sf_dir: simhash.near_duplicates(read(spark, sf_dir, "documents")),
+    "op10_bpe": lambda spark, sf_dir: bpe.digest(read(spark, sf_dir, "documents"), vocabulary_path()),
 }
 
 ORACLES: dict[str, str] = {}
