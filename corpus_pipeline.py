@@ -1,15 +1,48 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``.
+
+Quality rejects, near-duplicates and leaked benchmark items go, secrets are masked, and what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mintlens.llm import secrets, simhash
+from mintlens.llm import bpe, decontam, quality, secrets, simhash
 from mintlens.llm.common import read, stored
+from mintlens.llm.queries import vocabulary_path
+
+
+def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores at its threshold or above."""
+    return quality.keep_good(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.dedupe(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.redact(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the token ids of each text."""
+    return bpe.encode(docs, vocabulary_path(), keep=("doc_id", "lang", "source"))
+
 
 STAGES = [
-    ("simhash near-dedup", lambda spark, docs, sf_dir: simhash.dedupe(docs)),
-    ("secret scans", lambda spark, docs, sf_dir: secrets.redact(docs)),
+    ("quality classifier", drop_bad),
+    ("SimHash near-dedup", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("secret scans", mask_secrets),
+    ("BPE encoding", encode),
 ]
 
 #: SQL cannot express the stages; tests/llm compares them with brute force.
@@ -17,7 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage's rows are written to the shared folder and read by the next."""
+    """The rows of the last stage over ``documents``; each stage's rows are written to the shared folder for the next."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, sharding, simhash
+from . import bpe, decontam, quality, secrets, sharding, simhash, urls
 from .common import read
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -15,12 +15,20 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": lambda spark, sf_dir: sharding.shard_documents(read(spark, sf_dir, "documents")),
     "op2_secret_scans": lambda spark, sf_dir: secrets.digest(read(spark, sf_dir, "documents")),
     "op3_simhash": lambda spark, sf_dir: simhash.near_duplicates(read(spark, sf_dir, "documents")),
+    "op5_quality": quality_scores,
+    "op7_decontamination": lambda spark, sf_dir: decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
+    "op8_url_filters": lambda spark, sf_dir: urls.digest(read(spark, sf_dir, "pages")),
     "op10_bpe": lambda spark, sf_dir: bpe.digest(read(spark, sf_dir, "documents"), vocabulary_path()),
 }
 
