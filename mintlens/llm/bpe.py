@@ -18,14 +18,15 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a Python worker remembers before it forgets them all; pairs likewise.
-WORDS_KEPT, PAIRS_KEPT = 200_000, 1_000_000
-#: Characters of text whose words are learnt at once; symbols from which a word is merged by a heap.
-GROUP_CHARS, LONG_WORD = 1 << 20, 48
+WORDS_KEPT, PAIRS_KEPT = 400_000, 400_000
+#: Bytes of text whose words are learnt at once; bytes beyond which a word is merged alone; words merged side by side.
+GROUP_BYTES, LONG_WORD, ROWS_MERGED = 1 << 21, 48, 2048
 #: Bits that hold an id; a rank above all others.
 ID_BITS, NO_MERGE = 20, 1 << 62
 
@@ -46,56 +47,72 @@ def unsettled(text: str) -> bool:
 
 
 class Vocabulary:
-    """The vocabulary and merges of a tokenizers JSON file with NFC, lower-cased, byte-level words and a word end."""
+    """The vocabulary and merges of a tokenizers JSON file with NFC, lower-cased, byte-level words and a word end.
+
+    A symbol is a byte of a word, plus 256 if it is the word's last.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
         self.path, model = path, d["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.end: str = model["end_of_word_suffix"] or ""
-        #: pair of ids -> (rank, id of the merged token), packed
-        self.ranks: dict[int, int] = {}
-        for n, p in enumerate(model["merges"]):
-            x, y = p if isinstance(p, list) else p.split(" ")
-            self.ranks.setdefault(self.ids[x] << ID_BITS | self.ids[y], n << ID_BITS | self.ids[x + y])
+        ids: dict[str, int] = model["vocab"]
+        end: str = model["end_of_word_suffix"]
+        self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
-        self.tokens = [""] * (max(*self.ids.values(), *self.special.values()) + 1)
-        for t, n in {**self.ids, **self.special}.items():
+        self.tokens = [""] * (max(*ids.values(), *self.special.values()) + 1)
+        for t, n in {**ids, **self.special}.items():
             self.tokens[n] = t
-        #: every prefix of a token -> the token's id, or -1
-        self.prefixes: dict[str, int] = {}
-        for t in self.ids:
-            for k in range(1, len(t)):
-                self.prefixes.setdefault(t[:k], -1)
-            self.prefixes[t] = self.ids[t]
+        self.spellings = pa.array(self.tokens, pa.string())
+        self.symbol_ids = np.array([ids[c] for c in self.letters] + [ids[c + end] for c in self.letters], np.int64)
+
+        ranks: dict[int, int] = {}
+        for n, p in enumerate(model["merges"]):
+            x, y = p if isinstance(p, list) else p.split(" ")
+            ranks.setdefault(ids[x] << ID_BITS | ids[y], n << ID_BITS | ids[x + y])
+        self.ranks = ranks
+        self.pair_codes = np.array(sorted(ranks), np.int64)
+        self.pair_ranks = np.array([*map(ranks.__getitem__, sorted(ranks)), NO_MERGE], np.int64)
+
+        # a trie over symbols: (node, symbol) -> child, and each node's token or -1
+        byte = {c: b for b, c in enumerate(self.letters)}
+        self.token_symbols: list[list[int]] = [[]] * len(self.tokens)
+        children: dict[int, int] = {}
+        at_node = [-1]
+        for t, n in ids.items():
+            last = len(end) < len(t) and t.endswith(end)
+            own = [byte[c] for c in (t[: -len(end)] if last else t)]
+            own[-1] += 256 * last
+            self.token_symbols[n], node = own, 0
+            for x in own:
+                if (child := children.get(node << 9 | x)) is None:
+                    child = children[node << 9 | x] = len(at_node)
+                    at_node.append(-1)
+                node = child
+            at_node[node] = n
+        self.trie_codes = np.array(sorted(children), np.int64)
+        self.trie_children = np.array([children[k] for k in sorted(children)], np.int64)
+        self.trie_tokens = np.array(at_node, np.int64)
+
         pattern = d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.word = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.table = dict(enumerate(byte_letters()))
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.holds: dict[int, bool] = {}
-        self.alone: dict[int, bool] = {}
-
-    # -- one word ---------------------------------------------------------------------------------------------------
+        every = [self.symbol_ids[x].tolist() for x in self.token_symbols]
+        whole = self.merge_many(every)
+        #: whether a token is its own encoding
+        self.alone = np.array([x == [n] for n, x in enumerate(whole)])
+        self.pairs, self.holds = np.empty(0, np.int64), np.empty(0, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty the memory of words: index -> where the word's ids begin in ``flat`` and how many they are."""
+        self.index: dict[str, int] = {t: k for k, t in enumerate(self.special)}
+        self.flat = np.array([*self.special.values()], np.int32)
+        self.starts, self.sizes = np.arange(len(self.flat)), np.ones(len(self.flat), np.int64)
+
+    # -- exact merging ----------------------------------------------------------------------------------------------
     def merged(self, s: list[int]) -> list[int]:
-        """The ids ``s`` after all merges, the lowest rank first and the leftmost of equals."""
-        if len(s) > LONG_WORD:
-            return self.merged_long(s)
-        get, mask = self.ranks.get, (1 << ID_BITS) - 1
-        pairs = [get(x << ID_BITS | y, NO_MERGE) for x, y in pairwise(s)]
-        while pairs and (least := min(pairs)) != NO_MERGE:
-            i = pairs.index(least)
-            s[i : i + 2] = [new := least & mask]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = get(s[i - 1] << ID_BITS | new, NO_MERGE)
-            if i < len(pairs):
-                pairs[i] = get(new << ID_BITS | s[i + 1], NO_MERGE)
-        return s
-
-    def merged_long(self, s: list[int]) -> list[int]:
-        """The same by a heap of pairs, in n log n."""
+        """The ids ``s`` after all merges, the lowest rank first and the leftmost of equals; n log n in their number."""
         n, get, mask = len(s), self.ranks.get, (1 << ID_BITS) - 1
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 1, s[i], s[i + 1]) for i in range(n - 1) if (r := get(s[i] << ID_BITS | s[i + 1])) is not None]
@@ -114,108 +131,158 @@ class Vocabulary:
                 heapq.heappush(heap, (r, h, i, s[h], s[i]))
         return [x for x in s if x >= 0]
 
-    def symbols(self, text: str) -> list[int]:
-        """The ids of the letters of ``text``, the last joined with the word end if ``text`` ends in it."""
-        ids = self.ids
-        if self.end and text.endswith(self.end) and len(text) > len(self.end):
-            body = text[: -len(self.end)]
-            return [*map(ids.__getitem__, body[:-1]), ids[body[-1] + self.end]]
-        return [*map(ids.__getitem__, text)]
-
-    def greedy(self, text: str) -> list[int]:
-        """The ids of the longest tokens from left to right; ``text`` ends in the word end, which is never split."""
-        out, at, n, get = [], 0, len(text), self.prefixes.get
-        body = n - len(self.end)  # a token that is not last ends before the last letter, which goes with the word end
-        while at < n:
-            best, stop, to = -1, at, at + 1
-            while to <= n and (t := get(text[at:to])) is not None:
-                if t >= 0 and (to == n or to < body):
-                    best, stop = t, to
-                to += 1
-            if best < 0:
-                best, stop = (self.ids[text[at]], at + 1) if at + 1 < body else (self.ids[text[at:]], n)
-            out.append(best)
-            at = stop
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        codes = left << ID_BITS | right
+        at = np.searchsorted(self.pair_codes, codes)
+        at[at == len(self.pair_codes)] = 0
+        return np.where((left >= 0) & (right >= 0) & (self.pair_codes[at] == codes), self.pair_ranks[at], NO_MERGE)
+
+    def merge_many(self, sequences: list[list[int]]) -> list[list[int]]:
+        """``merged`` of many sequences: those of like length side by side, one merge of each at a time."""
+        out: list[list[int]] = [x for x in sequences]
+        order = sorted((k for k, x in enumerate(sequences) if len(x) > 1), key=lambda k: len(sequences[k]))
+        while order and len(sequences[order[-1]]) > LONG_WORD:
+            k = order.pop()
+            out[k] = self.merged(list(sequences[k]))
+        for lo in range(0, len(order), ROWS_MERGED):
+            rows = np.array(order[lo : lo + ROWS_MERGED])
+            width = len(sequences[rows[-1]])
+            ids = np.full((len(rows), width), -1, np.int64)
+            for n, k in enumerate(rows.tolist()):
+                ids[n, : len(sequences[k])] = sequences[k]
+            ranks = self._rank(ids[:, :-1], ids[:, 1:])
+            while len(rows):
+                j = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
+                r = np.arange(len(rows))
+                best = ranks[r, j] if ranks.shape[1] else np.full(len(rows), NO_MERGE)
+                if (done := best == NO_MERGE).any():
+                    for k, x in zip(rows[done].tolist(), ids[done].tolist(), strict=True):
+                        out[k] = [t for t in x if t >= 0]
+                    rows, ids, ranks, j, best = rows[~done], ids[~done], ranks[~done], j[~done], best[~done]
+                    r = np.arange(len(rows))
+                    if not len(rows):
+                        break
+                ids[r, j] = best & ((1 << ID_BITS) - 1)
+                wide = np.arange(ids.shape[1] - 1)
+                ids = np.take_along_axis(ids, wide + (wide > j[:, None]), axis=1)
+                ranks = np.take_along_axis(ranks, wide[:-1] + (wide[:-1] >= j[:, None]), axis=1)
+                if ranks.shape[1]:
+                    has, to = j > 0, j < ranks.shape[1]
+                    ranks[r[has], j[has] - 1] = self._rank(ids[r[has], j[has] - 1], ids[r[has], j[has]])
+                    ranks[r[to], j[to]] = self._rank(ids[r[to], j[to]], ids[r[to], j[to] + 1])
         return out
 
-    def pair_holds(self, left: int, right: int) -> bool:
-        return self.merged(self.symbols(self.tokens[left]) + self.symbols(self.tokens[right])) == [left, right]
-
-    def token_holds(self, t: int) -> bool:
-        if (known := self.alone.get(t)) is None:
-            known = self.alone[t] = self.merged(self.symbols(self.tokens[t])) == [t]
-        return known
+    # -- speculation ------------------------------------------------------------------------------------------------
+    def greedy(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, token): the longest tokens of each word from left to right, all words one symbol at a time."""
+        word, at, stop = np.arange(len(starts)), starts.copy(), ends
+        node, best, to = np.zeros(len(word), np.int64), np.full(len(word), -1), starts.copy()
+        owners, found = [], []
+        while len(word):
+            codes = node << 9 | symbols[np.minimum(at, len(symbols) - 1)]
+            k = np.searchsorted(self.trie_codes, codes)
+            k[k == len(self.trie_codes)] = 0
+            step = (self.trie_codes[k] == codes) & (at < stop)
+            node = np.where(step, self.trie_children[k], 0)
+            at = at + step
+            token = np.where(step, self.trie_tokens[node], -1)
+            best, to = np.where(token >= 0, token, best), np.where(token >= 0, at, to)
+            if not step.all():
+                over = ~step  # every byte is a token, so there is a best one
+                owners.append(word[over])
+                found.append(best[over])
+                at = np.where(over, to, at)
+                best = np.where(over, -1, best)
+                if (left := at < stop).all():
+                    continue
+                left |= step
+                word, at, stop, node, best, to = (x[left] for x in (word, at, stop, node, best, to))
+        owner, token = np.concatenate(owners), np.concatenate(found)
+        order = np.argsort(owner, kind="stable")
+        return owner[order], token[order]
+
+    def pairs_hold(self, codes: np.ndarray) -> np.ndarray:
+        """Whether the two tokens of each (distinct, sorted) pair stay apart when they are encoded alone."""
+        if len(self.pairs) > PAIRS_KEPT:
+            self.pairs, self.holds = self.pairs[:0], self.holds[:0]
+        new = codes[~np.isin(codes, self.pairs, assume_unique=True)]
+        if len(new):
+            sides = [(c >> ID_BITS, c & (1 << ID_BITS) - 1) for c in new.tolist()]
+            alone = self.merge_many([self.symbol_ids[self.token_symbols[x] + self.token_symbols[y]].tolist() for x, y in sides])
+            pairs = np.concatenate([self.pairs, new])
+            order = np.argsort(pairs, kind="stable")
+            self.pairs, self.holds = pairs[order], np.concatenate([self.holds, [x == list(y) for x, y in zip(alone, sides, strict=True)]])[order].astype(bool)
+        return self.holds[np.searchsorted(self.pairs, codes)]
 
-    # -- many words -------------------------------------------------------------------------------------------------
     def learn(self, words: list[str]) -> None:
-        """Put the ids of ``words``, distinct and not known, into ``known``."""
-        if len(self.holds) > PAIRS_KEPT:
-            self.holds.clear()
-        table, end = self.table, self.end
-        texts = [(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(table)) + end for w in words]
-        guess = [self.greedy(t) for t in texts]
-        sizes = np.fromiter(map(len, guess), np.int64, len(guess))
-        flat = np.fromiter(chain.from_iterable(guess), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
-        single, at = np.unique(flat, return_inverse=True)
+        """Remember the ids of ``words``, distinct and not known.  Words beyond LONG_WORD bytes are merged without a guess."""
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        ends = np.cumsum(sizes)
+        symbols[ends - 1] += 256
+        short = np.flatnonzero(sizes <= LONG_WORD)
         fine = np.ones(len(words), bool)
-        fine[owner[~np.fromiter(map(self.token_holds, single.tolist()), bool, len(single))[at]]] = False
+        fine[sizes > LONG_WORD] = False
+        owner, token = self.greedy(symbols, (ends - sizes)[short], ends[short]) if len(short) else (np.empty(0, np.int64),) * 2
+        owner = short[owner]
+        fine[owner[~self.alone[token]]] = False
         inside = owner[1:] == owner[:-1]
-        codes, at = np.unique(flat[:-1][inside] << ID_BITS | flat[1:][inside], return_inverse=True)
-        holds, mask = self.holds, (1 << ID_BITS) - 1
-        for c in codes.tolist():
-            if c not in holds:
-                holds[c] = self.pair_holds(c >> ID_BITS, c & mask)
-        good = np.fromiter(map(holds.__getitem__, codes.tolist()), bool, len(codes))
-        fine[owner[1:][inside][~good[at]]] = False
-        for k in np.flatnonzero(~fine).tolist():
-            guess[k] = self.merged(self.symbols(texts[k]))
-        self.known.update(zip(words, map(tuple, guess), strict=True))
-
+        codes, at = np.unique(token[:-1][inside] << ID_BITS | token[1:][inside], return_inverse=True)
+        fine[owner[1:][inside][~self.pairs_hold(codes)[at]]] = False
+        failed = np.flatnonzero(~fine)
+        letters = self.symbol_ids[symbols]
+        exact = self.merge_many([letters[ends[k] - sizes[k] : ends[k]].tolist() for k in failed.tolist()])
+        kept = fine[owner]
+        ids = np.concatenate([token[kept], np.fromiter(chain.from_iterable(exact), np.int64)])
+        whose = np.concatenate([owner[kept], np.repeat(failed, np.fromiter(map(len, exact), np.int64, len(exact)))])
+        count = np.bincount(whose, minlength=len(words))
+        ids = ids[np.argsort(whose, kind="stable")].astype(np.int32)
+        first = len(self.sizes)
+        self.index.update(zip(words, range(first, first + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(count) - count])
+        self.sizes, self.flat = np.concatenate([self.sizes, count]), np.concatenate([self.flat, ids])
+
+    # -- texts ------------------------------------------------------------------------------------------------------
     def words(self, text: str) -> list[str]:
         """The words of ``text`` after normalisation."""
         if not text.isascii() and unsettled(text):
             # letters newer than this Python: the library's own tables say what they are
-            own = library(self.path)
-            letters = {c: b for b, c in self.table.items()}
-            return [bytes(letters[c] for c in w).decode() for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))]
+            own, byte = library(self.path), {c: b for b, c in enumerate(self.letters)}
+            return [bytes(byte[c] for c in w).decode() for w, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))]
         # one letter is lowered at a time, so a capital sigma at a word's end is no final one
         return self.word.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def pieces(self, text: str) -> list[str | int]:
-        """Words, and the ids of added tokens where the text spells them."""
+    def pieces(self, text: str) -> list[str]:
+        """Words, and added tokens where the text spells them."""
         if self.cut is None or "<" not in text:
             return self.words(text)
-        out: list[str | int] = []
-        for k, part in enumerate(self.cut.split(text)):
-            out += [self.special[part]] if k % 2 else self.words(part)
-        return out
-
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """The ids of each text, in order.  Texts go in groups of about GROUP_CHARS, whose new words are learnt at once."""
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        if group:
-            yield from self._group(group)
-
-    def _group(self, texts: list[str]) -> Iterator[list[int]]:
-        split, known = [self.pieces(t) for t in texts], self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = {w for w in set(chain.from_iterable(split)).difference(known) if w.__class__ is str}
+        return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.words(part))]
+
+    def encode_batch(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text; a null text has none."""
+        split = [self.pieces(t or "") for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.index)
+        if len(self.index) + len(new) > WORDS_KEPT and len(self.index) > len(self.special):
+            self._forget()
+            new = set(chain.from_iterable(split)).difference(self.index)
         if new:
             self.learn(list(new))
-        for pieces in split:
-            if int in set(map(type, pieces)):
-                yield [t for w in pieces for t in (known[w] if w.__class__ is str else (w,))]
-            else:
-                yield list(chain.from_iterable(map(known.__getitem__, pieces)))
+        k = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64)
+        sizes = self.sizes[k]
+        before = np.cumsum(sizes) - sizes
+        flat = self.flat[np.repeat(self.starts[k] - before, sizes) + np.arange(int(sizes.sum()))]
+        upto = np.cumsum([0, *map(len, split)])
+        ends = np.append(before, len(flat))[upto].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+    def decode_batch(self, ids: pa.ListArray) -> pa.Array:
+        """The tokens of each row, joined by a blank as the library does without a decoder; null for null."""
+        ids = ids if len(ids) else ids.cast(pa.list_(pa.int32()))
+        spelt = self.spellings.take(ids.flatten())
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), spelt)
+        return pc.if_else(ids.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
 
 
 @cache
@@ -231,42 +298,50 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encode(path: str):
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of about GROUP_BYTES of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(sizes) - sizes) // GROUP_BYTES
+    cuts = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), batch.num_rows] if batch.num_rows else []
+    for lo, hi in pairwise(cuts):
+        yield batch.slice(lo, hi - lo)
+
+
+def _encode(path: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
-            ids = [np.array(x, np.int32) for x in v.encode_batch(b.column(b.num_columns - 1).to_pylist())]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.concatenate([np.empty(0, np.int32), *ids])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*b.schema.names[:-1], "ids"])
+        for b in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
+            ids = v.encode_batch(b.column(b.num_columns - 1).to_pylist())
+            more = [v.decode_batch(ids)] if decode else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *more], [*b.schema.names[:-1], "ids", *["decoded"] * decode])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns of ``docs`` and ids, an array of token ids of the whole text.
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", decode: bool = False) -> DataFrame:
+    """The ``keep`` columns of ``docs`` and ids, an array of token ids of the whole text; with ``decode`` also the
+    text ``decoded`` from those ids.
 
     A null or empty text has no ids.  Null and repeated keys keep their rows; an empty table gives an empty result;
     other columns are ignored.  A worker holds one Arrow batch and bounded memories of words and pairs.
     ``path`` names the vocabulary file, which must lie at that place on every executor.
     """
     kept = docs.select(*keep, F.col(text).alias("ids"))
-    ids = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_encode(path), f"{ids}{', ' * bool(ids)}ids array<int>")
+    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
+    return kept.mapInArrow(_encode(path, decode), ", ".join([*own, "ids array<int>", *["decoded string"] * decode]))
 
 
 def decoded(ids: Column | str, path: str) -> Column:
-    """The text of a column of ids: its tokens, joined by a blank as the library does without a decoder.  Null for null."""
+    """The text of any column of ids; null for null."""
 
     @F.arrow_udf("string")
     def join(x: pa.Array) -> pa.Array:
-        tokens = vocabulary(path).tokens
-        return pa.array([None if y is None else " ".join([tokens[t] for t in y]) for y in x.to_pylist()], pa.string())
+        return vocabulary(path).decode_batch(x)
 
     return join(ids)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids, joined by a blank, and of the decoded text."""
-    e = encode(docs, path).withColumn("decoded", decoded("ids", path))
+    e = encode(docs, path, decode=True)
     return e.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
