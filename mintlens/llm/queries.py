@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, secrets, sharding, simhash, urls
+from . import ann, bpe, decontam, langid, licences, quality, secrets, sharding, simhash, urls
 from .common import read
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -26,10 +26,15 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": lambda spark, sf_dir: sharding.shard_documents(read(spark, sf_dir, "documents")),
     "op2_secret_scans": lambda spark, sf_dir: secrets.digest(read(spark, sf_dir, "documents")),
     "op3_simhash": lambda spark, sf_dir: simhash.near_duplicates(read(spark, sf_dir, "documents")),
+    "op4_licences": lambda spark, sf_dir: licences.digest(read(spark, sf_dir, "documents")),
     "op5_quality": quality_scores,
+    "op6_nearest": lambda spark, sf_dir: ann.nearest(read(spark, sf_dir, "embeddings")),
     "op7_decontamination": lambda spark, sf_dir: decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")),
     "op8_url_filters": lambda spark, sf_dir: urls.digest(read(spark, sf_dir, "pages")),
+    "op9_languages": lambda spark, sf_dir: langid.identify(read(spark, sf_dir, "pages"), langid.train(read(spark, sf_dir, "documents"))),
     "op10_bpe": lambda spark, sf_dir: bpe.digest(read(spark, sf_dir, "documents"), vocabulary_path()),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_licences": licences.ORACLE_SQL,
+}
