@@ -1,4 +1,490 @@
 """The registered queries of the card-condition library and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays, math, text
+from ..operators import flatten, pricing, profiling, ranking, rules, scoring
+from .proxies import CAPTURES_SQL, KEYS, LABELLED_SQL, PROFILES_SQL, captures, labelled, profiles, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def add(name: str, source: Callable[[SparkSession, str], DataFrame], build: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    query(name, sql)(lambda spark, d: build(source(spark, d)))
+
+
+def of(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: table(spark, d, name)
+
+
+# -- SQL spellings of the shared expressions -------------------------------------------------------------------------------
+K = ", ".join(KEYS)
+
+
+def clamp(x: str, lo: float = 0, hi: float = 1) -> str:
+    return f"least(greatest({x}, {lo}::DOUBLE), {hi}::DOUBLE)"
+
+
+def ten(x: str) -> str:
+    return f"(1.0::DOUBLE + {clamp(x)} * 9.0::DOUBLE)"
+
+
+def share(x: str) -> str:
+    return clamp(f"({x} - 1.0::DOUBLE) / 9.0::DOUBLE")
+
+
+def rnd(x: str, n: int) -> str:
+    return f"floor(({x}) * {10**n}::DOUBLE + 0.5::DOUBLE) / {10**n}::DOUBLE"
+
+
+CAP = rnd(ten(f"0.50::DOUBLE * {clamp('blur / 400.0::DOUBLE')} + 0.25::DOUBLE * {clamp('1.0::DOUBLE - abs(brightness - 150.0::DOUBLE) / 150.0::DOUBLE')} + 0.25::DOUBLE * {clamp('contrast / 80.0::DOUBLE')}"), 2)
+ASPECT = clamp("1.0::DOUBLE - abs(aspect - 0.715::DOUBLE) / 0.10::DOUBLE")
+PRELIM = rnd(ten(f"0.55::DOUBLE * {share('s_capture')} + 0.30::DOUBLE * {clamp('coverage / 0.60::DOUBLE')} + 0.15::DOUBLE * {ASPECT} - CASE WHEN used_fallback THEN 0.20::DOUBLE ELSE 0.0::DOUBLE END"), 2)
+CENTER = rnd(ten(f"0.5::DOUBLE * {clamp('h_bal')} + 0.5::DOUBLE * {clamp('v_bal')}"), 2)
+
+
+def confident(x: str, full: int, conf: str) -> str:
+    return rnd(ten(f"{clamp(f'{x} / {full}.0::DOUBLE')} * (0.75::DOUBLE + 0.25::DOUBLE * {clamp(conf)})"), 2)
+
+
+EDGE, CORNER = confident("edge_raw", 100, "edge_conf"), confident("corner_raw", 100, "corner_conf")
+SURFACE_CONF = f"0.5::DOUBLE * {clamp('whitening_conf')} + 0.5::DOUBLE * {clamp('surface_conf')}"
+COMBINED = "(0.55::DOUBLE * whitening + 0.45::DOUBLE * surface)"
+SURFACE = confident(COMBINED, 10, SURFACE_CONF)
+SCORED_SQL = f"WITH {CAPTURES_SQL}, s1 AS (SELECT *, {CAP} AS s_capture FROM captures), scored AS (SELECT *, {PRELIM} AS s_prelim, {CENTER} AS s_center, {EDGE} AS s_edge, {CORNER} AS s_corner, {SURFACE} AS s_surface, {SURFACE_CONF} AS s_conf FROM s1)"
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """Captures with their rounded part scores, which the composites take as they are shown."""
+    c = captures(spark, d).withColumn("s_capture", scoring.capture("blur", "brightness", "contrast"))
+    return c.withColumns({
+        "s_prelim": scoring.preliminary("s_capture", "coverage", "aspect", "used_fallback"),
+        "s_center": scoring.centering("h_bal", "v_bal"),
+        "s_edge": scoring.edge("edge_raw", "edge_conf"),
+        "s_corner": scoring.corner("corner_raw", "corner_conf"),
+        "s_surface": scoring.surface(0.55 * F.col("whitening") + 0.45 * F.col("surface"), "whitening_conf", "surface_conf"),
+        "s_conf": 0.5 * math.clamp("whitening_conf") + 0.5 * math.clamp("surface_conf"),
+    })
+
+
+for _name, _column in (("score_capture", "s_capture"), ("score_preliminary", "s_prelim"), ("score_centering", "s_center"), ("score_edge", "s_edge"), ("score_corner", "s_corner"), ("score_surface", "s_surface")):
+    add(_name, scored, lambda df, c=_column: df.select(*KEYS, F.col(c).alias("score")), f"{SCORED_SQL} SELECT {K}, {_column} AS score FROM scored")
+
+_PARTS = {"v1": 2, "v2": 3, "v3": 4, "v4": 5}
+_SCORES, _CONFS = ("s_prelim", "s_center", "s_edge", "s_corner", "s_surface"), ("edge_conf", "corner_conf", "s_conf")
+
+
+def _condition(df: DataFrame, version: str) -> DataFrame:
+    n = _PARTS[version]
+    return df.select(*KEYS, *((math.rounded(c, 6) if k.startswith("weight") else c).alias(k) for k, c in scoring.condition(version, _SCORES[:n], _CONFS[: n - 2]).items()))
+
+
+def _condition_sql(version: str) -> str:
+    base = scoring.CONDITION_WEIGHTS[version]
+    kept = [f"{w}::DOUBLE * (0.60::DOUBLE + 0.40::DOUBLE * {clamp(c)})" for w, c in zip(base[2:], _CONFS, strict=False)]
+    first = f"{base[0]}::DOUBLE" + "".join(f" + ({w}::DOUBLE - {k})" for w, k in zip(base[2:], kept, strict=True))
+    weights = [first, f"{base[1]}::DOUBLE", *kept]
+    total = " + ".join(f"({w}) * {share(s)}" for w, s in zip(weights, _SCORES, strict=False))
+    return f"{SCORED_SQL} SELECT {K}, {rnd(ten(total), 2)} AS condition, {', '.join(f'{rnd(w, 6)} AS weight_{p}' for w, p in zip(weights, scoring.PARTS, strict=False))} FROM scored"
+
+
+for _v in _PARTS:
+    add(f"condition_{_v}", scored, lambda df, v=_v: _condition(df, v), _condition_sql(_v))
+
+_DOUBT = "CASE WHEN s_capture < 7.0 THEN 0.50::DOUBLE ELSE 1.0::DOUBLE END" + "".join(f" * CASE WHEN {x} < {limit} THEN {f}::DOUBLE ELSE 1.0::DOUBLE END" for x, limit, f in (("blur", 150, 0.8), ("blur", 100, 0.6), ("contrast", 30, 0.85), ("contrast", 20, 0.6)))
+_WHITE = clamp(f"10.0::DOUBLE - ({_DOUBT}) * (5.0::DOUBLE * least(1.0::DOUBLE, edge_ratio / 0.20::DOUBLE) + 5.0::DOUBLE * least(1.0::DOUBLE, corner_ratio / 0.25::DOUBLE))", 0, 10)
+add(
+    "whitening_score",
+    scored,
+    lambda df: df.select(*KEYS, math.rounded(scoring.whitening_penalised("edge_ratio", "corner_ratio", "blur", "contrast", "s_capture", "surface"), 6).alias("score")),
+    f"{SCORED_SQL} SELECT {K}, {rnd(f'CASE WHEN surface > 8.5 AND {_WHITE} < 3.5 THEN 3.5::DOUBLE ELSE {_WHITE} END', 6)} AS score FROM scored",
+)
+add(
+    "surface_score",
+    captures,
+    lambda df: df.select(*KEYS, math.rounded(scoring.surface_penalised("glare", "texture", "dark_spots"), 6).alias("score")),
+    f"WITH {CAPTURES_SQL} SELECT {K}, {rnd(clamp('10.0::DOUBLE - (4.0::DOUBLE * least(1.0::DOUBLE, glare / 0.03::DOUBLE) + 3.5::DOUBLE * least(1.0::DOUBLE, texture / 0.08::DOUBLE) + 2.5::DOUBLE * least(1.0::DOUBLE, dark_spots / 0.04::DOUBLE))', 0, 10), 6)} AS score FROM captures",
+)
+
+# -- status -------------------------------------------------------------------------------------------------------------------
+_BAD = """[CASE WHEN used_fallback AND best_score < 0.50 THEN 'fallback_detection' END, CASE WHEN weak AND det_conf < 0.45 THEN 'weak_detection' END,
+ CASE WHEN coverage < 0.15 THEN 'low_coverage' END, CASE WHEN coverage > 0.99 THEN 'excessive_coverage' END, CASE WHEN blur < 70 THEN 'blurry_image' END,
+ CASE WHEN brightness < 75 THEN 'too_dark' END, CASE WHEN brightness > 235 THEN 'too_bright' END, CASE WHEN contrast < 20 THEN 'low_contrast' END,
+ CASE WHEN edge_conf < 0.45 THEN 'low_edge_confidence' END, CASE WHEN corner_conf < 0.45 THEN 'low_corner_confidence' END,
+ CASE WHEN NOT postwarp_valid AND postwarp_score < 0.45 THEN 'invalid_postwarp' END]"""
+_ODD = """[CASE WHEN used_fallback AND best_score >= 0.50 THEN 'fallback_used' END, CASE WHEN weak AND det_conf >= 0.45 THEN 'weak_detection' END,
+ CASE WHEN (NOT postwarp_valid AND postwarp_score >= 0.45) OR (retry AND NOT (NOT postwarp_valid AND postwarp_score < 0.45)) THEN 'weak_postwarp' END,
+ CASE WHEN coverage >= 0.28 AND coverage < 0.38 THEN 'borderline_low_coverage' END, CASE WHEN coverage > 0.90 AND coverage <= 0.99 THEN 'borderline_high_coverage' END,
+ CASE WHEN blur >= 70 AND blur < 120 THEN 'moderate_blur' END, CASE WHEN brightness >= 75 AND brightness < 95 THEN 'suboptimal_dark_brightness' END,
+ CASE WHEN brightness > 210 AND brightness <= 235 THEN 'suboptimal_high_brightness' END, CASE WHEN contrast >= 20 AND contrast < 30 THEN 'suboptimal_contrast' END,
+ CASE WHEN edge_conf >= 0.45 AND edge_conf < 0.60 THEN 'moderate_edge_confidence' END, CASE WHEN corner_conf >= 0.45 AND corner_conf < 0.60 THEN 'moderate_corner_confidence' END,
+ CASE WHEN det_conf >= 0.45 AND det_conf < 0.60 THEN 'moderate_detection_confidence' END, CASE WHEN postwarp_score >= 0.45 AND postwarp_score < 0.60 THEN 'moderate_postwarp_score' END]"""
+
+
+def _listed(x: str) -> str:
+    return f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda r: r IS NOT NULL))), '|')"
+
+
+STATUS_SQL = f"""WITH {CAPTURES_SQL}, found AS (SELECT *, {_listed(_BAD)} AS bad, {_listed(_ODD)} AS odd FROM captures),
+status AS (SELECT *, CASE WHEN bad <> '' THEN 'invalid_capture' WHEN odd <> '' THEN 'valid_with_warning' ELSE 'valid' END AS analysis_status, CASE WHEN bad <> '' THEN bad ELSE odd END AS invalid_reasons FROM found)"""
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    return rules.with_status(captures(spark, d))
+
+
+add("capture_status_distribution", judged, lambda df: df.groupBy("analysis_status").agg(F.count(F.lit(1)).alias("count"), math.rounded(F.avg(scoring.capture("blur", "brightness", "contrast")), 6).alias("mean_score")), f"{STATUS_SQL} SELECT analysis_status, count(*) AS count, {rnd(f'avg({CAP})', 6)} AS mean_score FROM status GROUP BY 1")
+add("status_rules", judged, lambda df: df.select(*KEYS, "analysis_status", "invalid_reasons", "usable_for_condition_model"), f"{STATUS_SQL} SELECT {K}, analysis_status, invalid_reasons, analysis_status = 'valid' AS usable_for_condition_model FROM status")
+add(
+    "status_pct",
+    judged,
+    lambda df: df.agg(math.rounded(profiling.percent(F.col("usable_for_condition_model")), 2).alias("usable_pct"), math.rounded(100.0 - profiling.percent(F.col("usable_for_condition_model")), 2).alias("other_pct")),
+    f"{STATUS_SQL} SELECT {rnd('avg(CASE WHEN analysis_status = ' + chr(39) + 'valid' + chr(39) + ' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0::DOUBLE', 2)} AS usable_pct, {rnd('100.0::DOUBLE - avg(CASE WHEN analysis_status = ' + chr(39) + 'valid' + chr(39) + ' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * 100.0::DOUBLE', 2)} AS other_pct FROM status",
+)
+add(
+    "status_counts",
+    judged,
+    lambda df: df.agg(
+        F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("analysis_status") == s).alias(s) for s in ("valid", "valid_with_warning", "invalid_capture")),
+        F.count_if("used_fallback").alias("fallback"), F.count_if("weak").alias("weak"), F.count_if("postwarp_valid").alias("postwarp_valid"),
+    ),
+    f"{STATUS_SQL} SELECT count(*) AS total, count(*) FILTER (analysis_status = 'valid') AS valid, count(*) FILTER (analysis_status = 'valid_with_warning') AS valid_with_warning, count(*) FILTER (analysis_status = 'invalid_capture') AS invalid_capture, count(*) FILTER (used_fallback) AS fallback, count(*) FILTER (weak) AS weak, count(*) FILTER (postwarp_valid) AS postwarp_valid FROM status",
+)
+add("top_reasons", judged, profiling.reason_counts, f"{STATUS_SQL} SELECT trim(r) AS reason, count(*) AS count FROM (SELECT unnest(string_split(invalid_reasons, '|')) AS r FROM status) WHERE trim(r) <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+add("sample_weight", judged, lambda df: df.groupBy("analysis_status", rules.sample_weight("analysis_status").alias("weight")).agg(F.count(F.lit(1)).alias("count")), f"{STATUS_SQL} SELECT analysis_status, CASE WHEN analysis_status = 'valid_with_warning' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight, count(*) AS count FROM status GROUP BY 1, 2")
+add(
+    "capture_assessment",
+    scored,
+    lambda df: df.select(*KEYS, rules.capture_assessment("used_fallback", "coverage", "aspect", "s_capture").alias("level")),
+    f"{SCORED_SQL} SELECT {K}, CASE WHEN used_fallback THEN 'deficiente' WHEN coverage > 0.95 THEN CASE WHEN s_capture >= 5 THEN 'mejorable' ELSE 'deficiente' END WHEN aspect BETWEEN 0.65 AND 0.78 AND coverage >= 0.35 AND s_capture >= 7 THEN 'buena' WHEN aspect BETWEEN 0.65 AND 0.78 AND coverage >= 0.22 AND s_capture >= 5 THEN 'mejorable' ELSE 'deficiente' END AS level FROM scored",
+)
+
+
+def _postwarp(df: DataFrame) -> DataFrame:
+    d = df.withColumn("score", math.clamp(F.col("postwarp_score") * rules.context_factor("weak", "det_conf")))
+    return d.select(*KEYS, math.rounded("score", 6).alias("score"), *(c.alias(n) for n, c in rules.postwarp_decision("score", "h_bal", "best_score", "edge_conf", "corner_conf", "postwarp_score").items()))
+
+
+_FACTOR = "(CASE WHEN weak THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN det_conf > 0 AND det_conf < 0.40 THEN 0.96::DOUBLE ELSE 1.0::DOUBLE END)"
+_VALID = "score >= 0.56 AND h_bal >= 0.35 AND postwarp_score <= 0.78 AND best_score >= 0.30"
+_REASONS = _listed("[CASE WHEN h_bal < 0.35 THEN 'implausible_rectified_aspect_ratio' END, CASE WHEN best_score < 0.30 THEN 'weak_outer_border_visibility' END, CASE WHEN edge_conf < 0.28 THEN 'weak_outer_border_continuity' END, CASE WHEN corner_conf < 0.24 THEN 'inconsistent_outer_margins' END, CASE WHEN postwarp_score > 0.78 THEN 'high_crop_risk' END]")
+add("postwarp_validity", captures, _postwarp, f"WITH {CAPTURES_SQL}, x AS (SELECT *, {clamp(f'postwarp_score * {_FACTOR}')} AS score FROM captures) SELECT {K}, {rnd('score', 6)} AS score, {_VALID} AS postwarp_valid, NOT ({_VALID}) OR score < 0.64 OR postwarp_score > 0.55 OR edge_conf < 0.42 AS retry_recommended, {_REASONS} AS postwarp_reasons FROM x")
+add(
+    "quality_labels",
+    captures,
+    lambda df: df.select(*KEYS, math.rounded(rules.damped("edge_raw", "surface_conf"), 6).alias("damped"), rules.part_label(rules.damped("edge_raw", "surface_conf")).alias("label")),
+    f"WITH {CAPTURES_SQL}, x AS (SELECT *, edge_raw * CASE WHEN surface_conf < 0.20 THEN 0.85::DOUBLE WHEN surface_conf < 0.35 THEN 0.92::DOUBLE ELSE 1.0::DOUBLE END AS v FROM captures) SELECT {K}, {rnd('v', 6)} AS damped, CASE WHEN v >= 85 THEN 'good' WHEN v >= 70 THEN 'acceptable' WHEN v >= 50 THEN 'weak' ELSE 'poor' END AS label FROM x",
+)
+_FINAL = "coalesce(CASE WHEN l_partkey % 3 <> 0 THEN s_surface END, CASE WHEN l_partkey % 2 <> 0 THEN s_edge END, CASE WHEN l_partkey % 12 <> 0 THEN s_prelim END)"
+
+
+def _final(df: DataFrame) -> DataFrame:
+    return df.withColumn("final", rules.final_score(F.when(F.col("l_partkey") % 3 != 0, F.col("s_surface")), F.when(F.col("l_partkey") % 2 != 0, F.col("s_edge")), F.when(F.col("l_partkey") % 12 != 0, F.col("s_prelim"))))
+
+
+add("score_label", scored, lambda df: _final(df).groupBy(rules.score_label("final").alias("label")).agg(F.count(F.lit(1)).alias("count")), f"{SCORED_SQL}, f AS (SELECT {_FINAL} AS x FROM scored) SELECT CASE WHEN x IS NULL THEN 'Sin evaluacion' WHEN x >= 9 THEN 'Excelente' WHEN x >= 8 THEN 'Muy buena' WHEN x >= 7 THEN 'Buena' WHEN x >= 5.5 THEN 'Mejorable' ELSE 'No confiable' END AS label, count(*) AS count FROM f GROUP BY 1")
+_PLUS = ", ".join(f"CASE WHEN {c} >= 8 THEN '+{n}' WHEN {c} < 6 THEN '-{n}' END" for n, c in (("centering", "s_center"), ("edge", "s_edge"), ("corner", "s_corner"), ("surface", "s_surface"), ("capture", "s_capture")))
+add(
+    "findings",
+    scored,
+    lambda df: df.select(*KEYS, F.array_join(rules.findings({"centering": "s_center", "edge": "s_edge", "corner": "s_corner", "surface": "s_surface", "capture": "s_capture"}), ",").alias("findings")),
+    f"{SCORED_SQL} SELECT {K}, array_to_string((list_filter([{_PLUS}], lambda x: x IS NOT NULL))[1:4], ',') AS findings FROM scored",
+)
+
+# -- sources, labels, projections ------------------------------------------------------------------------------------------------
+add(
+    "scan_path_labels",
+    of("pages"),
+    lambda df: df.select("page_id", F.regexp_extract("url", r"://[^/]+/(.*)$", 1).alias("rel")).select(
+        "page_id", F.when(F.size(F.split("rel", "/")) >= 2, F.lower(F.trim(F.split("rel", "/")[0]))).otherwise("unknown").alias("label"), F.element_at(F.split("rel", "/"), -1).alias("filename"), F.lower("rel").rlike(r"\.(jpg|jpeg|png|webp|html)$").alias("listed")
+    ),
+    "WITH r AS (SELECT page_id, regexp_extract(url, '://[^/]+/(.*)$', 1) AS rel FROM pages) SELECT page_id, CASE WHEN len(string_split(rel, '/')) >= 2 THEN lower(trim(string_split(rel, '/')[1])) ELSE 'unknown' END AS label, string_split(rel, '/')[-1] AS filename, regexp_matches(lower(rel), '\\.(jpg|jpeg|png|webp|html)$') AS listed FROM r",
+)
+_SPELL = "CASE doc_id % 8 WHEN 0 THEN ' Damaged ' WHEN 1 THEN 'ROTAS' WHEN 2 THEN 'dañada' WHEN 3 THEN 'undamaged' WHEN 4 THEN 'Clean' WHEN 5 THEN 'ok' WHEN 6 THEN 'other' END"
+add(
+    "label_normalise",
+    of("documents"),
+    lambda df: df.select("doc_id", rules.normal_label(F.expr(_SPELL)).alias("label")).withColumn("target", rules.label_target("label")),
+    f"WITH s AS (SELECT doc_id, lower(trim({_SPELL})) AS s FROM documents), l AS (SELECT doc_id, CASE WHEN s IN ('damaged', 'damage', 'rotas', 'rota', 'danada', 'dañada') THEN 'damaged' WHEN s IN ('undamaged', 'clean', 'sana', 'sin_danio', 'sin_daño', 'ok') THEN 'undamaged' ELSE 'unknown' END AS label FROM s) SELECT doc_id, label, CASE label WHEN 'damaged' THEN 1 WHEN 'undamaged' THEN 0 END AS target FROM l",
+)
+add(
+    "flatten_props",
+    of("events"),
+    lambda df: flatten.flatten(df.select("event_id", F.struct("user_id", F.from_json("props", "k INT").alias("props"), F.array("value").alias("dropped")).alias("event"))),
+    "SELECT event_id, user_id AS event_user_id, CAST(json_extract(props, '$.k') AS INT) AS event_props_k FROM events",
+)
+add(
+    "model_vector_defaults",
+    captures,
+    lambda df: flatten.model_inputs(df.withColumns({"blur": F.nullif("blur", F.lit(0.0)), "flag": F.col("weak"), "word": F.lit("x")}), ["contrast", "blur", "flag", "word", "missing"]).groupBy().agg(*(F.count_if(F.col(c) == 0).alias(f"zero_{c}") for c in ("contrast", "blur", "flag", "word", "missing")), math.rounded(F.sum("blur"), 3).alias("sum_blur")),
+    f"WITH {CAPTURES_SQL} SELECT count(*) FILTER (contrast = 0) AS zero_contrast, count(*) FILTER (coalesce(nullif(blur, 0), 0) = 0) AS zero_blur, count(*) FILTER (NOT weak) AS zero_flag, count(*) AS zero_word, count(*) AS zero_missing, {rnd('sum(blur)', 3)} AS sum_blur FROM captures",
+)
+add(
+    "null_policy",
+    captures,
+    lambda df: df.select(*KEYS, math.safe(F.when(F.col("blur") == 0, F.lit(float("inf"))).when(F.col("blur") == 8, F.lit(None)).when(F.col("blur") == 16, F.lit(float("nan"))).otherwise(F.col("blur"))).alias("served"), F.when(F.col("blur") > 16, F.col("blur")).alias("trained")),
+    f"WITH {CAPTURES_SQL} SELECT {K}, CASE WHEN blur > 16 THEN blur ELSE 0.0::DOUBLE END AS served, CASE WHEN blur > 16 THEN blur END AS trained FROM captures",
+)
+_COUNT_BY_TRUTH = "SELECT y_true, count(*) AS count FROM labelled WHERE {} GROUP BY 1"
+add("filter_strict", labelled, lambda df: df.where("y_true in (0, 1) and toxic = 0").groupBy("y_true").agg(F.count(F.lit(1)).alias("count")), f"WITH {LABELLED_SQL} " + _COUNT_BY_TRUTH.format("y_true IN (0, 1) AND toxic = 0"))
+add("filter_fallback", labelled, lambda df: df.where("y_true in (0, 1) and lang = 'en' and y_prob > 0.1").groupBy("y_true").agg(F.count(F.lit(1)).alias("count")), f"WITH {LABELLED_SQL} " + _COUNT_BY_TRUTH.format("y_true IN (0, 1) AND lang = 'en' AND y_prob > 0.1"))
+
+
+@query("filter_choice", f"WITH {LABELLED_SQL}, n AS (SELECT min(c) AS least, count(*) AS classes FROM (SELECT y_true, count(*) AS c FROM labelled WHERE toxic = 0 GROUP BY 1)) SELECT y_true, CASE WHEN least >= 20 AND classes = 2 THEN 'strict' ELSE 'loose' END AS filter, count(*) AS count FROM labelled, n WHERE CASE WHEN least >= 20 AND classes = 2 THEN toxic = 0 ELSE true END GROUP BY ALL")
+def filter_choice(spark, d):
+    rows, which = profiling.choose_rows(labelled(spark, d), "y_true", F.col("toxic") == 0, F.lit(True))
+    return rows.groupBy("y_true").agg(F.lit(which).alias("filter"), F.count(F.lit(1)).alias("count"))
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    return df.agg(*(F.count(c).alias(f"n_{c}") for c in df.columns))
+
+
+@query("drop_empty_columns", f"WITH {CAPTURES_SQL} SELECT count(blur) AS n_blur, count(nullif(contrast, 10.0)) AS n_contrast FROM captures")
+def drop_empty_columns(spark, d):
+    return _counts(flatten.drop_empty(captures(spark, d).select("blur", F.nullif("contrast", F.lit(10.0)).alias("contrast"), F.lit(None).cast("double").alias("nothing"))))
+
+
+add(
+    "usable_name",
+    of("part"),
+    lambda df: df.select("p_partkey", text.usable_name(F.when(F.col("p_partkey") % 7 == 0, "HP").when(F.col("p_partkey") % 11 == 0, "a1234").otherwise(F.col("p_name"))).alias("usable")),
+    "WITH n AS (SELECT p_partkey, trim(CASE WHEN p_partkey % 7 = 0 THEN 'HP' WHEN p_partkey % 11 = 0 THEN 'a1234' ELSE p_name END) AS t FROM part), c AS (SELECT *, len(regexp_extract_all(t, '\\p{L}')) AS l, len(regexp_extract_all(t, '\\p{Nd}')) AS g FROM n) SELECT p_partkey, len(t) >= 3 AND l >= 3 AND g <= greatest(2, l) AND lower(t) NOT IN ('pokemon', 'pokémon', 'basic', 'stage', 'fase', 'hp', 'gx', 'ex', 'v') AS usable FROM c",
+)
+add("numeric_coercion", of("events"), lambda df: df.select("event_id", F.concat(F.when(F.col("event_id") % 3 == 0, "x").otherwise(""), F.col("user_id").cast("string")).try_cast("double").alias("number")).where("number is not null"), "SELECT event_id, TRY_CAST(concat(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE '' END, user_id) AS DOUBLE) AS number FROM events WHERE TRY_CAST(concat(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE '' END, user_id) AS DOUBLE) IS NOT NULL")
+add("first_values", of("customer"), lambda df: df.select("c_custkey", text.first_usable(F.when(F.col("c_custkey") % 2 == 0, " "), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")), F.col("c_name")).alias("first_text"), text.first_number(F.when(F.col("c_custkey") % 2 == 0, F.lit("true")), F.when(F.col("c_custkey") % 5 == 0, F.lit("x")), F.col("c_acctbal").cast("string")).alias("first_number")), "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS first_text, c_acctbal AS first_number FROM customer")
+
+# -- profiles and metrics --------------------------------------------------------------------------------------------------------
+add("value_counts_nulls", of("customer"), lambda df: profiling.value_counts(df.select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment")), "segment"), "SELECT nullif(c_mktsegment, 'BUILDING') AS segment, count(*) AS count FROM customer GROUP BY 1")
+add("distinct_values", of("part"), lambda df: df.select("p_brand").distinct(), "SELECT DISTINCT p_brand FROM part")
+add("histogram_30", of("events"), lambda df: profiling.histogram(df, "value"), "WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CAST(least(floor((value - lo) / ((hi - lo) / 30.0::DOUBLE)), 29) AS BIGINT) AS bin, count(*) AS count FROM events, e GROUP BY 1")
+_CELLS = f"WITH {LABELLED_SQL}, c AS (SELECT count(*) FILTER (y_true = 0 AND y_pred = 0) AS tn, count(*) FILTER (y_true = 0 AND y_pred = 1) AS fp, count(*) FILTER (y_true = 1 AND y_pred = 0) AS fn, count(*) FILTER (y_true = 1 AND y_pred = 1) AS tp FROM labelled)"
+add("confusion_matrix", labelled, profiling.confusion, f"{_CELLS} SELECT * FROM c")
+
+
+def _all_rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return df.select(*(math.rounded(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+_M = "tp::DOUBLE / nullif(tp + fp, 0)", "tp::DOUBLE / nullif(tp + fn, 0)", "tn::DOUBLE / nullif(tn + fp, 0)"
+add(
+    "binary_metrics",
+    labelled,
+    lambda df: _all_rounded(profiling.binary_metrics(profiling.confusion(df))),
+    f"{_CELLS}, m AS (SELECT *, coalesce({_M[0]}, 0) AS p, coalesce({_M[1]}, 0) AS r, coalesce({_M[2]}, 0) AS s FROM c) SELECT {rnd('(tp + tn)::DOUBLE / (tn + fp + fn + tp)', 9)} AS accuracy, {rnd('(r + s) / 2', 9)} AS balanced_accuracy, {rnd('p', 9)} AS precision, {rnd('r', 9)} AS recall, {rnd('coalesce(2 * p * r / nullif(p + r, 0), 0)', 9)} AS f1 FROM m",
+)
+_REPORT = f"""{_CELLS}, a AS (SELECT '0' AS label, coalesce(tn::DOUBLE / nullif(tn + fn, 0), 0) AS p, coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0) AS r, tn + fp AS n FROM c
+ UNION ALL SELECT '1', coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), tp + fn FROM c), b AS (SELECT *, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f FROM a),
+ w AS (SELECT * FROM b UNION ALL SELECT 'macro avg', avg(p), avg(r), sum(n), avg(f) FROM b UNION ALL SELECT 'weighted avg', sum(p * n) / sum(n), sum(r * n) / sum(n), sum(n), sum(f * n) / sum(n) FROM b)
+ SELECT label, {rnd('p', 9)} AS precision, {rnd('r', 9)} AS recall, {rnd('f', 9)} AS f1, CAST(n AS BIGINT) AS support FROM w"""
+add("class_report", labelled, lambda df: _all_rounded(profiling.class_report(profiling.confusion(df))), _REPORT)
+
+_HASH = "((event_id * 2654435761 + 42) % 1000003)"
+_SPLIT = f"WITH h AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {_HASH}, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events), s AS (SELECT event_id, event_type, CASE WHEN r < floor(n * 0.8) THEN 'train' ELSE 'test' END AS split, CAST(r % 5 AS BIGINT) AS fold FROM h)"
+
+
+def split_events(spark: SparkSession, d: str) -> DataFrame:
+    return profiling.stratified(table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type")
+
+
+add("stratified_split", split_events, lambda df: df.select("event_id", "split"), f"{_SPLIT} SELECT event_id, split FROM s")
+add("kfold_assign", split_events, lambda df: df.select("event_id", "fold"), f"{_SPLIT} SELECT event_id, fold FROM s")
+add("split_class_counts", split_events, lambda df: df.groupBy("split", "event_type").agg(F.count(F.lit(1)).alias("count")), f"{_SPLIT} SELECT split, event_type, count(*) AS count FROM s GROUP BY 1, 2")
+add("median_impute", of("events"), lambda df: profiling.median_filled(df.select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value")), ["value"]).select("event_id", math.rounded("value", 9).alias("value")), f"WITH v AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value FROM events) SELECT event_id, {rnd('coalesce(value, (SELECT median(value) FROM v))', 9)} AS value FROM v")
+add("percentile_90", of("events"), lambda df: df.groupBy("event_type").agg(math.rounded(F.percentile("value", 0.9), 6).alias("p90")), f"SELECT event_type, {rnd('quantile_cont(value, 0.9)', 6)} AS p90 FROM events GROUP BY 1")
+add("dataset_shape", of("lineitem"), lambda df: df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns")), "SELECT count(*) AS rows, 11::BIGINT AS columns FROM lineitem")
+add(
+    "cv_means",
+    split_events,
+    lambda df: df.groupBy("event_type", "fold").agg(F.count(F.lit(1)).alias("n")).groupBy("event_type").agg(math.rounded(F.avg("n"), 6).alias("mean_rows")),
+    f"{_SPLIT} SELECT event_type, {rnd('avg(n)', 6)} AS mean_rows FROM (SELECT event_type, fold, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1",
+)
+
+# -- matching, lookups, prices -----------------------------------------------------------------------------------------------------
+
+
+@query(
+    "best_candidate",
+    """WITH q AS (SELECT p_partkey AS query_id, p_name AS q_name, CASE WHEN p_partkey % 20 = 0 THEN p_brand ELSE '' END AS q_set, CASE WHEN p_partkey % 30 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS q_number FROM part WHERE p_partkey % 10 = 0),
+ c AS (SELECT p_partkey AS id, p_name AS name, p_brand AS set_name, CAST(p_size AS VARCHAR) AS number FROM part),
+ s AS (SELECT query_id, id, name, CASE WHEN lower(trim(name)) = lower(trim(q_name)) THEN 10 WHEN contains(lower(name), lower(trim(q_name))) THEN 5 ELSE 0 END + CASE WHEN q_set = '' THEN 0 WHEN lower(set_name) = lower(q_set) THEN 6 WHEN contains(lower(set_name), lower(q_set)) THEN 3 ELSE 0 END + CASE WHEN q_number = '' THEN 0 WHEN number = q_number THEN 6 WHEN contains(number, q_number) OR contains(q_number, number) THEN 3 ELSE 0 END AS score FROM q JOIN c ON contains(lower(trim(name)), lower(trim(q_name))))
+ SELECT query_id, id, name, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1""",
+)
+def best_candidate(spark, d):
+    part = table(spark, d, "part")
+    number = F.col("p_size").cast("string")
+    asked = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q_name"), F.when(F.col("p_partkey") % 20 == 0, F.col("p_brand")).otherwise("").alias("q_set"), F.when(F.col("p_partkey") % 30 == 0, number).otherwise("").alias("q_number"))
+    return ranking.best_candidate(asked, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), number.alias("number")))
+
+
+@query(
+    "fuzzy_rank",
+    """WITH s AS (SELECT p_brand, p_partkey, p_name, p_type, 1.0::DOUBLE - levenshtein(p_type, p_name) / greatest(len(p_type), len(p_name), 1) AS sim, (SELECT count(*) FROM range(1, least(len(p_type), len(p_name)) + 1) t(k) WHERE p_type[1:k] = p_name[1:k]) AS pre FROM part)
+ SELECT p_brand, p_partkey, floor(sim * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS similarity, CAST(pre AS INT) AS prefix, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY sim DESC, pre DESC, -abs(len(p_type) - len(p_name)) DESC, p_partkey) AS INT) AS rank FROM s""",
+)
+def fuzzy_rank(spark, d):
+    return ranking.fuzzy_rank(table(spark, d, "part"), "p_type", "p_name", "p_partkey", ["p_brand"]).select("p_brand", "p_partkey", math.rounded("similarity", 6).alias("similarity"), "prefix", "rank")
+
+
+_ACC = f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')"
+add("name_normalise", of("documents"), lambda df: df.select("doc_id", text.normal_name(F.substring("text", 1, 200)).alias("name")), f"SELECT doc_id, trim(regexp_replace(regexp_replace({_ACC.replace('lower(text)', 'lower(text[1:200])')}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM documents")
+add(
+    "fallback_queries",
+    of("part"),
+    lambda df: df.select("p_partkey", F.posexplode(text.search_queries(text.normal_name("p_name"))).alias("n", "q")).select("p_partkey", "n", "q"),
+    """WITH n AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '\\s+', ' ', 'g')) AS name FROM part), w AS (SELECT *, string_split(name, ' ')[1] AS a, string_split(name, ' ')[2] AS b FROM n),
+ l AS (SELECT p_partkey, list_filter(list_concat([name, a], CASE WHEN len(a) >= 5 THEN list_transform(range(least(len(a), 14), 4, -1), lambda k: a[1:k]) ELSE [] END, CASE WHEN b IS NOT NULL THEN [a || ' ' || b] ELSE [] END), lambda q: len(q) >= 4) AS qs FROM w),
+ u AS (SELECT p_partkey, unnest(qs) AS q, unnest(range(len(qs))) AS k FROM l), f AS (SELECT p_partkey, q, min(k) AS k FROM u GROUP BY 1, 2) SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1 AS INT) AS n, q FROM f""",
+)
+add("dedupe_first", of("events"), lambda df: ranking.keep_first(df.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id"), "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+
+
+@query("union_first", "WITH u AS (SELECT 0 AS part, user_id, event_id FROM events WHERE event_type = 'click' UNION ALL SELECT 1, user_id, event_id FROM events) SELECT user_id, event_id, part FROM u QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY part, event_id) = 1")
+def union_first(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return ranking.union_first([e.where("event_type = 'click'").drop("event_type"), e.drop("event_type")], "user_id", "event_id").select("user_id", "event_id", "part")
+
+
+add("early_stop_union", of("events"), lambda df: ranking.stop_early(df.select("user_id", "event_id", F.dayofmonth("ts").alias("query")), "query", 10, ["user_id"]).select("user_id", "query", "event_id"), "WITH e AS (SELECT user_id, event_id, CAST(day(ts) AS INT) AS query FROM events), n AS (SELECT user_id, query, count(*) AS c FROM e GROUP BY 1, 2), a AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY user_id ORDER BY query ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM n) SELECT user_id, query, event_id FROM e JOIN a USING (user_id, query) WHERE ahead < 10")
+
+
+@query("dim_lookup_default", "SELECT s_suppkey, coalesce(n_name, 'gray') AS n_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON n_nationkey = s_nationkey")
+def dim_lookup_default(spark, d):
+    nation = table(spark, d, "nation").where("n_nationkey % 3 <> 0").withColumnRenamed("n_nationkey", "s_nationkey")
+    return ranking.with_default(table(spark, d, "supplier"), nation, "s_nationkey", "n_name", "gray").select("s_suppkey", "n_name")
+
+
+@query("detail_fallback", "SELECT o_orderkey, coalesce(c.c_name, 'search row') AS name, coalesce(c.c_acctbal, o_totalprice) AS amount FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON c_custkey = o_custkey")
+def detail_fallback(spark, d):
+    own = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), F.lit("search row").alias("name"), F.col("o_totalprice").alias("amount"))
+    detail = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
+    return ranking.detailed(own, detail, "id", ["name", "amount"]).select("o_orderkey", "name", "amount")
+
+
+_RATES = (("EUR", "USD", 1.25), ("EUR", "MXN", 20.5), ("EUR", "COP", 4100.0), ("USD", "EUR", 0.8))
+
+
+@query("fx_convert", f"WITH r AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)}, {c}::DOUBLE)' for a, b, c in _RATES)}) AS t(base, target, rate)) SELECT p_partkey, target, p_retailprice * rate AS value FROM part JOIN r ON base = CASE WHEN p_partkey % 2 = 0 THEN 'EUR' ELSE 'USD' END")
+def fx_convert(spark, d):
+    amounts = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("amount"), F.when(F.col("p_partkey") % 2 == 0, "EUR").otherwise("USD").alias("currency"))
+    return pricing.converted(amounts, spark.createDataFrame(_RATES, "base string, target string, rate double")).select("p_partkey", "target", "value")
+
+
+_BAND_SQL = "CASE WHEN x >= 9.5 THEN 'mint' WHEN x >= 8.5 THEN 'near_mint' WHEN x >= 7 THEN 'lightly_played' WHEN x >= 5 THEN 'moderately_played' WHEN x >= 3 THEN 'heavily_played' ELSE 'damaged' END"
+_FACTOR_SQL = "CASE band WHEN 'mint' THEN 1.0::DOUBLE WHEN 'near_mint' THEN 0.95::DOUBLE WHEN 'lightly_played' THEN 0.85::DOUBLE WHEN 'moderately_played' THEN 0.7::DOUBLE WHEN 'heavily_played' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END"
+
+
+def _prices(df: DataFrame) -> DataFrame:
+    price, key = F.col("p_retailprice"), F.col("p_partkey")
+    base = pricing.price_base([F.when(key % 3 == 0, price)], [F.when(key % 3 == 1, price), F.when(key % 5 == 0, price * 2.0)], F.when(key % 4 != 0, F.lit(20.5)))
+    d = df.withColumns(base)
+    score = 1.0 + F.pmod(key, F.lit(91)).cast("double") / 10.0
+    return d.select("p_partkey", "base_price", "base_currency", *(c.alias(n) for n, c in pricing.priced(F.col("base_price"), score, F.when(key % 7 == 0, F.lit(9.0))).items()))
+
+
+add(
+    "price_strategy",
+    of("part"),
+    _prices,
+    f"WITH q AS (SELECT p_partkey, 1.0::DOUBLE + (p_partkey % 91)::DOUBLE / 10.0::DOUBLE AS x, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS usd, coalesce(CASE WHEN p_partkey % 3 = 1 THEN p_retailprice END, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice * 2 END) AS eur, CASE WHEN p_partkey % 4 <> 0 THEN 20.5::DOUBLE END AS rate FROM part), b AS (SELECT *, coalesce(usd, eur * rate, eur) AS base_price, CASE WHEN usd IS NOT NULL THEN 'USD' WHEN eur * rate IS NOT NULL THEN 'MXN' WHEN eur IS NOT NULL THEN 'EUR' END AS base_currency, {_BAND_SQL} AS band FROM q), s AS (SELECT *, coalesce(CASE WHEN p_partkey % 7 = 0 THEN 9.0::DOUBLE END, base_price * {_FACTOR_SQL}) AS sale_price FROM b) SELECT p_partkey, base_price, base_currency, band, sale_price, sale_price * 0.75::DOUBLE AS buy_price FROM s",
+)
+add("condition_band", scored, lambda df: df.groupBy(rules.condition_band("s_edge").alias("band")).agg(F.count(F.lit(1)).alias("count")), f"{SCORED_SQL}, f AS (SELECT s_edge AS x FROM scored) SELECT {_BAND_SQL} AS band, count(*) AS count FROM f GROUP BY 1")
+
+
+@query("anti_banned", "SELECT p_partkey, p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey % 100 = 0)")
+def anti_banned(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_brand")
+    return part.join(part.where("p_partkey % 100 = 0").select("p_brand").distinct(), "p_brand", "left_anti").select("p_partkey", "p_brand")
+
+
+@query("union_missing_columns", "SELECT event_id AS id, event_type, NULL::VARCHAR AS status FROM events UNION ALL SELECT o_orderkey, NULL, o_orderstatus FROM orders")
+def union_missing_columns(spark, d):
+    a = table(spark, d, "events").select(F.col("event_id").alias("id"), "event_type")
+    return a.unionByName(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), allowMissingColumns=True)
+
+
+@query("model_ranking", "SELECT 'forest' AS model, 0.91::DOUBLE AS f1")
+def model_ranking(spark, d):
+    rows = spark.createDataFrame([("linear", 0.85, 0.80, 0.9), ("forest", 0.91, 0.90, 0.91), ("boosting", 0.91, 0.89, 0.95)], "model string, f1 double, recall double, precision double")
+    return rows.orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision")).limit(1).select("model", "f1")
+
+
+add("ttl_filter", of("events"), lambda df: pricing.live_rates(df.select("event_id", F.col("ts").alias("fetched_at")), F.lit("2024-01-10 00:00:00").cast("timestamp")).select("event_id"), "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 6 HOURS")
+add(
+    "variant_pick",
+    of("part"),
+    lambda df: df.select("p_partkey", ranking.richest_variant(F.create_map(F.lit("holo"), F.create_map(F.lit("a"), F.when(F.col("p_partkey") % 2 == 0, 1.0), F.lit("b"), F.when(F.col("p_partkey") % 3 == 0, 1.0)), F.lit("plain"), F.create_map(F.lit("a"), F.when(F.col("p_partkey") % 5 == 0, 1.0), F.lit("b"), F.lit(2.0))), ["plain", "holo", "foil"]).alias("variant")),
+    "SELECT p_partkey, CASE WHEN (p_partkey % 2 = 0)::INT + (p_partkey % 3 = 0)::INT > 1 + (p_partkey % 5 = 0)::INT THEN 'holo' ELSE 'plain' END AS variant FROM part",
+)
+add(
+    "json_fields",
+    of("events"),
+    lambda df: df.select("event_id", text.field(text.json_object(F.concat(F.lit("```json "), F.col("props"), F.lit(" ```"))), "$.absent", "$.k").alias("k"), text.safe_confidence(F.concat(F.lit(""), (F.col("event_id") % 3 - 0.5).cast("string"))).alias("confidence")),
+    "SELECT event_id, json_extract_string(props, '$.k') AS k, least(greatest((event_id % 3)::DOUBLE - 0.5::DOUBLE, 0::DOUBLE), 1::DOUBLE) AS confidence FROM events",
+)
+
+# -- profiles as arrays --------------------------------------------------------------------------------------------------------------
+_MEAN, _STD = "list_sum(p) / len(p)", "sqrt(list_sum(list_transform(p, lambda x: (x - m) * (x - m))) / len(p))"
+_P = f"WITH {PROFILES_SQL}, a AS (SELECT vec_id, p, {_MEAN} AS m FROM profiles), b AS (SELECT *, {_STD} AS s FROM a)"
+_MA = "list_transform(range(1, len(p) + 1), lambda k: list_sum(p[greatest(k - 5, 1):least(k + 5, len(p))]) / 11.0::DOUBLE)"
+add("profile_stats", profiles, lambda df: df.select("vec_id", F.array_min("p").alias("least"), F.array_max("p").alias("most"), math.rounded(arrays.mean("p"), 6).alias("mean"), math.rounded(arrays.deviation("p"), 6).alias("std")), f"{_P} SELECT vec_id, list_min(p) AS least, list_max(p) AS most, {rnd('m', 6)} AS mean, {rnd('s', 6)} AS std FROM b")
+add("profile_argmax", profiles, lambda df: df.select("vec_id", arrays.argmax("p").cast("bigint").alias("top"), arrays.argmin("p").cast("bigint").alias("bottom"), arrays.window_peak("p", 0.25, 0.75).alias("peak")), f"{_P} SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS BIGINT) AS top, CAST(list_position(p, list_min(p)) - 1 AS BIGINT) AS bottom, list_max(p[17:48]) AS peak FROM b")
+add("profile_above_threshold", profiles, lambda df: df.select("vec_id", arrays.share_above("p", arrays.adaptive_limit("p", 0.05, 1.2)).alias("share")), f"{_P} SELECT vec_id, len(list_filter(p, lambda x: x > greatest(0.05::DOUBLE, m + 1.2::DOUBLE * s))) / len(p) AS share FROM b")
+add("profile_moving_avg", profiles, lambda df: df.select("vec_id", math.rounded(arrays.total(F.transform(arrays.moving_average("p"), lambda x: F.abs(x))), 5).alias("size")), f"{_P} SELECT vec_id, {rnd(f'list_sum(list_transform({_MA}, lambda x: abs(x)))', 5)} AS size FROM b")
+add("profile_roughness", profiles, lambda df: df.select("vec_id", math.rounded(arrays.deviation(arrays.differences("p")), 5).alias("roughness")), f"WITH {PROFILES_SQL}, d AS (SELECT vec_id, list_transform(range(2, len(p) + 1), lambda k: p[k] - p[k - 1]) AS p FROM profiles), a AS (SELECT *, {_MEAN} AS m FROM d) SELECT vec_id, {rnd(_STD, 5)} AS roughness FROM a")
+add("profile_residual", profiles, lambda df: df.select("vec_id", math.rounded(arrays.total(arrays.residual("p")), 5).alias("residual")), f"{_P}, r AS (SELECT vec_id, p, {_MA} AS q FROM b) SELECT vec_id, {rnd('list_sum(list_transform(range(1, len(p) + 1), lambda k: abs(p[k] - q[k])))', 5)} AS residual FROM r")
+add(
+    "longest_run",
+    profiles,
+    lambda df: df.select("vec_id", arrays.longest_run("p", 0.02).cast("bigint").alias("longest")),
+    f"WITH {PROFILES_SQL}, e AS (SELECT vec_id, unnest(p) AS x, unnest(range(len(p))) AS k FROM profiles), g AS (SELECT vec_id, k - row_number() OVER (PARTITION BY vec_id ORDER BY k) AS island FROM e WHERE x > 0.02), n AS (SELECT vec_id, max(c) AS longest FROM (SELECT vec_id, island, count(*) AS c FROM g GROUP BY 1, 2) GROUP BY 1) SELECT vec_id, coalesce(longest, 0) AS longest FROM profiles LEFT JOIN n USING (vec_id)",
+)
+
+
+# -- boxes and quads -------------------------------------------------------------------------------------------------------------------
+def _boxes(df: DataFrame) -> DataFrame:
+    q, p, s = F.col("l_quantity"), (F.col("l_partkey") % 40).cast("double"), (F.col("l_suppkey") % 30).cast("double")
+    a, b = (F.lit(0.0), F.lit(0.0), q, q + 10.0), (p, s, p + 20.0, s + 25.0)
+    x, y = math.centre(b)
+    return df.select(*KEYS, math.rounded(math.iou(a, b), 6).alias("iou"), x.alias("cx"), y.alias("cy"), math.rounded(math.box_area(math.clip_box(math.expand_box(b, 0.1), 50, 50)), 6).alias("clipped"))
+
+
+_AREA = "greatest(0::DOUBLE, {2} - {0}) * greatest(0::DOUBLE, {3} - {1})"
+_CUT = _AREA.format("greatest(0::DOUBLE, p)", "greatest(0::DOUBLE, s)", "least(q, p + 20::DOUBLE)", "least(q + 10::DOUBLE, s + 25::DOUBLE)")
+_CLIP = _AREA.format(*(f"least(greatest({v}, 0::DOUBLE), 50::DOUBLE)" for v in ("(p - ((p + 20::DOUBLE) - p) * 0.1::DOUBLE)", "(s - ((s + 25::DOUBLE) - s) * 0.1::DOUBLE)", "(p + 20::DOUBLE + ((p + 20::DOUBLE) - p) * 0.1::DOUBLE)", "(s + 25::DOUBLE + ((s + 25::DOUBLE) - s) * 0.1::DOUBLE)")))
+_BOX = "WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, (l_partkey % 40)::DOUBLE AS p, (l_suppkey % 30)::DOUBLE AS s FROM lineitem)"
+add("bbox_iou", of("lineitem"), _boxes, f"{_BOX}, c AS (SELECT *, {_CUT} AS i FROM b) SELECT {K}, {rnd('CASE WHEN abs(q * (q + 10::DOUBLE) + 20::DOUBLE * 25::DOUBLE - i) <= 1e-6 THEN 0 ELSE i / (q * (q + 10::DOUBLE) + 20::DOUBLE * 25::DOUBLE - i) END', 6)} AS iou, (p + (p + 20::DOUBLE)) / 2::DOUBLE AS cx, (s + (s + 25::DOUBLE)) / 2::DOUBLE AS cy, {rnd(_CLIP, 6)} AS clipped FROM c")
+
+
+def _quads(df: DataFrame) -> DataFrame:
+    q, p, s = F.col("l_quantity"), (F.col("l_partkey") % 10).cast("double"), (F.col("l_suppkey") % 8).cast("double")
+    quad = ((F.lit(0.0), F.lit(0.0)), (q + 60.0, p), (q + 55.0 + s, 90.0 + p), (s, F.lit(95.0)))
+    point = F.array(*(F.struct(math.num(x).alias("x"), math.num(y).alias("y")) for x, y in (quad[2], quad[0], quad[3], quad[1])))
+    return df.select(*KEYS, math.rounded(math.quad_area(quad), 6).alias("area"), math.rounded(math.quad_aspect(quad), 6).alias("aspect"), math.rounded(math.corner_angle(quad[3], quad[0], quad[1]), 4).alias("angle"), F.element_at(math.ordered_points(point), 2)["x"].alias("tr_x"), math.rounded(math.line_angle_gap(q * 7.0, p * 30.0), 6).alias("gap"))
+
+
+_Q = "WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity AS q, (l_partkey % 10)::DOUBLE AS p, (l_suppkey % 8)::DOUBLE AS s FROM lineitem), c AS (SELECT *, 0::DOUBLE AS x1, 0::DOUBLE AS y1, q + 60 AS x2, p AS y2, q + 55 + s AS x3, 90 + p AS y3, s AS x4, 95::DOUBLE AS y4 FROM b)"
+_D = "sqrt(({0} - {2}) * ({0} - {2}) + ({1} - {3}) * ({1} - {3}))"
+_SIDES = [_D.format(*x) for x in (("x1", "y1", "x2", "y2"), ("x2", "y2", "x3", "y3"), ("x3", "y3", "x4", "y4"), ("x4", "y4", "x1", "y1"))]
+add(
+    "quad_metrics",
+    of("lineitem"),
+    _quads,
+    f"{_Q} SELECT {K}, {rnd('abs(x1 * y2 - x2 * y1 + (x2 * y3 - x3 * y2) + (x3 * y4 - x4 * y3) + (x4 * y1 - x1 * y4)) / 2', 6)} AS area, {rnd(f'greatest(1, ({_SIDES[0]} + {_SIDES[2]}) / 2) / greatest(1, ({_SIDES[1]} + {_SIDES[3]}) / 2)', 6)} AS aspect, {rnd('degrees(acos((x4 * x2 + y4 * y2) / (sqrt(x4 * x4 + y4 * y4) * sqrt(x2 * x2 + y2 * y2))))', 4)} AS angle, x2 AS tr_x, {rnd('least(abs(q * 7 - p * 30) % 180, 180 - abs(q * 7 - p * 30) % 180)', 6)} AS gap FROM c",
+)
