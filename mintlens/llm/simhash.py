@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, same, stored
+from .common import cut, free_name, same, stored
 from .graph import components
 
 #: Words in a shingle, seed of its hash, most bits by which linked fingerprints differ.
 SHINGLE_WORDS, HASH_SEED, RADIUS = 3, 42, 2
 #: Fingerprints in the largest tile that is compared as one; rows of numpy work at once; hashes counted at once.
 TILE_ROWS, CHUNK_ROWS, HASH_CHUNK = 2048, 256, 1 << 15
+#: Removal of near-duplicates: words in a shingle, least similarity, bits and tiles of the search, least hashes to compare by.
+NEAR_WORDS, NEAR_LEAST, NEAR_RADIUS, NEAR_TILE_ROWS, MIN_HASHES = 5, 0.8, 12, 16_384, 16
 
 
 def fingerprint(text: bytes | None, words_per: int = SHINGLE_WORDS) -> int:
@@ -131,31 +133,35 @@ def _links(radius: int, small: int = 64):
     return run
 
 
-def units(f: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """(unit, side, f) of the distinct fingerprints in ``f``: every pair that may link is in one unit at least."""
+def block_rows(f: DataFrame, radius: int) -> DataFrame:
+    """f, block, value and pos (the population count): a row for each of radius + 1 blocks of bits."""
     blocks, at, cells = radius + 1, 0, []
     for k in range(blocks):
         width = 64 * (k + 1) // blocks - at
         cells.append(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("f", at).bitwiseAND((1 << width) - 1).alias("value")))
         at += width
-    rows = f.select("f", F.bit_count("f").alias("pop"), F.explode(F.array(*cells)).alias("c")).select("f", "pop", "c.*")
+    return f.select("f", F.bit_count("f").alias("pos"), F.explode(F.array(*cells)).alias("c")).select("f", "c.*", "pos")
+
+
+def units(rows: DataFrame, reach: int, tile_rows: int) -> DataFrame:
+    """(unit, side, f): any two rows of one (block, value) whose pos differ by ``reach`` at most share a unit at least."""
     key = ["block", "value"]
     sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(rows.join(sizes, key))  # alone in each of its tiles, a fingerprint links to none
     whole = shared.where(F.col("n") <= tile_rows).select(F.xxhash64(*key).alias("unit"), F.lit(0).alias("side"), "f")
 
-    # large tiles: where a population count's rows begin and end along the order, in sub-tiles
-    by_pop = shared.where(F.col("n") > tile_rows).groupBy(*key, "pop").agg(F.count(F.lit(1)).alias("m"))
-    tile = by_pop.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pop", "m"))).alias("pops"))  # 65 entries at most
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<pop:int,lo:bigint,m:bigint>>").alias("all"))
-    run = F.aggregate("pops", zero, lambda s, x: F.struct((s["at"] + x["m"]).alias("at"), F.concat(s["all"], F.array(F.struct(x["pop"].cast("int").alias("pop"), s["at"].alias("lo"), x["m"].alias("m")))).alias("all")))
-    tile = tile.select(*key, run["all"].alias("pops"))
+    # large tiles: where the rows of one pos begin and end along the order, in sub-tiles
+    by_pos = shared.where(F.col("n") > tile_rows).groupBy(*key, "pos").agg(F.count(F.lit(1)).alias("m"))
+    tile = by_pos.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("all"))  # an entry for each pos, 65 at most
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<pos:int,lo:bigint,m:bigint>>").alias("all"))
+    run = F.aggregate("all", zero, lambda s, x: F.struct((s["at"] + x["m"]).alias("at"), F.concat(s["all"], F.array(F.struct(x["pos"].cast("int").alias("pos"), s["at"].alias("lo"), x["m"].alias("m")))).alias("all")))
+    tile = tile.select(*key, run["all"].alias("all"))
     split = shared.where(F.col("n") > tile_rows).join(tile, key)
-    own = F.element_at(F.filter("pops", lambda x: x["pop"] == F.col("pop")), 1)
-    # rows of one population count spread over its part of the order by their hash
+    own = F.element_at(F.filter("all", lambda x: x["pos"] == F.col("pos")), 1)
+    # rows of one pos spread over its part of the order by their hash
     spread = F.pmod(F.xxhash64("f"), own["m"])
     split = split.withColumn("t", F.floor((own["lo"] + spread) / tile_rows).cast("bigint"))
-    near = F.filter("pops", lambda x: F.abs(x["pop"] - F.col("pop")) <= radius)
+    near = F.filter("all", lambda x: F.abs(x["pos"] - F.col("pos")) <= reach)
     first = F.floor(F.element_at(near, 1)["lo"] / tile_rows).cast("bigint")
     last = F.floor((F.element_at(near, -1)["lo"] + F.element_at(near, -1)["m"] - 1) / tile_rows).cast("bigint")
     split = split.select(*key, "f", "t", F.explode(F.sequence(F.least(first, "t"), F.greatest(last, "t"))).alias("u"))
@@ -163,10 +169,15 @@ def units(f: DataFrame, radius: int, tile_rows: int) -> DataFrame:
     return whole.union(split)
 
 
+def forest(dealt: DataFrame, radius: int) -> DataFrame:
+    """(node, root) of the fingerprints that reach another one by links within the units."""
+    ordered = dealt.repartition("unit").sortWithinPartitions("unit")
+    return components(ordered.mapInArrow(_links(radius), "a bigint, b bigint"))
+
+
 def linked(f: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(node, root) of the distinct fingerprints in column f that reach another one by links of ``radius`` bits."""
-    dealt = units(f, radius, tile_rows).repartition("unit").sortWithinPartitions("unit")
-    return components(dealt.mapInArrow(_links(radius), "a bigint, b bigint"))
+    return forest(units(block_rows(f, radius), radius, tile_rows), radius)
 
 
 def grouped(digests: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -189,24 +200,87 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedupe(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row of the smallest doc_id stays.
+# -- removal of near-duplicates ------------------------------------------------------------------------------------------------
+# Near copies of 0.8 similarity differ in more bits than a few, so here the radius is wide and every link is verified.
+
+
+def shingles(text: bytes | None, words_per: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; of all words if there are fewer, none if there are none."""
+    words = (text or b"").lower().split()
+    parts = zip(*(words[k:] for k in range(words_per)), strict=False) if len(words) >= words_per else [words] if words else []
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(p), HASH_SEED) for p in parts), np.uint64))
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [t.as_py() for t in b.column("text")]
+        f = np.array([fingerprint(t, NEAR_WORDS) for t in texts], np.uint64).view(np.int64)
+        n = [len({*zip(*(w[k:] for k in range(NEAR_WORDS)), strict=False)}) or int(bool(w)) for w in ((t or b"").lower().split() for t in texts)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(f), pa.array(n, pa.int64())], ["doc_id", "mark", "f", "n"])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    salts = np.random.default_rng(HASH_SEED).integers(1, 1 << 63, MIN_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+    for b in batches:
+        sets = [shingles(t.as_py(), NEAR_WORDS) for t in b.column("text")]
+        least = [((s[:, None] * salts) ^ (s[:, None] >> np.uint64(29))).min(axis=0).view(np.int64) for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("mark"), b.column("root"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["mark", "root", "s", "least"])
+
 
-    Among rows that share that id the one of the smallest text hash stays, and rows that agree in id and text stay
-    once.  A null id stays only where the component has no other.  Columns are as in ``docs``.
+def verified(docs: DataFrame, digests: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """(node, root) over the text marks of ``digests`` that reach another one by links of true similarity.
+
+    SimHash at ``radius`` bits, between texts whose numbers of shingles allow the similarity, gives coarse groups.
+    Within those, texts that share one of MIN_HASHES least hashes are compared with one of the texts that have it: a
+    number of pairs in proportion to the texts.  Only pairs whose sets of shingles have a Jaccard similarity of
+    NEAR_LEAST or more link.
     """
-    d = cut(fingerprints(docs))
-    rows = d.groupBy("doc_id", "mark", "f").agg(F.count(F.lit(1)).alias("n")).join(grouped(d, radius, tile_rows).withColumnRenamed("component_id", "c"), "f")
-    # components without any id are told apart by their fingerprint's root only; they then keep a row each
+    texts = digests.where("n > 0").groupBy("mark", "f", "n").agg(F.min("doc_id").alias("doc_id"))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / NEAR_LEAST))).cast("int")
+    cells = texts.select("f", F.lit(0).alias("block"), F.lit(0).alias("value"), band.alias("pos")).distinct()
+    coarse = forest(units(cells, 1, tile_rows), radius).withColumnRenamed("node", "f")
+    # one fingerprint may stand for several texts
+    several = texts.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1").join(coarse, "f", "left_anti").select("f", F.col("f").alias("root"))
+    members = stored(texts.join(coarse.union(several), "f").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "root"))
+    seen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    whole = seen.join(members, same(seen, members, {"doc_id": "__id", "mark": "__mark"})).select("mark", "root", "text")
+    sketch = cut(whole.mapInArrow(_sketched, "mark bigint, root bigint, s array<bigint>, least array<bigint>").dropDuplicates(["mark"]))
+    keys = sketch.select("mark", "root", F.posexplode("least").alias("k", "least"))
+    # each k has another first text, so that few groups hang on one text that is like none of the others
+    firsts = keys.groupBy("root", "k", "least").agg(F.min_by("mark", F.xxhash64("k", "mark")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = keys.join(firsts, ["root", "k", "least"]).where("mark <> first").select("mark", "first").distinct()
+    both = pairs.join(sketch.select("mark", "s"), "mark").join(sketch.select(F.col("mark").alias("first"), F.col("s").alias("t")), "first")
+    common = F.size(F.array_intersect("s", "t"))
+    close = both.where(common >= NEAR_LEAST * (F.size("s") + F.size("t") - common) - 1e-9)
+    return components(close.select(F.col("mark").alias("a"), F.col("first").alias("b")))
+
+
+def dedupe(docs: DataFrame, radius: int = NEAR_RADIUS, tile_rows: int = NEAR_TILE_ROWS) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates; columns as they were.
+
+    Texts link if their sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR_LEAST or more (candidates
+    come from SimHash, see ``verified``); texts without words, nulls among them, are all alike.  Of each group of
+    reachable texts the row of the smallest doc_id stays; among rows that share that id the one of the smallest text
+    hash; rows that agree in id and text stay once.  A null id stays only where the group has no other.  An empty
+    table gives an empty result.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    d = cut(rows.mapInArrow(_measured, "doc_id bigint, mark bigint, f bigint, n bigint"))
+    reach = verified(docs, d, radius, tile_rows).withColumnRenamed("node", "mark")
+    grouped_rows = d.join(reach, "mark", "left").withColumn("g", F.when(F.col("n") == 0, 0).otherwise(F.coalesce("root", "mark")))
     rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")
-    best = rows.groupBy("c", F.when(F.col("c").isNull(), F.col("f")).alias("g")).agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__mark"))
-    marked = rows.join(best, rows["doc_id"].eqNullSafe(best["__id"]) & rows["mark"].eqNullSafe(best["__mark"]), "left")
-    verdict = stored(marked.select("doc_id", "mark", "n", F.col("__mark").isNotNull().alias("kept")))
-    drop = stored(verdict.where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct())
-    once = stored(verdict.where("kept and n > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct())
-    seen = docs.withColumn("__text", F.xxhash64("text"))
-    rest = seen.join(drop, same(seen, drop, {"doc_id": "__id", "__text": "__mark"}), "left_anti")
+    best = grouped_rows.groupBy("g").agg(F.min(rank).alias("r")).select(F.col("g").alias("__g"), F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__mark"))
+    counted = grouped_rows.groupBy("g", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+    verdict = counted.join(best, counted["g"] == best["__g"])
+    kept = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("mark").eqNullSafe(F.col("__mark"))
+    verdict = stored(verdict.select("doc_id", "mark", "rows", kept.alias("kept")))
+    drop = stored(verdict.where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    once = stored(verdict.where("kept and rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    text = free_name(docs, "mark")
+    seen = docs.withColumn(text, F.xxhash64("text"))
+    rest = seen.join(drop, same(seen, drop, {"doc_id": "__id", text: "__mark"}), "left_anti")
     if not once.isEmpty():
-        on = same(rest, once, {"doc_id": "__id", "__text": "__mark"})
-        rest = rest.join(once, on, "left_anti").unionByName(rest.join(once, on, "left_semi").dropDuplicates(["doc_id", "__text"]))
-    return rest.drop("__text")
+        on = same(rest, once, {"doc_id": "__id", text: "__mark"})
+        rest = rest.join(once, on, "left_anti").unionByName(rest.join(once, on, "left_semi").dropDuplicates(["doc_id", text]))
+    return rest.drop(text)
