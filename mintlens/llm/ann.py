@@ -72,8 +72,19 @@ def stacked(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no cosine and keeps squares of very small or large components finite."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=-1, keepdims=True))[1])
+
+
+def units(m: np.ndarray) -> np.ndarray:
+    m = scaled(m)
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosine of one vector with each row, in double precision and the same for equal rows wherever they stand."""
+    query, rows = scaled(query), scaled(rows)
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
@@ -83,7 +94,7 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
     Equal scores go to the smaller id.  A row that repeats an id counts once.
     """
     out: list[tuple[np.ndarray, ...]] = []
-    near = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (rows / np.linalg.norm(rows, axis=1)[:, None]).T
+    near = units(queries) @ units(rows).T
     for n in range(len(queries)):
         s = near[n]
         c = np.flatnonzero((s >= floor[n] - SLACK) & (ids != query_ids[n]))
@@ -113,9 +124,7 @@ def keyed(rows: DataFrame) -> DataFrame:
             keys = np.zeros((b.num_rows, CURVES), np.int64)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                m = stacked(b.column("v").take(pa.array(at)))
-                m = m / np.abs(m).max(axis=1)[:, None]
-                m /= np.linalg.norm(m, axis=1)[:, None]
+                m = units(stacked(b.column("v").take(pa.array(at))))
                 keys[at] = np.stack([curve_keys(m, c) for c in range(CURVES)], axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys.tolist(), pa.list_(pa.int64()))], [*b.schema.names, "keys"])
 
@@ -180,7 +189,7 @@ def _blocks(every: int):
 
         part = TaskContext.get().partitionId()
         for n, (ids, m) in enumerate(chunks(batches, BLOCK_ROWS)):
-            unit = m / np.linalg.norm(m, axis=1)[:, None]
+            unit = units(m)
             q = ids % every == 0
             tell = []
             for rows in (unit, unit[q]):
