@@ -24,10 +24,14 @@ def plain(x) -> Column:
     return F.translate(F.lower(_s(x)), ACCENTED, PLAIN)
 
 
-@F.pandas_udf("string")
-def plain_exact(x: pd.Series) -> pd.Series:
+def plain_exact(x) -> Column:
     """Compatibility decomposition without combining marks, in lower case."""
-    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
+
+    return run(x)
 
 
 def normal_name(x, exact: bool = False) -> Column:
@@ -61,10 +65,14 @@ def edit_similarity(a, b) -> Column:
     return 1.0 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b), F.lit(1))
 
 
-@F.pandas_udf("double")
-def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_similarity(a, b) -> Column:
     """Twice the matched characters over all characters, by longest matching blocks; not symmetric."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return run(a, b)
 
 
 def search_queries(name) -> Column:

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-#: Orderings, directions of each, bits a direction, rows in a key window, rows in a range partition and in a block of it.
-CURVES, DIRECTIONS, BITS, WINDOW, RANGE_ROWS, BLOCK_ROWS = 4, 6, 8, 256, 16_384, 4096
+#: Orderings, directions of each, bits a direction, rows in a key window, rows in a range partition and in a block of it, queries in a block.
+CURVES, DIRECTIONS, BITS, WINDOW, RANGE_ROWS, BLOCK_ROWS, QUERY_ROWS = 4, 6, 8, 256, 16_384, 4096, 1024
 SEED = 42
 #: Products in another order may differ by this much, so what is near the k-th score is computed again term by term.
 SLACK = 1e-9
@@ -181,29 +181,20 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.nd
         yield ids, m
 
 
-def _blocks(every: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with their block; the block's first row also tells its centre and the cosine of its radius, for queries and for all rows."""
-        part = -1
-        from pyspark import TaskContext
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their block; the block's first row also tells its centre and the cosine of its angular radius."""
+    from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        for n, (ids, m) in enumerate(chunks(batches, BLOCK_ROWS)):
-            unit = units(m)
-            q = ids % every == 0
-            tell = []
-            for rows in (unit, unit[q]):
-                c = rows.sum(axis=0) if len(rows) else np.ones(m.shape[1])
-                c = c / norm if (norm := np.linalg.norm(c)) > 1e-12 else np.eye(m.shape[1])[0]
-                tell.append((c, float((rows @ c).min()) if len(rows) else 2.0))
-            size = len(ids)
-            first = [True] + [False] * (size - 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(list(m), pa.list_(pa.float64())), pa.array(np.full(size, m.shape[1], np.int32)), pa.array(np.full(size, part << 24 | n, np.int64)), *(pa.array([tell[j][0].tolist() if f else None for f in first], pa.list_(pa.float64())) if i == 0 else pa.array([tell[j][1] if f else None for f in first], pa.float64()) for j in (0, 1) for i in (0, 1))],
-                ["vec_id", "v", "dim", "block", "centre", "radius", "q_centre", "q_radius"],
-            )
-
-    return run
+    part = TaskContext.get().partitionId()
+    for n, (ids, m) in enumerate(chunks(batches, BLOCK_ROWS)):
+        unit = units(m)
+        c = unit.sum(axis=0)
+        c = c / norm if (norm := np.linalg.norm(c)) > 1e-12 else np.eye(m.shape[1])[0]
+        rest = [None] * (len(ids) - 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(list(m), pa.list_(pa.float64())), pa.array(np.full(len(ids), m.shape[1], np.int32)), pa.array(np.full(len(ids), part << 24 | n, np.int64)), pa.array([c.tolist(), *rest], pa.list_(pa.float64())), pa.array([float((unit @ c).min()), *rest], pa.float64())],
+            ["vec_id", "v", "dim", "block", "centre", "radius"],
+        )
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding", exact: bool = True) -> DataFrame:
@@ -227,17 +218,24 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     if not exact:
         return ranked(top)
 
-    block = "vec_id bigint, v array<double>, dim int, block bigint, centre array<double>, radius double, q_centre array<double>, q_radius double"
+    block = "vec_id bigint, v array<double>, dim int, block bigint, centre array<double>, radius double"
     along = rows.select("vec_id", "v", "dim", F.col("keys")[0].alias("at")).repartitionByRange(parts, "dim", "at", "vec_id").sortWithinPartitions("dim", "at", "vec_id").drop("at")
-    dealt = cut(along.mapInArrow(_blocks(every), block))
+    dealt = cut(along.mapInArrow(_blocks, block))
     # the k-th score so far; queries that have fewer than k may need any block
     floor = top.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-2.0).alias("floor"))
-    queries = dealt.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "dim", "block").join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    queries = cut(queries)
-    q_blocks = dealt.where(F.col("centre").isNotNull() & (F.col("q_radius") <= 1)).select(F.col("block").alias("q_block"), F.col("dim").alias("q_dim"), "q_centre", "q_radius").join(queries.groupBy(F.col("block").alias("q_block")).agg(F.min("floor").alias("floor")), "q_block")
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", "dim", F.col("keys")[0].alias("at"))
+    queries = cut(query_blocks(queries).join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))))
+
+    def summary(q: pd.DataFrame) -> pd.DataFrame:
+        m = units(np.stack(q["v"]))
+        c = m.sum(axis=0)
+        c = c / norm if (norm := np.linalg.norm(c)) > 1e-12 else np.eye(m.shape[1])[0]
+        return pd.DataFrame({"q_block": [q["q_block"].iloc[0]], "q_dim": [q["dim"].iloc[0]], "q_centre": [c.tolist()], "q_radius": [float((m @ c).min())], "floor": [q["floor"].min()]})
+
+    q_blocks = queries.groupBy("q_block").applyInPandas(summary, "q_block bigint, q_dim int, q_centre array<double>, q_radius double, floor double")
     pairs = cut(_open_pairs(dealt.where(F.col("centre").isNotNull()).select("block", "dim", "centre", "radius"), q_blocks))
     data = dealt.select(F.col("vec_id").alias("d_id"), F.col("v").alias("d_v"), "block").join(pairs, "block").select(F.col("q_block").alias("d_q"), F.col("block").alias("d_b"), "d_id", "d_v")
-    asked = queries.select("query_id", F.col("v").alias("q_v"), "floor", F.col("block").alias("q_block")).join(pairs, "q_block")
+    asked = queries.select("query_id", F.col("v").alias("q_v"), "floor", "q_block").join(pairs, "q_block")
 
     def search(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
@@ -249,6 +247,19 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id"
     return ranked(tops(top.union(more), k))
 
 
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """``queries`` with q_block: neighbours along the curve, QUERY_ROWS of them in the mean, by the leading bits of their keys.
+
+    Cells that hold more, say copies of one vector, are cut further by the hash of the id.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
+    bits = (blocks - 1).bit_length()
+    q = queries.withColumn("cell", F.shiftright("at", BITS * DIRECTIONS - bits))
+    sizes = q.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("cuts"))
+    q = q.join(sizes, ["dim", "cell"])
+    return q.select("query_id", "v", "dim", F.xxhash64("dim", "cell", F.pmod(F.xxhash64("query_id"), "cuts")).alias("q_block"))
+
+
 def _open_pairs(blocks: DataFrame, q_blocks: DataFrame) -> DataFrame:
     """(q_block, block): blocks of queries and of rows between which some angle may be small enough.
 

@@ -21,16 +21,19 @@ CONDITION_WEIGHTS = {
 PARTS = ("preliminary", "centering", "edge", "corner", "surface")
 
 
-@F.pandas_udf("double")
-def _python_round(x: pd.Series, digits: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(v) else round(v, int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")
+def _python_round(x: Column, digits: int) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if pd.isna(v) else round(v, digits)).astype("float64")
+
+    return run(x)
 
 
 def shown(x: Column, digits: int | None, rounding: str = "floor") -> Column:
     """``rounding="python"`` rounds halves of the exact binary value to even, as Python does, in a pandas function."""
     if digits is None:
         return x
-    return _python_round(x, F.lit(digits)) if rounding == "python" else rounded(x, digits)
+    return _python_round(x, digits) if rounding == "python" else rounded(x, digits)
 
 
 def ten(share) -> Column:

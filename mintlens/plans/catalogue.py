@@ -488,3 +488,67 @@ add(
     _quads,
     f"{_Q} SELECT {K}, {rnd('abs(x1 * y2 - x2 * y1 + (x2 * y3 - x3 * y2) + (x3 * y4 - x4 * y3) + (x4 * y1 - x1 * y4)) / 2', 6)} AS area, {rnd(f'greatest(1, ({_SIDES[0]} + {_SIDES[2]}) / 2) / greatest(1, ({_SIDES[1]} + {_SIDES[3]}) / 2)', 6)} AS aspect, {rnd('degrees(acos((x4 * x2 + y4 * y2) / (sqrt(x4 * x4 + y4 * y4) * sqrt(x2 * x2 + y2 * y2))))', 4)} AS angle, x2 AS tr_x, {rnd('least(abs(q * 7 - p * 30) % 180, 180 - abs(q * 7 - p * 30) % 180)', 6)} AS gap FROM c",
 )
+
+
+# -- images and models: no SQL can follow these -----------------------------------------------------------------------------------------
+def drawn_images(spark: SparkSession, d: str) -> DataFrame:
+    """A drawn card for each region: no photographs are at hand."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key in b["r_regionkey"]:
+                y, x = np.mgrid[:420, :320]
+                a = np.deg2rad(2.0 * key)
+                u, v = (x - 160) * np.cos(a) + (y - 210) * np.sin(a), (y - 210) * np.cos(a) - (x - 160) * np.sin(a)
+                image = np.full((420, 320, 3), 25 + 5 * key, np.uint8)
+                image[(abs(u) <= 107) & (abs(v) <= 150)] = (225, 220, 215)
+                image[(abs(u) <= 92) & (abs(v) <= 135)] = (140, 150 + 10 * key, 190)
+                rows.append((f"/raw/{'damaged' if key % 2 else 'clean'}/{key}.png", 420, 320, 3, image.tobytes()))
+            yield pd.DataFrame(rows, columns=["path", "height", "width", "nChannels", "data"])
+
+    from ..sources.images import with_names
+
+    drawn = table(spark, d, "region").select("r_regionkey").mapInPandas(draw, "path string, height int, width int, nChannels int, data binary")
+    return with_names(drawn, "/raw")
+
+
+@query("image_features")
+def image_features(spark, d):
+    from ..operators.images import dataset
+
+    return dataset(drawn_images(spark, d)).drop("run_timestamp")
+
+
+@query("detect_warp")
+def detect_warp(spark, d):
+    from ..operators.images import measured
+
+    return measured(drawn_images(spark, d)).select("origin", "stage", "detection.*", "postwarp.rectified_aspect_ratio")
+
+
+@query("train_predict")
+def train_predict(spark, d):
+    from ..operators import modelling
+
+    rows = split_events(spark, d).join(table(spark, d, "events").select("event_id", "value", "user_id"), "event_id").withColumns({"target_damaged": (F.col("event_type") == "click").cast("int"), "user_id": F.col("user_id").cast("double")})
+    model = modelling.pipeline("linear", ["value", "user_id"], maxIter=20).fit(rows.where("split = 'train'"))
+    return modelling.predict(model, rows.where("split = 'test'").select("event_id", "value", "user_id", "target_damaged")).select("event_id", "target_damaged", "y_pred", math.rounded("y_prob_damaged", 6).alias("y_prob_damaged"))
+
+
+@query("batch_inference")
+def batch_inference(spark, d):
+    """Price of every part: its best catalogue row, a predicted condition and the price for it."""
+    names = QUERIES["best_candidate"](spark, d)
+    prices = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
+    score = 1.0 + F.pmod(F.col("query_id"), F.lit(91)) / 10.0
+    return names.join(prices, "id").select("query_id", "id", *(c.alias(n) for n, c in pricing.priced(F.col("p_retailprice"), score).items()))
+
+
+@query("sequence_similarity")
+def sequence_similarity(spark, d):
+    return table(spark, d, "part").select("p_partkey", math.rounded(text.sequence_similarity("p_type", "p_name"), 6).alias("similarity"))
