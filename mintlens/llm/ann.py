@@ -85,7 +85,8 @@ def units(m: np.ndarray) -> np.ndarray:
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosine of one vector with each row, in double precision and the same for equal rows wherever they stand."""
     query, rows = scaled(query), scaled(rows)
-    return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
+    total = lambda x: np.cumsum(x, axis=-1)[..., -1]  # noqa: E731  term after term, as a plain loop adds
+    return total(rows * query) / np.sqrt(total(rows * rows) * total(query * query))
 
 
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, ...]:

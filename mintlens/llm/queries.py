@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, langid, licences, quality, secrets, sharding, simhash, urls
+from . import ann, bpe, decontam, langid, licences, oracles, quality, secrets, sharding, simhash, urls
 from .common import read
 
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -36,5 +37,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_secret_scans": oracles.secrets_sql(),
     "op4_licences": licences.ORACLE_SQL,
+    "op6_nearest": oracles.nearest_sql(),
+    "op7_decontamination": oracles.decontamination_sql(),
+    "op8_url_filters": oracles.urls_sql(),
 }
