@@ -128,7 +128,7 @@ def field(v: Column, *paths: str) -> Column:
 def safe_confidence(x) -> Column:
     """A confidence as a double in 0..1; null where it is missing or no number."""
     c = F.nullif(F.trim(_s(x).cast("string")), F.lit("")).try_cast("double")
-    return F.when(~F.isnan(c), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
+    return F.when(c.isNotNull() & ~F.isnan(c), F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)))
 
 
 def numbers_only(m) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import aspect_quality, balance, clamp, mean, num, rounded, safe, span, steps
-from ..schema import ANALYSIS, CORNERS, FAMILIES, SCHEMA_VERSION, SIDES
+from ..schema import ANALYSIS, CORNERS, FAMILIES, SCHEMA_VERSION, SCORE_PARTS, SIDES
 from . import rules, scoring
 from .flatten import flatten, leading_first
 
@@ -96,6 +96,16 @@ def scored(df: DataFrame) -> DataFrame:
         "score_corner": done(scoring.corner(k("corner_score"), k("corner_confidence"))),
         "score_ws": done(scoring.surface(s("whitening_surface_score"), s("whitening_confidence"), s("surface_confidence"))),
     })
+    made = {
+        "capture": scoring.capture_parts(v("blur_score"), v("brightness_score"), v("contrast_score")),
+        "prelim": scoring.preliminary_parts("score_capture", F.col("geometry.coverage_ratio"), F.lit(0.714), F.col("detection.used_fallback")),
+        "centering": {"horizontal_component": c("horizontal_balance"), "vertical_component": c("vertical_balance")},
+        "edge": scoring.confident_parts(e("edge_score"), 100.0, e("edge_confidence"), "edge") | {f"{x}_edge_score": e(f"{x}_edge_score") for x in SIDES},
+        "corner": scoring.confident_parts(k("corner_score"), 100.0, k("corner_confidence"), "corner") | {f"{x}_corner_score": k(f"{x}_corner_score") for x in CORNERS},
+        "ws": scoring.surface_parts(*(s(n) for n in ("whitening_score", "surface_score", "whitening_surface_score", "whitening_confidence", "surface_confidence"))) | {n: s(n) for n in SCORE_PARTS["ws"][6:]},
+    }
+    digits = lambda n: 2 if n.endswith("_score") else 4 if n.endswith("_ratio") else 3
+    d = d.withColumns({f"score_{part}_{n}": done(rounded(made[part][n], digits(n))) for part, names in SCORE_PARTS.items() for n in names})
     doubt = (e("edge_confidence"), k("corner_confidence"), 0.5 * clamp(s("whitening_confidence")) + 0.5 * clamp(s("surface_confidence")))
     parts = ("score_prelim", "score_centering", "score_edge", "score_corner", "score_ws")
     for n, version in ((2, "v1"), (3, "v2"), (4, "v3"), (5, "v4")):

@@ -44,23 +44,38 @@ def share(score) -> Column:
     return clamp((num(score) - 1.0) / 9.0)
 
 
+def capture_parts(blur, brightness, contrast) -> dict[str, Column]:
+    """What the capture score is mixed from, each 0 to 1."""
+    return {"blur_component": clamp(num(blur) / 400.0), "brightness_component": clamp(1.0 - F.abs(num(brightness) - 150.0) / 150.0), "contrast_component": clamp(num(contrast) / 80.0)}
+
+
 def capture(blur, brightness, contrast, digits: int | None = 2) -> Column:
-    mix = 0.50 * clamp(num(blur) / 400.0) + 0.25 * clamp(1.0 - F.abs(num(brightness) - 150.0) / 150.0) + 0.25 * clamp(num(contrast) / 80.0)
-    return shown(ten(mix), digits)
+    sharp, light, spread = capture_parts(blur, brightness, contrast).values()
+    return shown(ten(0.50 * sharp + 0.25 * light + 0.25 * spread), digits)
+
+
+def preliminary_parts(capture_score, coverage, aspect, used_fallback) -> dict[str, Column]:
+    fallback = F.when(num(used_fallback).cast("boolean"), 0.20).otherwise(0.0)
+    return {"capture_component": share(capture_score), "coverage_component": clamp(num(coverage) / 0.60), "aspect_component": aspect_quality(aspect), "fallback_penalty": fallback}
 
 
 def preliminary(capture_score, coverage, aspect, used_fallback, digits: int | None = 2) -> Column:
-    mix = 0.55 * share(capture_score) + 0.30 * clamp(num(coverage) / 0.60) + 0.15 * aspect_quality(aspect) - F.when(num(used_fallback).cast("boolean"), 0.20).otherwise(0.0)
-    return shown(ten(mix), digits)
+    seen, cover, shape, fallback = preliminary_parts(capture_score, coverage, aspect, used_fallback).values()
+    return shown(ten(0.55 * seen + 0.30 * cover + 0.15 * shape - fallback), digits)
 
 
 def centering(horizontal, vertical, digits: int | None = 2) -> Column:
     return shown(ten(0.5 * clamp(horizontal) + 0.5 * clamp(vertical)), digits)
 
 
+def confident_parts(score, full: float, confidence, name: str) -> dict[str, Column]:
+    """A raw score out of ``full``, the confidence of its measurement, and the score of which a quarter hangs on that."""
+    plain, sure = clamp(num(score) / full), clamp(confidence)
+    return {f"{name}_component": plain, "confidence_component": sure, f"adjusted_{name}_component": clamp(plain * (0.75 + 0.25 * sure))}
+
+
 def confident(score, full: float, confidence, digits: int | None = 2) -> Column:
-    """A raw score out of ``full``, of which a quarter hangs on the confidence of its measurement."""
-    return shown(ten(clamp(num(score) / full) * (0.75 + 0.25 * clamp(confidence))), digits)
+    return shown(ten(confident_parts(score, full, confidence, "raw")["adjusted_raw_component"]), digits)
 
 
 def edge(score, confidence, digits: int | None = 2) -> Column:
@@ -74,6 +89,14 @@ def surface(combined, whitening_confidence, surface_confidence, digits: int | No
     return confident(combined, 10.0, 0.5 * clamp(whitening_confidence) + 0.5 * clamp(surface_confidence), digits)
 
 
+def surface_parts(whitening, surface_score, combined, whitening_confidence, surface_confidence) -> dict[str, Column]:
+    white, plain = clamp(whitening_confidence), clamp(surface_confidence)
+    return {
+        "whitening_component": clamp(num(whitening) / 10.0), "surface_component": clamp(num(surface_score) / 10.0), "combined_component": clamp(num(combined) / 10.0),
+        "whitening_confidence": white, "surface_confidence": plain, "adjusted_component": confident_parts(combined, 10.0, 0.5 * white + 0.5 * plain, "raw")["adjusted_raw_component"],
+    }
+
+
 def condition(version: str, scores: Sequence, confidences: Sequence = (), digits: int | None = 2) -> dict[str, Column]:
     """The composite ``condition`` and the weight used for each part.
 

@@ -25,8 +25,18 @@ FAMILIES = {"detection": DETECTION, "visual": VISUAL, "geometry": GEOMETRY, "cen
 #: What the pixel pass returns: keys of the image, how far it came, and a struct of doubles for each family.
 ANALYSIS = "origin string, height int, width int, stage string, error string, " + ", ".join(f"{f} struct<{', '.join(f'{n}: double' for n in names)}>" for f, names in FAMILIES.items())
 
-#: Columns of the wide row that a model reads, by prefix.
+# What each part score is made of, by the part's name in the wide row.
+SCORE_PARTS = {
+    "capture": ("blur_component", "brightness_component", "contrast_component"),
+    "prelim": ("capture_component", "coverage_component", "aspect_component", "fallback_penalty"),
+    "centering": ("horizontal_component", "vertical_component"),
+    "edge": ("edge_component", "confidence_component", "adjusted_edge_component", *(f"{s}_edge_score" for s in SIDES)),
+    "corner": ("corner_component", "confidence_component", "adjusted_corner_component", *(f"{c}_corner_score" for c in CORNERS)),
+    "ws": ("whitening_component", "surface_component", "combined_component", "whitening_confidence", "surface_confidence", "adjusted_component", "edge_whitening_ratio", "corner_whitening_ratio", "glare_ratio", "texture_anomaly_ratio", "dark_spot_ratio"),
+}
+
+#: Columns of the wide row that a model reads, by prefix: 133 of them.
 MODEL_FEATURES = (
     *(f"visual_{n}" for n in VISUAL), *(f"geometry_{n}" for n in GEOMETRY), *(f"centrado_{n}" for n in CENTERING), *(f"borde_{n}" for n in EDGE), *(f"esquina_{n}" for n in CORNER), *(f"superficie_{n}" for n in SURFACE),
-    "score_capture", "score_prelim", "score_centering", "score_edge", "score_corner", "score_ws",
+    *(n for part, names in SCORE_PARTS.items() for n in (f"score_{part}", *(f"score_{part}_{x}" for x in names))),
 )

@@ -107,7 +107,10 @@ def test_images_become_rows(spark, tmp_path):
     assert rows["broken.jpg"].analysis_status == "not_evaluated" and rows["broken.jpg"].image_height is None
     assert rows["flat.png"].analysis_status == "invalid_detection" and rows["flat.png"].score_condition_v4 is None
     missing = [c for c in MODEL_FEATURES if c not in a.asDict()]
-    assert not missing and all(a[c] is not None for c in MODEL_FEATURES)
+    assert len(MODEL_FEATURES) == 133 and not missing and all(a[c] is not None for c in MODEL_FEATURES)
+    mix = 0.50 * a.score_capture_blur_component + 0.25 * a.score_capture_brightness_component + 0.25 * a.score_capture_contrast_component
+    assert a.score_capture == pytest.approx(1 + 9 * mix, abs=0.02) and a.score_ws == pytest.approx(1 + 9 * a.score_ws_adjusted_component, abs=0.02)
+    assert rows["flat.png"].score_edge_edge_component is None
 
 
 def test_one_failing_image_leaves_the_others(spark):

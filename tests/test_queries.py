@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def db():
 
 def rows(df):
     cols = sorted(df.columns)
-    norm = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v
+    norm = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
     return sorted(repr(tuple(norm(v) for v in r)) for r in df[cols].astype(object).itertuples(index=False, name=None))
 
 
