@@ -14,6 +14,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ SHINGLE_WORDS, HASH_SEED, RADIUS = 3, 42, 2
 TILE_ROWS, CHUNK_ROWS, HASH_CHUNK = 2048, 256, 1 << 15
 #: Removal of near-duplicates: words in a shingle, least similarity, bits and tiles of the search, least hashes to compare by.
 NEAR_WORDS, NEAR_LEAST, NEAR_RADIUS, NEAR_TILE_ROWS, MIN_HASHES = 5, 0.8, 12, 16_384, 16
+#: Bits of a shingle's hash by which its texts are counted, and buckets that may be told to be frequent: they only order the exact join.
+BUCKET_BITS, HOT_BUCKETS = 18, 1 << 16
 
 
 def fingerprint(text: bytes | None, words_per: int = SHINGLE_WORDS) -> int:
@@ -204,38 +207,136 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE
 # Near copies of 0.8 similarity differ in more bits than a few, so here the radius is wide and every link is verified.
 
 
-def shingles(text: bytes | None, words_per: int) -> np.ndarray:
+class _Words(dict):
+    """Hashes of words, forgotten when there are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, HASH_SEED)
+        return h
+
+
+def shingles(text: bytes | None, words_per: int, known: _Words) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order; of all words if there are fewer, none if there are none."""
     words = (text or b"").lower().split()
-    parts = zip(*(words[k:] for k in range(words_per)), strict=False) if len(words) >= words_per else [words] if words else []
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(p), HASH_SEED) for p in parts), np.uint64))
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    per = min(words_per, len(w))
+    h = np.full(len(w) - per + 1 if per else 0, per, np.uint64)
+    for k in range(per):
+        h = (h ^ w[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (hot false) for each text, then one (hot true) for each bucket of shingles that stands out in the partition: mark and n are bucket and texts."""
+    counts, known = np.zeros(1 << BUCKET_BITS, np.int64), _Words()
     for b in batches:
         texts = [t.as_py() for t in b.column("text")]
         f = np.array([fingerprint(t, NEAR_WORDS) for t in texts], np.uint64).view(np.int64)
-        n = [len({*zip(*(w[k:] for k in range(NEAR_WORDS)), strict=False)}) or int(bool(w)) for w in ((t or b"").lower().split() for t in texts)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(f), pa.array(n, pa.int64())], ["doc_id", "mark", "f", "n"])
+        sets = [shingles(t, NEAR_WORDS, known) for t in texts]
+        for s in sets:
+            np.add.at(counts, s >> np.uint64(64 - BUCKET_BITS), 1)
+        n = [len(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(f), pa.array(n, pa.int64()), pa.array([False] * len(n), pa.bool_())], ["doc_id", "mark", "f", "n", "hot"])
+    hot = np.flatnonzero(counts > 2 * counts.mean() + 4)
+    none = pa.nulls(len(hot), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, pa.array(hot, pa.int64()), none, pa.array(counts[hot]), pa.array([True] * len(hot), pa.bool_())], ["doc_id", "mark", "f", "n", "hot"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()
+    for b in batches:
+        s = [shingles(t.as_py(), NEAR_WORDS, known).view(np.int64) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array(s, pa.list_(pa.int64()))], ["mark", "s"])
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salts = np.random.default_rng(HASH_SEED).integers(1, 1 << 63, MIN_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+    known = _Words()
     for b in batches:
-        sets = [shingles(t.as_py(), NEAR_WORDS) for t in b.column("text")]
+        sets = [shingles(t.as_py(), NEAR_WORDS, known) for t in b.column("text")]
         least = [((s[:, None] * salts) ^ (s[:, None] >> np.uint64(29))).min(axis=0).view(np.int64) for s in sets]
         yield pa.RecordBatch.from_arrays([b.column("mark"), b.column("root"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["mark", "root", "s", "least"])
 
 
+def _prefixes(levels: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text the first shingles, rare ones first: two texts of NEAR_LEAST similarity share one of them."""
+        level, known = levels.value, _Words()
+        for b in batches:
+            toks, marks, ns, at = [], [], [], []
+            for mark, t in zip(b.column("mark").to_pylist(), b.column("text"), strict=True):
+                s = shingles(t.as_py(), NEAR_WORDS, known)
+                if not len(s):
+                    continue
+                first = len(s) - int(np.ceil(NEAR_LEAST * len(s) - 1e-9)) + 1
+                # s is in order, so a stable sort by level orders by level, then hash
+                toks.append(s[np.argsort(level[s >> np.uint64(64 - BUCKET_BITS)], kind="stable")[:first]].view(np.int64))
+                marks.append(np.full(first, mark, np.int64))
+                ns.append(np.full(first, len(s), np.int32))
+                at.append(np.arange(first, dtype=np.int32))
+            if toks:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, marks, ns, at)], ["tok", "mark", "n", "at"])
+
+    return run
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of marks whose sets of shingles have a Jaccard similarity of NEAR_LEAST or more."""
+    both = pairs.join(sets.select(F.col("mark").alias("a"), "s"), "a").join(sets.select(F.col("mark").alias("b"), F.col("s").alias("t")), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(common >= NEAR_LEAST * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
+
+
+def whole_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts, as bytes, of the rows that ``members`` (__id, __mark) names, with its further columns."""
+    seen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    return seen.join(members, same(seen, members, {"doc_id": "__id", "mark": "__mark"})).drop("doc_id", "__id", "__mark")
+
+
+def missing_links(docs: DataFrame, texts: DataFrame, reach: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b) of NEAR_LEAST similarity for all pairs of texts that ``reach`` (node, root) leaves apart.
+
+    An exact set-similarity join: in an order that puts rare shingles first, two similar texts share one of their
+    first n - ceil(NEAR_LEAST n) + 1 shingles.  Only pairs of different groups are formed, by groups before texts, and
+    only where sizes and the shingle's places leave room for the similarity.  The order decides the work, not the result.
+    """
+    level = np.zeros(1 << BUCKET_BITS, np.uint8)
+    for r in hot.groupBy("mark").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(HOT_BUCKETS).collect():
+        level[r["mark"]] = min(255, round(4 * np.log2(r["n"])))
+    levels = docs.sparkSession.sparkContext.broadcast(level)
+    seen = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    first = stored(seen.mapInArrow(_prefixes(levels), "tok bigint, mark bigint, n int, at int"))
+    rooted_rows = first.join(reach.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    apart = stored(rooted_rows.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tok"))
+    members = stored(rooted_rows.join(apart, "tok").distinct())
+    groups = members.groupBy("tok", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("room"))
+    x, y = (groups.select("tok", *(F.col(c).alias(f"{c}_{k}") for c in ("root", "lo", "hi", "room"))) for k in "xy")
+    least = lambda n, m: (n + m) * (NEAR_LEAST / (1 + NEAR_LEAST)) - 1e-6  # noqa: E731  shingles that similar texts of these sizes share
+    fits = (F.col("hi_x") >= NEAR_LEAST * F.col("lo_y") - 1e-6) & (F.col("hi_y") >= NEAR_LEAST * F.col("lo_x") - 1e-6) & (F.least("room_x", "room_y") >= least(F.col("lo_x"), F.col("lo_y")))
+    met = x.join(y, "tok").where((F.col("root_x") < F.col("root_y")) & fits).select("tok", "root_x", "root_y")
+    one, two = (members.select("tok", F.col("root").alias(f"root_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("mark", "n", "at"))) for k in "xy")
+    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    fits = (F.col("n_x") >= NEAR_LEAST * F.col("n_y") - 1e-6) & (F.col("n_y") >= NEAR_LEAST * F.col("n_x") - 1e-6) & (room >= least(F.col("n_x"), F.col("n_y")))
+    pairs = stored(met.join(one, ["tok", "root_x"]).join(two, ["tok", "root_y"]).where(fits).select(F.col("mark_x").alias("a"), F.col("mark_y").alias("b")).distinct())
+    asked = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
+    named = stored(texts.join(asked, "mark").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    sets = stored(whole_texts(docs, named).mapInArrow(_sets, "mark bigint, s array<bigint>").dropDuplicates(["mark"]))
+    return similar(pairs, sets)
+
+
 def verified(docs: DataFrame, digests: DataFrame, radius: int, tile_rows: int) -> DataFrame:
     """(node, root) over the text marks of ``digests`` that reach another one by links of true similarity.
 
     SimHash at ``radius`` bits, between texts whose numbers of shingles allow the similarity, gives coarse groups.
     Within those, texts that share one of MIN_HASHES least hashes are compared with one of the texts that have it: a
-    number of pairs in proportion to the texts.  Only pairs whose sets of shingles have a Jaccard similarity of
-    NEAR_LEAST or more link.
+    number of pairs in proportion to the texts, which joins most of what is alike.  What is still apart then meets by
+    an exact join (``missing_links``), so no link is lost.  Only pairs whose sets of shingles have a Jaccard
+    similarity of NEAR_LEAST or more link.
     """
+    hot, digests = digests.where("hot"), digests.where("not hot")
     texts = digests.where("n > 0").groupBy("mark", "f", "n").agg(F.min("doc_id").alias("doc_id"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / NEAR_LEAST))).cast("int")
     cells = texts.select("f", F.lit(0).alias("block"), F.lit(0).alias("value"), band.alias("pos")).distinct()
@@ -243,32 +344,29 @@ def verified(docs: DataFrame, digests: DataFrame, radius: int, tile_rows: int) -
     # one fingerprint may stand for several texts
     several = texts.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1").join(coarse, "f", "left_anti").select("f", F.col("f").alias("root"))
     members = stored(texts.join(coarse.union(several), "f").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "root"))
-    seen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
-    whole = seen.join(members, same(seen, members, {"doc_id": "__id", "mark": "__mark"})).select("mark", "root", "text")
-    sketch = cut(whole.mapInArrow(_sketched, "mark bigint, root bigint, s array<bigint>, least array<bigint>").dropDuplicates(["mark"]))
+    sketch = cut(whole_texts(docs, members).select("mark", "root", "text").mapInArrow(_sketched, "mark bigint, root bigint, s array<bigint>, least array<bigint>").dropDuplicates(["mark"]))
     keys = sketch.select("mark", "root", F.posexplode("least").alias("k", "least"))
     # each k has another first text, so that few groups hang on one text that is like none of the others
     firsts = keys.groupBy("root", "k", "least").agg(F.min_by("mark", F.xxhash64("k", "mark")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keys.join(firsts, ["root", "k", "least"]).where("mark <> first").select("mark", "first").distinct()
-    both = pairs.join(sketch.select("mark", "s"), "mark").join(sketch.select(F.col("mark").alias("first"), F.col("s").alias("t")), "first")
-    common = F.size(F.array_intersect("s", "t"))
-    close = both.where(common >= NEAR_LEAST * (F.size("s") + F.size("t") - common) - 1e-9)
-    return components(close.select(F.col("mark").alias("a"), F.col("first").alias("b")))
+    pairs = keys.join(firsts, ["root", "k", "least"]).where("mark <> first").select(F.col("mark").alias("a"), F.col("first").alias("b")).distinct()
+    reach = stored(components(similar(pairs, sketch)))
+    more = missing_links(docs, texts, reach, hot)
+    return components(reach.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def dedupe(docs: DataFrame, radius: int = NEAR_RADIUS, tile_rows: int = NEAR_TILE_ROWS) -> DataFrame:
     """The rows of ``docs`` without near-duplicates; columns as they were.
 
-    Texts link if their sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR_LEAST or more (candidates
-    come from SimHash, see ``verified``); texts without words, nulls among them, are all alike.  Of each group of
+    Texts link if their sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR_LEAST or more (SimHash finds
+    most links, an exact join the others, see ``verified``); texts without words, nulls among them, are all alike.  Of each group of
     reachable texts the row of the smallest doc_id stays; among rows that share that id the one of the smallest text
     hash; rows that agree in id and text stay once.  A null id stays only where the group has no other.  An empty
     table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
-    d = cut(rows.mapInArrow(_measured, "doc_id bigint, mark bigint, f bigint, n bigint"))
+    d = cut(rows.mapInArrow(_measured, "doc_id bigint, mark bigint, f bigint, n bigint, hot boolean"))
     reach = verified(docs, d, radius, tile_rows).withColumnRenamed("node", "mark")
-    grouped_rows = d.join(reach, "mark", "left").withColumn("g", F.when(F.col("n") == 0, 0).otherwise(F.coalesce("root", "mark")))
+    grouped_rows = d.where("not hot").join(reach, "mark", "left").withColumn("g", F.when(F.col("n") == 0, 0).otherwise(F.coalesce("root", "mark")))
     rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")
     best = grouped_rows.groupBy("g").agg(F.min(rank).alias("r")).select(F.col("g").alias("__g"), F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__mark"))
     counted = grouped_rows.groupBy("g", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))

@@ -172,6 +172,41 @@ def test_dedupe(spark):
     assert simhash.dedupe(df.limit(0)).count() == 0
 
 
+def slow_dedupe(texts):
+    """The first of each group of texts that reach each other by links of 0.8 similarity."""
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return sorted(set(root))
+
+
+def kept_ids(spark, texts):
+    rows = [(n, t, "en", "s", 0) for n, t in enumerate(texts)]
+    return sorted(r.doc_id for r in simhash.dedupe(spark.createDataFrame(rows, DOCS)).collect())
+
+
+def test_dedupe_of_templates_and_revisions(spark):
+    rng = random.Random(11)
+    new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = new(160), []
+    for _ in range(60):  # alike by three quarters, and some closer to one of the others
+        own = new(50)
+        texts.append(" ".join(template + own))
+        if rng.random() < 0.5:
+            texts.append(" ".join(template + own[:-12] + new(12)))
+    for _ in range(3):  # each version is like the one before it only
+        version = new(200)
+        for _ in range(40):
+            texts.append(" ".join(version))
+            version = version[18:] + new(18)
+    rng.shuffle(texts)
+    assert kept_ids(spark, texts) == slow_dedupe(texts)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in graph.components(edges).collect()}
