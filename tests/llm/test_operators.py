@@ -207,6 +207,22 @@ def test_dedupe_of_templates_and_revisions(spark):
     assert kept_ids(spark, texts) == slow_dedupe(texts)
 
 
+def test_dedupe_beyond_the_radius_and_with_repeated_lines(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):  # pairs at 0.8 and a little more
+        text = new(304)
+        texts += [" ".join(text), " ".join(text[:270] + new(34))]
+    for _ in range(10):  # the same lines, one of them repeated
+        line, rest = new(12), new(150)
+        texts += [" ".join(line + rest), " ".join(line * 60 + rest)]
+    assert kept_ids(spark, texts) == slow_dedupe(texts)
+    line, rest = new(12), new(300)
+    a, b = (simhash.shingles(" ".join(x).encode(), 5, simhash._Words()) for x in (line * 2 + rest, line * 60 + rest))
+    assert simhash.set_fingerprint(a) == simhash.set_fingerprint(b)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)], "a bigint, b bigint")
     got = {r.node: r.root for r in graph.components(edges).collect()}
