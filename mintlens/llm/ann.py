@@ -96,11 +96,16 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
     """
     out: list[tuple[np.ndarray, ...]] = []
     near = units(queries) @ units(rows).T
+    by_id = np.argsort(ids, kind="stable")
+    firsts = np.flatnonzero(np.r_[True, np.diff(ids[by_id]) != 0])[: len(ids)]
     for n in range(len(queries)):
         s = near[n]
         c = np.flatnonzero((s >= floor[n] - SLACK) & (ids != query_ids[n]))
         if len(c) > k:
-            c = c[s[c] >= np.partition(s[c], len(c) - k)[len(c) - k] - SLACK]
+            # the k-th score is that of ids, each by its best row
+            most = s[c] if len(firsts) == len(ids) else np.maximum.reduceat(np.where(ids == query_ids[n], -3.0, s)[by_id], firsts)
+            if len(most) > k:
+                c = c[s[c] >= np.partition(most, len(most) - k)[len(most) - k] - SLACK]
         exact = cosines(queries[n], rows[c])
         order = np.lexsort((ids[c], -exact))
         order = order[np.sort(np.unique(ids[c][order], return_index=True)[1])][:k]

@@ -306,6 +306,15 @@ def test_nearest(spark):
     assert same_rows(ann.nearest(spark.createDataFrame(few, df.schema)).collect(), slow_nearest(few))
 
 
+def test_nearest_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), rng.standard_normal(16).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert same_rows(ann.nearest(df.union(df).union(df)).collect(), slow_nearest(rows))
+    rows += [(k % 7 + 1, (np.array(rows[50 * (k % 6)][1]) + 0.01 * rng.standard_normal(16)).tolist()) for k in range(200)]
+    assert same_rows(ann.nearest(spark.createDataFrame(rows, df.schema)).collect(), slow_nearest(rows))
+
+
 def test_windows_alone_find_clustered_neighbours(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((100, 32))
