@@ -16,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 #: Labelled documents a language that the text models are trained on, and trigrams a language that they keep.
-TRAIN_DOCS, TRIGRAMS, LANGUAGES = 2000, 4000, 64
+TRAIN_DOCS, TRIGRAMS = 2000, 4000
 #: Weight of a trigram's log-likelihood (neighbours depend on each other), and the most that all of a page's may add up to.
 TEMPER, MOST_TEXT = 0.25, 40.0
 #: Pages that a coarser level counts for when it smooths a finer one.
@@ -47,8 +47,8 @@ def trigrams(text: str) -> Counter:
 class TextModel:
     """Smoothed log-probabilities of trigrams by language."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
-        self.languages = sorted({lang for lang, _, _ in rows})
+    def __init__(self, rows: list[tuple[str, str, int]], languages: list[str] | None = None):
+        self.languages = sorted({lang for lang, _, _ in rows} if languages is None else set(languages))
         at = {lang: k for k, lang in enumerate(self.languages)}
         grams = sorted({g for _, g, _ in rows})
         counts = np.full((len(grams), len(at)), 0.5)
@@ -68,12 +68,12 @@ class TextModel:
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> TextModel:
-    """Text models from at most TRAIN_DOCS documents of each of at most LANGUAGES languages, by the least hash of id and text.
+    """Text models of all languages, from at most TRAIN_DOCS documents of each, by the least hash of id and text.
 
-    Null languages and texts are left out.  At most TRIGRAMS trigrams for each language reach the driver, the most frequent of all.
+    Null languages and texts are left out.  Of each language at most TRIGRAMS trigrams reach the driver, its most frequent.
     """
     d = docs.select(F.col(lang).alias("lang"), "doc_id", F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = d.groupBy("lang").count()
     # rows whose hash falls into the share that leaves TRAIN_DOCS of the language, as counted over all documents
     unit = (F.xxhash64("doc_id", "lang").bitwiseAND((1 << 52) - 1) / float(1 << 52)).alias("unit")
     chosen = d.join(F.broadcast(share), "lang").where(unit * F.col("count") < TRAIN_DOCS).select("lang", "text")
@@ -87,8 +87,9 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> TextModel:
                 yield pd.DataFrame({"lang": language, "gram": list(total), "n": list(total.values())})
 
     sums = chosen.mapInPandas(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = sums.orderBy(F.desc("n"), "lang", "gram").limit(TRIGRAMS * max(share.count(), 1))
-    return TextModel([tuple(r) for r in kept.collect()])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    kept = sums.withColumn("place", place).where(F.col("place") <= TRIGRAMS).select("lang", "gram", "n")
+    return TextModel([tuple(r) for r in kept.collect()], [r["lang"] for r in share.select("lang").collect()])
 
 
 def _log_likelihoods(model: TextModel, source: Column) -> Column:

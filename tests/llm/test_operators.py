@@ -416,6 +416,15 @@ def test_host_prior_decides_where_a_page_says_nothing(spark):
     assert got[99].lang == "de" and got[99].declared is None
 
 
+def test_rare_language_keeps_its_trigrams(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRIGRAMS", 50)
+    docs = [(n, "the weather and the other things of this northern region " * 5, "en") for n in range(198)] + [(n, "żółw gęś źdźbło ćma łąka", "pl") for n in (900, 901)] + [(950, "123", "xx")]
+    model = langid.train(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["en", "pl", "xx"] and "łąk" in model.place
+    got = langid.identify(spark.createDataFrame([(1, "http://a.test/", "<html lang=pl>źdźbło łąka</html>")], "page_id bigint, url string, html string"), model).first()
+    assert (got.lang, got.text_lang, got.declared) == ("pl", "pl", "pl")
+
+
 # -- 10 BPE ---------------------------------------------------------------------------------------------------------------------------------
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
