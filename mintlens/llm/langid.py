@@ -84,7 +84,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> TextModel:
                 total: Counter = Counter()
                 for t in part:
                     total.update(trigrams(t))
-                yield pd.DataFrame({"lang": language, "gram": list(total), "n": list(total.values())})
+                if total:
+                    yield pd.DataFrame({"lang": language, "gram": list(total), "n": list(total.values())})
 
     sums = chosen.mapInPandas(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -120,7 +121,7 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
         return pages.select(key, *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("confidence", "double"), ("text_lang", "string"), ("declared", "string"), ("host", "string"))))
     n = range(len(langs))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://([^/?#:]*)", 1))
-    rows = pages.select(F.col(key), host.alias("host"), F.lower(F.regexp_extract(F.substring(F.coalesce(F.col(html), F.lit("")), 1, 4096), _LANG, 1)).alias("declared"), _log_likelihoods(model, F.col(html)).alias("ll"))
+    rows = pages.select(F.col(key), host.alias("host"), F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), _LANG, 1)).alias("declared"), _log_likelihoods(model, F.col(html)).alias("ll"))
     probable = softmax([F.col("ll")[k] for k in n])
     rows = rows.withColumn("declared", F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared") == "", "").otherwise("other"))
     rows = cut(rows.select("*", *(p.alias(f"p{k}") for k, p in zip(n, probable, strict=True))))

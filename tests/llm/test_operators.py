@@ -425,6 +425,13 @@ def test_rare_language_keeps_its_trigrams(spark, monkeypatch):
     assert (got.lang, got.text_lang, got.declared) == ("pl", "pl", "pl")
 
 
+def test_declaration_after_a_long_comment(spark):
+    model = langid.TextModel([("de", "der", 9), ("en", "the", 9)])
+    pages = spark.createDataFrame([(1, "http://a.test/", f"<!-- {'x' * 5000} -->\n<html lang='de'></html>")], "page_id bigint, url string, html string")
+    got = langid.identify(pages, model).first()
+    assert (got.declared, got.lang) == ("de", "de")
+
+
 # -- 10 BPE ---------------------------------------------------------------------------------------------------------------------------------
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
