@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import edit_similarity, shared_prefix
 
+#: Characters of the runs by which queries find names.
+GRAM = 3
+
 
 def _low(x: Column) -> Column:
     return F.lower(F.trim(F.coalesce(x.cast("string"), F.lit(""))))
@@ -38,12 +41,19 @@ def best_candidate(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """For each query (query_id, q_name, q_set, q_number) the best catalogue row (id, name, set_name, number) whose name
     contains the query's; ties go to the smaller id.
 
-    Names are matched by an equi-join on their words, so that no pair without a common word is formed.
+    Distinct names meet by an equi-join on the query's rarest run of GRAM characters (all of them, if it is shorter), so
+    a query that is part of a word is found and no pair without a common run is formed.
     """
-    words = lambda c: F.explode(F.array_distinct(F.split(_low(F.col(c)), r"\s+")))
-    q = queries.where(_low(F.col("q_name")) != "")
-    asked = q.withColumn("w", F.split(_low(F.col("q_name")), r"\s+")).withColumn("w", F.element_at(F.array_sort(F.col("w"), lambda a, b: F.char_length(b) - F.char_length(a)), 1))
-    pairs = asked.join(catalogue.withColumn("w", words("name")), "w").where(F.contains(_low(F.col("name")), _low(F.col("q_name"))))
+    q = queries.withColumn("q_low", _low(F.col("q_name"))).where("q_low <> ''")
+    rows = catalogue.withColumn("low", _low(F.col("name")))
+    asked, names = q.select("q_low").distinct(), rows.select("low").distinct()
+    runs = lambda x, k: F.when(F.char_length(x) >= k, F.transform(F.sequence(F.lit(1), F.char_length(x) - k + 1), lambda i: F.col(x).substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    held = names.select("low", F.explode(F.array_distinct(F.concat(*(runs("low", k) for k in range(1, GRAM + 1))))).alias("gram"))
+    longest = F.coalesce(*(F.when(F.char_length("q_low") >= k, runs("q_low", k)) for k in range(GRAM, 0, -1)))
+    sizes = held.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+    rarest = asked.select("q_low", F.explode(longest).alias("gram")).join(sizes, "gram", "left").groupBy("q_low").agg(F.min_by("gram", F.struct(F.coalesce("m", F.lit(0)), "gram")).alias("gram"))
+    matched = rarest.join(held, "gram").where(F.contains(F.col("low"), F.col("q_low"))).select("q_low", "low")
+    pairs = q.join(matched, "q_low").join(rows, "low")
     scored = pairs.select("query_id", "id", "name", candidate_score(*(F.col(c) for c in ("name", "set_name", "number", "q_name", "q_set", "q_number"))).alias("score"))
     return first_by(scored, ["query_id"], -F.col("score"), F.col("id"))
 

@@ -327,9 +327,14 @@ add(
  SELECT query_id, id, name, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1""",
 )
 def best_candidate(spark, d):
+    return candidates(spark, d, "p_partkey % 10 = 0")
+
+
+def candidates(spark: SparkSession, d: str, which: str) -> DataFrame:
+    """The best catalogue row for each part that ``which`` selects."""
     part = table(spark, d, "part")
     number = F.col("p_size").cast("string")
-    asked = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q_name"), F.when(F.col("p_partkey") % 20 == 0, F.col("p_brand")).otherwise("").alias("q_set"), F.when(F.col("p_partkey") % 30 == 0, number).otherwise("").alias("q_number"))
+    asked = part.where(which).select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q_name"), F.when(F.col("p_partkey") % 20 == 0, F.col("p_brand")).otherwise("").alias("q_set"), F.when(F.col("p_partkey") % 30 == 0, number).otherwise("").alias("q_number"))
     return ranking.best_candidate(asked, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), number.alias("number")))
 
 
@@ -543,7 +548,7 @@ def train_predict(spark, d):
 @query("batch_inference")
 def batch_inference(spark, d):
     """Price of every part: its best catalogue row, a predicted condition and the price for it."""
-    names = QUERIES["best_candidate"](spark, d)
+    names = candidates(spark, d, "true")
     prices = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
     score = 1.0 + F.pmod(F.col("query_id"), F.lit(91)) / 10.0
     return names.join(prices, "id").select("query_id", "id", *(c.alias(n) for n, c in pricing.priced(F.col("p_retailprice"), score).items()))
