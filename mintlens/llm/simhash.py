@@ -339,7 +339,7 @@ def verified(docs: DataFrame, digests: DataFrame, radius: int, tile_rows: int) -
     """(node, root) over the text marks of ``digests`` that reach another one by links of true similarity.
 
     SimHash over distinct shingles at ``radius`` bits, between texts whose numbers of shingles allow the similarity,
-    gives coarse groups; at 0.8 similarity about one pair in six is beyond 12 bits.
+    gives coarse groups; by the usual estimate (not measured) one pair in six at 0.8 is beyond 12 bits.
     Within those, texts that share one of MIN_HASHES least hashes are compared with one of the texts that have it: a
     number of pairs in proportion to the texts, which joins most of what is alike.  What is still apart then meets by
     an exact join over all texts (``missing_links``), so no link is lost, whatever the radius.  Only pairs whose sets of shingles have a Jaccard
