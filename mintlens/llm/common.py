@@ -28,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _delete(spark: SparkSession, path: str, now: bool) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(jpath, True) if now else files.deleteOnExit(jpath)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
@@ -37,11 +43,38 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    _delete(spark, path, now=False)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """``stored`` for the length of a block: its tables are deleted when it ends, so nothing read later may rest on them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.tables = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.path}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _delete(self.spark, self.path, now=True)
+
+
+#: Rows of ids and hashes that a broadcast may hold: some 30 MB.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, marked for broadcast if it has ``rows`` rows at most; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
     """Null-safe equality of the paired columns, as a join condition."""
     cond = F.lit(True)

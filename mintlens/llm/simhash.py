@@ -8,27 +8,26 @@ work.  Units are compared in full by numpy exclusive-or and bit counts and emit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, same, stored
+from .common import Scratch, cut, free_name, same, small, stored
 from .graph import components
 
 #: Words in a shingle, seed of its hash, most bits by which linked fingerprints differ.
 SHINGLE_WORDS, HASH_SEED, RADIUS = 3, 42, 2
 #: Fingerprints in the largest tile that is compared as one; rows of numpy work at once; hashes counted at once.
 TILE_ROWS, CHUNK_ROWS, HASH_CHUNK = 2048, 256, 1 << 15
-#: Removal of near-duplicates: words in a shingle, least similarity, bits and tiles of the search, least hashes to compare by.
-NEAR_WORDS, NEAR_LEAST, NEAR_RADIUS, NEAR_TILE_ROWS, MIN_HASHES = 5, 0.8, 12, 16_384, 16
-#: Bits of a shingle's hash by which its texts are counted, and buckets that may be told to be frequent: they only order the exact join.
-BUCKET_BITS, HOT_BUCKETS = 18, 1 << 16
+#: Removal of near-duplicates: words in a shingle, least similarity, most of 128 bits that differ, texts in a tile compared as one.
+NEAR_WORDS, NEAR_LEAST, NEAR_RADIUS, NEAR_TILE_ROWS = 5, 0.8, 42, 1024
+#: Least shingle hashes by which a text meets others, and the share of them from which frequent ones count too.
+PROBES, HOT_SHARE = 40, 0.5
 
 
 def fingerprint(text: bytes | None, words_per: int = SHINGLE_WORDS) -> int:
@@ -107,6 +106,24 @@ def small_links(unit: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarra
     return f[moved], f[labels[moved]]
 
 
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of batches that come ordered by unit, cut between units: the last of each waits for the next batch."""
+    held: list[dict[str, np.ndarray]] = []
+    together = lambda: {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = {k: b.column(k).to_numpy() for k in b.schema.names}
+        first = int(np.argmax(x["unit"] == x["unit"][-1]))  # where the last unit begins
+        if first or held and held[-1]["unit"][-1] != x["unit"][0]:
+            held.append({k: y[:first] for k, y in x.items()})
+            yield together()
+            held = []
+        held.append({k: y[first:] for k, y in x.items()})
+    if held:
+        yield together()
+
+
 def _links(radius: int, small: int = 64):
     def edges(unit, side, f) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -117,23 +134,7 @@ def _links(radius: int, small: int = 64):
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches come ordered by unit; the last unit of each waits for the next batch."""
-        held: list[tuple[np.ndarray, ...]] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = (b.column("unit").to_numpy(), b.column("side").to_numpy(), b.column("f").to_numpy().view(np.uint64))
-            first = int(np.argmax(x[0] == x[0][-1]))  # where the last unit begins
-            if first or held and held[-1][0][-1] != x[0][0]:
-                held.append(tuple(y[:first] for y in x))
-                yield edges(*(np.concatenate(y) for y in zip(*held, strict=True)))
-                held = []
-            held.append(tuple(y[first:] for y in x))
-        if held:
-            yield edges(*(np.concatenate(y) for y in zip(*held, strict=True)))
-
-    return run
+    return lambda batches: (edges(x["unit"], x["side"], x["f"].view(np.uint64)) for x in whole_units(batches))
 
 
 def block_rows(f: DataFrame, radius: int) -> DataFrame:
@@ -146,29 +147,29 @@ def block_rows(f: DataFrame, radius: int) -> DataFrame:
     return f.select("f", F.bit_count("f").alias("pos"), F.explode(F.array(*cells)).alias("c")).select("f", "c.*", "pos")
 
 
-def units(rows: DataFrame, reach: int, tile_rows: int) -> DataFrame:
-    """(unit, side, f): any two rows of one (block, value) whose pos differ by ``reach`` at most share a unit at least."""
+def units(rows: DataFrame, reach: int, tile_rows: int, carry: Sequence[str] = ("f",), keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """unit, side and ``carry``: any two rows of one (block, value) whose pos differ by ``reach`` at most share a unit at least."""
     key = ["block", "value"]
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(rows.join(sizes, key))  # alone in each of its tiles, a fingerprint links to none
-    whole = shared.where(F.col("n") <= tile_rows).select(F.xxhash64(*key).alias("unit"), F.lit(0).alias("side"), "f")
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("in_tile")).where("in_tile > 1")
+    shared = keep(rows.join(sizes, key))  # alone in each of its tiles, a fingerprint links to none
+    whole = shared.where(F.col("in_tile") <= tile_rows).select(F.xxhash64(*key).alias("unit"), F.lit(0).alias("side"), *carry)
 
     # large tiles: where the rows of one pos begin and end along the order, in sub-tiles
-    by_pos = shared.where(F.col("n") > tile_rows).groupBy(*key, "pos").agg(F.count(F.lit(1)).alias("m"))
+    by_pos = shared.where(F.col("in_tile") > tile_rows).groupBy(*key, "pos").agg(F.count(F.lit(1)).alias("m"))
     tile = by_pos.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("all"))  # an entry for each pos, 65 at most
     zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<pos:int,lo:bigint,m:bigint>>").alias("all"))
     run = F.aggregate("all", zero, lambda s, x: F.struct((s["at"] + x["m"]).alias("at"), F.concat(s["all"], F.array(F.struct(x["pos"].cast("int").alias("pos"), s["at"].alias("lo"), x["m"].alias("m")))).alias("all")))
     tile = tile.select(*key, run["all"].alias("all"))
-    split = shared.where(F.col("n") > tile_rows).join(tile, key)
+    split = shared.where(F.col("in_tile") > tile_rows).join(tile, key)
     own = F.element_at(F.filter("all", lambda x: x["pos"] == F.col("pos")), 1)
     # rows of one pos spread over its part of the order by their hash
-    spread = F.pmod(F.xxhash64("f"), own["m"])
+    spread = F.pmod(F.xxhash64(*carry), own["m"])
     split = split.withColumn("t", F.floor((own["lo"] + spread) / tile_rows).cast("bigint"))
     near = F.filter("all", lambda x: F.abs(x["pos"] - F.col("pos")) <= reach)
     first = F.floor(F.element_at(near, 1)["lo"] / tile_rows).cast("bigint")
     last = F.floor((F.element_at(near, -1)["lo"] + F.element_at(near, -1)["m"] - 1) / tile_rows).cast("bigint")
-    split = split.select(*key, "f", "t", F.explode(F.sequence(F.least(first, "t"), F.greatest(last, "t"))).alias("u"))
-    split = split.select(F.xxhash64(*key, F.least("t", "u"), F.greatest("t", "u")).alias("unit"), (F.col("t") > F.col("u")).cast("int").alias("side"), "f")
+    split = split.select(*dict.fromkeys([*key, *carry]), "t", F.explode(F.sequence(F.least(first, "t"), F.greatest(last, "t"))).alias("u"))
+    split = split.select(F.xxhash64(*key, F.least("t", "u"), F.greatest("t", "u")).alias("unit"), (F.col("t") > F.col("u")).cast("int").alias("side"), *carry)
     return whole.union(split)
 
 
@@ -204,7 +205,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE
 
 
 # -- removal of near-duplicates ------------------------------------------------------------------------------------------------
-# Near copies of 0.8 similarity differ in more bits than a few, so here the radius is wide and every link is verified.
+# Near copies of 0.8 similarity differ in more bits than a few, so no block of bits is sure to be shared.  Tiles are keyed by the
+# least shingle hashes of a text instead, the radius is wide, and every link is verified.
 
 
 class _Words(dict):
@@ -229,28 +231,33 @@ def shingles(text: bytes | None, words_per: int, known: _Words) -> np.ndarray:
     return np.unique(h)
 
 
-def set_fingerprint(s: np.ndarray) -> int:
-    """The SimHash of distinct shingles, each counted once, as in the similarity that links are verified by."""
-    ones = np.zeros(64, np.int64)
+def set_fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """The SimHash, in two halves of 64 bits, of distinct shingles, each counted once, as in the similarity that links are verified by."""
+    ones = np.zeros(128, np.int64)
     for at in range(0, len(s), HASH_CHUNK):
-        ones += np.unpackbits(s[at : at + HASH_CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(s), bitorder="little").tobytes(), "little")
+        h = s[at : at + HASH_CHUNK]
+        h = np.stack([h, (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)], axis=1)
+        h[:, 1] ^= h[:, 1] >> np.uint64(29)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return tuple(np.packbits(2 * ones > len(s), bitorder="little").view(np.int64).tolist())
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (hot false) for each text, then one (hot true) for each bucket of shingles that stands out in the partition: mark and n are bucket and texts."""
-    counts, known = np.zeros(1 << BUCKET_BITS, np.int64), _Words()
-    for b in batches:
-        texts = [t.as_py() for t in b.column("text")]
-        sets = [shingles(t, NEAR_WORDS, known) for t in texts]
-        f = np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)
-        for s in sets:
-            np.add.at(counts, s >> np.uint64(64 - BUCKET_BITS), 1)
-        n = [len(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(f), pa.array(n, pa.int64()), pa.array([False] * len(n), pa.bool_())], ["doc_id", "mark", "f", "n", "hot"])
-    hot = np.flatnonzero(counts > 2 * counts.mean() + 4)
-    none = pa.nulls(len(hot), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, pa.array(hot, pa.int64()), none, pa.array(counts[hot]), pa.array([True] * len(hot), pa.bool_())], ["doc_id", "mark", "f", "n", "hot"])
+def prefix(n: int) -> int:
+    """Of two texts of n shingles, similar by NEAR_LEAST or more, the first so many in any one order share one."""
+    return n - int(np.ceil(NEAR_LEAST * n - 1e-9)) + 1 if n else 0
+
+
+def _sketched(probes: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Words()
+        for b in batches:
+            sets = [shingles(t.as_py(), NEAR_WORDS, known) for t in b.column("text")]
+            f, f2 = np.array([set_fingerprint(s) for s in sets], np.int64).reshape(-1, 2).T
+            toks = [s[: probes or prefix(len(s))].view(np.int64) for s in sets]
+            n = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(f), pa.array(f2), n, pa.array(toks, pa.list_(pa.int64()))], ["doc_id", "mark", "f", "f2", "n", "toks"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,35 +267,84 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array(s, pa.list_(pa.int64()))], ["mark", "s"])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salts = np.random.default_rng(HASH_SEED).integers(1, 1 << 63, MIN_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-    known = _Words()
-    for b in batches:
-        sets = [shingles(t.as_py(), NEAR_WORDS, known) for t in b.column("text")]
-        least = [((s[:, None] * salts) ^ (s[:, None] >> np.uint64(29))).min(axis=0).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column("mark"), b.column("root"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["mark", "root", "s", "least"])
+def compatible(x: dict[str, np.ndarray], radius: int, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes (i, j) of the rows of each unit whose fingerprints and numbers of shingles allow NEAR_LEAST similarity.
 
-
-def _prefixes(levels: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text the first shingles, rare ones first: two texts of NEAR_LEAST similarity share one of them."""
-        level, known = levels.value, _Words()
-        for b in batches:
-            toks, marks, ns, at = [], [], [], []
-            for mark, t in zip(b.column("mark").to_pylist(), b.column("text"), strict=True):
-                s = shingles(t.as_py(), NEAR_WORDS, known)
-                if not len(s):
+    Small units are compared many at once, every row with the k-th after it; in a large one, chunks along the
+    population count whose counts differ by more than ``radius`` are skipped, and of a two-sided one only pairs across.
+    """
+    unit, side, f, f2, n = x["unit"], x["side"], x["f"].view(np.uint64), x["f2"].view(np.uint64), x["n"]
+    ones = lambda p, q: np.bitwise_count(p) + np.bitwise_count(q)
+
+    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = n[i], n[j]
+        return (ones(f[i] ^ f[j], f2[i] ^ f2[j]) <= radius) & (np.minimum(a, b) >= NEAR_LEAST * np.maximum(a, b) - 1e-9)
+
+    starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    ends = np.r_[starts[1:], len(unit)]
+    few, k = np.flatnonzero(np.repeat(ends - starts <= small, ends - starts)), 1
+    while len(few) > k and (together := unit[few[k:]] == unit[few[:-k]]).any():
+        i, j = few[:-k][together], few[k:][together]
+        ok = alike(i, j)
+        yield i[ok], j[ok]
+        k += 1
+    for s, e in zip(starts, ends, strict=True):
+        if e - s <= small:
+            continue
+        at = s + np.argsort(ones(f[s:e], f2[s:e]), kind="stable")
+        pop = ones(f[at], f2[at]).astype(np.int64)
+        two = side[s:e].any() and not side[s:e].all()
+        rows, cols = (np.flatnonzero(side[at] == 0), np.flatnonzero(side[at] == 1)) if two else (np.arange(len(at)),) * 2
+        for r0 in range(0, len(rows), CHUNK_ROWS):
+            r = rows[r0 : r0 + CHUNK_ROWS]
+            for c0 in range(0 if two else r0, len(cols), CHUNK_ROWS):
+                c = cols[c0 : c0 + CHUNK_ROWS]
+                if pop[c[0]] - pop[r[-1]] > radius:
+                    break  # population counts only rise from here
+                if pop[r[0]] - pop[c[-1]] > radius:
                     continue
-                first = len(s) - int(np.ceil(NEAR_LEAST * len(s) - 1e-9)) + 1
-                # s is in order, so a stable sort by level orders by level, then hash
-                toks.append(s[np.argsort(level[s >> np.uint64(64 - BUCKET_BITS)], kind="stable")[:first]].view(np.int64))
-                marks.append(np.full(first, mark, np.int64))
-                ns.append(np.full(first, len(s), np.int32))
-                at.append(np.arange(first, dtype=np.int32))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, marks, ns, at)], ["tok", "mark", "n", "at"])
+                i, j = (z.ravel() for z in np.broadcast_arrays(at[r][:, None], at[c][None, :]))
+                ok = alike(i, j)
+                if not two and r0 == c0:
+                    ok &= np.tile(np.arange(len(c)), len(r)) > np.repeat(np.arange(len(r)), len(c))
+                yield i[ok], j[ok]
 
-    return run
+
+def _partners(radius: int):
+    """Of each row of a unit that is compatible with another one, its mark and the least mark of those."""
+
+    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        mark, best = x["mark"], np.full(len(x["mark"]), np.iinfo(np.int64).max)
+        for i, j in compatible(x, radius):
+            np.minimum.at(best, i, mark[j])
+            np.minimum.at(best, j, mark[i])
+        has = best < np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays([pa.array(x["tok"][has]), pa.array(mark[has]), pa.array(best[has])], ["tok", "a", "b"])
+
+    return lambda batches: (y for x in whole_units(batches) for y in pairs(x))
+
+
+def _crossing(radius: int):
+    """All compatible pairs of marks whose roots differ."""
+
+    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, j in compatible(x, radius):
+            apart = x["root"][i] != x["root"][j]
+            a, b = x["mark"][i[apart]], x["mark"][j[apart]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return lambda batches: (y for x in whole_units(batches) for y in pairs(x))
+
+
+def dealt(tiles: DataFrame, tile_rows: int, radius: int, keep: Scratch) -> DataFrame:
+    """Units of the tiles' rows, in order: a tile of up to ``tile_rows`` texts as one, a larger one cut along the population count."""
+    cold = tiles.where(F.col("g") <= tile_rows).select(F.col("tok").alias("unit"), F.lit(0).alias("side"), "*")
+    hot = tiles.where(F.col("g") > tile_rows)
+    if not hot.isEmpty():
+        rows = hot.select(F.lit(0).alias("block"), F.col("tok").alias("value"), (F.bit_count("f") + F.bit_count("f2")).alias("pos"), *hot.columns)
+        cold = cold.unionByName(units(rows, radius, tile_rows, hot.columns, keep))
+    return cold.repartition("unit").sortWithinPartitions("unit")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,94 +354,72 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common >= NEAR_LEAST * (F.size("s") + F.size("t") - common) - 1e-9).select("a", "b")
 
 
-def whole_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The texts, as bytes, of the rows that ``members`` (__id, __mark) names, with its further columns."""
-    seen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
-    return seen.join(members, same(seen, members, {"doc_id": "__id", "mark": "__mark"})).drop("doc_id", "__id", "__mark")
+def verified(docs: DataFrame, sketch: DataFrame, radius: int, tile_rows: int, hot_share: float, keep: Scratch) -> DataFrame:
+    """(node, root) over the text marks of ``sketch`` that reach another one by links of true similarity.
 
+    Texts that have a token in common form its tile.  In a tile of over ``tile_rows`` texts (a passage that many quote)
+    only those take part of whose tokens ``hot_share`` lie in such tiles: others that are similar meet elsewhere.
+    First each text is verified with the least of its compatible ones in every tile, which joins most of what is
+    alike by about as many pairs as texts; then all compatible pairs of each tile that are still apart.
+    """
+    texts = sketch.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("f").alias("f"), F.first("f2").alias("f2"), F.first("n").alias("n"), F.first("toks").alias("toks"))
+    texts = keep(texts)
+    tokens = texts.select(F.explode("toks").alias("tok"), "mark", "f", "f2", "n")
+    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
+    tiles = keep(tokens.join(shared, "tok"))
+    hot = tiles.where(F.col("g") > tile_rows)
+    if hot_share and not hot.isEmpty():
+        several = hot.groupBy("mark").agg(F.count(F.lit(1)).alias("k")).join(texts.select("mark", F.size("toks").alias("of")), "mark").where(F.col("k") >= hot_share * F.col("of")).select("mark")
+        again = hot.drop("g").join(keep(several), "mark")
+        again = again.join(again.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "tok")
+        tiles = keep(tiles.where(F.col("g") <= tile_rows).unionByName(again))
+
+    met = dealt(tiles, tile_rows, radius, keep).mapInArrow(_partners(radius), "tok bigint, a bigint, b bigint")
+    met = keep(met.groupBy("tok", "a").agg(F.min("b").alias("b")).select("a", "b").distinct())
+    asked = keep(texts.join(met.select(F.col("a").alias("mark")).distinct(), "mark").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    named = small(asked)
+    sets = keep(rows.join(named, same(rows, named, {"doc_id": "__id", "mark": "__mark"}), "left_semi").mapInArrow(_sets, "mark bigint, s array<bigint>").dropDuplicates(["mark"]))
+    met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = keep(similar(met, sets))
 
-def missing_links(docs: DataFrame, texts: DataFrame, reach: DataFrame, hot: DataFrame) -> DataFrame:
-    """(a, b) of NEAR_LEAST similarity for all pairs of texts that ``reach`` (node, root) leaves apart.
+    reach = keep(components(links))
+    rooted_rows = tiles.join(asked.select(F.col("__mark").alias("mark")), "mark").join(reach.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    apart = rooted_rows.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select("tok", "g")
+    rest = keep(rooted_rows.drop("g").join(apart, "tok"))
+    more = dealt(rest, tile_rows, radius, keep).mapInArrow(_crossing(radius), "a bigint, b bigint").distinct().join(met, ["a", "b"], "left_anti")
+    links = links.union(keep(similar(keep(more), sets)))
+    return components(links)
 
-    An exact set-similarity join: in an order that puts rare shingles first, two similar texts share one of their
-    first n - ceil(NEAR_LEAST n) + 1 shingles.  Only pairs of different groups are formed, by groups before texts, and
-    only where sizes and the shingle's places leave room for the similarity.  The order decides the work, not the result.
-    """
-    level = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for r in hot.groupBy("mark").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(HOT_BUCKETS).collect():
-        level[r["mark"]] = min(255, round(4 * np.log2(r["n"])))
-    levels = docs.sparkSession.sparkContext.broadcast(level)
-    seen = docs.where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
-    first = stored(seen.mapInArrow(_prefixes(levels), "tok bigint, mark bigint, n int, at int"))
-    rooted_rows = first.join(reach.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    apart = stored(rooted_rows.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tok"))
-    members = stored(rooted_rows.join(apart, "tok").distinct())
-    groups = members.groupBy("tok", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("at")).alias("room"))
-    x, y = (groups.select("tok", *(F.col(c).alias(f"{c}_{k}") for c in ("root", "lo", "hi", "room"))) for k in "xy")
-    least = lambda n, m: (n + m) * (NEAR_LEAST / (1 + NEAR_LEAST)) - 1e-6  # noqa: E731  shingles that similar texts of these sizes share
-    fits = (F.col("hi_x") >= NEAR_LEAST * F.col("lo_y") - 1e-6) & (F.col("hi_y") >= NEAR_LEAST * F.col("lo_x") - 1e-6) & (F.least("room_x", "room_y") >= least(F.col("lo_x"), F.col("lo_y")))
-    met = x.join(y, "tok").where((F.col("root_x") < F.col("root_y")) & fits).select("tok", "root_x", "root_y")
-    one, two = (members.select("tok", F.col("root").alias(f"root_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("mark", "n", "at"))) for k in "xy")
-    room = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
-    fits = (F.col("n_x") >= NEAR_LEAST * F.col("n_y") - 1e-6) & (F.col("n_y") >= NEAR_LEAST * F.col("n_x") - 1e-6) & (room >= least(F.col("n_x"), F.col("n_y")))
-    pairs = stored(met.join(one, ["tok", "root_x"]).join(two, ["tok", "root_y"]).where(fits).select(F.col("mark_x").alias("a"), F.col("mark_y").alias("b")).distinct())
-    asked = pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct()
-    named = stored(texts.join(asked, "mark").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
-    sets = stored(whole_texts(docs, named).mapInArrow(_sets, "mark bigint, s array<bigint>").dropDuplicates(["mark"]))
-    return similar(pairs, sets)
-
-
-def verified(docs: DataFrame, digests: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """(node, root) over the text marks of ``digests`` that reach another one by links of true similarity.
-
-    SimHash over distinct shingles at ``radius`` bits, between texts whose numbers of shingles allow the similarity,
-    gives coarse groups; by the usual estimate (not measured) one pair in six at 0.8 is beyond 12 bits.
-    Within those, texts that share one of MIN_HASHES least hashes are compared with one of the texts that have it: a
-    number of pairs in proportion to the texts, which joins most of what is alike.  What is still apart then meets by
-    an exact join over all texts (``missing_links``), so no link is lost, whatever the radius.  Only pairs whose sets of shingles have a Jaccard
-    similarity of NEAR_LEAST or more link.
-    """
-    hot, digests = digests.where("hot"), digests.where("not hot")
-    texts = digests.where("n > 0").groupBy("mark", "f", "n").agg(F.min("doc_id").alias("doc_id"))
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / NEAR_LEAST))).cast("int")
-    cells = texts.select("f", F.lit(0).alias("block"), F.lit(0).alias("value"), band.alias("pos")).distinct()
-    coarse = forest(units(cells, 1, tile_rows), radius).withColumnRenamed("node", "f")
-    # one fingerprint may stand for several texts
-    several = texts.groupBy("f").agg(F.count(F.lit(1)).alias("k")).where("k > 1").join(coarse, "f", "left_anti").select("f", F.col("f").alias("root"))
-    members = stored(texts.join(coarse.union(several), "f").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "root"))
-    sketch = cut(whole_texts(docs, members).select("mark", "root", "text").mapInArrow(_sketched, "mark bigint, root bigint, s array<bigint>, least array<bigint>").dropDuplicates(["mark"]))
-    keys = sketch.select("mark", "root", F.posexplode("least").alias("k", "least"))
-    # each k has another first text, so that few groups hang on one text that is like none of the others
-    firsts = keys.groupBy("root", "k", "least").agg(F.min_by("mark", F.xxhash64("k", "mark")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keys.join(firsts, ["root", "k", "least"]).where("mark <> first").select(F.col("mark").alias("a"), F.col("first").alias("b")).distinct()
-    reach = stored(components(similar(pairs, sketch)))
-    more = missing_links(docs, texts, reach, hot)
-    return components(reach.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-
-
-def dedupe(docs: DataFrame, radius: int = NEAR_RADIUS, tile_rows: int = NEAR_TILE_ROWS) -> DataFrame:
+
+def dedupe(docs: DataFrame, radius: int = NEAR_RADIUS, tile_rows: int = NEAR_TILE_ROWS, probes: int | None = PROBES, hot_share: float = HOT_SHARE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates; columns as they were.
 
-    Texts link if their sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR_LEAST or more (SimHash finds
-    most links, an exact join the others, see ``verified``); texts without words, nulls among them, are all alike.  Of each group of
-    reachable texts the row of the smallest doc_id stays; among rows that share that id the one of the smallest text
-    hash; rows that agree in id and text stay once.  A null id stays only where the group has no other.  An empty
-    table gives an empty result.
+    Texts link if their sets of NEAR_WORDS-word shingles have a Jaccard similarity of NEAR_LEAST or more; texts
+    without words, nulls among them, are all alike.  Of each group of reachable texts the row of the smallest doc_id
+    stays; among rows that share that id the one of the smallest text hash; rows that agree in id and text stay once.
+    A null id stays only where the group has no other.  An empty table gives an empty result.
+
+    Every pair that is compared in full links by its exact similarity.  A pair of 0.8 fails to be compared if none of
+    the ``probes`` least hashes is shared (0.2 ** 40; never, where a text has no more shingles), or if the fingerprints
+    differ in more than ``radius`` of 128 bits (about 2e-7 at 42).  ``probes=None, radius=128, hot_share=0`` is
+    the exact form: all of the prefix that similar texts must share, no pair skipped; it moves a fifth of all shingles.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
-    d = cut(rows.mapInArrow(_measured, "doc_id bigint, mark bigint, f bigint, n bigint, hot boolean"))
-    reach = verified(docs, d, radius, tile_rows).withColumnRenamed("node", "mark")
-    grouped_rows = d.where("not hot").join(reach, "mark", "left").withColumn("g", F.when(F.col("n") == 0, 0).otherwise(F.coalesce("root", "mark")))
-    rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")
-    best = grouped_rows.groupBy("g").agg(F.min(rank).alias("r")).select(F.col("g").alias("__g"), F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__mark"))
-    counted = grouped_rows.groupBy("g", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
-    verdict = counted.join(best, counted["g"] == best["__g"])
-    kept = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("mark").eqNullSafe(F.col("__mark"))
-    verdict = stored(verdict.select("doc_id", "mark", "rows", kept.alias("kept")))
-    drop = stored(verdict.where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
-    once = stored(verdict.where("kept and rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    with Scratch(docs.sparkSession) as keep:
+        d = keep(rows.mapInArrow(_sketched(probes), "doc_id bigint, mark bigint, f bigint, f2 bigint, n int, toks array<bigint>"))
+        reach = verified(docs, d, radius, tile_rows, hot_share, keep).withColumnRenamed("node", "mark")
+        grouped_rows = d.select("doc_id", "mark", "n").join(reach, "mark", "left").withColumn("g", F.when(F.col("n") == 0, 0).otherwise(F.coalesce("root", "mark")))
+        rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")
+        best = grouped_rows.groupBy("g").agg(F.min(rank).alias("r")).select(F.col("g").alias("__g"), F.col("r.doc_id").alias("__id"), F.col("r.mark").alias("__mark"))
+        counted = grouped_rows.groupBy("g", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
+        verdict = counted.join(best, counted["g"] == best["__g"])
+        kept = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("mark").eqNullSafe(F.col("__mark"))
+        verdict = keep(verdict.select("doc_id", "mark", "rows", kept.alias("kept")))
+        drop = stored(verdict.where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+        once = stored(verdict.where("kept and rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
     text = free_name(docs, "mark")
-    seen = docs.withColumn(text, F.xxhash64("text"))
+    seen, drop = docs.withColumn(text, F.xxhash64("text")), small(drop)
     rest = seen.join(drop, same(seen, drop, {"doc_id": "__id", text: "__mark"}), "left_anti")
     if not once.isEmpty():
         on = same(rest, once, {"doc_id": "__id", text: "__mark"})
