@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, stored
+from .common import free_name, same, small, stored
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 
@@ -67,14 +67,8 @@ def sketches(items: DataFrame, size: int, threshold: float) -> DataFrame:
     return kept.select("item", need.alias("need"), F.explode(F.slice("all", F.lit(1), F.size("all") - need + 1)["h"]).alias("h"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, containment, n_shared and n_item for every document that holds ``threshold`` of an item's shingles.
-
-    Shingles are distinct runs of ``size`` words, or all words of a shorter text; texts without words, nulls among
-    them, hold nothing and are held by nothing.  Rows that repeat a doc_id or an item_id give one row a pair of ids,
-    that of the largest containment (then the larger item).  Null ids are kept as an id.  Empty tables give an empty
-    result; other columns are ignored.  The sketches are broadcast only if their table is below Spark's threshold.
-    """
+def held(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, mark (hash of the text), item_id, n_shared, n_item and containment of every row that holds ``threshold`` of an item's shingles."""
     items = benchmark.select("item_id", F.xxhash64("item_id", "text").alias("item"), "text").dropDuplicates(["item_id", "text"])
     sketch = stored(sketches(items.select("item", "text"), size, threshold))
     d = split_words(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"))
@@ -82,18 +76,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE_WORDS, thre
     found = stored(seen.join(sketch, (seen["h"] == sketch["h"]) & (seen["held"] >= sketch["need"])).select(F.col("doc_id").alias("id"), F.col("mark").alias("m"), "item").distinct())
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    pairs = texts.join(found, same(texts, found, {"doc_id": "id", "mark": "m"})).select("doc_id", "item", "text")
+    pairs = texts.join(found, same(texts, found, {"doc_id": "id", "mark": "m"})).select("doc_id", "mark", "item", "text")
     p = split_words(pairs)
-    p = p.select("doc_id", "item", spelt(p, size).alias("s"))
+    p = p.select("doc_id", "mark", "item", spelt(p, size).alias("s"))
     i = split_words(items)
     i = i.select("item", "item_id", spelt(i, size).alias("t"))
-    both = p.join(i, "item").select("doc_id", "item_id", F.size(F.array_intersect("s", "t")).cast("bigint").alias("n_shared"), F.size("t").cast("bigint").alias("n_item"))
-    both = both.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+    both = p.join(i, "item").select("doc_id", "mark", "item_id", F.size(F.array_intersect("s", "t")).cast("bigint").alias("n_shared"), F.size("t").cast("bigint").alias("n_item"))
+    return both.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9)).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, containment, n_shared and n_item for every document that holds ``threshold`` of an item's shingles.
+
+    Shingles are distinct runs of ``size`` words, or all words of a shorter text; texts without words, nulls among
+    them, hold nothing and are held by nothing.  Rows that repeat a doc_id or an item_id give one row a pair of ids,
+    that of the largest containment (then the larger item).  Null ids are kept as an id.  Empty tables give an empty
+    result; other columns are ignored.  The sketches are broadcast only if their table is below Spark's threshold.
+    """
+    both = held(docs, benchmark, size, threshold)
     best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_item", "n_shared")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.containment").alias("containment"), F.col("b.n_shared").alias("n_shared"), F.col("b.n_item").alias("n_item"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id leaks no item; columns as they were."""
-    bad = stored(leaks(docs, benchmark, size, threshold).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(bad, same(docs, bad, {"doc_id": "__id"}), "left_anti")
+    """The rows of ``docs`` whose text holds no item; columns as they were.
+
+    A row goes by its id and its text, so rows that share an id, null among them, are judged each by its own text.
+    """
+    bad = small(stored(held(docs, benchmark, size, threshold).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()))
+    mark = free_name(docs, "mark")
+    seen = docs.withColumn(mark, F.xxhash64("text"))
+    return seen.join(bad, same(seen, bad, {"doc_id": "__id", mark: "__mark"}), "left_anti").drop(mark)
