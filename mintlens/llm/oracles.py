@@ -13,7 +13,7 @@ def _text(s: str) -> str:
 def _spelt(kind: str, pattern: str, group: int, least: int) -> str:
     """The rule for RE2: letters in either case spelt out, as its folding goes beyond ASCII; where a match has no parts,
     its least length in the pattern, as a run that is long enough is the same run."""
-    if kind in secrets.ANY_CASE:
+    if kind in secrets.BASE.any_case:
         head, _, tail = pattern.partition(")")
         return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + ")" + tail
     return pattern[:-1] + f"{{{least - (len('AKIA') if pattern.startswith('AKIA') else 0)},}}"
@@ -22,14 +22,14 @@ def _spelt(kind: str, pattern: str, group: int, least: int) -> str:
 def secrets_sql() -> str:
     size = "list_transform({}, lambda x: len(x))"
     kinds = []
-    for n, rule in enumerate(secrets.RULES):
+    for n, rule in enumerate(secrets.BASE.rules):
         kind, _, group, least = rule
         p = _text(_spelt(*rule))
         at = f"CAST(list_sum({size.format('g[1:i]')}) + coalesce(list_sum({size.format('w[1:i - 1]')}), 0) AS BIGINT)"
         kinds.append(f"SELECT row, {n} AS n, {_text(kind)} AS kind, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'s': {at}, 'e': {at} + len(w[i]), 'v': len(v[i])}})) AS m FROM (SELECT row, regexp_extract_all(t, {p}, 0) AS w, regexp_extract_all(t, {p}, {group}) AS v, regexp_split_to_array(t, {p}) AS g FROM d)")
-    counts = ", ".join(f"count(*) FILTER (kind = {_text(k)}) AS n_{k}" for k, *_ in secrets.RULES)
-    floor = " ".join(f"WHEN {_text(k)} THEN {least}" for k, _, _, least in secrets.RULES)
-    names = [f"n_{k}" for k, *_ in secrets.RULES]
+    counts = ", ".join(f"count(*) FILTER (kind = {_text(k)}) AS n_{k}" for k, *_ in secrets.BASE.rules)
+    floor = " ".join(f"WHEN {_text(k)} THEN {least}" for k, _, _, least in secrets.BASE.rules)
+    names = [f"n_{k}" for k, *_ in secrets.BASE.rules]
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
 m AS ({" UNION ALL ".join(kinds)}),
