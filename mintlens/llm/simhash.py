@@ -9,12 +9,13 @@ work.  Units are compared in full by numpy exclusive-or and bit counts and emit
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut, free_name, same, small, stored
@@ -24,10 +25,10 @@ from .graph import components
 SHINGLE_WORDS, HASH_SEED, RADIUS = 3, 42, 2
 #: Fingerprints in the largest tile that is compared as one; rows of numpy work at once; hashes counted at once.
 TILE_ROWS, CHUNK_ROWS, HASH_CHUNK = 2048, 256, 1 << 15
-#: Removal of near-duplicates: words in a shingle, least similarity, most of 128 bits that differ, texts in a tile compared as one.
-NEAR_WORDS, NEAR_LEAST, NEAR_RADIUS, NEAR_TILE_ROWS = 5, 0.8, 42, 1024
+#: Removal of near-duplicates: words in a shingle, least similarity, bits of a fingerprint, most that differ, texts in a tile compared as one.
+NEAR_WORDS, NEAR_LEAST, NEAR_BITS, NEAR_RADIUS, NEAR_TILE_ROWS = 5, 0.8, 512, 120, 1024
 #: Least shingle hashes by which a text meets others, and the share of them from which frequent ones count too.
-PROBES, HOT_SHARE = 40, 0.5
+PROBES, HOT_SHARE = 24, 0.5
 
 
 def fingerprint(text: bytes | None, words_per: int = SHINGLE_WORDS) -> int:
@@ -106,20 +107,27 @@ def small_links(unit: np.ndarray, f: np.ndarray, radius: int) -> tuple[np.ndarra
     return f[moved], f[labels[moved]]
 
 
-def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.ChunkedArray]]:
     """The columns of batches that come ordered by unit, cut between units: the last of each waits for the next batch."""
-    held: list[dict[str, np.ndarray]] = []
-    together = lambda: {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+    held: list[pa.RecordBatch] = []
+
+    def together() -> dict[str, pa.ChunkedArray]:
+        t = pa.Table.from_batches(held)
+        return dict(zip(t.schema.names, t.columns, strict=True))
+
     for b in batches:
         if not b.num_rows:
             continue
-        x = {k: b.column(k).to_numpy() for k in b.schema.names}
-        first = int(np.argmax(x["unit"] == x["unit"][-1]))  # where the last unit begins
-        if first or held and held[-1]["unit"][-1] != x["unit"][0]:
-            held.append({k: y[:first] for k, y in x.items()})
+        unit = b.column("unit").to_numpy()
+        first = int(np.argmax(unit == unit[-1]))  # where the last unit begins
+        if held and held[-1].column("unit")[0].as_py() != unit[0]:
+            yield together()
+            held = []
+        if first:
+            held.append(b.slice(0, first))
             yield together()
             held = []
-        held.append({k: y[first:] for k, y in x.items()})
+        held.append(b.slice(first))
     if held:
         yield together()
 
@@ -134,7 +142,7 @@ def _links(radius: int, small: int = 64):
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return lambda batches: (edges(x["unit"], x["side"], x["f"].view(np.uint64)) for x in whole_units(batches))
+    return lambda batches: (edges(x["unit"].to_numpy(), x["side"].to_numpy(), x["f"].to_numpy().view(np.uint64)) for x in whole_units(batches))
 
 
 def block_rows(f: DataFrame, radius: int) -> DataFrame:
@@ -213,7 +221,7 @@ class _Words(dict):
     """Hashes of words, forgotten when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 18:
+        if len(self) > 1 << 16:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, HASH_SEED)
         return h
@@ -231,15 +239,18 @@ def shingles(text: bytes | None, words_per: int, known: _Words) -> np.ndarray:
     return np.unique(h)
 
 
-def set_fingerprint(s: np.ndarray) -> tuple[int, int]:
-    """The SimHash, in two halves of 64 bits, of distinct shingles, each counted once, as in the similarity that links are verified by."""
-    ones = np.zeros(128, np.int64)
-    for at in range(0, len(s), HASH_CHUNK):
-        h = s[at : at + HASH_CHUNK]
-        h = np.stack([h, (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)], axis=1)
-        h[:, 1] ^= h[:, 1] >> np.uint64(29)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return tuple(np.packbits(2 * ones > len(s), bitorder="little").view(np.int64).tolist())
+#: Odd numbers, one for each 64 bits of a fingerprint, by which the hash of a shingle is spread over them.
+_SPREAD = np.random.default_rng(HASH_SEED).integers(1, 1 << 63, NEAR_BITS // 64, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def set_fingerprint(s: np.ndarray) -> bytes:
+    """The SimHash, of NEAR_BITS bits, of distinct shingles, each counted once, as in the similarity that links are verified by."""
+    ones = np.zeros(NEAR_BITS, np.int64)
+    for at in range(0, len(s), HASH_CHUNK // 8):
+        h = (s[at : at + HASH_CHUNK // 8, None] ^ (s[at : at + HASH_CHUNK // 8, None] >> np.uint64(31))) * _SPREAD
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(s), bitorder="little").tobytes()
 
 
 def prefix(n: int) -> int:
@@ -252,10 +263,10 @@ def _sketched(probes: int | None):
         known = _Words()
         for b in batches:
             sets = [shingles(t.as_py(), NEAR_WORDS, known) for t in b.column("text")]
-            f, f2 = np.array([set_fingerprint(s) for s in sets], np.int64).reshape(-1, 2).T
+            f = pa.array([set_fingerprint(s) for s in sets], pa.binary())
             toks = [s[: probes or prefix(len(s))].view(np.int64) for s in sets]
             n = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(f), pa.array(f2), n, pa.array(toks, pa.list_(pa.int64()))], ["doc_id", "mark", "f", "f2", "n", "toks"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), f, n, pa.array(toks, pa.list_(pa.int64()))], ["doc_id", "mark", "f", "n", "toks"])
 
     return run
 
@@ -267,32 +278,35 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array(s, pa.list_(pa.int64()))], ["mark", "s"])
 
 
-def compatible(x: dict[str, np.ndarray], radius: int, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes (i, j) of the rows of each unit whose fingerprints and numbers of shingles allow NEAR_LEAST similarity.
+Pairs = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def compatible(x: dict[str, pa.ChunkedArray], radius: int, small: int = 64) -> Pairs:
+    """Indexes i and j of the rows of each unit whose numbers of shingles and fingerprints allow NEAR_LEAST similarity, and the bits that differ.
 
     Small units are compared many at once, every row with the k-th after it; in a large one, chunks along the
     population count whose counts differ by more than ``radius`` are skipped, and of a two-sided one only pairs across.
     """
-    unit, side, f, f2, n = x["unit"], x["side"], x["f"].view(np.uint64), x["f2"].view(np.uint64), x["n"]
-    ones = lambda p, q: np.bitwise_count(p) + np.bitwise_count(q)
+    unit, side, n = (x[k].to_numpy() for k in ("unit", "side", "n"))
+    f = np.frombuffer(b"".join(x["f"].to_pylist()), np.uint64).reshape(len(unit), -1)
 
-    def alike(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        a, b = n[i], n[j]
-        return (ones(f[i] ^ f[j], f2[i] ^ f2[j]) <= radius) & (np.minimum(a, b) >= NEAR_LEAST * np.maximum(a, b) - 1e-9)
+    def alike(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sized = np.minimum(n[i], n[j]) >= NEAR_LEAST * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[sized], j[sized]
+        bits = np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64)
+        return i[bits <= radius], j[bits <= radius], bits[bits <= radius]
 
     starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     ends = np.r_[starts[1:], len(unit)]
     few, k = np.flatnonzero(np.repeat(ends - starts <= small, ends - starts)), 1
     while len(few) > k and (together := unit[few[k:]] == unit[few[:-k]]).any():
-        i, j = few[:-k][together], few[k:][together]
-        ok = alike(i, j)
-        yield i[ok], j[ok]
+        yield alike(few[:-k][together], few[k:][together])
         k += 1
     for s, e in zip(starts, ends, strict=True):
         if e - s <= small:
             continue
-        at = s + np.argsort(ones(f[s:e], f2[s:e]), kind="stable")
-        pop = ones(f[at], f2[at]).astype(np.int64)
+        pop = np.bitwise_count(f[s:e]).sum(axis=1, dtype=np.int64)
+        at, pop = s + np.argsort(pop, kind="stable"), np.sort(pop)
         two = side[s:e].any() and not side[s:e].all()
         rows, cols = (np.flatnonzero(side[at] == 0), np.flatnonzero(side[at] == 1)) if two else (np.arange(len(at)),) * 2
         for r0 in range(0, len(rows), CHUNK_ROWS):
@@ -303,34 +317,45 @@ def compatible(x: dict[str, np.ndarray], radius: int, small: int = 64) -> Iterat
                     break  # population counts only rise from here
                 if pop[r[0]] - pop[c[-1]] > radius:
                     continue
-                i, j = (z.ravel() for z in np.broadcast_arrays(at[r][:, None], at[c][None, :]))
-                ok = alike(i, j)
+                i, j = (z.ravel() for z in np.broadcast_arrays(r[:, None], c[None, :]))
                 if not two and r0 == c0:
-                    ok &= np.tile(np.arange(len(c)), len(r)) > np.repeat(np.arange(len(r)), len(c))
-                yield i[ok], j[ok]
+                    i, j = i[i < j], j[i < j]
+                yield alike(at[i], at[j])
 
 
 def _partners(radius: int):
-    """Of each row of a unit that is compatible with another one, its mark and the least mark of those."""
+    """Of each row of a unit that is compatible with others, its mark with the least mark of those and with the nearest (bits, mark)."""
 
-    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        mark, best = x["mark"], np.full(len(x["mark"]), np.iinfo(np.int64).max)
-        for i, j in compatible(x, radius):
-            np.minimum.at(best, i, mark[j])
-            np.minimum.at(best, j, mark[i])
-        has = best < np.iinfo(np.int64).max
-        yield pa.RecordBatch.from_arrays([pa.array(x["tok"][has]), pa.array(mark[has]), pa.array(best[has])], ["tok", "a", "b"])
+    def pairs(x: dict[str, pa.ChunkedArray]) -> pa.RecordBatch:
+        mark, tok, far = x["mark"].to_numpy(), x["tok"].to_numpy(), np.iinfo(np.int64).max
+        least, bits, near = (np.full(len(mark), far) for _ in range(3))
+        for i, j, d in compatible(x, radius):
+            for p, q in ((i, j), (j, i)):
+                np.minimum.at(least, p, mark[q])
+                was = bits.copy()
+                np.minimum.at(bits, p, d)
+                near[bits < was] = far
+                best = d == bits[p]
+                np.minimum.at(near, p[best], mark[q[best]])
+        has = near < far
+        return pa.RecordBatch.from_arrays([pa.array(y[has]) for y in (tok, mark, least, bits, near)], ["tok", "a", "least", "bits", "near"])
 
-    return lambda batches: (y for x in whole_units(batches) for y in pairs(x))
+    return lambda batches: (pairs(x) for x in whole_units(batches))
 
 
 def _crossing(radius: int):
-    """All compatible pairs of marks whose roots differ."""
-
-    def pairs(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for i, j in compatible(x, radius):
-            apart = x["root"][i] != x["root"][j]
-            a, b = x["mark"][i[apart]], x["mark"][j[apart]]
+    """All compatible pairs of marks whose roots differ, each in the unit of the least token that both have only."""
+
+    def pairs(x: dict[str, pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
+        root, mark, tok = (x[k].to_numpy() for k in ("root", "mark", "tok"))
+        lists = x["live"].combine_chunks()
+        count, toks = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+        starts = np.r_[0, np.cumsum(count)]
+        for i, j, _ in compatible(x, radius):
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            first = np.fromiter((t == np.intersect1d(toks[starts[p] : starts[p + 1]], toks[starts[q] : starts[q + 1]], assume_unique=True)[0] for p, q, t in zip(i, j, tok[i], strict=True)), bool, len(i))
+            a, b = mark[i[first]], mark[j[first]]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
@@ -342,7 +367,8 @@ def dealt(tiles: DataFrame, tile_rows: int, radius: int, keep: Scratch) -> DataF
     cold = tiles.where(F.col("g") <= tile_rows).select(F.col("tok").alias("unit"), F.lit(0).alias("side"), "*")
     hot = tiles.where(F.col("g") > tile_rows)
     if not hot.isEmpty():
-        rows = hot.select(F.lit(0).alias("block"), F.col("tok").alias("value"), (F.bit_count("f") + F.bit_count("f2")).alias("pos"), *hot.columns)
+        words = (F.conv(F.hex(F.substring("f", 8 * k + 1, 8)), 16, -10).cast("bigint") for k in range(NEAR_BITS // 64))
+        rows = hot.select(F.lit(0).alias("block"), F.col("tok").alias("value"), reduce(Column.__add__, map(F.bit_count, words)).alias("pos"), *hot.columns)
         cold = cold.unionByName(units(rows, radius, tile_rows, hot.columns, keep))
     return cold.repartition("unit").sortWithinPartitions("unit")
 
@@ -359,23 +385,22 @@ def verified(docs: DataFrame, sketch: DataFrame, radius: int, tile_rows: int, ho
 
     Texts that have a token in common form its tile.  In a tile of over ``tile_rows`` texts (a passage that many quote)
     only those take part of whose tokens ``hot_share`` lie in such tiles: others that are similar meet elsewhere.
-    First each text is verified with the least of its compatible ones in every tile, which joins most of what is
-    alike by about as many pairs as texts; then all compatible pairs of each tile that are still apart.
+    First each text is verified with the least and the nearest of its compatible ones in every tile, which joins most
+    of what is alike by a few pairs a text; then all compatible pairs that are still apart, each once.
     """
-    texts = sketch.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("f").alias("f"), F.first("f2").alias("f2"), F.first("n").alias("n"), F.first("toks").alias("toks"))
-    texts = keep(texts)
-    tokens = texts.select(F.explode("toks").alias("tok"), "mark", "f", "f2", "n")
-    shared = tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    tiles = keep(tokens.join(shared, "tok"))
+    texts = keep(sketch.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("f", "n", "toks"))))
+    tokens = texts.select(F.explode("toks").alias("tok"), "mark")
+    tiles = keep(tokens.join(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "tok"))
     hot = tiles.where(F.col("g") > tile_rows)
     if hot_share and not hot.isEmpty():
         several = hot.groupBy("mark").agg(F.count(F.lit(1)).alias("k")).join(texts.select("mark", F.size("toks").alias("of")), "mark").where(F.col("k") >= hot_share * F.col("of")).select("mark")
-        again = hot.drop("g").join(keep(several), "mark")
+        again = keep(hot.drop("g").join(several, "mark"))
         again = again.join(again.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "tok")
         tiles = keep(tiles.where(F.col("g") <= tile_rows).unionByName(again))
 
-    met = dealt(tiles, tile_rows, radius, keep).mapInArrow(_partners(radius), "tok bigint, a bigint, b bigint")
-    met = keep(met.groupBy("tok", "a").agg(F.min("b").alias("b")).select("a", "b").distinct())
+    prints = texts.select("mark", "f", "n")
+    met = dealt(tiles.join(prints, "mark"), tile_rows, radius, keep).mapInArrow(_partners(radius), "tok bigint, a bigint, least bigint, bits bigint, near bigint")
+    met = keep(met.groupBy("tok", "a").agg(F.min("least").alias("least"), F.min(F.struct("bits", "near")).alias("x")).select("a", F.explode(F.array("least", "x.near")).alias("b")).distinct())
     asked = keep(texts.join(met.select(F.col("a").alias("mark")).distinct(), "mark").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     named = small(asked)
@@ -383,13 +408,13 @@ def verified(docs: DataFrame, sketch: DataFrame, radius: int, tile_rows: int, ho
     met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = keep(similar(met, sets))
 
-    reach = keep(components(links))
-    rooted_rows = tiles.join(asked.select(F.col("__mark").alias("mark")), "mark").join(reach.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    apart = rooted_rows.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select("tok", "g")
-    rest = keep(rooted_rows.drop("g").join(apart, "tok"))
-    more = dealt(rest, tile_rows, radius, keep).mapInArrow(_crossing(radius), "a bigint, b bigint").distinct().join(met, ["a", "b"], "left_anti")
-    links = links.union(keep(similar(keep(more), sets)))
-    return components(links)
+    reach = keep(components(links)).withColumnRenamed("node", "mark")
+    left = tiles.drop("g").join(asked.select(F.col("__mark").alias("mark")).join(reach, "mark", "left").withColumn("root", F.coalesce("root", "mark")), "mark")
+    apart = left.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select("tok", "g")
+    left = keep(left.join(apart, "tok"))
+    live = left.groupBy("mark").agg(F.sort_array(F.collect_list("tok")).alias("live")).join(prints, "mark")  # ``probes`` tokens a text at most
+    more = dealt(left.join(live, "mark"), tile_rows, radius, keep).mapInArrow(_crossing(radius), "a bigint, b bigint").distinct().join(met, ["a", "b"], "left_anti")
+    return components(links.union(keep(similar(keep(more), sets))))
 
 
 def dedupe(docs: DataFrame, radius: int = NEAR_RADIUS, tile_rows: int = NEAR_TILE_ROWS, probes: int | None = PROBES, hot_share: float = HOT_SHARE) -> DataFrame:
@@ -400,14 +425,15 @@ def dedupe(docs: DataFrame, radius: int = NEAR_RADIUS, tile_rows: int = NEAR_TIL
     stays; among rows that share that id the one of the smallest text hash; rows that agree in id and text stay once.
     A null id stays only where the group has no other.  An empty table gives an empty result.
 
-    Every pair that is compared in full links by its exact similarity.  A pair of 0.8 fails to be compared if none of
-    the ``probes`` least hashes is shared (0.2 ** 40; never, where a text has no more shingles), or if the fingerprints
-    differ in more than ``radius`` of 128 bits (about 2e-7 at 42).  ``probes=None, radius=128, hot_share=0`` is
+    Links are exact.  A pair of 0.8 is only missed if none of the ``probes`` least hashes is shared (0.2 ** 24; never,
+    where a text has no more shingles; up to 6e-4 if most of them lie in tiles of over ``tile_rows`` texts and most of
+    the others differ), or if the fingerprints differ in more than ``radius`` of 512 bits (about 1e-6 at 120).
+    ``probes=None, radius=512, hot_share=0`` is
     the exact form: all of the prefix that similar texts must share, no pair skipped; it moves a fifth of all shingles.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     with Scratch(docs.sparkSession) as keep:
-        d = keep(rows.mapInArrow(_sketched(probes), "doc_id bigint, mark bigint, f bigint, f2 bigint, n int, toks array<bigint>"))
+        d = keep(rows.mapInArrow(_sketched(probes), "doc_id bigint, mark bigint, f binary, n int, toks array<bigint>"))
         reach = verified(docs, d, radius, tile_rows, hot_share, keep).withColumnRenamed("node", "mark")
         grouped_rows = d.select("doc_id", "mark", "n").join(reach, "mark", "left").withColumn("g", F.when(F.col("n") == 0, 0).otherwise(F.coalesce("root", "mark")))
         rank = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "mark")
