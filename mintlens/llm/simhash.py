@@ -27,6 +27,8 @@ SHINGLE_WORDS, HASH_SEED, RADIUS = 3, 42, 2
 TILE_ROWS, CHUNK_ROWS, HASH_CHUNK = 2048, 256, 1 << 15
 #: Removal of near-duplicates: words in a shingle, least similarity, bits of a fingerprint, most that differ, texts in a tile compared as one.
 NEAR_WORDS, NEAR_LEAST, NEAR_BITS, NEAR_RADIUS, NEAR_TILE_ROWS = 5, 0.8, 512, 120, 1024
+#: Least shingles that large tiles screen pairs by, and texts from which a tile is large.
+SCREEN, SCREENED_ROWS = 256, 64
 #: Least shingle hashes by which a text meets others, and the share of them from which frequent ones count too.
 PROBES, HOT_SHARE = 24, 0.5
 
@@ -343,21 +345,48 @@ def _partners(radius: int):
     return lambda batches: (pairs(x) for x in whole_units(batches))
 
 
+def padded(lists: pa.ChunkedArray, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of numbers (null: empty) as one matrix, filled up on the right, and their lengths."""
+    lists = lists.combine_chunks()
+    size = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    values = lists.flatten().to_numpy()
+    out = np.full((len(size), max(1, size.max(initial=0))), fill, values.dtype)
+    out[np.arange(out.shape[1]) < size[:, None]] = values
+    return out, size
+
+
+def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the rows of two matrices, padded by -1, share; one that a row repeats counts again, so never too few."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)
+    return same.sum(axis=1)
+
+
 def _crossing(radius: int):
-    """All compatible pairs of marks whose roots differ, each in the unit of the least token that both have only."""
+    """All compatible pairs of marks whose roots differ, each in the unit of the least token that both have only.
+
+    Where rows bring the least SCREEN of their shingles, cut to 15 bits, pairs that these rule out are left aside:
+    with no more shingles than that because too few can be shared, else by five standard deviations.
+    """
 
     def pairs(x: dict[str, pa.ChunkedArray]) -> Iterator[pa.RecordBatch]:
-        root, mark, tok = (x[k].to_numpy() for k in ("root", "mark", "tok"))
-        lists = x["live"].combine_chunks()
-        count, toks = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
-        starts = np.r_[0, np.cumsum(count)]
-        for i, j, _ in compatible(x, radius):
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-            first = np.fromiter((t == np.intersect1d(toks[starts[p] : starts[p + 1]], toks[starts[q] : starts[q + 1]], assume_unique=True)[0] for p, q, t in zip(i, j, tok[i], strict=True)), bool, len(i))
-            a, b = mark[i[first]], mark[j[first]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        root, mark, tok, n = (x[k].to_numpy() for k in ("root", "mark", "tok", "n"))
+        live, _ = padded(x["live"], np.iinfo(np.int64).max)
+        cut_to, held = padded(x["least"], -1)
+        for every_i, every_j, _ in compatible(x, radius):
+            for at in range(0, len(every_i), 4096):
+                i, j = every_i[at : at + 4096], every_j[at : at + 4096]
+                i, j = (y[root[i] != root[j]] for y in (i, j))
+                before = np.where(live[i] < tok[i, None], live[i], -1)
+                other = np.where(live[j] < tok[j, None], live[j], -2)
+                i, j = (y[~(before[:, :, None] == other[:, None, :]).any(axis=(1, 2))] for y in (i, j))
+                told = (held[i] > 0) & (held[j] > 0)
+                c = common(cut_to[i], cut_to[j])
+                whole = (n[i] <= SCREEN) & (n[j] <= SCREEN)
+                least = np.where(whole, (n[i] + n[j]) * (NEAR_LEAST / (1 + NEAR_LEAST)) - 1e-6, NEAR_LEAST * SCREEN - 5 * np.sqrt(NEAR_LEAST * (1 - NEAR_LEAST) * SCREEN))
+                i, j = (y[~told | (c >= least)] for y in (i, j))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(mark[i], mark[j])), pa.array(np.minimum(mark[i], mark[j]))], ["a", "b"])
 
     return lambda batches: (y for x in whole_units(batches) for y in pairs(x))
 
@@ -390,12 +419,13 @@ def verified(docs: DataFrame, sketch: DataFrame, radius: int, tile_rows: int, ho
     """
     texts = keep(sketch.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("f", "n", "toks"))))
     tokens = texts.select(F.explode("toks").alias("tok"), "mark")
-    tiles = keep(tokens.join(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "tok"))
+    # counts are tables of their own, so that Spark can split the frequent tokens of the join
+    tiles = keep(tokens.join(keep(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1")), "tok"))
     hot = tiles.where(F.col("g") > tile_rows)
     if hot_share and not hot.isEmpty():
         several = hot.groupBy("mark").agg(F.count(F.lit(1)).alias("k")).join(texts.select("mark", F.size("toks").alias("of")), "mark").where(F.col("k") >= hot_share * F.col("of")).select("mark")
         again = keep(hot.drop("g").join(several, "mark"))
-        again = again.join(again.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1"), "tok")
+        again = again.join(keep(again.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1")), "tok")
         tiles = keep(tiles.where(F.col("g") <= tile_rows).unionByName(again))
 
     prints = texts.select("mark", "f", "n")
@@ -410,10 +440,13 @@ def verified(docs: DataFrame, sketch: DataFrame, radius: int, tile_rows: int, ho
 
     reach = keep(components(links)).withColumnRenamed("node", "mark")
     left = tiles.drop("g").join(asked.select(F.col("__mark").alias("mark")).join(reach, "mark", "left").withColumn("root", F.coalesce("root", "mark")), "mark")
+    left = keep(left)
     apart = left.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select("tok", "g")
-    left = keep(left.join(apart, "tok"))
-    live = left.groupBy("mark").agg(F.sort_array(F.collect_list("tok")).alias("live")).join(prints, "mark")  # ``probes`` tokens a text at most
-    more = dealt(left.join(live, "mark"), tile_rows, radius, keep).mapInArrow(_crossing(radius), "a bigint, b bigint").distinct().join(met, ["a", "b"], "left_anti")
+    left = keep(left.join(keep(apart), "tok"))
+    live = left.groupBy("mark").agg(F.collect_list("tok").alias("live")).join(prints, "mark")  # ``probes`` tokens a text at most
+    live = live.join(sets.select("mark", F.transform(F.slice("s", 1, SCREEN), lambda h: h.bitwiseAND(0x7FFF).cast("smallint")).alias("least")), "mark")
+    left = left.join(live, "mark").withColumn("least", F.when(F.col("g") > SCREENED_ROWS, F.col("least")))
+    more = dealt(left, tile_rows, radius, keep).mapInArrow(_crossing(radius), "a bigint, b bigint").distinct().join(met, ["a", "b"], "left_anti")
     return components(links.union(keep(similar(keep(more), sets))))
 
 
