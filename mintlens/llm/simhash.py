@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile_rows: int = TILE
     empty table gives an empty result; other columns are ignored.  Texts of any length are counted whole, in chunks.
     """
     d = cut(fingerprints(docs))
-    out = d.select("doc_id", "f").join(grouped(d, radius, tile_rows), "f")
+    # the groups are a table of their own, so that Spark can split the join where copies of one text fill a third of the rows
+    out = d.select("doc_id", "f").join(stored(grouped(d, radius, tile_rows)), "f")
     return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
