@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set (local tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where none is set and Spark is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if not (folder or context.getCheckpointDir() or re.fullmatch(r"local(\[.*\])?", context.master)):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mintlens-"))
     return folder or context.getCheckpointDir()

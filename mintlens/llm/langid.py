@@ -28,14 +28,38 @@ TEMPER, MOST_TEXT = 0.25, 40.0
 #: Pages that a coarser level counts for when it smooths a finer one.
 SMOOTH = 8.0
 
-_DROP = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_HIDDEN = re.compile(r"(?i)<(script|style|noscript)\b")
+_CLOSING = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript")}
 _GAP = re.compile(r"[\W\d_]+")
-_LANG = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
+_LANG = r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
 
 
 def page_text(html: str | None) -> str:
-    """The visible text of a page: without scripts, styles, comments and tags, entities resolved."""
-    return entities.unescape(_DROP.sub(" ", html or ""))
+    """The visible text of a page: without scripts, styles, comments and tags, entities resolved.
+
+    What is opened and never closed loses its tag only, as does a comment.  One pass, whatever is left open.
+    """
+    html, out, at, endless = html or "", [], 0, set()
+    while (lt := html.find("<", at)) >= 0:
+        out += [html[at:lt], " "]
+        end, hidden = None, _HIDDEN.match(html, lt)
+        kind = "comment" if html.startswith("<!--", lt) else hidden[1].lower() if hidden else None
+        if kind and kind not in endless:
+            if kind == "comment":
+                found = html.find("-->", lt + 4)
+                end = found + 3 if found >= 0 else None
+            elif closed := _CLOSING[kind].search(html, hidden.end()):
+                end = closed.end()
+            if end is None:
+                endless.add(kind)
+        if end is None:
+            gt = html.find(">", lt)
+            if gt < 0:
+                out[-1], at = html[lt:], len(html)
+                break
+            end = gt + 1
+        at = end
+    return entities.unescape("".join([*out, html[at:]]))
 
 
 def trigrams(text: str) -> Counter:
@@ -68,15 +92,16 @@ class TextModel:
 
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> TextModel:
-    """Text models of all languages, from at most TRAIN_DOCS documents of each, by the least hash of id and text.
+    """Text models of all languages, from about TRAIN_DOCS documents of each at most, by the hash of id and text.
 
+    Rows that agree in language, id and text count once, and the share that is taken is of such distinct rows.
     Null languages and texts are left out.  Of each language at most TRIGRAMS trigrams reach the driver, its most frequent.
     """
-    d = docs.select(F.col(lang).alias("lang"), "doc_id", F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = d.groupBy("lang").count()
+    d = docs.select(F.col(lang).alias("lang"), F.xxhash64("doc_id", F.col(text)).alias("key"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = cut(d.select("lang", "key").distinct().groupBy("lang").count())
     # rows whose hash falls into the share that leaves TRAIN_DOCS of the language, as counted over all documents
-    unit = (F.xxhash64("doc_id", "lang").bitwiseAND((1 << 52) - 1) / float(1 << 52)).alias("unit")
-    chosen = d.join(F.broadcast(share), "lang").where(unit * F.col("count") < TRAIN_DOCS).select("lang", "text")
+    unit = F.col("key").bitwiseAND((1 << 52) - 1) / float(1 << 52)
+    chosen = d.join(share, "lang").where(unit * F.col("count") < TRAIN_DOCS).dropDuplicates(["lang", "key"]).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

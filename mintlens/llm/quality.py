@@ -109,12 +109,14 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """stats and label (double) of at most ``rows`` labelled documents that are not held out, in one partition.
 
-    Ids labelled twice take the lower label; null labels, labels other than 0 and 1, and null ids are left out.
+    Of rows that share an id, the one of the least text hash stands for it.  Ids labelled twice take the lower label; null labels, labels other than 0 and 1, and null ids are left out.
     """
     own = labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("id")) & F.col("id").isNotNull())
     own = own.groupBy("id").agg(F.min("label").cast("double").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(own), F.col("doc_id") == F.col("id"))  # ``rows`` ids at most
-    return cut(texts.select("doc_id", F.col("label"), measured("text").alias("stats"))).repartition(1).sortWithinPartitions("doc_id", "stats")
+    seen = texts.select("id", "label", F.xxhash64("text").alias("mark"), measured("text").alias("stats"))
+    one = seen.groupBy("id").agg(F.min(F.struct("mark", "stats", "label")).alias("r")).select(F.col("id").alias("doc_id"), "r.label", "r.stats")
+    return one.repartition(1).sortWithinPartitions("doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:

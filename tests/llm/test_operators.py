@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from dataclasses import replace
 
@@ -273,6 +274,12 @@ def test_quality_on_held_out_rows(spark):
     df = clashing(docs_frame(spark), "stats", "score")
     got = quality.scores(df, model).collect()
     assert len(got) == df.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    lines = lambda stats: model.intercept + sum(w for rule, w in model.rules if all(above < stats[k] <= most for k, above, most in rule))
+    want = [(r.doc_id, 1 / (1 + np.exp(-lines(quality.statistics((r.text or "").encode()))))) for r in df.collect()]
+    assert sorted(((str(d), round(x, 9)) for d, x in want)) == sorted((str(r.doc_id), round(r.score, 9)) for r in got) and model.rules
+    one = labels.limit(1).first().doc_id
+    again = docs.where(docs.doc_id == one).crossJoin(spark.range(50)).drop("id")
+    assert quality.sample(docs.unionByName(again), labels).count() == quality.sample(docs, labels).count()
     kept = quality.keep_good(df, model)
     assert kept.columns == df.columns and same_rows([(r.doc_id,) for r in kept.collect()], [(r.doc_id,) for r in got if r.predicted])
     assert quality.scores(df.limit(0), model).count() == 0
@@ -450,6 +457,64 @@ def test_declaration_after_a_long_comment(spark):
     assert (got.declared, got.lang) == ("de", "de")
 
 
+def test_page_text_is_linear_and_drops_what_the_rules_drop():
+    old = re.compile(r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    random.seed(23)
+    bits = ["<script>", "</script >", "<STYLE a=1>", "</style>", "<!--", "-->", "<p>", "</p", ">", "<", "<!-->", "x", "a < b", "</noscript>", "<noscript>", "<scripty>", "\n"]
+    for _ in range(3000):
+        html = "".join(random.choices(bits, k=random.randint(0, 14)))
+        assert langid.page_text(html) == old.sub(" ", html), html
+    for unclosed in ("<script>", "<!--", "<style", "<"):
+        began = time.perf_counter()
+        langid.page_text(unclosed * 200_000)
+        assert time.perf_counter() - began < 5
+
+
+def test_one_id_for_many_rows_keeps_a_language(spark):
+    docs = [(1 + n % 3, f"der die das wort{n}", "de") for n in range(300)] + [(None, "the same again and again", "en")] * 300 + [(7, "le la les", "fr")]
+    model = langid.train(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["de", "en", "fr"] and {" de", " th", " le"} <= set(model.place)
+
+
+def slow_languages(pages, model):
+    """The posterior of every page from the given text likelihoods, by the sums that the operator aggregates."""
+    rows = []
+    for page in pages:
+        host = m[1].lower() if (m := re.search(r"://([^/?#:]*)", page.url or "")) else ""
+        said = m[1].lower() if (m := re.search(r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", page.html or "")) else ""
+        ll = np.array(model.log_likelihoods(langid.page_text(page.html)))
+        p = np.exp(ll - ll.max())
+        rows.append((page.page_id, host, said if said in model.languages or not said else "other", ll, p / p.sum()))
+    total = lambda which: sum((p for *_, p in filter(which, rows)), np.zeros(len(model.languages)))
+    smooth = lambda c, base: (np.maximum(c, 0) + langid.SMOOTH * base) / (np.maximum(c, 0).sum() + langid.SMOOTH)
+    kinds = {said for _, _, said, *_ in rows}
+    out = []
+    for key, host, said, ll, p in rows:
+        labels = host.split(".")
+        base = smooth(total(lambda r: True) - p, np.full(len(p), 1 / len(p)))
+        domain = smooth(total(lambda r: r[1].split(".")[-2:] == labels[-2:]) - p, base)
+        prior = smooth(total(lambda r: r[1] == host) - p, domain)
+        suffix = smooth(total(lambda r: r[1].split(".")[-1] == labels[-1]) - p, base)
+        w = ll + np.log(suffix / base) + np.log(prior)
+        if said:
+            w = w + np.log((np.maximum(total(lambda r: r[2] == said) - p, 0) + 1) / (np.maximum(total(lambda r: True) - p, 0) + len(kinds) + 1))
+        w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+        out.append((key, model.languages[int(np.argmax(w))], float(w.max()), said or None, host))
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    model = langid.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    odd = [(9001, None, None), (9003, "no scheme", "<html lang='fr'></html>"), (9004, "http://only.example.org/de/1", "<html lang=zz><p></p>")]
+    pages = pages.unionByName(spark.createDataFrame(odd, pages.schema))
+    want = {r[0]: r for r in slow_languages(pages.collect(), model)}
+    got = {r.page_id: r for r in langid.identify(pages, model).collect()}
+    assert got.keys() == want.keys()
+    for key, (_, lang, confidence, declared, host) in want.items():
+        assert (got[key].lang, got[key].declared, got[key].host) == (lang, declared, host) and abs(got[key].confidence - confidence) < 1e-9
+
+
 # -- 10 BPE ---------------------------------------------------------------------------------------------------------------------------------
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
