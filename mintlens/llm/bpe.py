@@ -14,7 +14,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Words whose ids a Python worker remembers before it forgets them all; pairs likewise.
-WORDS_KEPT, PAIRS_KEPT = 400_000, 400_000
+WORDS_KEPT, PAIRS_KEPT = 150_000, 150_000
 #: Bytes of text whose words are learnt at once; bytes beyond which a word is merged alone; words merged side by side.
 GROUP_BYTES, LONG_WORD, ROWS_MERGED = 1 << 21, 48, 2048
 #: Bits that hold an id; a rank above all others.
@@ -298,19 +300,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` of about GROUP_BYTES of text, one row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = (np.cumsum(sizes) - sizes) // GROUP_BYTES
-    cuts = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), batch.num_rows] if batch.num_rows else []
-    for lo, hi in pairwise(cuts):
-        yield batch.slice(lo, hi - lo)
-
-
 def _encode(path: str, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
+        for b in (part for whole in batches for part in slices(whole, whole.num_columns - 1, GROUP_BYTES)):
             ids = v.encode_batch(b.column(b.num_columns - 1).to_pylist())
             more = [v.decode_batch(ids)] if decode else []
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *more], [*b.schema.names[:-1], "ids", *["decoded"] * decode])

@@ -5,7 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +83,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def slices(batch: pa.RecordBatch, column: int, group_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of about ``group_bytes`` of text in ``column``, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = (np.cumsum(sizes) - sizes) // group_bytes
+    cuts = [*np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), batch.num_rows] if batch.num_rows else []
+    for lo, hi in pairwise(cuts):
+        yield batch.slice(lo, hi - lo)
+
+
 def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]) -> Column:
     """Null-safe equality of the paired columns, as a join condition."""
     cond = F.lit(True)

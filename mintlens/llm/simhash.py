@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, free_name, same, small, stored
+from .common import Scratch, cut, free_name, same, slices, small, stored
 from .graph import components
 
 #: Words in a shingle, seed of its hash, most bits by which linked fingerprints differ.
@@ -264,7 +264,7 @@ def prefix(n: int) -> int:
 def _sketched(probes: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("text"))):
             sets = [shingles(t.as_py(), NEAR_WORDS, known) for t in b.column("text")]
             f = pa.array([set_fingerprint(s) for s in sets], pa.binary())
             toks = [s[: probes or prefix(len(s))].view(np.int64) for s in sets]
@@ -276,7 +276,7 @@ def _sketched(probes: int | None):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _Words()
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("text"))):
         s = [shingles(t.as_py(), NEAR_WORDS, known).view(np.int64) for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("mark"), pa.array(s, pa.list_(pa.int64()))], ["mark", "s"])
 
