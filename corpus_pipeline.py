@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mintlens.llm import bpe, decontam, quality, secrets, simhash
-from mintlens.llm.common import read, stored
+from mintlens.llm.common import read, stored, text_batches
 from mintlens.llm.queries import vocabulary_path
 
 
@@ -19,6 +19,7 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    text_batches(spark)
     return simhash.dedupe(docs)
 
 
@@ -29,11 +30,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
+    text_batches(spark)
     return secrets.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the token ids of each text."""
+    text_batches(spark)
     return bpe.encode(docs, vocabulary_path(), keep=("doc_id", "lang", "source"))
 
 

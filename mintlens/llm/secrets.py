@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,9 +82,12 @@ LEDGER = T.StructType([
 
 
 def _scan(rules: RuleSet):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"blob": b["blob"], "rule_version": b["rule_version"], "findings": [[{"kind": k, "start": s, "end": e} for k, s, e in rules.find(t or "")] for t in b["text"]]})
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in rules.find(t.as_py() or "")] for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("blob"), b.column("rule_version"), pa.array(found, kind)], LEDGER.names)
 
     return run
 
@@ -105,7 +108,7 @@ def scan(rows: DataFrame, ledger: DataFrame | None = None, rules: RuleSet = BASE
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == rules.version).select("blob")
         blobs = blobs.join(seen, "blob", "left_anti")
-    return blobs.select("blob", F.lit(rules.version).alias("rule_version"), "text").mapInPandas(_scan(rules), LEDGER)
+    return blobs.select("blob", F.lit(rules.version).alias("rule_version"), "text").mapInArrow(_scan(rules), LEDGER)
 
 
 def scan_history(versions: DataFrame, ledger: DataFrame | None = None, path: str = "doc_id", text: str = "text", rules: RuleSet = BASE) -> tuple[DataFrame, DataFrame]:
@@ -165,9 +168,9 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: RuleSet = BA
     blob, findings = free_name(docs, "blob"), free_name(docs, "findings")
     known = known.where((F.col("rule_version") == rules.version) & (F.size("findings") > 0)).select(F.col("blob").alias(blob), F.col("findings").alias(findings))
 
-    @F.pandas_udf("string")
-    def mask(text: pd.Series, findings: pd.Series) -> pd.Series:
-        return pd.Series([t if f is None or t is None else masked(t, f) for t, f in zip(text, findings, strict=True)])
+    @F.arrow_udf("string")
+    def mask(text: pa.Array, findings: pa.Array) -> pa.Array:
+        return pa.array([t if f is None or t is None else masked(t, f) for t, f in zip(text.to_pylist(), findings.to_pylist(), strict=True)], pa.string())
 
     joined = hot.withColumn(blob, F.sha2(F.col("text").cast("binary"), 256)).join(known, blob, "left")
     clean = joined.withColumn("text", F.when(F.col(findings).isNull(), F.col("text")).otherwise(mask("text", findings)))
