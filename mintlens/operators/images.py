@@ -66,7 +66,7 @@ def scored(df: DataFrame) -> DataFrame:
     flat = lambda x: F.when(k(f"{x}_std_intensity") < 8.0, span(8.0 - k(f"{x}_std_intensity"), 0.0, 8.0) * 0.20).otherwise(0.0)
     patch = {f"{x}_corner_score": 100.0 * (1.0 - clamp(0.35 * span(k(f"{x}_highlight_ratio"), 0.01, 0.20) + 0.45 * span(k(f"{x}_roughness"), 35.0, 550.0) + 0.20 * flat(x))) for x in CORNERS}
     d = df.withColumns({
-        "geometry": _with("geometry", aspect_quality=aspect_quality(F.lit(0.714))),
+        "geometry": _with("geometry", aspect_quality=aspect_quality(v("aspect_ratio"))),
         "centering": _with("centering", horizontal_balance=rounded(balance(c("left_margin"), c("right_margin")), 3), vertical_balance=rounded(balance(c("top_margin"), c("bottom_margin")), 3)),
         "edge": _with("edge", **band, edge_confidence=clamp(0.45 * span(s("lighting_blur"), 40.0, 300.0) + 0.30 * span(s("lighting_contrast"), 20.0, 70.0) + 0.25 * span(mean(*(e(f"{x}_std_intensity") for x in SIDES)), 8.0, 35.0))),
         "corner": _with("corner", **patch, corner_confidence=clamp(0.45 * span(s("lighting_blur"), 40.0, 450.0) + 0.30 * span(s("lighting_contrast"), 20.0, 70.0) + 0.25 * span(mean(*(k(f"{x}_std_intensity") for x in CORNERS)), 8.0, 35.0))),
@@ -84,13 +84,13 @@ def scored(df: DataFrame) -> DataFrame:
         "postwarp": _with("postwarp", rectified_aspect_ratio_score=aspect, frame_coherence_score=clamp(0.40 * p("outer_border_score") + 0.30 * p("outer_border_continuity_score") + 0.30 * p("margin_consistency_score"))),
     })
     d = d.withColumns({
-        "surface": _with("surface", whitening_score=scoring.whitening_penalised(s("edge_whitening_ratio"), s("corner_whitening_ratio"), s("lighting_blur"), s("lighting_contrast"), "score_capture", s("surface_score"))),
+        "surface": _with("surface", lighting_capture=F.col("score_capture"), whitening_score=scoring.whitening_penalised(s("edge_whitening_ratio"), s("corner_whitening_ratio"), s("lighting_blur"), s("lighting_contrast"), "score_capture", s("surface_score"))),
         "postwarp": _with("postwarp", postwarp_score_raw=clamp(0.24 * p("rectified_aspect_ratio_score") + 0.26 * p("outer_border_score") + 0.18 * p("outer_border_continuity_score") + 0.16 * p("margin_consistency_score") + 0.16 * (1.0 - p("crop_risk_score")))),
     })
     d = d.withColumn("surface", _with("surface", whitening_surface_score=0.55 * s("whitening_score") + 0.45 * s("surface_score")))
     done = lambda x: F.when(F.col("stage") == "done", x)  # noqa: E731  a clamped null would be the least score
     d = d.withColumns({
-        "score_prelim": done(scoring.preliminary("score_capture", F.col("geometry.coverage_ratio"), F.lit(0.714), F.col("detection.used_fallback"))),
+        "score_prelim": done(scoring.preliminary("score_capture", F.col("geometry.coverage_ratio"), v("aspect_ratio"), F.col("detection.used_fallback"))),
         "score_centering": done(scoring.centering(c("horizontal_balance"), c("vertical_balance"))),
         "score_edge": done(scoring.edge(e("edge_score"), e("edge_confidence"))),
         "score_corner": done(scoring.corner(k("corner_score"), k("corner_confidence"))),
@@ -98,7 +98,7 @@ def scored(df: DataFrame) -> DataFrame:
     })
     made = {
         "capture": scoring.capture_parts(v("blur_score"), v("brightness_score"), v("contrast_score")),
-        "prelim": scoring.preliminary_parts("score_capture", F.col("geometry.coverage_ratio"), F.lit(0.714), F.col("detection.used_fallback")),
+        "prelim": scoring.preliminary_parts("score_capture", F.col("geometry.coverage_ratio"), v("aspect_ratio"), F.col("detection.used_fallback")),
         "centering": {"horizontal_component": c("horizontal_balance"), "vertical_component": c("vertical_balance")},
         "edge": scoring.confident_parts(e("edge_score"), 100.0, e("edge_confidence"), "edge") | {f"{x}_edge_score": e(f"{x}_edge_score") for x in SIDES},
         "corner": scoring.confident_parts(k("corner_score"), 100.0, k("corner_confidence"), "corner") | {f"{x}_corner_score": k(f"{x}_corner_score") for x in CORNERS},
@@ -130,7 +130,7 @@ def dataset(images: DataFrame) -> DataFrame:
         "invalid_reasons": F.when(ended.isNull(), status["invalid_reasons"]).otherwise(F.col("stage")),
         "usable_for_condition_model": ended.isNull() & status["usable_for_condition_model"],
         "procesado_exito": F.col("stage") == "done",
-        "capture_assessment": rules.capture_assessment(F.col("detection.used_fallback"), F.col("geometry.coverage_ratio"), F.lit(0.714), "score_capture"),
+        "capture_assessment": rules.capture_assessment(F.col("detection.used_fallback"), F.col("geometry.coverage_ratio"), F.col("visual.aspect_ratio"), "score_capture"),
     }).withColumnsRenamed({"stage": "pipeline_stage", "height": "image_height", "width": "image_width", "centering": "centrado", "edge": "borde", "corner": "esquina", "surface": "superficie"})
     joined = names.join(d, names["path"] == d["origin"]).drop("path", "origin")
     label = rules.normal_label("categoria_carpeta_raw")

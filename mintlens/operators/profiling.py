@@ -78,7 +78,7 @@ def class_report(counts: DataFrame) -> DataFrame:
 
 def ordered_hash(column: str, seed: int = 42) -> Column:
     """A shuffle that any engine can repeat: multiplication modulo a prime."""
-    return F.pmod(F.col(column) * F.lit(2654435761) + F.lit(seed), F.lit(1000003))
+    return F.pmod(F.pmod(F.col(column).cast("bigint"), F.lit(1000003)) * F.lit(2654435761) + F.lit(seed), F.lit(1000003))
 
 
 def stratified(df: DataFrame, key: str, target: str, share: float = 0.8, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -91,7 +91,7 @@ def stratified(df: DataFrame, key: str, target: str, share: float = 0.8, folds:
     sizes = d.groupBy(target, "__b").agg(F.count(F.lit(1)).alias("__n"))  # at most 245 buckets a class
     before = Window.partitionBy(target).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(target).alias("__t"), F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"), F.sum("__n").over(Window.partitionBy(target)).alias("__all"))
-    joined = d.join(starts, d[target].eqNullSafe(starts["__t"]) & (d["__b"] == starts["__c"]))
+    joined = d.join(starts, d[target].eqNullSafe(starts["__t"]) & d["__b"].eqNullSafe(starts["__c"]))
     rank = F.col("__s") + F.row_number().over(Window.partitionBy(target, "__b").orderBy("__h", key)) - 1
     out = joined.withColumn("__r", rank)
     return out.select(*df.columns, F.when(F.col("__r") < F.floor(F.col("__all") * share), "train").otherwise("test").alias("split"), (F.col("__r") % folds).cast("bigint").alias("fold"))

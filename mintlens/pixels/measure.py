@@ -108,7 +108,7 @@ def surface(bgr: np.ndarray) -> dict[str, float]:
     return {
         "edge_whitening_ratio": float(np.mean(sides)), "corner_whitening_ratio": float(np.mean(corners)), "whitening_confidence": min(1.0, 0.55 + 0.20 * min(1.0, b / 18) + 0.25 * min(1.0, p / 36)),
         "edge_band_width_px": b, "corner_patch_size_px": p, "glare_ratio": float(f.majority((rv >= 245) & (rs <= 35)).mean()), "texture_anomaly_ratio": float(f.opened(rough).mean()),
-        "dark_spot_ratio": float(f.opened(spots).mean()), "surface_confidence": min(1.0, 0.5 + min(roi.shape[:2]) / 1200), "roi_width": roi.shape[1], "roi_height": roi.shape[0],
+        "dark_spot_ratio": float(f.opened(spots).mean()), "surface_confidence": min(1.0, 0.60 + 0.20 * min(1.0, roi.shape[0] / 400) + 0.20 * min(1.0, roi.shape[1] / 280)), "roi_width": roi.shape[1], "roi_height": roi.shape[0],
     }
 
 
@@ -215,15 +215,15 @@ def rectified(bgr: np.ndarray, quad: np.ndarray, height: tuple[int, int] = (700,
 
 def analyse(bgr: np.ndarray) -> tuple[str, dict[str, dict[str, float]]]:
     """The stage that was reached ("done" at best) and the measurements of each family up to it."""
-    out = {"visual": visual(bgr)}
     found = detect(bgr)
     if found is None:
-        return "detection_failed", out
+        return "detection_failed", {}
+    out = {}
     quad = found.pop("quad")
     out["detection"] = found | {f"{p}_{a}": float(quad[k][j]) for k, p in enumerate(("tl", "tr", "br", "bl")) for j, a in enumerate("xy")}
     out["geometry"] = {"coverage_ratio": f.polygon_area(quad) / (bgr.shape[0] * bgr.shape[1])}
     card = rectified(bgr, quad)
-    out |= {"postwarp": postwarp(card), "centering": centering(card), "edge": edge(card), "corner": corner(card), "surface": surface(card)}
-    own = visual(card)
-    out["surface"] |= {"lighting_blur": own["blur_score"], "lighting_contrast": own["contrast_score"], "lighting_capture": own["brightness_score"]}
+    own = visual(card)  # of the card alone, without what lies around it
+    out |= {"visual": own, "postwarp": postwarp(card), "centering": centering(card), "edge": edge(card), "corner": corner(card), "surface": surface(card)}
+    out["surface"] |= {"lighting_blur": own["blur_score"], "lighting_contrast": own["contrast_score"]}
     return "done", out

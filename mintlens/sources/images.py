@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +31,10 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
 def with_names(df: DataFrame, root: str) -> DataFrame:
     """``df`` with relative_path, image_filename, image_id (the name without suffix) and label (the first folder, or "unknown")."""
-    base = root.rstrip("/").split("://")[-1].removeprefix("file:").rstrip("/").split("/")[-1]
-    rel = F.regexp_extract("path", rf".*?/{base}/(.*)$", 1) if base else F.col("path")
+    base = urlsplit(root).path.rstrip("/")
+    # a root from "/" is stripped whole, whatever scheme and authority stand before it; another one at its first occurrence
+    head = r"^(?:[A-Za-z][\w+.-]*:(?://[^/]*)?)?" if base.startswith("/") else r"^.*?/"
+    rel = F.regexp_extract("path", f"{head}{re.escape(base)}/(.*)$", 1) if base else F.col("path")
     name = F.element_at(F.split("relative_path", "/"), -1)
     return df.withColumn("relative_path", rel).withColumns({"image_filename": name, "image_id": F.regexp_replace(name, r"\.[^.]*$", ""), "label": label_of("relative_path")})
 

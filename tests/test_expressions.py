@@ -201,3 +201,20 @@ def test_settings():
     assert (t.blur_low, t.fallback_best, t.dark) == (80.0, 1.0, 75.0)
     assert parse_bool("Yes", False) and not parse_bool("off", True) and parse_bool("?", True)
     assert m.isclose(Thresholds().weak_confidence, 0.45)
+
+
+def test_split_takes_large_and_null_keys(spark):
+    from mintlens.operators.profiling import stratified
+
+    keys = [5_000_000_000, 2**62, -3, 0, None, None, *range(1, 40)]
+    df = spark.createDataFrame([(k, n % 2) for n, k in enumerate(keys)], "k bigint, t int")
+    rows = stratified(df, "k", "t").collect()
+    assert len(rows) == len(keys) and {r.fold for r in rows} == set(range(5)) and sum(r.split == "train" for r in rows) == int(23 * 0.8) + int(22 * 0.8)
+
+
+def test_names_strip_the_whole_root(spark):
+    from mintlens.sources.images import with_names
+
+    for root, path in (("/data/cards/x/cards", "file:/data/cards/x/cards/Ok/a.b.png"), ("file:///d.(1)/cards/", "file:///d.(1)/cards/Ok/a.b.png"), ("viewfs://store/in/cards", "viewfs://store/in/cards/Ok/a.b.png"), ("cards", "file:/home/cards/Ok/a.b.png")):
+        r = with_names(spark.createDataFrame([(path,)], "path string"), root).first()
+        assert (r.relative_path, r.label, r.image_filename, r.image_id) == ("Ok/a.b.png", "ok", "a.b.png", "a.b")
