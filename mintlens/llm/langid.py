@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small, stored
 
 #: Labelled documents a language that the text models are trained on, and trigrams a language that they keep.
 TRAIN_DOCS, TRIGRAMS = 2000, 4000
@@ -98,7 +98,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> TextModel:
     Null languages and texts are left out.  Of each language at most TRIGRAMS trigrams reach the driver, its most frequent.
     """
     d = docs.select(F.col(lang).alias("lang"), F.xxhash64("doc_id", F.col(text)).alias("key"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = cut(d.select("lang", "key").distinct().groupBy("lang").count())
+    share = small(stored(d.select("lang", "key").distinct().groupBy("lang").count()))
     # rows whose hash falls into the share that leaves TRAIN_DOCS of the language, as counted over all documents
     unit = F.col("key").bitwiseAND((1 << 52) - 1) / float(1 << 52)
     chosen = d.join(share, "lang").where(unit * F.col("count") < TRAIN_DOCS).dropDuplicates(["lang", "key"]).select("lang", "text")
