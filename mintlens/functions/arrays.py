@@ -74,6 +74,21 @@ def longest_run(a, limit: float) -> Column:
     return F.aggregate(_a(a), zero, step, lambda s: s["best"])
 
 
+def peaks(a, most: int = 8, distance: int = 5) -> Column:
+    """Indices (from 0) of up to ``most`` peaks, the greatest first: each takes the greatest element that is left, the first
+    of equals, and blanks out all within ``distance`` of it; none that is 0 or less is a peak.
+    """
+
+    def step(s: Column, _: Column) -> Column:
+        top = F.array_max(s["left"])
+        at = (F.array_position(s["left"], top) - 1).cast("int")
+        left = F.transform(s["left"], lambda x, k: F.when(F.abs(k - at) <= distance, 0.0).otherwise(x))
+        return F.when(top > 0, F.struct(left.alias("left"), F.array_append(s["found"], at).alias("found"))).otherwise(s)
+
+    zero = F.struct(_a(a).alias("left"), F.array().cast("array<int>").alias("found"))
+    return F.when(_a(a).isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(most)), zero, step, lambda s: s["found"]))
+
+
 def window_peak(a, lo: float, hi: float) -> Column:
     """The greatest element between two shares of the array's length."""
     a = _a(a)

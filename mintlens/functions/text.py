@@ -97,6 +97,18 @@ def clean_scan(x) -> Column:
     return F.initcap(F.array_join(good, " "))
 
 
+def token_confidence(tokens) -> Column:
+    """Mean confidence of recognised tokens (array of structs text, conf) that are not blank and have one of 0 or more; -1 for none."""
+    good = F.filter(_s(tokens), lambda t: (F.trim(t["text"]) != "") & (t["conf"] >= 0))
+    total = F.aggregate(good, F.lit(0.0), lambda s, t: s + t["conf"].cast("double"))
+    return F.when(F.size(good) > 0, total / F.size(good)).otherwise(-1.0)
+
+
+def token_text(tokens) -> Column:
+    """The tokens' texts, trimmed, those that are not blank, joined by single blanks."""
+    return F.array_join(F.filter(F.transform(_s(tokens), lambda t: F.trim(t["text"])), lambda t: t != ""), " ")
+
+
 def first_usable(*xs) -> Column:
     """The first value that is neither null nor blank."""
     return F.coalesce(*(F.nullif(F.trim(_s(x)), F.lit("")) for x in xs))

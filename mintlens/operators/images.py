@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.math import aspect_quality, balance, clamp, mean, num, rounded, safe, span, steps
 from ..schema import ANALYSIS, CORNERS, FAMILIES, SCHEMA_VERSION, SCORE_PARTS, SIDES
@@ -14,41 +15,45 @@ from . import rules, scoring
 from .flatten import flatten, leading_first
 
 
-def measured(images: DataFrame, rows_a_batch: int = 8) -> DataFrame:
-    """origin, height, width, stage, error and a struct of raw measurements for each family, of every image.
+def measured(images: DataFrame, rows_a_batch: int = 8, keep: Sequence[str] = (), fallback: bool = True) -> DataFrame:
+    """The columns ``keep``, then origin, height, width, stage, error and a struct of raw measurements for each family.
 
     A file that did not decode has the stage ``read_error``; an image on which the analysis fails keeps a row with the
-    stage ``exception`` and the message, and the others go on.  Rasters stay within the pass: ``rows_a_batch`` of them
-    at a time are in a worker's memory, and none is shuffled.
+    stage ``exception`` and the message, and the others go on.  Where no card stands out a centred box is measured in
+    its place, or with ``fallback`` off the stage is ``detection_failed``.  Rasters stay within the pass and are
+    never shuffled: Spark's ``arrow.maxBytesPerBatch`` bounds what a worker receives at once, and the results of
+    ``rows_a_batch`` images leave together.
     """
+    kept = [images.schema[c] for c in keep]
+    schema = T.StructType([*kept, *T.StructType.fromDDL(ANALYSIS)])
+    inputs = ["path", "height", "width", "nChannels", "data"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from mintlens.pixels.filters import as_bgr
         from mintlens.pixels.measure import analyse
 
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                row = {"origin": r.path, "height": None, "width": None, "stage": "read_error", "error": None}
-                found: dict[str, dict] = {}
-                if r.nChannels > 0:
-                    row |= {"height": r.height, "width": r.width}
-                    try:
-                        row["stage"], found = analyse(as_bgr(r.data, r.height, r.width, r.nChannels))
-                    except Exception as e:  # one image must not fail the others
-                        row |= {"stage": "exception", "error": f"{type(e).__name__}: {e}"}
-                rows.append(row | {f: {n: float(found[f][n]) if n in found.get(f, ()) else None for n in names} if f in found else None for f, names in FAMILIES.items()})
-            yield pd.DataFrame(rows, columns=["origin", "height", "width", "stage", "error", *FAMILIES])
-
-    # small batches: a raster is as large as thousands of ordinary rows
-    spark = images.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows_a_batch)
-    try:
-        return images.select("path", "height", "width", "nChannels", "data").mapInPandas(run, ANALYSIS)
-    finally:
-        spark.conf.set(key, before)
+        def row(path: str, height: int, width: int, channels: int, data: pa.Scalar) -> dict:
+            out = {"origin": path, "height": None, "width": None, "stage": "read_error", "error": None}
+            if channels is None or channels <= 0:
+                return out
+            out |= {"height": height, "width": width}
+            try:
+                out["stage"], found = analyse(as_bgr(data.as_buffer(), height, width, channels), fallback)
+            except Exception as e:  # one image must not fail the others
+                return out | {"stage": "exception", "error": f"{type(e).__name__}: {e}"}
+            return out | {f: {n: float(values[n]) for n in FAMILIES[f] if n in values} for f, values in found.items()}
+
+        types = {"origin": pa.string(), "height": pa.int32(), "width": pa.int32(), "stage": pa.string(), "error": pa.string()}
+        types |= {f: pa.struct([(n, pa.float64()) for n in names]) for f, names in FAMILIES.items()}
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows_a_batch):
+                b = whole.slice(at, rows_a_batch)
+                plain = (b.column(k).to_pylist() for k in range(4))
+                rows = [row(*values, b.column(4)[n]) for n, values in enumerate(zip(*plain, strict=True))]
+                found = [pa.array([r.get(name) for r in rows], kind) for name, kind in types.items()]
+                yield pa.RecordBatch.from_arrays([*b.columns[len(inputs) :], *found], [*keep, *types])
+
+    return images.select(*inputs, *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep))).mapInArrow(run, schema)
 
 
 def _with(block: str, **values: Column) -> Column:
@@ -113,10 +118,13 @@ def scored(df: DataFrame) -> DataFrame:
     return d
 
 
-def dataset(images: DataFrame) -> DataFrame:
-    """The wide row of every image: keys, status, flat measurements and scores, the leading columns first."""
-    names = images.select("path", "image_id", "image_filename", F.col("relative_path").alias("relative_path_from_raw"), F.col("label").alias("categoria_carpeta_raw"))
-    d = scored(measured(images))
+def dataset(images: DataFrame, fallback: bool = True) -> DataFrame:
+    """The wide row of every image: keys, status, flat measurements and scores, the leading columns first.
+
+    One pass decodes and measures; the names of an image travel through it, so repeated paths each keep their row.
+    """
+    named = images.withColumnsRenamed({"relative_path": "relative_path_from_raw", "label": "categoria_carpeta_raw"})
+    d = scored(measured(named, keep=("image_id", "image_filename", "relative_path_from_raw", "categoria_carpeta_raw"), fallback=fallback))
     post = clamp(safe(F.col("postwarp.postwarp_score_raw")) * rules.context_factor("detection.weak_detection", "detection.detection_confidence"))
     decided = rules.postwarp_decision(post, *(safe(F.col(f"postwarp.{n}")) for n in ("rectified_aspect_ratio_score", "outer_border_score", "outer_border_continuity_score", "margin_consistency_score", "crop_risk_score")))
     d = d.withColumns({"postwarp_valid": decided["postwarp_valid"], "postwarp_score": post, "postwarp_retry": decided["retry_recommended"]})
@@ -131,8 +139,10 @@ def dataset(images: DataFrame) -> DataFrame:
         "usable_for_condition_model": ended.isNull() & status["usable_for_condition_model"],
         "procesado_exito": F.col("stage") == "done",
         "capture_assessment": rules.capture_assessment(F.col("detection.used_fallback"), F.col("geometry.coverage_ratio"), F.col("visual.aspect_ratio"), "score_capture"),
+        "capture_message": rules.capture_message(F.col("detection.used_fallback"), F.col("geometry.coverage_ratio"), F.col("visual.aspect_ratio"), "score_capture"),
+        "edge": _with("edge", edge_label=rules.part_label(F.col("edge.edge_score"))),
+        "corner": _with("corner", corner_label=rules.part_label(F.col("corner.corner_score_raw"))),
     }).withColumnsRenamed({"stage": "pipeline_stage", "height": "image_height", "width": "image_width", "centering": "centrado", "edge": "borde", "corner": "esquina", "surface": "superficie"})
-    joined = names.join(d, names["path"] == d["origin"]).drop("path", "origin")
     label = rules.normal_label("categoria_carpeta_raw")
-    full = joined.withColumns({"label_condition": label, "target_damaged": rules.label_target(label), "run_timestamp": F.current_timestamp(), "feature_schema_version": F.lit(SCHEMA_VERSION)})
+    full = d.drop("origin").withColumns({"label_condition": label, "target_damaged": rules.label_target(label), "run_timestamp": F.current_timestamp(), "feature_schema_version": F.lit(SCHEMA_VERSION)})
     return leading_first(flatten(full))

@@ -65,6 +65,30 @@ def cross_validated(df: DataFrame, key: str, features: Sequence[str], models: di
     return rows.groupBy("model").agg(*(F.avg(m).alias(m) for m in metrics)).orderBy(F.desc("f1"), F.desc("recall"), F.desc("balanced_accuracy"), "model")
 
 
+def train_best(df: DataFrame, key: str, features: Sequence[str], models: dict[str, dict], path: str, target: str = "target_damaged", folds: int = 5) -> DataFrame:
+    """The table of ``cross_validated``; the model at its head is fitted on all rows and saved with it below ``path``."""
+    table = cross_validated(df, key, features, models, target, folds).persist()
+    name = table.first()["model"]
+    options = dict(models[name])
+    save(pipeline(options.pop("kind", name), features, target, **options).fit(df), table, features, path)
+    return table
+
+
+def predict_if_available(df: DataFrame, path: str, target: str = "target_damaged") -> DataFrame:
+    """``df`` with the columns of ``predict`` by the model saved below ``path``, and available and reason.
+
+    Where no model can be read, available is false, reason says why, and the predictions are null.
+    """
+    try:
+        model, features = load(df.sparkSession, path)
+    except Exception as e:  # whatever keeps a model from loading is the reason
+        empty = {"y_pred": "int", "y_prob_damaged": "double", "confidence": "double", "label": "string"}
+        return df.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()} | {"available": F.lit(False), "reason": F.lit(f"{type(e).__name__}: {str(e).splitlines()[0]}")})
+    missing = [c for c in features if c not in df.columns]
+    full = df.withColumns({c: F.lit(0.0) for c in missing})
+    return predict(model, full, target).drop(*missing).withColumns({"available": F.lit(True), "reason": F.lit(None).cast("string")})
+
+
 def save(model: PipelineModel, metrics: DataFrame, features: Sequence[str], path: str) -> None:
     """The model, its metrics and the names of its inputs, in three folders below ``path``."""
     spark = metrics.sparkSession

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import richest_variant
 from .rules import BAND_FACTORS, condition_band
 
 #: What is paid for a card as a share of what it sells for.
@@ -32,6 +35,36 @@ def price_base(usd: list[Column], eur: list[Column], eur_to_target: Column | Non
     }
 
 
+# The fields of a block that holds prices itself, and of each market its currency, fields and preferred variants.
+DIRECT_FIELDS = ("trend", "avg7", "avg30", "low", "marketPrice", "lowPrice", "midPrice", "highPrice")
+MARKETS = {
+    "cardmarket": ("EUR", ("trend", "avg7", "avg30", "low"), ("normal", "reverse", "holo")),
+    "tcgplayer": ("USD", ("marketPrice", "lowPrice", "midPrice", "highPrice"), ("normal", "holo", "reverse")),
+}
+
+
+def price_fields(block: Column, preferred: Sequence[str]) -> Column:
+    """The fields (a map of texts) of a market's JSON block: its own if it holds prices itself, else those of its richest
+    variant among ``preferred``, else of its first variant.  Null where there is none, or no JSON object.
+    """
+    object_of = lambda x: F.from_json(x, "map<string,string>")
+    own = object_of(block)
+    # parsed with their texts at hand, as what is no object parses to null or to an empty map
+    variants = F.map_filter(F.transform_values(own, lambda _, v: F.when(v.startswith("{"), object_of(v))), lambda _, v: v.isNotNull())
+    best = F.element_at(variants, richest_variant(variants, preferred))
+    chosen = F.when(F.arrays_overlap(F.map_keys(own), F.array(*map(F.lit, DIRECT_FIELDS))), own).when(F.size(best) > 0, best).otherwise(F.get(F.map_values(variants), F.lit(0)))
+    return F.when(block.startswith("{") & (F.size(chosen) > 0), chosen)
+
+
+def market_prices(prices: Column) -> dict[str, Column]:
+    """For each market a struct of its currency and fields as numbers, from a card's JSON of prices; null where it has none."""
+    out = {}
+    for market, (currency, fields, preferred) in MARKETS.items():
+        found = price_fields(F.get_json_object(prices, f"$.{market}"), preferred)
+        out[market] = F.when(found.isNotNull(), F.struct(F.lit(currency).alias("currency"), *(F.element_at(found, f).try_cast("double").alias(f) for f in fields)))
+    return out
+
+
 def band_factor(band: Column) -> Column:
     out = F.lit(None).cast("double")
     for name, factor in BAND_FACTORS.items():

@@ -15,9 +15,9 @@ def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
 
 
 def counts_map(df: DataFrame, column: str) -> DataFrame:
-    """The same as one row that holds a map."""
-    one = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col(column).isNotNull())
-    return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column).cast("string"), "n")))).alias("counts"))
+    """The same as one row that holds a map, for columns of few values; nulls count under "null", beside texts so spelt."""
+    one = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"))
 
 
 def percent(condition: Column) -> Column:

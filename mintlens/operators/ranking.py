@@ -41,21 +41,61 @@ def best_candidate(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """For each query (query_id, q_name, q_set, q_number) the best catalogue row (id, name, set_name, number) whose name
     contains the query's; ties go to the smaller id.
 
-    Distinct names meet by an equi-join on the query's rarest run of GRAM characters (all of them, if it is shorter), so
-    a query that is part of a word is found and no pair without a common run is formed.
+    Queries and names meet as in ``containing``.
     """
-    q = queries.withColumn("q_low", _low(F.col("q_name"))).where("q_low <> ''")
+    q = queries.withColumn("q_low", _low(F.col("q_name")))
     rows = catalogue.withColumn("low", _low(F.col("name")))
-    asked, names = q.select("q_low").distinct(), rows.select("low").distinct()
+    pairs = q.join(containing(q, rows), "q_low").join(rows, "low")
+    scored = pairs.select("query_id", "id", "name", candidate_score(*(F.col(c) for c in ("name", "set_name", "number", "q_name", "q_set", "q_number"))).alias("score"))
+    return first_by(scored, ["query_id"], -F.col("score"), F.col("id"))
+
+
+def containing(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(q_low, low) for each distinct query q_low and name low that contains it; a blank query finds nothing.
+
+    They meet by an equi-join on the query's rarest run of GRAM characters (all of them, if it is shorter), so a query
+    that is part of a word is found and no pair without a common run is formed.
+    """
+    asked, names = queries.where("q_low <> ''").select("q_low").distinct(), catalogue.select("low").distinct()
     runs = lambda x, k: F.when(F.char_length(x) >= k, F.transform(F.sequence(F.lit(1), F.char_length(x) - k + 1), lambda i: F.col(x).substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     held = names.select("low", F.explode(F.array_distinct(F.concat(*(runs("low", k) for k in range(1, GRAM + 1))))).alias("gram"))
     longest = F.coalesce(*(F.when(F.char_length("q_low") >= k, runs("q_low", k)) for k in range(GRAM, 0, -1)))
     sizes = held.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
     rarest = asked.select("q_low", F.explode(longest).alias("gram")).join(sizes, "gram", "left").groupBy("q_low").agg(F.min_by("gram", F.struct(F.coalesce("m", F.lit(0)), "gram")).alias("gram"))
-    matched = rarest.join(held, "gram").where(F.contains(F.col("low"), F.col("q_low"))).select("q_low", "low")
-    pairs = q.join(matched, "q_low").join(rows, "low")
-    scored = pairs.select("query_id", "id", "name", candidate_score(*(F.col(c) for c in ("name", "set_name", "number", "q_name", "q_set", "q_number"))).alias("score"))
-    return first_by(scored, ["query_id"], -F.col("score"), F.col("id"))
+    return rarest.join(held, "gram").where(F.contains(F.col("low"), F.col("q_low"))).select("q_low", "low")
+
+
+def search(queries: DataFrame, catalogue: DataFrame, exact: bool = False) -> DataFrame:
+    """Every catalogue row with each query (query_id, q_name) that its name contains, in either case, or equals if ``exact``.
+
+    Queries are trimmed; blank and null ones find nothing.
+    """
+    if exact:
+        q = queries.select("query_id", F.trim("q_name").alias("name")).where("name <> ''")
+        return q.join(catalogue, "name").select("query_id", *catalogue.columns)
+    q = queries.select("query_id", _low(F.col("q_name")).alias("q_low"))
+    rows = catalogue.withColumn("low", _low(F.col("name")))
+    return q.join(containing(q, rows), "q_low").join(rows, "low").select("query_id", *catalogue.columns)
+
+
+def listing(catalogue: DataFrame, *kinds: str) -> DataFrame:
+    """kind, value and cards: the distinct values of each of the columns ``kinds`` (sets, series, rarities) in one pass."""
+    one = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds)))
+    return catalogue.select(one.alias("x")).select("x.*").where("value is not null").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("cards"))
+
+
+def best_reading(df: DataFrame, by: Sequence[str], text: str = "text", confidence: str = "confidence", order: str = "n") -> DataFrame:
+    """For each group the reading of greatest confidence, then share of letters, then fewest digits, then shortest; the first
+    by ``order`` of equals.  Blanks don't count as length.
+    """
+    letters, digits, size = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit(r"\p{Nd}")), F.char_length(F.replace(F.col(text), F.lit(" "), F.lit("")))
+    share = letters / F.greatest(size, F.lit(1))
+    return first_by(df, list(by), -F.col(confidence), -share, digits, size, F.col(order))
+
+
+def samples(df: DataFrame, condition: Column, columns: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows that meet ``condition``, by the columns shown."""
+    return df.where(condition).select(*columns).orderBy(*columns).limit(n)
 
 
 def fuzzy_rank(df: DataFrame, query: str, candidate: str, order: str, by: Sequence[str], similarity=edit_similarity) -> DataFrame:
@@ -99,12 +139,15 @@ def detailed(df: DataFrame, detail: DataFrame, on: str, columns: Sequence[str])
 
 
 def richest_variant(variants: Column, preferred: Sequence[str]) -> Column:
-    """Of a map variant -> (field -> value) the name of the variant with most values; of equals the first preferred one."""
-    filled = lambda v: F.size(F.filter(F.map_values(v), lambda x: x.isNotNull()))
-    zero = F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("n"))
-    return F.aggregate(
-        F.array(*map(F.lit, preferred)),
-        zero,
-        lambda s, p: F.when(F.coalesce(filled(F.element_at(variants, p)), F.lit(0)) > s["n"], F.struct(p.alias("name"), filled(F.element_at(variants, p)).alias("n"))).otherwise(s),
-        lambda s: s["name"],
-    )
+    """Of a map variant -> (field -> value) the name of the variant with most values; of equals the first preferred one.
+
+    Nulls and empty texts are no values.  A variant without any is still picked where no other is; null if none is there.
+    """
+    filled = lambda v: F.size(F.filter(F.map_values(v), lambda x: x.isNotNull() & (x.cast("string") != "")))
+    zero = F.struct(F.lit(None).cast("string").alias("name"), F.lit(-1).alias("n"))
+
+    def step(s: Column, p: Column) -> Column:
+        n = F.when(F.element_at(variants, p).isNotNull(), filled(F.element_at(variants, p))).otherwise(-1)
+        return F.when(n > s["n"], F.struct(p.alias("name"), n.alias("n"))).otherwise(s)
+
+    return F.aggregate(F.array(*map(F.lit, preferred)), zero, step, lambda s: s["name"])

@@ -94,6 +94,25 @@ def capture_assessment(used_fallback, coverage, aspect, capture_score) -> Column
     )
 
 
+# What a capture's assessment advises.
+CAPTURE_MESSAGES = {
+    "fallback": "La detección usó un contorno de respaldo. Mejora el contraste contra el fondo.",
+    "close": "La carta no tiene márgenes visibles. Aleja un poco la cámara para que el borde real sea visible contra un fondo oscuro.",
+    "buena": "La captura es adecuada para análisis preliminar. La carta ocupa suficiente espacio y la calidad visual es razonable.",
+    "mejorable": "La captura puede procesarse, pero conviene acercar más la carta, reducir reflejos o mejorar la iluminación.",
+    "deficiente": "La captura no es ideal para análisis confiable. Acerca más la carta, usa mejor iluminación y un fondo más limpio.",
+}
+
+
+def capture_message(used_fallback, coverage, aspect, capture_score) -> Column:
+    """The advice that goes with ``capture_assessment``."""
+    level = capture_assessment(used_fallback, coverage, aspect, capture_score)
+    text = F.lit(CAPTURE_MESSAGES["deficiente"])
+    for name in ("mejorable", "buena"):
+        text = F.when(level == name, CAPTURE_MESSAGES[name]).otherwise(text)
+    return F.when(_b(used_fallback), CAPTURE_MESSAGES["fallback"]).when(_n(coverage) > 0.95, CAPTURE_MESSAGES["close"]).otherwise(text)
+
+
 def part_label(score) -> Column:
     return at_least(score, (85.0, "good"), (70.0, "acceptable"), (50.0, "weak"), otherwise="poor")
 
@@ -147,17 +166,6 @@ def final_score(*versions) -> Column:
     return F.coalesce(*map(num, versions))
 
 
-def candidate_rules(aspect_deviation, area_ratio, evidence, side_support) -> dict[str, Column]:
-    """Soft penalty and hard validity of a detector's candidate from its plain measurements."""
-    dev, area, ev, support = map(num, (aspect_deviation, area_ratio, evidence, side_support))
-    penalty = F.when(dev > 0.12, 0.80).otherwise(1.0) * F.when(area < 0.08, 0.75).otherwise(1.0) * F.when(ev < 0.25, 0.85).otherwise(1.0) * F.when(support < 0.20, 0.85).otherwise(1.0)
-    return {"penalty": penalty, "hard_ok": (dev <= 0.22) & area.between(0.04, 0.98) & (support >= 0.08)}
-
-
-def plausible_outer_box(area, width, height, aspect_deviation) -> Column:
-    return num(area).between(0.12, 0.82) & (num(width) >= 0.38) & (num(height) >= 0.50) & (num(aspect_deviation) <= 0.12)
-
-
 # Spellings of the two labels.
 DAMAGED = ("damaged", "damage", "rotas", "rota", "danada", "dañada")
 UNDAMAGED = ("undamaged", "clean", "sana", "sin_danio", "sin_daño", "ok")

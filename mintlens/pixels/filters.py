@@ -112,6 +112,34 @@ def otsu(a: np.ndarray) -> int:
     return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
 
 
+def enlarged(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """By cubic convolution."""
+    out = a.astype(np.float64)
+    for axis, size in ((0, height), (1, width)):
+        n = a.shape[axis]
+        at = (np.arange(size) + 0.5) * n / size - 0.5
+        low = np.floor(at).astype(int)
+        moved = np.moveaxis(out, axis, 0)
+        rows = sum(w.reshape(-1, *[1] * (a.ndim - 1)) * moved[np.clip(low + k - 1, 0, n - 1)] for k, w in enumerate(_cubic(at - low)))
+        out = np.moveaxis(rows, 0, axis)
+    return np.clip(out + 0.5, 0, 255).astype(np.uint8)
+
+
+def at_least(a: np.ndarray, short: int) -> np.ndarray:
+    """The image, enlarged so that its shorter side has ``short`` pixels if it has fewer."""
+    h, w = a.shape[:2]
+    if min(h, w) >= short:
+        return a
+    scale = short / min(h, w)
+    return enlarged(a, round(h * scale), round(w * scale))
+
+
+def at_most(a: np.ndarray, width: int = 900) -> np.ndarray:
+    """The image, shrunk by areas so that it is ``width`` pixels wide if it is wider."""
+    h, w = a.shape[:2]
+    return a if w <= width else resized(a, max(1, int(h * width / w)), width)
+
+
 def resized(a: np.ndarray, height: int, width: int) -> np.ndarray:
     """By mean over source areas when it shrinks by whole rows or columns, else by the nearest."""
     ys = (np.arange(height) * a.shape[0] / height).astype(int)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, math, text
+from ..operators import candidates as boxes
 from ..operators import flatten, pricing, profiling, ranking, rules, scoring
 from .proxies import CAPTURES_SQL, KEYS, LABELLED_SQL, PROFILES_SQL, captures, labelled, profiles, table
 
@@ -321,20 +322,20 @@ add(
 
 @query(
     "best_candidate",
-    """WITH q AS (SELECT p_partkey AS query_id, p_name AS q_name, CASE WHEN p_partkey % 20 = 0 THEN p_brand ELSE '' END AS q_set, CASE WHEN p_partkey % 30 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS q_number FROM part WHERE p_partkey % 10 = 0),
+    """WITH q AS (SELECT p_partkey AS query_id, p_name AS q_name, CASE WHEN p_partkey % 20 = 0 THEN p_brand ELSE '' END AS q_set, CASE WHEN p_partkey % 30 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS q_number FROM part),
  c AS (SELECT p_partkey AS id, p_name AS name, p_brand AS set_name, CAST(p_size AS VARCHAR) AS number FROM part),
  s AS (SELECT query_id, id, name, CASE WHEN lower(trim(name)) = lower(trim(q_name)) THEN 10 WHEN contains(lower(name), lower(trim(q_name))) THEN 5 ELSE 0 END + CASE WHEN q_set = '' THEN 0 WHEN lower(set_name) = lower(q_set) THEN 6 WHEN contains(lower(set_name), lower(q_set)) THEN 3 ELSE 0 END + CASE WHEN q_number = '' THEN 0 WHEN number = q_number THEN 6 WHEN contains(number, q_number) OR contains(q_number, number) THEN 3 ELSE 0 END AS score FROM q JOIN c ON contains(lower(trim(name)), lower(trim(q_name))))
  SELECT query_id, id, name, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1""",
 )
 def best_candidate(spark, d):
-    return candidates(spark, d, "p_partkey % 10 = 0")
+    return candidates(spark, d)
 
 
-def candidates(spark: SparkSession, d: str, which: str) -> DataFrame:
-    """The best catalogue row for each part that ``which`` selects."""
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The best catalogue row for each part."""
     part = table(spark, d, "part")
     number = F.col("p_size").cast("string")
-    asked = part.where(which).select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q_name"), F.when(F.col("p_partkey") % 20 == 0, F.col("p_brand")).otherwise("").alias("q_set"), F.when(F.col("p_partkey") % 30 == 0, number).otherwise("").alias("q_number"))
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q_name"), F.when(F.col("p_partkey") % 20 == 0, F.col("p_brand")).otherwise("").alias("q_set"), F.when(F.col("p_partkey") % 30 == 0, number).otherwise("").alias("q_number"))
     return ranking.best_candidate(asked, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), number.alias("number")))
 
 
@@ -348,7 +349,7 @@ def fuzzy_rank(spark, d):
 
 
 _ACC = f"translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}')"
-add("name_normalise", of("documents"), lambda df: df.select("doc_id", text.normal_name(F.substring("text", 1, 200)).alias("name")), f"SELECT doc_id, trim(regexp_replace(regexp_replace({_ACC.replace('lower(text)', 'lower(text[1:200])')}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM documents")
+add("name_normalise", of("documents"), lambda df: df.select("doc_id", text.normal_name("text").alias("name")), f"SELECT doc_id, trim(regexp_replace(regexp_replace({_ACC}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM documents")
 add(
     "fallback_queries",
     of("part"),
@@ -495,6 +496,195 @@ add(
 )
 
 
+# -- catalogue scans, readings and prices -----------------------------------------------------------------------------------------------
+_ASKED = ((1, "green"), (2, " LEMON "), (3, ""), (4, None), (5, "a"), (6, "ee"), (7, "no such name"), (8, "small"))
+_ASKED_SQL = ", ".join(f"({n}, {'NULL' if q is None else chr(39) + q + chr(39)})" for n, q in _ASKED)
+
+
+@query("catalogue_search", f"SELECT query_id, p_partkey AS id, p_name AS name FROM (VALUES {_ASKED_SQL}) AS t(query_id, q) JOIN part ON trim(q) <> '' AND contains(lower(trim(p_name)), lower(trim(q)))")
+def catalogue_search(spark, d):
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return ranking.search(spark.createDataFrame(_ASKED, "query_id int, q_name string"), names)
+
+
+@query("catalogue_exact", "SELECT q.p_partkey AS query_id, p.p_partkey AS id FROM part q JOIN part p ON q.p_name = p.p_name")
+def catalogue_exact(spark, d):
+    part = table(spark, d, "part")
+    asked = part.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("q_name"))
+    return ranking.search(asked, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), exact=True).select("query_id", "id")
+
+
+add("catalogue_lists", of("part"), lambda df: ranking.listing(df, "p_brand", "p_type", "p_size"), " UNION ALL ".join(f"SELECT '{c}' AS kind, CAST({c} AS VARCHAR) AS value, count(*) AS cards FROM part WHERE {c} IS NOT NULL GROUP BY 2" for c in ("p_brand", "p_type", "p_size")))
+
+_PRICED = """CASE p_partkey % 8 WHEN 0 THEN '{"cardmarket": {"trend": 1.5, "low": "x", "normal": {"trend": 9}}}'
+ WHEN 1 THEN '{"cardmarket": {"normal": {"trend": 1, "low": null}, "holo": {"trend": 2, "avg7": 3}}, "tcgplayer": {"holo": {"marketPrice": 4}}}'
+ WHEN 2 THEN '{"cardmarket": {"reverse": {"trend": 1}, "holo": {"avg30": 2}}, "tcgplayer": 5}' WHEN 3 THEN '{"cardmarket": {"normal": {"trend": ""}, "holo": {"low": 7}}}'
+ WHEN 4 THEN '{"tcgplayer": {"n": 1, "foil": {"lowPrice": 5}}, "cardmarket": {}}' WHEN 5 THEN '{"cardmarket": {"normal": {}, "other": {"low": 6}}}' WHEN 6 THEN '{}' END"""
+
+
+def _market_sql(market: str) -> str:
+    b, preferred = f"json_extract(j, '$.{market}')", pricing.MARKETS[market][2]
+    n = [f"CASE WHEN json_type({b}, '$.{v}') = 'OBJECT' THEN len(list_filter(json_keys({b}, '$.{v}'), lambda k: coalesce(json_extract_string(j, '$.{market}.{v}.' || k), '') <> '')) ELSE -1 END" for v in preferred]
+    most = f"greatest({', '.join(n)})"
+    best = f"CASE WHEN {most} < 0 THEN NULL " + " ".join(f"WHEN {x} = {most} THEN json_extract({b}, '$.{v}')" for x, v in zip(n, preferred, strict=True)) + " END"
+    first = f"json_extract({b}, '$.' || list_filter(json_keys({b}), lambda k: json_type(j, '$.{market}.' || k) = 'OBJECT')[1])"
+    direct = ", ".join(f"'{f}'" for f in pricing.DIRECT_FIELDS)
+    return f"CASE WHEN json_type({b}) <> 'OBJECT' THEN NULL WHEN list_has_any(json_keys({b}), [{direct}]) THEN {b} WHEN len(json_keys({best})) > 0 THEN {best} WHEN len(json_keys({first})) > 0 THEN {first} END"
+
+
+@query(
+    "market_prices",
+    f"WITH s AS (SELECT p_partkey, CAST({_PRICED} AS JSON) AS j FROM part), b AS (SELECT p_partkey, {_market_sql('cardmarket')} AS c, {_market_sql('tcgplayer')} AS t FROM s) SELECT p_partkey, CASE WHEN c IS NOT NULL THEN 'EUR' END AS c_currency, "
+    + ", ".join(f"TRY_CAST(json_extract_string({m[0]}, '$.{f}') AS DOUBLE) AS {f}" for m, (_, fields, _) in pricing.MARKETS.items() for f in fields) + ", CASE WHEN t IS NOT NULL THEN 'USD' END AS t_currency FROM b",
+)
+def market_prices(spark, d):
+    found = pricing.market_prices(F.expr(_PRICED))
+    one = table(spark, d, "part").select("p_partkey", *(c.alias(m) for m, c in found.items()))
+    fields = (F.col(f"{m}.{f}").alias(f) for m, (_, names, _) in pricing.MARKETS.items() for f in names)
+    return one.select("p_partkey", F.col("cardmarket.currency").alias("c_currency"), *fields, F.col("tcgplayer.currency").alias("t_currency"))
+
+
+add("fx_rates", of("part"), lambda df: df.select("p_partkey", F.explode(text.numbers_only(F.create_map(F.lit("usd"), F.col("p_retailprice").cast("string"), F.lit("eur"), F.col("p_name"), F.lit("mxn"), F.lit(None).cast("string")))).alias("currency", "rate")), "SELECT p_partkey, 'USD' AS currency, p_retailprice AS rate FROM part")
+add(
+    "scan_confidence",
+    of("part"),
+    lambda df: df.select("p_partkey", F.transform(F.split(F.concat("p_name", F.lit("  x")), " "), lambda w, k: F.struct(w.alias("text"), (F.pmod(F.col("p_partkey") * 7 + k * 13, F.lit(60)) - 45).alias("conf"))).alias("t")).select("p_partkey", text.token_text("t").alias("text"), math.rounded(text.token_confidence("t"), 6).alias("confidence")),
+    f"WITH w AS (SELECT p_partkey, string_split(p_name || '  x', ' ') AS w FROM part), t AS (SELECT p_partkey, unnest(w) AS w, unnest(range(len(w))) AS k FROM w), c AS (SELECT *, (p_partkey * 7 + k * 13) % 60 - 45 AS c FROM t WHERE w <> '') SELECT p_partkey, string_agg(w, ' ' ORDER BY k) AS text, {rnd('coalesce(avg(c) FILTER (c >= 0), -1.0::DOUBLE)', 6)} AS confidence FROM c GROUP BY 1",
+)
+add(
+    "best_reading",
+    of("part"),
+    lambda df: ranking.best_reading(df.select("p_brand", F.concat("p_name", F.lit(" "), F.col("p_partkey") % 100).alias("text"), (F.col("p_size") % 5).alias("confidence"), F.col("p_partkey").alias("n")), ["p_brand"]).select("p_brand", "n", "text"),
+    "WITH r AS (SELECT p_brand, p_partkey AS n, p_name || ' ' || p_partkey % 100 AS text, p_size % 5 AS confidence FROM part), s AS (SELECT *, len(regexp_extract_all(text, '\\p{L}')) AS letters, len(regexp_extract_all(text, '\\p{Nd}')) AS digits, len(replace(text, ' ', '')) AS size FROM r) SELECT p_brand, n, text FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY confidence DESC, letters / greatest(size, 1) DESC, digits, size, n) = 1",
+)
+_SHOWN = ("analysis_status", *KEYS, "invalid_reasons")
+
+
+def _samples(df: DataFrame) -> DataFrame:
+    return ranking.samples(df, F.col("usable_for_condition_model"), _SHOWN).unionByName(ranking.samples(df, F.col("analysis_status") == "invalid_capture", _SHOWN))
+
+
+add("sample_rows", judged, _samples, f"{STATUS_SQL} (SELECT {', '.join(_SHOWN)} FROM status WHERE analysis_status = 'valid' ORDER BY ALL LIMIT 5) UNION ALL (SELECT {', '.join(_SHOWN)} FROM status WHERE analysis_status = 'invalid_capture' ORDER BY ALL LIMIT 5)")
+add(
+    "status_report",
+    judged,
+    lambda df: profiling.counts_map(df.withColumn("s", F.nullif("analysis_status", F.lit("valid"))), "s").select(F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("report")),
+    f"{STATUS_SQL}, n AS (SELECT coalesce(nullif(analysis_status, 'valid'), 'null') AS s, count(*) AS c FROM status GROUP BY 1) SELECT string_agg(s || '=' || c, ',' ORDER BY s) AS report FROM n",
+)
+_M = {k: "'" + v + "'" for k, v in rules.CAPTURE_MESSAGES.items()}
+add(
+    "capture_message",
+    scored,
+    lambda df: df.select(*KEYS, rules.capture_message("used_fallback", "coverage", "aspect", "s_capture").alias("message")),
+    f"{SCORED_SQL} SELECT {K}, CASE WHEN used_fallback THEN {_M['fallback']} WHEN coverage > 0.95 THEN {_M['close']} WHEN aspect BETWEEN 0.65 AND 0.78 AND coverage >= 0.35 AND s_capture >= 7 THEN {_M['buena']} WHEN aspect BETWEEN 0.65 AND 0.78 AND coverage >= 0.22 AND s_capture >= 5 THEN {_M['mejorable']} ELSE {_M['deficiente']} END AS message FROM scored",
+)
+
+
+def _peaks_sql(most: int, distance: int) -> str:
+    """Each step takes the greatest element that is left and blanks out what is near."""
+    steps = ["s0 AS (SELECT vec_id, p, [] AS f FROM profiles)"]
+    for k in range(most):
+        at = "list_position(p, list_max(p))"
+        left = f"list_transform(range(1, len(p) + 1), lambda i: CASE WHEN abs(i - {at}) <= {distance} THEN 0::DOUBLE ELSE p[i] END)"
+        steps.append(f"s{k + 1} AS (SELECT vec_id, CASE WHEN list_max(p) > 0 THEN {left} ELSE p END AS p, CASE WHEN list_max(p) > 0 THEN list_append(f, CAST({at} - 1 AS VARCHAR)) ELSE f END AS f FROM s{k})")
+    return f"WITH {PROFILES_SQL}, {', '.join(steps)} SELECT vec_id, array_to_string(f, ',') AS peaks FROM s{most}"
+
+
+add("profile_peaks", profiles, lambda df: df.select("vec_id", F.array_join(arrays.peaks("p", 4, 5), ",").alias("peaks")), _peaks_sql(4, 5))
+
+# -- candidates of the detector: stand-in boxes in an image of 600 x 800 -----------------------------------------------------------------
+_W, _H = 600.0, 800.0
+_STAND_IN = {
+    "px": "CASE WHEN l_linenumber % 6 <> 0 THEN CAST(l_partkey % 150 AS DOUBLE) END", "py": "CAST(l_suppkey % 120 AS DOUBLE)", "pw": "CAST(200 AS DOUBLE) + l_quantity * CAST(7 AS DOUBLE)", "ph": "CAST(300 AS DOUBLE) + CAST(l_orderkey % 450 AS DOUBLE)",
+    "cx": "CASE WHEN l_suppkey % 5 <> 0 THEN CAST(l_suppkey % 140 AS DOUBLE) END", "cy": "CAST(l_partkey % 110 AS DOUBLE)", "cw": "CAST(190 AS DOUBLE) + CAST(l_partkey % 300 AS DOUBLE)", "ch": "CAST(280 AS DOUBLE) + CAST(l_suppkey % 440 AS DOUBLE)",
+    "a": "CAST(l_orderkey % 41 AS DOUBLE)", "b": "CAST(l_partkey % 37 AS DOUBLE)", "c": "CAST(l_suppkey % 31 AS DOUBLE)", "u": "CAST(l_orderkey % 17 AS DOUBLE) / CAST(16 AS DOUBLE)", "v": "CAST(l_partkey % 19 AS DOUBLE) / CAST(18 AS DOUBLE)",
+}
+_STAND_SQL = f"e AS (SELECT {K}, {', '.join(f'{x} AS {n}' for n, x in _STAND_IN.items())} FROM lineitem)"
+
+
+def stand_ins(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(*KEYS, *(F.expr(x).alias(n) for n, x in _STAND_IN.items()))
+
+
+def _box(x: str) -> tuple:
+    return F.col(f"{x}x"), F.col(f"{x}y"), F.col(f"{x}x") + F.col(f"{x}w"), F.col(f"{x}y") + F.col(f"{x}h")
+
+
+def _box_choice(df: DataFrame) -> DataFrame:
+    p, c = _box("p"), _box("c")
+    shape, seed, fall = boxes.box_shape(c, F.lit(_W), F.lit(_H)), boxes.first_box(projection=p, component=c), boxes.fallback_box(F.lit(_W), F.lit(_H) + F.col("a"), c)
+    return df.select(
+        *KEYS, *(math.rounded(shape[n], 6).alias(n) for n in ("area_ratio", "width_ratio", "height_ratio", "aspect_deviation")), F.coalesce(boxes.plausible_outer_box(p, F.lit(_W), F.lit(_H)), F.lit(False)).alias("plausible"),
+        boxes.chosen_box(p, c, F.lit(_W), F.lit(_H), "u", "v").alias("chosen"), seed["source"].alias("seed"), seed["box"][2].alias("seed_x2"), fall["source"].alias("fallback"), *(fall["box"][k].alias(f"fallback_{k}") for k in range(4)),
+    )
+
+
+def _shape_sql(x: str) -> str:
+    return f"{x}w * {x}h / 480000::DOUBLE AS {x}_area, {x}w / 600::DOUBLE AS {x}_width, {x}h / 800::DOUBLE AS {x}_height, abs({x}w / {x}h - 0.715::DOUBLE) AS {x}_dev"
+
+
+def _ok_sql(x: str) -> str:
+    return f"({x}x IS NOT NULL AND {x}_area BETWEEN 0.12 AND 0.82 AND {x}_width >= 0.38 AND {x}_height >= 0.50 AND {x}_dev <= 0.12)"
+
+
+_CUT_SQL = "greatest(0::DOUBLE, least(px + pw, cx + cw) - greatest(px, cx)) * greatest(0::DOUBLE, least(py + ph, cy + ch) - greatest(py, cy))"
+_FIT = "(cx IS NOT NULL AND cw * ch / (600::DOUBLE * (800::DOUBLE + a)) BETWEEN 0.10 AND 0.78)"
+_TALL = "round_even((800::DOUBLE + a) * 0.68::DOUBLE, 0)"
+_BROAD = f"round_even({_TALL} * 0.715::DOUBLE, 0)"
+_MID = (f"round_even(300::DOUBLE - {_BROAD} / 2::DOUBLE, 0)", f"round_even(floor((800::DOUBLE + a) / 2::DOUBLE) - {_TALL} / 2::DOUBLE, 0)", f"round_even(300::DOUBLE + {_BROAD} / 2::DOUBLE, 0)", f"round_even(floor((800::DOUBLE + a) / 2::DOUBLE) + {_TALL} / 2::DOUBLE, 0)")
+add(
+    "box_choice",
+    stand_ins,
+    _box_choice,
+    f"""WITH {_STAND_SQL}, s AS (SELECT *, {_shape_sql('p')}, {_shape_sql('c')}, sqrt(power(px + pw / 2 - cx - cw / 2, 2) + power(py + ph / 2 - cy - ch / 2, 2)) / 600::DOUBLE AS apart, {_CUT_SQL} AS common FROM e),
+ t AS (SELECT *, {_ok_sql('p')} AS p_ok, {_ok_sql('c')} AS c_ok, greatest(p_area, c_area) / greatest(least(p_area, c_area), 1e-6::DOUBLE) AS ratio, common / (pw * ph + cw * ch - common) AS iou, CASE WHEN c_area < p_area THEN 'component' ELSE 'projection' END AS smaller FROM s)
+ SELECT {K}, {', '.join(f'CASE WHEN cx IS NOT NULL THEN {rnd(x, 6)} END AS {n}' for x, n in (('c_area', 'area_ratio'), ('c_width', 'width_ratio')))}, {rnd('c_height', 6)} AS height_ratio, CASE WHEN cx IS NOT NULL THEN {rnd('c_dev', 6)} END AS aspect_deviation, p_ok AS plausible,
+ CASE WHEN px IS NULL AND cx IS NULL THEN 'none' WHEN px IS NULL THEN 'component' WHEN cx IS NULL THEN 'projection' WHEN c_ok AND NOT p_ok THEN 'component' WHEN p_ok AND NOT c_ok THEN 'projection' WHEN apart <= 0.16 AND ratio >= 1.45 THEN smaller WHEN iou >= 0.45 AND ratio >= 1.30 THEN smaller
+ WHEN p_area > 0.52 AND c_ok THEN 'component' WHEN p_width > 0.78 AND c_ok THEN 'component' WHEN p_height > 0.94 AND c_ok THEN 'component' WHEN p_dev > c_dev + 0.03::DOUBLE AND c_ok THEN 'component' WHEN v > u + 0.18::DOUBLE THEN 'component' ELSE 'projection' END AS chosen,
+ CASE WHEN px IS NOT NULL THEN 'projection' WHEN cx IS NOT NULL THEN 'component' ELSE '' END AS seed, coalesce(px + pw, cx + cw) AS seed_x2, CASE WHEN {_FIT} THEN 'estimated_outer_bbox' ELSE 'centered_conservative' END AS fallback,
+ {', '.join(f'CASE WHEN {_FIT} THEN {own} ELSE {mid} END AS fallback_{k}' for k, (own, mid) in enumerate(zip(('cx', 'cy', 'cx + cw', 'cy + ch'), _MID, strict=True)))} FROM t""",
+)
+
+
+def _candidate_rules(df: DataFrame) -> DataFrame:
+    x1, y1, x2, y2 = F.lit(20.0) + F.col("b"), F.col("cy"), F.lit(20.0) + F.col("b") + F.col("cw"), F.col("cy") + F.col("ch")
+    quad, box, u, v = ((x1, y1), (x2 + F.col("a"), y1 + F.col("b")), (x2, y2), (x1 + F.col("c"), y2)), (x1, y1, x2 + F.col("a"), y2), F.col("u"), F.col("v")
+    g = boxes.geometry_rules(quad, F.lit(_W), F.lit(_H), (box[2] - box[0]) / _W, (y2 - y1) / _H, 0.5 + 0.5 * u, 0.6 + 0.5 * v, 0.4 + 0.6 * u, 0.4 * v, 0.3 * u)
+    w = boxes.within_outer(quad, box, _box("p"))
+    d = df.select(*KEYS, "u", "v", "px", *(c.alias(n) for n, c in (g | w).items()))
+    h = boxes.hard_rules("area_ratio", "v", "u", "u", "v", 0.5 * u, 0.5 * v, "v", 0.4 * v, "geometry_valid", 0.6 * u, 20.0 * v, "touch_count", "is_internal", F.when(F.col("px").isNotNull(), F.col("relative_size")))
+    digits = [math.rounded(n, 6).alias(n) for n in ("geometry_penalty", "side_length_consistency_score", "area_plausibility_score", "border_distance", "relative_size", "centre_distance")]
+    return d.select(*KEYS, *digits, "geometry_valid", "geometry_reasons", "is_internal", "touches", "touch_count", "rejection_reason", *(c.alias(n) for n, c in h.items()))
+
+
+def _candidate_sql() -> str:
+    soft = {
+        "top_bottom_length_mismatch": ("tb > 0.14", "tb > 0.24", 0.18, 0.24), "left_right_length_mismatch": ("lr > 0.16", "lr > 0.26", 0.16, 0.22), "aspect_ratio_off": ("dev > 0.065", "dev > 0.14", 0.18, 0.24),
+        "implausible_area": ("pl < 0.40", "pl <= 0.05", 0.15, 0.20), "bbox_too_large": ("greatest(bw, bh) > 0.96 AND share > 0.78", "greatest(bw, bh) > 0.985 AND share > 0.84", 0.16, 0.18),
+        "weak_evidence_coverage": ("ev < 0.78", "ev < 0.60", 0.22, 0.26), "oversized_vs_evidence": ("cov < 0.72", "cov < 0.56", 0.12, 0.18), "low_min_side_support": ("ms < 0.16", "ms < 0.10", 0.28, 0.24), "unbalanced_side_support": ("sp > 0.18", "sp > 0.26 AND ms < 0.18", 0.14, 0.18),
+    }
+    hard = {
+        "area_too_small": "share < 0.16", "width_too_small": "v < 0.32", "height_too_small": "u < 0.42", "low_vertical_support": "greatest(u, v) < 0.26", "low_silhouette_support": "v < 0.55", "asymmetric_border_support": "least(u + v, 0.5::DOUBLE * u + 0.5::DOUBLE * v) < 0.40",
+        "weak_side_bottleneck": "ms < 0.10", "invalid_geometry": "NOT valid", "strong_trapezoid": "0.6::DOUBLE * u > 0.50", "bad_angles": "20.0::DOUBLE * v > 15.0", "touches_too_many_borders": "tc >= 3", "internal_candidate": "inner_", "too_small_vs_outer_bbox": "px IS NOT NULL AND size2 < 0.35",
+    }
+    sides = {n: _D.format(*x) for n, x in (("st", ("x1", "y1", "x2 + a", "(y1 + b)")), ("sr", ("(x2 + a)", "(y1 + b)", "x2", "y2")), ("sb", ("x2", "y2", "(x1 + c)", "y2")), ("sl", ("(x1 + c)", "y2", "x1", "y1")))}
+    sides["st"] = _D.format("x1", "y1", "(x2 + a)", "(y1 + b)")
+    area = "abs(x1 * (y1 + b) - (x2 + a) * y1 + ((x2 + a) * y2 - x2 * (y1 + b)) + (x2 * y2 - (x1 + c) * y2) + ((x1 + c) * y1 - x1 * y2)) / 2"
+    valid = " AND ".join(f"NOT ({h})" for _, h, _, _ in soft.values())
+    penalty = " + ".join(f"CASE WHEN {s} THEN {a}::DOUBLE ELSE 0 END + CASE WHEN {h} THEN {b}::DOUBLE ELSE 0 END" for s, h, a, b in soft.values())
+    m = ["(x1 - px) / norm", "(px + pw - (x2 + a)) / norm", "(y1 - py) / norm", "(py + ph - y2) / norm"]
+    return f"""WITH {_STAND_SQL}, q AS (SELECT *, 20 + b AS x1, cy AS y1, 20 + b + cw AS x2, cy + ch AS y2, least(pw, ph) AS norm, 0.4::DOUBLE * v AS ms, 0.3::DOUBLE * u AS sp, 0.4::DOUBLE + 0.6::DOUBLE * u AS cov, least(0.5::DOUBLE + 0.5::DOUBLE * u, 0.6::DOUBLE + 0.5::DOUBLE * v) AS ev FROM e),
+ r AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in sides.items())}, {area} AS area, (x2 + a - x1) / 600::DOUBLE AS bw, (y2 - y1) / 800::DOUBLE AS bh, [{', '.join(m)}] AS m, sqrt(power((x1 + x2 + a + x2 + x1 + c) / 4 - (px + pw / 2), 2) + power((y1 + y1 + b + y2 + y2) / 4 - (py + ph / 2), 2)) / norm AS away FROM q),
+ g AS (SELECT *, abs(st - sb) / greatest(st, sb, 1) AS tb, abs(sl - sr) / greatest(sl, sr, 1) AS lr, abs(((st + sb) / 2) / ((sr + sl) / 2) - 0.715::DOUBLE) AS dev, area / 480000::DOUBLE AS share, area / (pw * ph) AS size, len(list_filter(m, lambda x: x <= 0.12)) AS touched, list_sum(list_transform(m, lambda x: greatest(x, 0::DOUBLE))) / 4 AS far FROM r),
+ p AS (SELECT *, CASE WHEN share < 0.16 THEN 0 WHEN share < 0.18 THEN 0.35 WHEN share < 0.28 THEN 0.75 WHEN share < 0.58 THEN 1 WHEN share < 0.72 THEN 0.55 WHEN share < 0.84 THEN 0.2 ELSE 0 END::DOUBLE AS pl, px IS NOT NULL AND list_min(m) >= -0.03 AND size < 0.72 AND touched = 0 AND far > 0.10 AND away < 0.28 AS inner_, CASE WHEN px IS NULL THEN 0 ELSE touched END AS tc, CASE WHEN px IS NULL THEN 0 ELSE least(size, 2) END AS size2 FROM g),
+ f AS (SELECT *, {valid} AS valid FROM p), w AS (SELECT *, {_listed('[' + ', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in hard.items()) + ']')} AS failed FROM f)
+ SELECT {K}, {rnd(clamp(penalty), 6)} AS geometry_penalty, {rnd(clamp('0.55::DOUBLE * greatest(0, 1 - tb / 0.24::DOUBLE) + 0.45::DOUBLE * greatest(0, 1 - lr / 0.26::DOUBLE)'), 6)} AS side_length_consistency_score, pl AS area_plausibility_score, CASE WHEN px IS NULL THEN 1 ELSE {rnd('far', 6)} END AS border_distance, {rnd('size2', 6)} AS relative_size, CASE WHEN px IS NOT NULL THEN {rnd('away', 6)} END AS centre_distance,
+ valid AS geometry_valid, {_listed('[' + ', '.join(f"CASE WHEN {s} THEN '{n}' END" for n, (s, *_) in soft.items()) + ']')} AS geometry_reasons, inner_ AS is_internal, px IS NOT NULL AND touched > 0 AS touches, CAST(tc AS INT) AS touch_count, CASE WHEN NOT inner_ THEN '' WHEN size < 0.42 THEN 'too_small_inside_outer_bbox' WHEN far > 0.18 THEN 'too_far_from_outer_border' ELSE 'central_internal_shape' END AS rejection_reason, failed = '' AS hard_rules_ok, failed AS hard_fail_reasons FROM w"""
+
+
+add("candidate_rules", stand_ins, _candidate_rules, _candidate_sql())
+
+
 # -- images and models: no SQL can follow these -----------------------------------------------------------------------------------------
 def drawn_images(spark: SparkSession, d: str) -> DataFrame:
     """A drawn card for each region: no photographs are at hand."""
@@ -548,7 +738,7 @@ def train_predict(spark, d):
 @query("batch_inference")
 def batch_inference(spark, d):
     """Price of every part: its best catalogue row, a predicted condition and the price for it."""
-    names = candidates(spark, d, "true")
+    names = candidates(spark, d)
     prices = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
     score = 1.0 + F.pmod(F.col("query_id"), F.lit(91)) / 10.0
     return names.join(prices, "id").select("query_id", "id", *(c.alias(n) for n, c in pricing.priced(F.col("p_retailprice"), score).items()))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.pricing import market_prices
+
 SUFFIXES = ("jpg", "jpeg", "png", "webp")
 
 
@@ -45,7 +47,7 @@ def label_of(path: str | Column) -> Column:
 
 
 #: A card as catalogues describe it; fields that come in several spellings are told apart in ``cards``.
-CARD_FIELDS = ("id", "name", "set_id", "set_name", "number", "rarity", "type", "hp", "description", "image", "illustrator")
+CARD_FIELDS = ("id", "name", "set_id", "set_name", "number", "rarity", "type", "hp", "description", "image", "illustrator", "abilities", "attacks", "prices")
 
 
 def cards(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -61,10 +63,21 @@ def cards(payloads: DataFrame, column: str = "payload") -> DataFrame:
         field("$.id").alias("id"), field("$.name").alias("name"), field("$.set.id", "$.setId").alias("set_id"), field("$.set.name", "$.setName").alias("set_name"),
         field("$.localId", "$.cardNumber").alias("number"), field("$.rarity").alias("rarity"), field("$.types[0]", "$.type").alias("type"), F.try_variant_get("c", "$.hp", "int").alias("hp"),
         field("$.description").alias("description"), field("$.image.high", "$.image").alias("image"), field("$.illustrator").alias("illustrator"),
+        *(F.try_variant_get("c", f"$.{n}", "variant").cast("string").alias(n) for n in ("abilities", "attacks")),
         F.coalesce(F.try_variant_get("c", "$.pricing", "variant"), F.try_variant_get("c", "$.prices", "variant")).cast("string").alias("prices"),
     )
 
 
+def shown(cards: DataFrame, colours: dict[str, str] | None = None, other: str = "#999999") -> DataFrame:
+    """Catalogue rows as an application shows them: Spanish names, the colour of the type, and the prices of both markets."""
+    colour = F.lit(other)
+    for kind, value in (colours or {}).items():
+        colour = F.when(F.col("type") == kind, value).otherwise(colour)
+    names = {"id": "id", "name": "nombre", "number": "numero", "set_name": "set", "rarity": "rareza", "type": "tipo_pokemon", "hp": "hp", "illustrator": "ilustrador", "description": "descripcion", "image": "imagen_url", "abilities": "habilidades", "attacks": "ataques"}
+    markets = F.struct(*(c.alias(m) for m, c in market_prices(F.col("prices")).items()))
+    return cards.select(*(F.col(a).alias(b) for a, b in names.items()), colour.alias("tipo_color"), markets.alias("mercado"))
+
+
 CSV_PREDICTIONS = T.StructType([T.StructField("y_true", T.IntegerType()), T.StructField("y_pred", T.IntegerType()), T.StructField("y_prob_damaged", T.DoubleType())])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,7 +36,13 @@ def status_counts(captures: DataFrame, time: str = "ts", late: str = "1 hour", w
 
 
 def with_rates(amounts: DataFrame, rates: DataFrame, hours: int = 6) -> DataFrame:
-    """A stream of amounts (amount, currency, ts) joined with a static table of rates that were live at that time."""
-    r = rates.select(F.col("base").alias("currency"), "target", "rate", "fetched_at")
-    live = (F.col("fetched_at") <= F.col("ts")) & (F.col("fetched_at") > F.col("ts") - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    return amounts.join(r, "currency").where(live).withColumn("value", F.col("amount") * F.col("rate")).drop("fetched_at")
+    """A stream of amounts (amount, currency, ts) joined with a static table of rates: of each target the latest that was live then.
+
+    A rate holds from its fetching until the next one of its pair, ``hours`` at most, so an amount meets one rate a target;
+    of rates fetched at the same time the greatest stands.
+    """
+    one = rates.groupBy(F.col("base").alias("currency"), "target", "fetched_at").agg(F.max("rate").alias("rate"))
+    after = F.lead("fetched_at").over(Window.partitionBy("currency", "target").orderBy("fetched_at"))
+    end = F.least(after, F.col("fetched_at") + F.expr(f"INTERVAL {int(hours)} HOURS"))
+    live = (F.col("fetched_at") <= F.col("ts")) & (F.col("ts") < F.col("until"))
+    return amounts.join(one.withColumn("until", end), "currency").where(live).withColumn("value", F.col("amount") * F.col("rate")).drop("fetched_at", "until")

@@ -218,3 +218,65 @@ def test_names_strip_the_whole_root(spark):
     for root, path in (("/data/cards/x/cards", "file:/data/cards/x/cards/Ok/a.b.png"), ("file:///d.(1)/cards/", "file:///d.(1)/cards/Ok/a.b.png"), ("viewfs://store/in/cards", "viewfs://store/in/cards/Ok/a.b.png"), ("cards", "file:/home/cards/Ok/a.b.png")):
         r = with_names(spark.createDataFrame([(path,)], "path string"), root).first()
         assert (r.relative_path, r.label, r.image_filename, r.image_id) == ("Ok/a.b.png", "ok", "a.b.png", "a.b")
+
+
+def test_counts_as_a_map_keep_nulls(spark):
+    from mintlens.operators import profiling
+
+    assert profiling.counts_map(spark.createDataFrame([("a",), (None,), ("a",)], "x string"), "x").first().counts == {"a": 2, "null": 1}
+    assert profiling.counts_map(spark.createDataFrame([], "x int"), "x").first().counts == {}
+
+
+def test_the_richest_variant_may_be_unfilled(spark):
+    from mintlens.operators import ranking
+
+    rows = [({"holo": {"a": None}},), ({"holo": {"a": " "}, "plain": {"a": ""}},), ({"foil": {"a": "1"}},), ({},), (None,)]
+    d = spark.createDataFrame(rows, "v map<string,map<string,string>>").select(ranking.richest_variant(F.col("v"), ["plain", "holo"]).alias("n"))
+    assert [r.n for r in d.collect()] == ["holo", "holo", None, None, None]
+
+
+def test_sinks_tell_what_failed(spark, tmp_path):
+    from mintlens.sources import sinks
+    from mintlens.sources.images import predictions
+
+    d = spark.createDataFrame([(1, 0, 0.25), (0, 1, 0.75)], "y_true int, y_pred int, y_prob_damaged double")
+    done = sinks.write(d.withColumn("x", F.array("y_true")), str(tmp_path / "a"), ("csv", "parquet", "json", "xlsx"))
+    assert done["csv"].startswith("failed: ") and spark.read.parquet(done["parquet"]).count() == 2 and spark.read.json(done["json"]).count() == 2 and done["xlsx"].startswith("not available")
+    done = sinks.write(d, str(tmp_path / "b"), ("csv",))
+    assert sorted(map(tuple, predictions(spark, done["csv"]).collect())) == [(0, 1, 0.75), (1, 0, 0.25)]
+    assert sinks.write(d, str(tmp_path / "b"), ("csv",))["csv"].startswith("failed: ")  # it is there already
+
+
+def test_an_amount_meets_the_latest_live_rate(spark):
+    from mintlens.streaming import captures
+
+    rates = spark.sql("select * from values ('EUR', 'USD', 1.0D, timestamp '2024-01-01 00:00:00'), ('EUR', 'USD', 2.0D, timestamp '2024-01-01 01:00:00'), ('EUR', 'USD', 3.0D, timestamp '2024-01-01 01:00:00'), ('EUR', 'MXN', 9.0D, timestamp '2024-01-01 00:00:00') t(base, target, rate, fetched_at)")
+    amounts = spark.sql("select * from values (1.0D, 'EUR', timestamp '2024-01-01 00:30:00'), (2.0D, 'EUR', timestamp '2024-01-01 01:00:00'), (4.0D, 'EUR', timestamp '2024-01-01 06:30:00'), (8.0D, 'EUR', timestamp '2024-01-01 07:00:00') t(amount, currency, ts)")
+    got = sorted((r.amount, r.target, r.value) for r in captures.with_rates(amounts, rates).collect())
+    assert got == [(1.0, "MXN", 9.0), (1.0, "USD", 1.0), (2.0, "MXN", 18.0), (2.0, "USD", 6.0), (4.0, "USD", 12.0)]
+
+
+def test_a_model_that_is_missing_has_a_reason(spark, tmp_path):
+    from mintlens.operators import modelling
+
+    rows = spark.createDataFrame([(k, float(k % 10), float(k % 3), int(k % 10 > 4)) for k in range(60)], "id int, a double, b double, target_damaged int")
+    path = str(tmp_path / "best")
+    gone = modelling.predict_if_available(rows, path).first()
+    assert not gone.available and gone.reason and gone.y_pred is None
+    table = modelling.train_best(rows, "id", ["a", "b"], {"small": {"kind": "linear", "maxIter": 0}, "linear": {"maxIter": 20}}, path, folds=2)
+    assert table.first().model == "linear" and table.count() == 2
+    found = modelling.predict_if_available(rows.drop("b"), path)
+    assert found.where("available and reason is null").count() == 60 and found.where("y_pred = target_damaged").count() == 60
+
+
+def test_peaks_and_boxes_at_their_edges(spark):
+    from mintlens.functions import arrays
+    from mintlens.operators import candidates as c
+
+    d = spark.sql("select * from values (array(0D, 3D, 2D, 3D, -1D)), (array(-1D, 0D)), (cast(array() as array<double>)), (null) t(p)")
+    assert [r.k for r in d.select(arrays.peaks("p", 3, 1).alias("k")).collect()] == [[1, 3], [], [], None]
+    one = spark.range(1)
+    none = (F.lit(None).cast("double"),) * 4
+    box = tuple(F.lit(float(x)) for x in (100, 100, 400, 520))
+    got = one.select(c.plausible_outer_box(box, F.lit(600.0), F.lit(800.0)), c.chosen_box(none, none, F.lit(600.0), F.lit(800.0), F.lit(0.0), F.lit(0.0)), c.first_box(a=none, b=box)["source"], c.first_box(a=none)["box"], c.fallback_box(F.lit(80.0), F.lit(100.0))["box"]).first()
+    assert list(got) == [True, "none", "b", None, [16.0, 16.0, 64.0, 84.0]]

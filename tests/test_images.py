@@ -105,6 +105,14 @@ def test_images_become_rows(spark, tmp_path):
     assert a.label_condition == "damaged" and a.target_damaged == 1 and rows["b.png"].target_damaged == 0 and rows["free.png"].label_condition == "unknown"
     assert a.pipeline_stage == "done" and a.procesado_exito and 1 <= a.score_condition_v4 <= 10 and a.geometry_coverage_ratio == pytest.approx(214 * 300 / 320 / 420, abs=0.03)
     assert rows["broken.jpg"].analysis_status == "not_evaluated" and rows["broken.jpg"].image_height is None
+    flat = rows["flat.png"]  # nothing stands out: a centred box is measured, which can't make a valid capture
+    assert flat.pipeline_stage == "done" and flat.analysis_status == "invalid_capture" and "fallback_detection" in flat.invalid_reasons and flat.detection_used_fallback == 1
+    assert flat.geometry_coverage_ratio == pytest.approx(0.42, abs=0.05) and flat.capture_assessment == "deficiente" and flat.capture_message.startswith("La detección")
+    assert a.borde_edge_label in ("good", "acceptable", "weak", "poor") and a.esquina_corner_label in ("good", "acceptable", "weak", "poor")
+    strict = dataset(scan(spark, str(root)), fallback=False)
+    plan = strict._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") + plan.count("BatchScan") == 1  # one decode
+    rows = {r.image_filename: r for r in strict.collect()}
     assert rows["flat.png"].analysis_status == "invalid_detection" and rows["flat.png"].score_condition_v4 is None
     missing = [c for c in MODEL_FEATURES if c not in a.asDict()]
     assert len(MODEL_FEATURES) == 133 and not missing and all(a[c] is not None for c in MODEL_FEATURES)
@@ -130,3 +138,38 @@ def test_card_payloads(spark):
     assert set(got) == {"1", "2", "3"}
     assert (got["1"].set_name, got["1"].number, got["1"].type, got["1"].hp, got["1"].image, got["1"].prices) == ("Set", "7", "Fire", 60, "u", '{"x":1}')
     assert (got["2"].set_name, got["2"].number, got["2"].type, got["2"].image) == ("T", "9", "Water", "v")
+
+
+def test_repeated_paths_keep_their_rows_and_batches_stay_small(spark):
+    from mintlens.operators.images import measured
+
+    data = card().tobytes()
+    rows = spark.createDataFrame([("p", 420, 320, 3, data, k, None) for k in range(5)] + [(None, None, None, None, None, 9, "x")], "path string, height int, width int, nChannels int, data binary, origin int, note string").coalesce(1)
+    got = measured(rows.withColumnRenamed("origin", "k"), rows_a_batch=2, keep=("k", "note")).select("k", "note", "origin", "stage", "detection.best_score").collect()
+    assert sorted((r.k, r.note, r.origin, r.stage) for r in got) == [(k, None, "p", "done") for k in range(5)] + [(9, "x", None, "read_error")]
+    assert measured(rows.where("false").withColumnRenamed("origin", "k")).count() == 0
+
+
+def test_sizes():
+    ramp = np.repeat(np.arange(0, 200, 2, dtype=np.uint8)[None, :, None], 80, 0).repeat(3, 2)
+    big = f.at_least(ramp, 160)
+    assert big.shape == (160, 200, 3) and np.abs(np.diff(big[:, 8:-8, 0].astype(int), axis=1) - 1).max() <= 1 and f.at_least(ramp, 80) is ramp
+    assert f.enlarged(np.full((5, 7), 90, np.uint8), 20, 30).tolist() == [[90] * 30] * 20
+    assert f.at_most(ramp, 50).shape == (40, 50, 3) and f.at_most(ramp, 100) is ramp and f.at_most(np.full((10, 20, 3), 7, np.uint8), 10).max() == 7
+
+
+@pytest.mark.parametrize(("size", "want"), [((100, 80), (16, 16, 64, 84)), ((1000, 300), (33, 336, 267, 664))])
+def test_fallback_is_a_card_in_the_middle(size, want):
+    quad = measure.fallback_quad(*size)
+    (x1, y1), (x2, y2) = quad[0], quad[2]
+    assert (x1, y1, x2, y2) == want and abs((x2 - x1) / (y2 - y1) - 0.715) < 0.02
+    assert measure.analyse(np.full((*size, 3), 90, np.uint8))[1]["detection"]["used_fallback"] == 1
+
+
+def test_cards_as_shown(spark):
+    from mintlens.sources.images import cards, shown
+
+    text = '{"id": "1", "name": "A", "types": ["Fire"], "attacks": [{"n": 1}], "pricing": {"cardmarket": {"normal": {"trend": 2}}, "tcgplayer": {"marketPrice": "3.5"}}}'
+    r = shown(cards(spark.createDataFrame([(text,), ('{"id": "2"}',)], "payload string")), {"Fire": "#F08030"}).orderBy("id").collect()
+    assert len(r[0].asDict()) == 14 and r[0].tipo_color == "#F08030" and r[1].tipo_color == "#999999" and r[0].ataques == '[{"n":1}]'
+    assert (r[0].mercado.cardmarket.currency, r[0].mercado.cardmarket.trend, r[0].mercado.tcgplayer.marketPrice) == ("EUR", 2.0, 3.5) and r[1].mercado.cardmarket is None
