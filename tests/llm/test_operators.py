@@ -263,6 +263,29 @@ def test_licences(spark):
     assert same_rows([(None if r.doc_id is None else r.doc_id, r.licence, r.score, r.licences) for r in licences.digest(df).collect()], [(None if a is None or a != a else int(a), b, c, d) for a, b, c, d in want])
 
 
+def test_licences_in_running_text():
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 100)
+    three = mit.replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    prose = " ".join(f"word{k}" for k in range(4000)) + " "
+    found = licences.scan(f"\u0130 {prose}\n\nMIT License\n\nCopyright 2020 me\n\n{three}\n\n{prose}")
+    assert [x[:2] for x in found] == [("MIT", 1.0)] and found[0][3] - found[0][2] == len(three) - 1
+    inline = prose + "it was released under the MIT license by them, " + prose + "and licensed under the Apache License, Version 2.0 too " + prose
+    assert [(n, s, inline[a:b]) for n, s, a, b in licences.scan(inline)] == [("MIT", 1.0, "released under the MIT license"), ("Apache-2.0", 1.0, "licensed under the Apache License, Version 2.0")]
+    assert licences.scan(prose) == [] and licences.scan("") == []
+    began = time.time()
+    assert len(licences.scan((mit + " ") * 500)) >= 500 and time.time() - began < 60
+
+
+def test_windows_against_brute_force():
+    random.seed(4)
+    template = frozenset(licences.bigrams("a b c d a b e f"))
+    for _ in range(300):
+        words = random.choices("abcdefx", k=random.randint(0, 40))
+        grams = list(zip(words, words[1:], strict=False))
+        want = [(2 * len(template & set(w)) / (len(template) + len(set(w))), s) for s in range(len(grams)) if grams[s] in template for w in [grams[s : s + 7]]]
+        assert list(licences.windows(grams, template, 7, 0.5)) == [x for x in want if x[0] >= 0.5]
+
+
 # -- 5 quality ----------------------------------------------------------------------------------------------------------------------
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
