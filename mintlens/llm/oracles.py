@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, secrets, urls
+from . import decontam, fim, phrases, secrets, urls
 
 
 def _text(s: str) -> str:
@@ -77,3 +77,37 @@ p AS (SELECT page_id, row, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)',
 m AS (SELECT row, arg_max({{'spelt': r.spelt, 'verdict': r.verdict}}, {{'n': len(r.spelt), 'block': r.verdict = 'block', 'spelt': r.spelt}}) AS best
  FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY row)
 SELECT page_id, host, path, best.spelt AS rule, coalesce(best.verdict, {_text(default)}) AS verdict FROM p LEFT JOIN m USING (row)"""
+
+
+# -- 12 phrases: every n-gram counted --------------------------------------------------------------------------------------------------------
+def phrases_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3), (4)) AS t(k)),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, k, a, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT x.*, l.f AS l, r.f AS r, CAST((CAST({phrases.SCALE} AS HUGEINT) * a) // (l.f + r.f) AS BIGINT) AS score
+ FROM x JOIN f l ON l.lang = x.lang AND l.phrase = lp JOIN f r ON r.lang = x.lang AND r.phrase = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT DISTINCT c.lang, inside.phrase FROM c JOIN c inside ON inside.lang = c.lang AND inside.k < c.k
+ AND contains(' ' || c.phrase || ' ', ' ' || inside.phrase || ' ') AND CAST(100 AS HUGEINT) * c.a >= CAST({phrases.SUBSUMED} AS HUGEINT) * inside.a),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN i USING (lang, phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM k JOIN n USING (lang) WHERE rank <= {phrases.FIRST}"""
+
+
+# -- 13 fill in the middle: units found one after the other, the text itself in place of what is rebuilt ------------------------------------------
+def fim_sql() -> str:
+    unit = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+    draw = ", ".join(f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, {draw}, regexp_extract_all(t, '{unit}') AS u FROM d),
+c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS lo, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS hi,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {100 - fim.PLAIN_PERCENT} THEN 'plain' WHEN h4 % 100 < {fim.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(len(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(len(m) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
