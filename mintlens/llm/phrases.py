@@ -103,12 +103,14 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def _packed(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(4, "little") + _ZSTD.compress(x.tobytes(), asbytes=True)
+    """Numbers in the narrowest type that holds them all, compressed, after its width and how many there are."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return kind.itemsize.to_bytes(1, "little") + len(x).to_bytes(4, "little") + _ZSTD.compress(x.astype(kind).tobytes(), asbytes=True)
 
 
-def _unpacked(x: bytes, kind) -> np.ndarray:
-    n = int.from_bytes(x[:4], "little")
-    return np.frombuffer(_ZSTD.decompress(x[4:], n * np.dtype(kind).itemsize), kind)
+def _unpacked(x: bytes) -> np.ndarray:
+    kind, n = np.dtype(f"u{x[0]}"), int.from_bytes(x[1:5], "little")
+    return np.frombuffer(_ZSTD.decompress(x[5:], n * kind.itemsize), kind)
 
 
 def _sketched(most: int, least: int, width: int, block: int):
@@ -124,7 +126,7 @@ def _sketched(most: int, least: int, width: int, block: int):
             for s, e in zip(starts, np.r_[starts[1:], len(c)], strict=True):
                 number = int(c[s]) // block
                 gaps = np.diff(c[s:e], prepend=np.uint32(number * block)).astype(np.uint32)
-                out.append((row, number, _packed(gaps), _packed(n[s:e].astype(np.uint32))))
+                out.append((row, number, _packed(gaps), _packed(n[s:e])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["row", "block", "gaps", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +152,8 @@ def _merged(least: int, width: int, block: int):
         for b in batches:
             for row, number, gaps, counts in zip(*(b.column(c).to_pylist() for c in ("row", "block", "gaps", "counts")), strict=True):
                 total = sums.setdefault((row, number), np.zeros(min(block, width), np.uint32))
-                c = np.cumsum(_unpacked(gaps, np.uint32), dtype=np.int64)
-                total[c] = np.minimum(total[c] + _unpacked(counts, np.uint32), least)
+                c = np.cumsum(_unpacked(gaps), dtype=np.int64)
+                total[c] = np.minimum(total[c] + _unpacked(counts), least)
         for (row, number), total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([number], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], ["row", "block", "bits"])
 
@@ -269,10 +271,11 @@ def collocations(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST, fi
     counts = stored(frequent(docs, most, least, width))
     kept = stored(scored(counts).join(subsumed(counts, percent), ["lang", "phrase"], "left_anti"))
     order = (F.desc("score"), F.desc("a"), "phrase")
-    # no task ranks a whole language: first within shares of the candidates, then what is left of each
-    shares = 1 + kept.count() // RANKED
-    within = Window.partitionBy("lang", "share").orderBy(*order)
-    short = kept.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares))).withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= first)
+    # no task ranks a large language whole: first within shares of its candidates, and again while many are left of them
+    short, left = kept, kept.count()
+    while left > RANKED and first * (shares := 1 + left // RANKED) < left:
+        within = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(shares))).orderBy(*order)
+        short, left = short.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= first).drop("rank"), first * shares
     ranked = short.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     words = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, fim, langid, licences, oracles, phrases, quality, secrets, sharding, simhash, urls
+from . import ann, bpe, decontam, fim, langid, licences, minhash, oracles, phrases, quality, secrets, sharding, simhash, urls
 from .common import read
 
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filters": lambda spark, sf_dir: urls.digest(read(spark, sf_dir, "pages")),
     "op9_languages": lambda spark, sf_dir: langid.identify(read(spark, sf_dir, "pages"), langid.train(read(spark, sf_dir, "documents"))),
     "op10_bpe": lambda spark, sf_dir: bpe.digest(read(spark, sf_dir, "documents"), vocabulary_path()),
+    "op11_minhash": lambda spark, sf_dir: minhash.near_duplicates(read(spark, sf_dir, "documents")),
     "op12_phrases": lambda spark, sf_dir: phrases.collocations(read(spark, sf_dir, "documents")),
     "op13_fill_in_middle": lambda spark, sf_dir: fim.digest(read(spark, sf_dir, "documents")),
 }

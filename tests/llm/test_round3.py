@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mintlens.llm import fim, oracles, phrases
+from mintlens.llm import fim, minhash, oracles, phrases, simhash
 
 from test_sql import rows
 
@@ -48,10 +48,13 @@ def test_phrases_match_sql_at_any_width_of_the_sketch(spark, tmp_path):
     assert phrases.collocations(df.limit(0)).count() == 0 and phrases.collocations(df.where("lang = 'fr'")).count() == 0
 
 
-def test_first_phrases_and_large_counts(spark):
+def test_first_phrases_and_large_counts(spark, monkeypatch):
     df = frame(spark, odd_texts())
     whole, first = phrases.collocations(df).collect(), phrases.collocations(df, first=7).collect()
     assert sorted(map(tuple, first)) == sorted(tuple(r) for r in whole if r["rank"] <= 7) and len(first) == 7
+    monkeypatch.setattr(phrases, "RANKED", 10)  # ranked in shares, several times over
+    for most in (2, 3, 7):
+        assert sorted(map(tuple, phrases.collocations(df, first=most).collect())) == sorted(tuple(r) for r in whole if r["rank"] <= most)
     # counts whose products pass 64 bits
     big = 4 * 10**17
     counts = spark.createDataFrame([("en", "x", big + 3), ("en", "y", big + 9), ("en", "z", big), ("en", "x y", big), ("en", "y z", big), ("en", "x y z", big * 79 // 100)], "lang string, phrase string, f bigint")
@@ -144,3 +147,119 @@ def test_markers_that_cannot_be_told_apart(spark):
     m = fim.Markers("[pre]", "[suf]", "[mid]")
     back = fim.restored(fim.transform(frame(spark, ["a b c d [pre e"] * 50), markers=m), markers=m)
     assert back.where("restored <> text").count() == 0 and back.where("output like '%[mid]%'").count() > 10
+
+
+# -- 11 MinHash near-duplicates -------------------------------------------------------------------------------------------------
+def shingle_set(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
+
+
+def brute_components(data):
+    """One row an item: (doc_id, size, least id reachable, kept)."""
+    sets = [shingle_set(t) for _, t in data]
+    parent = list(range(len(data)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(data)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] and 100 * common >= 80 * len(sets[i] | sets[j]):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(data):
+        if doc is not None:
+            least[root(i)] = min(doc, least.get(root(i), doc))
+    return [(doc, len(sets[i]), least.get(root(i)), doc == least.get(root(i))) for i, (doc, _) in enumerate(data)]
+
+
+def families(rng, words=90):
+    """Chains of revisions, templates whose texts are alike by a half, copies around 0.8, and the odd ones."""
+    vocabulary = [f"w{n}" for n in range(4000)]
+    fresh = lambda n: rng.choices(vocabulary, k=n)
+    texts = [None, "", " \t\n", "one", "One", "one two", "ONE  two", "one two three", "é ñ", "É ñ", "a\x1cb c"]
+    for _ in range(6):
+        w = fresh(words)
+        for _ in range(12):
+            texts.append(" ".join(w))
+            for _ in range(3):
+                w[rng.randrange(words)] = rng.choice(vocabulary)
+    shared = fresh(60)
+    texts += [" ".join(shared + fresh(30)) for _ in range(60)]
+    for _ in range(40):
+        w = fresh(words)
+        texts.append(" ".join(w))
+        for k in rng.sample(range(words), rng.choice([4, 5, 6, 10])):
+            w[k] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    return texts + texts[:40] + [texts[20].upper() + "\n"] * 30
+
+
+def test_minhash_against_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = families(rng)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    data = [(order[n], t) for n, t in enumerate(texts)] + [(None, texts[30]), (None, "alone of its kind here"), (None, None), (3, texts[40]), (3, texts[90])]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    clash = df.select("*", *(F.lit("x").alias(c) for c in ("mark", "key", "n", "toks", "cid", "share", "root", "component_id")))
+    want = brute_components(data)
+    for posting in (minhash.POSTING_ROWS, 8):
+        monkeypatch.setattr(minhash, "POSTING_ROWS", posting)
+        got = minhash.near_duplicates(clash).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert 100 < sum(not k for *_, k in want) < len(want) - 100
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
+    assert minhash.near_duplicates(df.where("text is null")).count() == 2
+
+
+def test_minhash_of_large_groups(spark):
+    """A group of near copies, a template and copies of one text, each beyond what is compared as one."""
+    rng = random.Random(2)
+    vocabulary = [f"w{n}" for n in range(5000)]
+    base, shared = rng.choices(vocabulary, k=80), rng.choices(vocabulary, k=50)
+
+    def changed(k):
+        w = list(base)
+        for i in rng.sample(range(80), k):
+            w[i] = rng.choice(vocabulary)
+        return " ".join(w)
+
+    texts = [changed(rng.choice([1, 2, 3, 6, 7, 9])) for _ in range(1200)] + [" ".join(shared + rng.choices(vocabulary, k=30)) for _ in range(300)] + ["the same words again"] * 3000
+    data = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string").repartition(7)).collect()}
+    distinct = {t: n for n, t in reversed(data)}
+    want = {doc: c for doc, _, c, _ in brute_components([(n, t) for t, n in distinct.items()])}
+    assert all(got[n] == want[distinct[t]] for n, t in data)
+
+
+def test_signatures_agree_as_often_as_sets_do():
+    rng = np.random.default_rng(4)
+    share = []
+    for n in (5, 40, 400):
+        for _ in range(200):
+            both, a, b = (rng.integers(0, 1 << 63, k).astype(np.uint64) for k in (int(n * 0.8), (n - int(n * 0.8)) // 2, n - int(n * 0.8) - (n - int(n * 0.8)) // 2))
+            x, y = (minhash.signature(np.unique(np.concatenate([both, z]))) for z in (a, b))
+            share.append((x == y).sum())
+    share = np.array(share)
+    assert abs(share.mean() / minhash.COORDINATES - 0.8) < 0.02 and (share >= minhash.MATCHES).all()
+
+
+def test_skipped_postings_lose_no_pair(spark, tmp_path):
+    """The posted coordinates of any two texts that agree in MATCHES of them have one in common."""
+    texts = [t for t in families(random.Random(3)) if t and t.strip()]
+    sig = {t: set(minhash.signature(simhash.shingles(t.encode(), 2, simhash._Words())).tolist()) for t in texts}
+    rows_ = [(n, [x - (1 << 64) if x >> 63 else x for x in s]) for n, s in enumerate(sig.values())]
+    df = spark.createDataFrame(rows_, "cid bigint, toks array<bigint>")
+    with simhash.Scratch(spark) as keep:
+        posted = defaultdict(set)
+        for r in minhash.postings(df, keep).collect():
+            posted[r.cid].add(r.tok)
+    for i, a in rows_:
+        for j, b in rows_[:i]:
+            if len(set(a) & set(b)) >= minhash.MATCHES:
+                assert posted[i] & posted[j]
