@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, same, slices, small, stored
 from .graph import components
-from .simhash import _Words, shingles, units, whole_units
+from .simhash import _Words, common, padded, shingles, units, whole_units
 
 #: Words in a shingle, least percentage of similarity, coordinates of a signature, and those in which a candidate pair agrees.
 SHINGLE_WORDS, PERCENT, COORDINATES, MATCHES = 2, 80, 48, 22
 #: Texts of a posting that are compared as one, rows of numpy work at once, shingles hashed at once.
 POSTING_ROWS, CHUNK_ROWS, HASH_CHUNK = 1024, 256, 1 << 11
-#: Rows of one text that one task joins with its group.
-COPIES = 1 << 20
+#: Least shingle hashes by which pairs are screened, texts of a posting from which all its pairs are, and rounds of nearest pairs.
+SCREEN, SCREENED_ROWS, ROUNDS = 256, 8, 3
+#: Rows of one text that one task joins with its group, and texts that one task compares with one other.
+COPIES, STAR = 1 << 20, 512
 
 _MAX = np.uint64(2**64 - 1)
 #: Odd numbers by which a shingle's hash is multiplied: an order of all hashes for each coordinate.
@@ -54,12 +56,31 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "key", "n", "toks"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, least): the least SCREEN hashes of a text's set, cut to 15 bits."""
     known = _Words()
     for b in (part for whole in batches for part in slices(whole, whole.schema.get_field_index("text"))):
-        sets = [shingles(t.as_py(), SHINGLE_WORDS, known) for t in b.column("text")]
-        keys = [hashlib.md5(s.tobytes(), usedforsecurity=False).digest() for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["key", "s"])
+        least = [(shingles(t.as_py(), SHINGLE_WORDS, known)[:SCREEN] & np.uint64(0x7FFF)).astype(np.int16) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array(least, pa.list_(pa.int16()))], ["cid", "least"])
+
+
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the texts of each star whose set is similar to that of its hub b; a hub comes before its texts."""
+    known, hub, held = _Words(), None, None
+    for b in batches:
+        found = []
+        for star, cid, key, is_hub, text in zip(*(b.column(c) for c in ("star", "cid", "key", "hub", "text")), strict=True):
+            s = shingles(text.as_py(), SHINGLE_WORDS, known)
+            if hashlib.md5(s.tobytes(), usedforsecurity=False).digest() != key.as_py():
+                continue  # another text at the same place
+            if is_hub.as_py():
+                hub, held = (star.as_py(), cid.as_py()), s
+            elif hub is not None and hub[0] == star.as_py():
+                common = len(s) + len(held) - len(np.unique(np.concatenate([s, held])))
+                if 100 * common >= PERCENT * (len(s) + len(held) - common):
+                    found.append((cid.as_py(), hub[1]))
+        a, c = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
 
 def postings(classes: DataFrame, keep: Scratch) -> DataFrame:
@@ -80,11 +101,14 @@ def postings(classes: DataFrame, keep: Scratch) -> DataFrame:
 def matching(x: dict[str, pa.ChunkedArray], least: int = MATCHES, few: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Indexes i and j of the rows of each unit that agree in ``least`` coordinates and have two roots, and in how many they agree.
 
-    Sizes that rule out the similarity are skipped, and pairs that another posting counts.  Small units are compared many
-    at once, every row with the k-th after it; in a large one chunks along the size, of a two-sided one only across.
+    Sizes that rule out the similarity are skipped, and pairs that another posting counts.  Where rows bring their least
+    SCREEN hashes, so are pairs that these rule out: sets of no more hashes if they share too few, others by five
+    standard deviations; the pairs then come with the hashes they share.  Small units are compared many at once, every
+    row with the k-th after it; in a large one chunks along the size, of a two-sided one only across.
     """
     unit, side, n, root, mask, tok = (x[k].to_numpy() for k in ("unit", "side", "n", "root", "mask", "tok"))
-    sig = x["toks"].combine_chunks().flatten().to_numpy().reshape(len(unit), -1)
+    held, size = padded(x["least"], -1)
+    sig = x["sig"].combine_chunks().flatten().to_numpy().reshape(len(unit), -1)  # 32 bits tell two values of a coordinate apart
     lowest = np.int64(1) << (tok & 63)
 
     def alike(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +121,15 @@ def matching(x: dict[str, pa.ChunkedArray], least: int = MATCHES, few: int = 64)
             m = equal.sum(axis=1)
             p, q, equal, m = (y[m >= least] for y in (p, q, equal, m))
             both = (equal * (np.int64(1) << np.arange(sig.shape[1], dtype=np.int64))).sum(axis=1) & mask[p] & mask[q]
-            here = (both & -both) == lowest[p]
-            out.append((p[here], q[here], m[here]))
+            p, q, m = (y[(both & -both) == lowest[p]] for y in (p, q, m))
+            told = (size[p] > 0) & (size[q] > 0)
+            if told.any():
+                c = common(held[p], held[q])
+                whole = (n[p] <= SCREEN) & (n[q] <= SCREEN)
+                part = PERCENT / 100
+                on = ~told | (c >= np.where(whole, (n[p] + n[q]) * (part / (1 + part)) - 1e-6, part * SCREEN - 5 * np.sqrt(part * (1 - part) * SCREEN)))
+                p, q, m = p[on], q[on], np.where(told, c, m)[on]
+            out.append((p, q, m))
         return tuple(np.concatenate(y) for y in zip(*out, strict=True)) if out else (i, j, i)
 
     starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
@@ -128,7 +159,7 @@ def matching(x: dict[str, pa.ChunkedArray], least: int = MATCHES, few: int = 64)
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, m, b): of each row that has candidates in its unit, the one that agrees in most coordinates, the least of equals."""
+    """(a, b): of each row that has candidates in its unit, the one that agrees most, the least of equals."""
     for x in whole_units(batches):
         cid = x["cid"].to_numpy()
         most, best = np.zeros(len(cid), np.int64), np.full(len(cid), np.iinfo(np.int64).max)
@@ -140,7 +171,7 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 top = m == most[p]
                 np.minimum.at(best, p[top], cid[q[top]])
         on = most > 0
-        yield pa.RecordBatch.from_arrays([pa.array(y[on]) for y in (cid, most, best)], ["a", "m", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(y[on]) for y in (cid, best)], ["a", "b"])
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,55 +183,70 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(cid[i], cid[j])), pa.array(np.minimum(cid[i], cid[j]))], ["a", "b"])
 
 
-def dealt(tiles: DataFrame, reach: DataFrame, prints: DataFrame, keep: Scratch) -> DataFrame:
-    """The rows of postings that hold texts of several roots, in units; a long posting is cut along the sizes of its sets."""
+def dealt(tiles: DataFrame, reach: DataFrame, prints: DataFrame, screened: int, keep: Scratch) -> DataFrame:
+    """The rows of postings that hold texts of several roots, in units; a long posting is cut along the sizes of its sets.
+
+    Rows of postings of over ``screened`` texts bring their least hashes.
+    """
     rooted = keep(tiles.select("tok", "cid", "mask").join(reach, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
     apart = keep(rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("g")).where("lo < hi").select("tok", "g"))
-    rows = keep(rooted.join(apart, "tok").join(prints, "cid"))
-    carry = ["tok", "cid", "mask", "root", "n", "toks"]
-    cold = rows.where(F.col("g") <= POSTING_ROWS).select(F.col("tok").alias("unit"), F.lit(0).alias("side"), *carry)
-    hot = rows.where(F.col("g") > POSTING_ROWS)
-    if not hot.isEmpty():
+    rows = rooted.join(apart, "tok").join(prints, "cid").withColumn("least", F.when(F.col("g") > screened, F.col("least")))
+    carry = ["tok", "cid", "mask", "root", "n", "sig", "least"]
+    out = rows.where(F.col("g") <= POSTING_ROWS).select(F.col("tok").alias("unit"), F.lit(0).alias("side"), *carry)
+    if not apart.where(F.col("g") > POSTING_ROWS).isEmpty():
         # eight steps for each factor of 100 / PERCENT, so sizes within that factor are nine steps apart at most
         steps = F.floor(F.log(F.col("n").cast("double")) * (8 / np.log(100 / PERCENT))).cast("int")
-        cold = cold.unionByName(units(hot.select(F.lit(0).alias("block"), F.col("tok").alias("value"), steps.alias("pos"), *carry), 9, POSTING_ROWS, carry, keep))
-    return cold.repartition("unit").sortWithinPartitions("unit")
+        hot = rows.where(F.col("g") > POSTING_ROWS).select(F.lit(0).alias("block"), F.col("tok").alias("value"), steps.alias("pos"), *carry)
+        out = out.unionByName(units(hot, 9, POSTING_ROWS, carry, keep))
+    return out.repartition("unit").sortWithinPartitions("unit")
+
 
+def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of PERCENT or more.
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of PERCENT or more."""
-    both = pairs.join(sets.select(F.col("cid").alias("a"), "s"), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t")).cast("bigint")
-    return both.where(100 * common >= PERCENT * (F.size("s") + F.size("t") - common)).select("a", "b")
+    The pairs of one b are a star: its texts travel to it once each, in shares of STAR texts, so no star fills a task.
+    Texts are smaller than sets of hashes, and only the hub's set is held.
+    """
+    sizes = keep(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("of")))
+    share = F.pmod(F.xxhash64("a"), F.floor(F.col("of") / STAR) + 1)
+    rays = pairs.join(sizes, "b").select("a", "b", F.xxhash64("b", share).alias("star"))
+    ends = rays.select("star", F.col("a").alias("cid"), F.lit(False).alias("hub")).union(rays.select("star", F.col("b").alias("cid"), F.lit(True).alias("hub")).distinct())
+    ends = small(keep(ends.join(classes.select("cid", "key", "loc"), "cid").select("star", "cid", "hub", "key", F.col("loc.doc_id").alias("__id"), F.col("loc.mark").alias("__mark"))))
+    texts = located(docs)
+    met = texts.join(ends, same(texts, ends, {"doc_id": "__id", "mark": "__mark"})).select("star", "cid", "key", "hub", "text")
+    return met.repartition("star").sortWithinPartitions("star", F.desc("hub")).mapInArrow(_starred, "a bigint, b bigint").distinct()
 
 
 def linked(docs: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root) over the cid of ``classes`` that reach another one by confirmed links.
 
-    First each text is confirmed with the least of each of its postings, then with the one that agrees most of those
-    that are still apart, which joins most of what is alike by a few pairs a text; then all candidates still apart.
+    First each text is confirmed with the least text of most of its postings, then with the one that agrees most of those
+    that are still apart, in rounds, which joins most of what is alike by a few pairs a text; then all candidates that are
+    still apart.
     """
     tiles = postings(classes, keep)
-    asked = keep(classes.join(tiles.select("cid").distinct(), "cid"))
-    prints = asked.select("cid", "n", "toks")
-    places = small(keep(asked.select(F.col("loc.doc_id").alias("__id"), F.col("loc.mark").alias("__mark"))))
+    asked = keep(classes.join(tiles.select("cid").distinct(), "cid").select("cid", "key", "loc", "n", F.transform("toks", lambda t: F.shiftright(t, 32).cast("int")).alias("sig")))
+    places = small(asked.select("cid", F.col("loc.doc_id").alias("__id"), F.col("loc.mark").alias("__mark")))
     texts = located(docs)
-    found = texts.join(places, same(texts, places, {"doc_id": "__id", "mark": "__mark"}), "left_semi").mapInArrow(_sets, "key binary, s array<bigint>")
-    sets = keep(found.join(asked.select("cid", "key"), "key").select("cid", "s").dropDuplicates(["cid"]))
+    least = texts.join(places, same(texts, places, {"doc_id": "__id", "mark": "__mark"})).select("cid", "text").mapInArrow(_sketched, "cid bigint, least array<smallint>")
+    prints = keep(asked.select("cid", "n", "sig").join(least.dropDuplicates(["cid"]), "cid"))
 
-    first = keep(tiles.where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b")).distinct())
-    links = keep(confirmed(first, sets))
-    reach = keep(components(links)).withColumnRenamed("node", "cid")
-
-    near = dealt(tiles, reach, prints, keep).mapInArrow(_nearest, "a bigint, m bigint, b bigint")
-    near = near.groupBy("a").agg(F.max(F.struct("m", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b"))
-    near = keep(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.union(keep(confirmed(near, sets)))
+    often = tiles.where("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("m"))
+    tried = keep(often.groupBy(F.col("cid").alias("a")).agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("b")))
+    links = keep(confirmed(docs, tried, asked, keep))
     reach = keep(components(links)).withColumnRenamed("node", "cid")
+    for k in range(ROUNDS):
+        some = tiles.where(F.pmod(F.xxhash64("tok"), F.lit(8)) == k)  # a part of the postings serves to join most; the last step takes all
+        near = dealt(some, reach, prints, 0, keep).mapInArrow(_nearest, "a bigint, b bigint")
+        near = keep(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        if near.isEmpty():
+            continue
+        tried, links = tried.union(near), links.union(keep(confirmed(docs, near, asked, keep)))
+        reach = keep(components(links)).withColumnRenamed("node", "cid")
 
-    rest = dealt(tiles, reach, prints, keep).mapInArrow(_crossing, "a bigint, b bigint")
-    rest = keep(rest.join(first.union(near), ["a", "b"], "left_anti"))
-    return components(links.union(keep(confirmed(rest, sets))))
+    rest = dealt(tiles, reach, prints, SCREENED_ROWS, keep).mapInArrow(_crossing, "a bigint, b bigint")
+    rest = keep(rest.join(tried, ["a", "b"], "left_anti"))
+    return components(links.union(keep(confirmed(docs, rest, asked, keep))))
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -216,7 +262,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept says whether that is its own.  Texts of equal sets are one node, told by 128 bits of their shingles' hashes.
 
     Links are exact.  A pair of similarity 0.8 is no candidate only if it agrees in fewer than MATCHES of COORDINATES
-    (a chance of 3e-8, less above 0.8); ``tests/llm`` compares with brute force.
+    (a chance of 3e-8), or if both sets have over SCREEN shingles, meet in postings of over SCREENED_ROWS texts only, and
+    their least hashes fall five standard deviations short (3e-7); both chances vanish above 0.8.  ``tests/llm`` compares
+    with brute force.
 
     A null text counts as empty; a text without words links with nothing, so each such row is its own component.  A null
     doc_id keeps its row, links like any other, never names a component that has another id, and is kept only where
@@ -231,13 +279,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         shares = 16 + with_words.count() // COPIES
         share = F.pmod(F.xxhash64("doc_id", "mark"), F.lit(shares)).alias("share")
         one = F.struct("doc_id", "mark")
-        parts = keep(with_words.groupBy("key", share).agg(F.min("doc_id").alias("id"), F.min(one).alias("loc"), F.first("n").alias("n"), F.first("toks").alias("toks")))
-        classes = parts.groupBy("key").agg(F.min("id").alias("id"), F.min("loc").alias("loc"), F.first("n").alias("n"), F.first("toks").alias("toks"))
+        parts = with_words.select("key", share).distinct()
+        classes = with_words.groupBy("key").agg(F.min("doc_id").alias("id"), F.min(one).alias("loc"), F.first("n").alias("n"), F.first("toks").alias("toks"))
         classes = keep(classes.withColumn("cid", F.monotonically_increasing_id()))  # a table, so the numbers stay
         reach = keep(linked(docs, classes, keep)).withColumnRenamed("node", "cid")
         grouped = keep(classes.select("key", "id", "cid").join(reach, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
         least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
         names = keep(grouped.join(keep(least), "root").select("key", "component_id"))
-        named = keep(parts.select("key", "share").join(names, "key"))
+        named = keep(parts.join(names, "key"))
         out = stored(with_words.select("doc_id", "n", "key", share).join(named, ["key", "share"]).select("doc_id", "n", "component_id").union(d.where("n = 0").select("doc_id", "n", "doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
