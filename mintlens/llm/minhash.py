@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, same, slices, small, stored
 from .graph import components
-from .simhash import _Words, common, padded, shingles, units, whole_units
+from .simhash import _Words, common, padded, rooted, shingles, units, whole_units
 
 #: Words in a shingle, least percentage of similarity, coordinates of a signature, and those in which a candidate pair agrees.
-SHINGLE_WORDS, PERCENT, COORDINATES, MATCHES = 2, 80, 48, 22
+SHINGLE_WORDS, PERCENT, COORDINATES, MATCHES = 2, 80, 32, 13
 #: Texts of a posting that are compared as one, rows of numpy work at once, shingles hashed at once.
-POSTING_ROWS, CHUNK_ROWS, HASH_CHUNK = 1024, 256, 1 << 11
-#: Least shingle hashes by which pairs are screened, texts of a posting from which all its pairs are, and rounds of nearest pairs.
-SCREEN, SCREENED_ROWS, ROUNDS = 256, 8, 3
+POSTING_ROWS, CHUNK_ROWS, HASH_CHUNK = 1024, 256, 1 << 8
+#: Least shingle hashes by which pairs are screened, texts of a posting from which all its pairs are, and rounds over a part of the postings.
+SCREEN, SCREENED_ROWS, ROUNDS = 256, 8, 2
 #: Rows of one text that one task joins with its group, and texts that one task compares with one other.
 COPIES, STAR = 1 << 20, 512
 
@@ -84,7 +84,7 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(classes: DataFrame, keep: Scratch) -> DataFrame:
-    """tok, cid, mask (the coordinates under which the text is posted, as bits), g (texts of the posting) and lead, the least of them."""
+    """tok, cid and mask: the postings of each text, and the coordinates of all that it is posted under, as bits."""
     tokens = classes.select(F.explode("toks").alias("tok"), "cid")
     shared = keep(tokens.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1"))
     # at most COORDINATES entries a text; pairs that no other text has come first in the order, but have no posting
@@ -94,21 +94,21 @@ def postings(classes: DataFrame, keep: Scratch) -> DataFrame:
     mask = F.expr("aggregate(toks, 0L, (m, t) -> m | shiftleft(1L, cast(t & 63 AS int)))")
     rows = keep(posted.select("cid", mask.alias("mask"), F.explode("toks").alias("tok")))
     # a table of its own, so that Spark can split the join where one posting is very long
-    counts = keep(rows.groupBy("tok").agg(F.count(F.lit(1)).alias("g"), F.min("cid").alias("lead")).where("g > 1"))
-    return keep(rows.join(counts, "tok"))
+    counts = keep(rows.groupBy("tok").agg(F.count(F.lit(1)).alias("g")).where("g > 1"))
+    return keep(rows.join(counts, "tok").drop("g"))
 
 
-def matching(x: dict[str, pa.ChunkedArray], least: int = MATCHES, few: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def matching(x: dict[str, pa.ChunkedArray], once: bool = True, least: int = MATCHES, few: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Indexes i and j of the rows of each unit that agree in ``least`` coordinates and have two roots, and in how many they agree.
 
-    Sizes that rule out the similarity are skipped, and pairs that another posting counts.  Where rows bring their least
+    Sizes that rule out the similarity are skipped, and with ``once`` pairs that another posting counts.  Where rows bring their least
     SCREEN hashes, so are pairs that these rule out: sets of no more hashes if they share too few, others by five
     standard deviations; the pairs then come with the hashes they share.  Small units are compared many at once, every
     row with the k-th after it; in a large one chunks along the size, of a two-sided one only across.
     """
     unit, side, n, root, mask, tok = (x[k].to_numpy() for k in ("unit", "side", "n", "root", "mask", "tok"))
     held, size = padded(x["least"], -1)
-    sig = x["sig"].combine_chunks().flatten().to_numpy().reshape(len(unit), -1)  # 32 bits tell two values of a coordinate apart
+    sig = x["sig"].combine_chunks().flatten().to_numpy().reshape(len(unit), -1)
     lowest = np.int64(1) << (tok & 63)
 
     def alike(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +120,9 @@ def matching(x: dict[str, pa.ChunkedArray], least: int = MATCHES, few: int = 64)
             equal = sig[p] == sig[q]
             m = equal.sum(axis=1)
             p, q, equal, m = (y[m >= least] for y in (p, q, equal, m))
-            both = (equal * (np.int64(1) << np.arange(sig.shape[1], dtype=np.int64))).sum(axis=1) & mask[p] & mask[q]
-            p, q, m = (y[(both & -both) == lowest[p]] for y in (p, q, m))
+            if once:  # the least coordinate of those that agree, of which 32 bits are compared, and under which both are posted
+                both = (equal * (np.int64(1) << np.arange(sig.shape[1], dtype=np.int64))).sum(axis=1) & mask[p] & mask[q]
+                p, q, m = (y[(both & -both) == lowest[p]] for y in (p, q, m))
             told = (size[p] > 0) & (size[q] > 0)
             if told.any():
                 c = common(held[p], held[q])
@@ -159,11 +160,11 @@ def matching(x: dict[str, pa.ChunkedArray], least: int = MATCHES, few: int = 64)
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): of each row that has candidates in its unit, the one that agrees most, the least of equals."""
+    """(a, m, b): of each row that has candidates in its unit, the one that agrees most, the least of equals."""
     for x in whole_units(batches):
         cid = x["cid"].to_numpy()
         most, best = np.zeros(len(cid), np.int64), np.full(len(cid), np.iinfo(np.int64).max)
-        for i, j, m in matching(x):
+        for i, j, m in matching(x, once=False):
             for p, q in ((i, j), (j, i)):
                 was = most.copy()
                 np.maximum.at(most, p, m)
@@ -171,7 +172,34 @@ def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 top = m == most[p]
                 np.minimum.at(best, p[top], cid[q[top]])
         on = most > 0
-        yield pa.RecordBatch.from_arrays([pa.array(y[on]) for y in (cid, best)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(y[on]) for y in (cid, most, best)], ["a", "m", "b"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b), a > b: pairs that join all candidates of a unit, those that agree most first; fewer than it has rows."""
+    for x in whole_units(batches):
+        cid, root = x["cid"].to_numpy(), x["root"].to_numpy()
+        found = list(matching(x, once=False))
+        if not found:
+            continue
+        i, j, m = (np.concatenate(y) for y in zip(*found, strict=True))
+        order = np.argsort(-m, kind="stable")
+        i, j = i[order], j[order]
+        _, labels = np.unique(root, return_inverse=True)
+        group = np.arange(len(root))
+        out = []
+        while len(i):
+            a, b = group[labels[i]], group[labels[j]]
+            i, j, a, b = (y[a != b] for y in (i, j, a, b))
+            if not len(i):
+                break
+            ends = np.stack([a, b], axis=1).ravel()
+            take = np.unique(np.unique(ends, return_index=True)[1] // 2)  # the first pair of every group
+            out.append((i[take], j[take]))
+            rooted(group, a[take], b[take])
+        if out:
+            i, j = (np.concatenate(y) for y in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(cid[i], cid[j])), pa.array(np.minimum(cid[i], cid[j]))], ["a", "b"])
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,29 +248,34 @@ def confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, keep: Scrat
 def linked(docs: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root) over the cid of ``classes`` that reach another one by confirmed links.
 
-    First each text is confirmed with the least text of most of its postings, then with the one that agrees most of those
-    that are still apart, in rounds, which joins most of what is alike by a few pairs a text; then all candidates that are
-    still apart.
+    First every text is compared with the others of its postings by a short form of the signature, and those that agree
+    with none are left aside; each other one is confirmed with the one that it agrees with most.  Then, in a part of the
+    postings at a time, pairs that would join all candidates are confirmed, a forest a posting; last, all candidates that
+    are still apart.
     """
     tiles = postings(classes, keep)
-    asked = keep(classes.join(tiles.select("cid").distinct(), "cid").select("cid", "key", "loc", "n", F.transform("toks", lambda t: F.shiftright(t, 32).cast("int")).alias("sig")))
+    none = classes.select(F.col("cid"), F.col("cid").alias("root")).limit(0)
+    short = classes.select("cid", "n", F.transform("toks", lambda t: F.shiftright(t, 48).cast("smallint")).alias("sig"), F.lit(None).cast("array<smallint>").alias("least"))
+    near = keep(dealt(tiles, none, short, 0, keep).mapInArrow(_nearest, "a bigint, m bigint, b bigint").groupBy("a").agg(F.max(F.struct("m", (-F.col("b")).alias("b"))).alias("x")))
+    alive = near.select(F.col("a").alias("cid"))
+    asked = keep(classes.join(alive, "cid").select("cid", "key", "loc", "n", F.transform("toks", lambda t: F.shiftright(t, 32).cast("int")).alias("sig")))
+    tiles = keep(tiles.join(alive, "cid"))
     places = small(asked.select("cid", F.col("loc.doc_id").alias("__id"), F.col("loc.mark").alias("__mark")))
     texts = located(docs)
     least = texts.join(places, same(texts, places, {"doc_id": "__id", "mark": "__mark"})).select("cid", "text").mapInArrow(_sketched, "cid bigint, least array<smallint>")
     prints = keep(asked.select("cid", "n", "sig").join(least.dropDuplicates(["cid"]), "cid"))
 
-    often = tiles.where("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("m"))
-    tried = keep(often.groupBy(F.col("cid").alias("a")).agg(F.max_by("lead", F.struct("m", -F.col("lead"))).alias("b")))
+    pairs = near.select("a", (-F.col("x.b")).alias("b"))
+    tried = keep(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     links = keep(confirmed(docs, tried, asked, keep))
     reach = keep(components(links)).withColumnRenamed("node", "cid")
     for k in range(ROUNDS):
-        some = tiles.where(F.pmod(F.xxhash64("tok"), F.lit(8)) == k)  # a part of the postings serves to join most; the last step takes all
-        near = dealt(some, reach, prints, 0, keep).mapInArrow(_nearest, "a bigint, b bigint")
-        near = keep(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        if near.isEmpty():
-            continue
-        tried, links = tried.union(near), links.union(keep(confirmed(docs, near, asked, keep)))
-        reach = keep(components(links)).withColumnRenamed("node", "cid")
+        some = tiles.where(F.pmod(F.xxhash64("tok"), F.lit(8)) == k)
+        pairs = dealt(some, reach, prints, 0, keep).mapInArrow(_forest, "a bigint, b bigint")
+        pairs = keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            tried, links = tried.union(pairs), links.union(keep(confirmed(docs, pairs, asked, keep)))
+            reach = keep(components(links)).withColumnRenamed("node", "cid")
 
     rest = dealt(tiles, reach, prints, SCREENED_ROWS, keep).mapInArrow(_crossing, "a bigint, b bigint")
     rest = keep(rest.join(tried, ["a", "b"], "left_anti"))
@@ -262,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kept says whether that is its own.  Texts of equal sets are one node, told by 128 bits of their shingles' hashes.
 
     Links are exact.  A pair of similarity 0.8 is no candidate only if it agrees in fewer than MATCHES of COORDINATES
-    (a chance of 3e-8), or if both sets have over SCREEN shingles, meet in postings of over SCREENED_ROWS texts only, and
+    (a chance of 4e-7), or if both sets have over SCREEN shingles, meet in postings of over SCREENED_ROWS texts only, and
     their least hashes fall five standard deviations short (3e-7); both chances vanish above 0.8.  ``tests/llm`` compares
     with brute force.
 
