@@ -2,58 +2,186 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.math import aspect_quality, balance, clamp, mean, num, rounded, safe, span, steps
+from ..functions.math import aspect_quality, balance, clamp, iou, mean, rounded, safe, span, steps
 from ..schema import ANALYSIS, CORNERS, FAMILIES, SCHEMA_VERSION, SCORE_PARTS, SIDES
-from . import rules, scoring
+from . import detection, rules, scoring
+from .candidates import chosen_box, fallback_box
 from .flatten import flatten, leading_first
 
 
-def measured(images: DataFrame, rows_a_batch: int = 8, keep: Sequence[str] = (), fallback: bool = True) -> DataFrame:
-    """The columns ``keep``, then origin, height, width, stage, error and a struct of raw measurements for each family.
+#: The raster's own columns, and what the first look adds to them.
+RASTER = ("path", "height", "width", "nChannels", "data")
+POOL = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in detection.CANDIDATE.split(', '))}>>"
+LOOK = f"stage string, error string, small_height double, small_width double, pool {POOL}, columns array<double>, rows array<double>"
+#: Trust below which a detection is weak, and below which a second look is taken; overlap from which two boxes are the same.
+WEAK, LOOK_AGAIN, SAME_BOX = 0.55, 0.55, 0.8
+#: Bytes of rasters that leave a worker together.
+RASTER_BYTES = 1 << 24
+
+
+def _each(images: DataFrame, made: str, look: Callable[[dict], dict], carried: Sequence[str], rows_a_batch: int) -> DataFrame:
+    """``carried`` columns and the columns ``made`` of ``look``, which gets a row's raster columns and the others; in Arrow batches.
 
-    A file that did not decode has the stage ``read_error``; an image on which the analysis fails keeps a row with the
-    stage ``exception`` and the message, and the others go on.  Where no card stands out a centred box is measured in
-    its place, or with ``fallback`` off the stage is ``detection_failed``.  Rasters stay within the pass and are
-    never shuffled: Spark's ``arrow.maxBytesPerBatch`` bounds what a worker receives at once, and the results of
-    ``rows_a_batch`` images leave together.
+    A batch that leaves holds ``rows_a_batch`` rows at most, and no more than RASTER_BYTES of rasters unless it is one row.
     """
-    kept = [images.schema[c] for c in keep]
-    schema = T.StructType([*kept, *T.StructType.fromDDL(ANALYSIS)])
-    inputs = ["path", "height", "width", "nChannels", "data"]
+    kinds = T.StructType.fromDDL(made)
+    schema = T.StructType([*(images.schema[c] for c in carried), *kinds])
+    types = [pa.field(f.name, to_arrow_type(f.dataType)) for f in kinds]
+    names = images.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from mintlens.pixels.filters import as_bgr
-        from mintlens.pixels.measure import analyse
-
-        def row(path: str, height: int, width: int, channels: int, data: pa.Scalar) -> dict:
-            out = {"origin": path, "height": None, "width": None, "stage": "read_error", "error": None}
-            if channels is None or channels <= 0:
-                return out
-            out |= {"height": height, "width": width}
-            try:
-                out["stage"], found = analyse(as_bgr(data.as_buffer(), height, width, channels), fallback)
-            except Exception as e:  # one image must not fail the others
-                return out | {"stage": "exception", "error": f"{type(e).__name__}: {e}"}
-            return out | {f: {n: float(values[n]) for n in FAMILIES[f] if n in values} for f, values in found.items()}
-
-        types = {"origin": pa.string(), "height": pa.int32(), "width": pa.int32(), "stage": pa.string(), "error": pa.string()}
-        types |= {f: pa.struct([(n, pa.float64()) for n in names]) for f, names in FAMILIES.items()}
         for whole in batches:
-            for at in range(0, whole.num_rows, rows_a_batch):
-                b = whole.slice(at, rows_a_batch)
-                plain = (b.column(k).to_pylist() for k in range(4))
-                rows = [row(*values, b.column(4)[n]) for n, values in enumerate(zip(*plain, strict=True))]
-                found = [pa.array([r.get(name) for r in rows], kind) for name, kind in types.items()]
-                yield pa.RecordBatch.from_arrays([*b.columns[len(inputs) :], *found], [*keep, *types])
-
-    return images.select(*inputs, *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep))).mapInArrow(run, schema)
+            whole = pa.RecordBatch.from_arrays(whole.columns, names)
+            sizes = pc.fill_null(pc.binary_length(whole.column("data")), 0).to_pylist()
+            at = 0
+            while at < whole.num_rows:
+                n, held = 1, sizes[at]
+                while n < rows_a_batch and at + n < whole.num_rows and held + sizes[at + n] <= RASTER_BYTES:
+                    held += sizes[at + n]
+                    n += 1
+                b = whole.slice(at, n)
+                small = b.drop_columns(["data"]).to_pylist()
+                found = [look(row | {"data": b.column("data")[k]}) for k, row in enumerate(small)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array([x.get(t.name) for x in found], t.type) for t in types)], schema=pa.schema([*(b.schema.field(c) for c in carried), *types]))
+                at += n
+
+    return images.mapInArrow(run, schema)
+
+
+def _raster(row: dict):
+    from mintlens.pixels.filters import as_bgr
+
+    return as_bgr(row["data"].as_buffer(), row["height"], row["width"], row["nChannels"])
+
+
+def _first_look(row: dict) -> dict:
+    from mintlens.pixels.measure import seen
+
+    if row["nChannels"] is None or row["nChannels"] <= 0:
+        return {"stage": "read_error"}
+    try:
+        return seen(_raster(row))
+    except Exception as e:  # one image must not fail the others
+        return {"stage": "exception", "error": f"{type(e).__name__}: {e}"}
+
+
+def _second_look(row: dict) -> dict:
+    from mintlens.pixels.measure import seen_again
+
+    if row["look"] is None:
+        return {"again": []}
+    try:
+        return {"again": seen_again(_raster(row), row["look"])}
+    except Exception as e:
+        return {"again": [], "failed": f"{type(e).__name__}: {e}"}
+
+
+def _measure(row: dict) -> dict:
+    import numpy as np
+    from mintlens.pixels.measure import analyse
+
+    out = {"origin": row["path"], "height": row["height"], "width": row["width"], "stage": row["stage"], "error": row["error"]}
+    if row["stage"] == "read_error":
+        return out | {"height": None, "width": None}
+    if row["stage"] is not None:
+        return out
+    try:
+        out["stage"], out["error"], found = analyse(_raster(row), np.array(row["quad"], np.float64).reshape(4, 2))
+    except Exception as e:
+        return out | {"stage": "exception", "error": f"{type(e).__name__}: {e}"}
+    return out | {f: {n: float(values[n]) for n in FAMILIES[f] if n in values} for f, values in found.items()}
+
+
+def detected(images: DataFrame, keep: Sequence[str] = (), fallback: bool = True, rows_a_batch: int = 8) -> DataFrame:
+    """The rasters with stage (null: go on), error, quad (eight numbers, in pixels of the raster) and a struct of the detection.
+
+    One pass over the rasters offers candidates and line profiles, a row's candidates are ranked as an array of columns,
+    and the box that lines tell takes part in the choice.  Where trust in the winner is below 0.55, or there is none, a
+    second pass looks into its box, widened, and the better candidate stays; other rows go through it untouched.  Where
+    nothing stands out a centred box is taken, or with ``fallback`` off the stage is ``detection_failed``.  Rasters move
+    between Spark and its workers, but are never shuffled.
+    """
+    plain = images.select(*RASTER, *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)))
+    carried = plain.columns
+    d = _each(plain, LOOK, _first_look, carried, rows_a_batch)
+    w, h = F.col("small_width"), F.col("small_height")
+    d = d.withColumn("line_box", detection.line_box("columns", "rows", "small_width", "small_height")).drop("columns", "rows")
+    box = F.when(F.col("line_box").isNotNull(), F.array(*(F.col(f"line_box.{n}") for n in ("x1", "y1", "x2", "y2"))))
+    d = d.withColumn("line", box)
+    fields = [x.rsplit(" ", 1)[0] for x in detection.CANDIDATE.split(", ")]
+    d = d.withColumn("ranked", detection.ranked_pool(F.col("pool"), fields, w, h, F.col("line"))).drop("pool")
+    d = d.withColumns(detection.winner(F.col("ranked"))).drop("ranked")
+    slim = ("source", *detection.POINTS, "box", "score", "area", "aspect", "centre", "rectangularity", "edges", "silhouette")
+    pick = lambda c: F.when(c.isNotNull(), F.struct(*(c[n].alias(n) for n in slim)))
+    d = d.withColumn("winner", pick(F.col("winner")))
+    weak = F.coalesce(detection.confidence(F.col("winner")), F.lit(0.0)) < LOOK_AGAIN
+    seed = F.coalesce(F.col("winner.box"), F.col("line"))
+    look = F.when(F.col("stage").isNull() & weak & seed.isNotNull(), F.array(*detection.widened([seed[k] for k in range(4)], w, h)))
+    more = [*carried, "stage", "error", "small_height", "small_width", "line", "line_box", "winner", "offered", "competing"]
+    d = d.withColumn("look", look).select(*more, "look")
+    d = _each(d, f"again {POOL}", _second_look, [*more, "look"], rows_a_batch)
+    d = d.withColumn("again", detection.ranked_pool(F.col("again"), fields, w, h, F.col("line")))
+    d = d.withColumn("other", detection.winner(F.col("again"))["winner"]).drop("again")
+    d = d.withColumn("other", pick(F.col("other")))
+    better = F.col("other").isNotNull() & (F.col("winner").isNull() | (F.col("other.score") >= F.col("winner.score")))
+    d = d.withColumn("winner", F.when(better, F.col("other")).otherwise(F.col("winner")))
+    return _settled(d, w, h, fallback).select(*carried, "stage", "error", "quad", "detection")
+
+
+def _settled(d: DataFrame, w: Column, h: Column, fallback: bool) -> DataFrame:
+    """quad and detection of rows with winner and line box: the choice between the two, else the fallback box."""
+    nothing = [F.lit(None).cast("double")] * 4
+    line, own = [F.get("line", F.lit(k)) for k in range(4)], [F.get("winner.box", F.lit(k)) for k in range(4)]
+    # each step is a column, as an expression it would be spelt out at every use
+    d = d.withColumns({"chosen": chosen_box(line, own, w, h, nothing[0], nothing[0]), "same": F.coalesce(iou(line, own) >= SAME_BOX, F.lit(False))})
+    # a candidate that passed all rules and is trusted stands, and where both tell the same box its corners are the finer ones
+    trusted = F.col("same") | F.coalesce(detection.confidence(F.col("winner")) >= WEAK, F.lit(False))
+    takes = (F.col("chosen") == "component") | ((F.col("chosen") == "projection") & trusted)
+    d = d.withColumns({"takes": F.when(F.col("stage").isNull(), F.when(takes, "candidate").when(F.col("chosen") == "projection", "lines").otherwise("fallback"))})
+    fall = fallback_box(w, h)["box"]
+    corners = lambda b: F.array(b[0], b[1], b[2], b[1], b[2], b[3], b[0], b[3])
+    quad = F.when(F.col("takes") == "candidate", F.array(*(F.col(f"winner.{p}") for p in detection.POINTS))).when(F.col("takes") == "lines", corners(line)).when(F.col("takes") == "fallback", corners([fall[k] for k in range(4)]))
+    zoom = F.array(F.col("width") / w, F.col("height") / h)
+    d = d.withColumn("quad", F.transform(quad, lambda v, k: v * zoom[k % 2]))
+    if not fallback:
+        d = d.withColumn("stage", F.when(F.col("takes") == "fallback", "detection_failed").otherwise(F.col("stage"))).withColumn("quad", F.when(F.col("takes") != "fallback", F.col("quad")))
+    candidate, trust = F.col("takes") == "candidate", detection.confidence(F.col("winner"))
+    of = lambda n: F.when(candidate, F.col(f"winner.{n}"))
+    found = {
+        "best_score": F.when(candidate, F.col("winner.score")).when(F.col("takes") == "lines", F.col("line_box.score")).otherwise(0.0),
+        "detection_confidence": F.when(candidate, trust).when(F.col("takes") == "lines", clamp(0.45 * F.col("line_box.score"))).otherwise(0.0),
+        "used_fallback": (F.col("takes") == "fallback").cast("double"),
+        "aspect_score": of("aspect"), "area_score": of("area"), "centre_score": of("centre"), "rectangularity": of("rectangularity"), "edge_support": of("edges"), "silhouette": of("silhouette"),
+        "candidates": F.col("offered").cast("double"), "competing": F.col("competing").cast("double"), "second_look": F.col("look").isNotNull().cast("double"),
+        **{p: F.get("quad", F.lit(k)) for k, p in enumerate(detection.POINTS)},
+    }
+    found["weak_detection"] = ((F.col("takes") == "fallback") | (found["detection_confidence"] < WEAK)).cast("double")
+    return d.withColumn("detection", F.when(F.col("quad").isNotNull(), F.struct(*(found[n].alias(n) for n in FAMILIES["detection"]))))
+
+
+def measured(images: DataFrame, rows_a_batch: int = 8, keep: Sequence[str] = (), fallback: bool = True) -> DataFrame:
+    """The columns ``keep``, then origin, height, width, stage, error and a struct of raw measurements for each family.
+
+    A file that did not decode has the stage ``read_error``; an image on which a pass fails keeps a row with the stage
+    ``exception`` and the message, one whose quad can't be turned to the front ``warp_failed``, one whose card can't be
+    measured ``features_failed``, and the others go on.  ``detected`` says how the card is found.  Spark's
+    ``arrow.maxBytesPerBatch`` bounds what a worker receives at once.
+    """
+    found = detected(images, keep, fallback, rows_a_batch)
+    kept = [f"kept_{k}" for k in range(len(keep))]
+    made = T.StructType([f for f in T.StructType.fromDDL(ANALYSIS) if f.name != "detection"])
+    d = _each(found, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in made), _measure, [*kept, "detection"], rows_a_batch)
+    order = T.StructType.fromDDL(ANALYSIS).names
+    return d.select(*(F.col(c).alias(name) for c, name in zip(kept, keep, strict=True)), *order)
 
 
 def _with(block: str, **values: Column) -> Column:

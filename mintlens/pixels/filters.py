@@ -266,3 +266,33 @@ def warped(image: np.ndarray, matrix: np.ndarray, height: int, width: int) -> np
             col = np.clip(fx + i - 1, 0, image.shape[1] - 1).astype(int)
             out += (wx[i] * wy[j])[:, None] * image[row, col]
     return np.clip(out + 0.5, 0, 255).astype(np.uint8).reshape(height, width, -1)
+
+
+def _covered(mask: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """How many pixels of a centred run of ``size`` along ``axis`` are set; beyond the border counts as set."""
+    half = size // 2
+    pad = [(half, half) if k == axis else (0, 0) for k in (0, 1)]
+    run = np.cumsum(np.pad(mask, pad, constant_values=True), axis=axis, dtype=np.int64)
+    run = np.concatenate([np.zeros_like(np.take(run, [0], axis)), run], axis=axis)
+    n = mask.shape[axis]
+    return np.take(run, range(size, size + n), axis) - np.take(run, range(n), axis)
+
+
+def opened_box(mask: np.ndarray, height: int, width: int) -> np.ndarray:
+    """What of ``mask`` a box of odd height and width covers that lies in it whole; the cost doesn't grow with the box."""
+    out = mask
+    for axis, size in ((0, height), (1, width)):
+        out = _covered(out, size, axis) == size
+    for axis, size in ((0, height), (1, width)):
+        out = _covered(~out, size, axis) < size
+    return out
+
+
+def lab(bgr: np.ndarray) -> np.ndarray:
+    """L*, a*, b* of CIE LAB for sRGB, each 0-255, of colours in the last axis."""
+    c = bgr.astype(np.float64) / 255.0
+    linear = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    xyz = linear @ np.array([[0.180437, 0.072169, 0.950227], [0.357580, 0.715160, 0.119193], [0.412453, 0.212671, 0.019334]]) / [0.950456, 1.0, 1.088754]
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16.0 / 116.0)
+    y = xyz[..., 1]
+    return np.stack([np.where(y > 0.008856, 116.0 * f[..., 1] - 16.0, 903.3 * y) * 2.55, 500.0 * (f[..., 0] - f[..., 1]) + 128.0, 200.0 * (f[..., 1] - f[..., 2]) + 128.0], axis=-1)

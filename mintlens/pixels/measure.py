@@ -1,6 +1,6 @@
 """What is measured on the pixels of one image: raw ratios, spreads and profiles.  Scores are column expressions.
 
-The helpers work on one raster; Spark deals the images out, and ``analyse`` isolates failures by image.
+The helpers work on one raster; Spark deals the images out and chooses between candidates in columns.
 """
 
 from __future__ import annotations
@@ -142,64 +142,144 @@ def postwarp(bgr: np.ndarray) -> dict[str, float]:
 
 
 # -- finding and cutting out the card --------------------------------------------------------------------------------------------
-def masks(g: np.ndarray):
-    """Maps on which a card may stand out from its background, the cheapest first."""
+# Half width of the band along a side and distance of colour samples from it, as shares of the shorter side.
+BAND, COLOUR_AT = 0.018, 0.020
+#: Largest parts of each map that are offered as candidates.
+PARTS = 20
+
+
+def shrunk(bgr: np.ndarray) -> np.ndarray:
+    scale = min(1.0, LONG_SIDE / max(bgr.shape[:2]))
+    return bgr if scale == 1 else f.resized(bgr, max(1, round(bgr.shape[0] * scale)), max(1, round(bgr.shape[1] * scale)))
+
+
+def masks(g: np.ndarray) -> dict[str, np.ndarray]:
+    """Maps on which a card may stand out from its background."""
     soft = f.blur(g, 5)
     steep = np.hypot(f.sobel(soft, 0), f.sobel(soft, 1))
-    outline = steep >= max(40.0, np.percentile(steep, 92))
     level = f.otsu(soft)
-    yield "outline", f.closed(outline, 9)
-    yield "bright", f.closed(soft > level, 9)
-    yield "dark", f.closed(soft <= level, 9)
-
-
-def candidate(points: np.ndarray, area: float, shape: tuple[int, int], edges: np.ndarray) -> dict:
-    """A quad around ``points`` and how much it looks like a card."""
-    h, w = shape
-    quad, box = f.widest_quad(points), f.ordered(f.least_rectangle(points))
-    # a hull whose corners are cut is a worse quad than its rectangle
-    fallback = f.polygon_area(quad) < 0.90 * f.polygon_area(box)
-    quad = box if fallback else quad
-    size = f.polygon_area(quad)
-    top, right, bottom, left = (np.linalg.norm(quad[k] - quad[(k + 1) % 4]) for k in range(4))
-    aspect = max(1.0, (top + bottom) / 2) / max(1.0, (right + left) / 2)
-    t = np.linspace(0, 1, 100)[:, None]
-    line = np.concatenate([quad[k] * (1 - t) + quad[(k + 1) % 4] * t for k in range(4)])
-    x, y = np.clip(line[:, 0].round().astype(int), 0, w - 1), np.clip(line[:, 1].round().astype(int), 0, h - 1)
-    middle = np.array([w / 2, h / 2])
-    terms = {
-        "area_score": min(1.0, size / (h * w) / 0.60), "aspect_score": max(0.0, 1 - abs(aspect - ASPECT) / 0.18), "rectangularity": min(1.0, f.polygon_area(f.hull(points)) / max(1.0, f.polygon_area(box))),
-        "edge_support": float(edges[y, x].mean()), "centre_score": max(0.0, 1 - float(np.linalg.norm(quad.mean(axis=0) - middle) / np.linalg.norm(middle))), "silhouette": min(1.0, area / max(1.0, size)),
-    }
-    score = 0.33 * terms["area_score"] + 0.22 * terms["aspect_score"] + 0.18 * terms["rectangularity"] + 0.12 * terms["edge_support"] + 0.10 * terms["centre_score"] + 0.05 * terms["silhouette"]
-    return {"quad": quad, "best_score": score, "used_fallback": float(fallback), **terms}
+    return {"outline": f.closed(steep >= max(40.0, np.percentile(steep, 92)), 9), "bright": f.closed(soft > level, 9), "dark": f.closed(soft <= level, 9)}
 
 
-def detect(bgr: np.ndarray) -> dict | None:
-    """The best candidate for a card, its quad in the coordinates of ``bgr``; None where nothing stands out."""
-    scale = min(1.0, LONG_SIDE / max(bgr.shape[:2]))
-    small = bgr if scale == 1 else f.resized(bgr, max(1, round(bgr.shape[0] * scale)), max(1, round(bgr.shape[1] * scale)))
-    g = f.grey(small)
+def lines(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each column the share of it that long upright lines take, and for each row that of long level ones."""
     h, w = g.shape
-    edges = f.dilate(np.hypot(f.sobel(g, 0), f.sobel(g, 1)) >= 60.0, 5)
-    best = None
-    for _, mask in masks(g):
+    soft = f.blur(g, 5)
+    ky, kx = (max(15, round(n * 0.10)) | 1 for n in (h, w))
+    upright = f.closed(f.opened_box(f.dilate(np.abs(f.sobel(soft, 1)) >= 40.0), ky, 3), 5)
+    level = f.closed(f.opened_box(f.dilate(np.abs(f.sobel(soft, 0)) >= 40.0), 3, kx), 5)
+    return upright.mean(axis=0), level.mean(axis=1)
+
+
+def quads(maps: dict[str, np.ndarray]) -> list[tuple[str, np.ndarray]]:
+    """Candidates: the corners and the least rectangle around each of the largest parts of every map, with the map's name.
+
+    The largest come first, so that of equally good ones the outer wins.
+    """
+    found = []
+    for name, mask in maps.items():
+        h, w = mask.shape
         labels = f.components(mask)
         sizes = np.bincount(labels.ravel())
-        for k in np.argsort(sizes[1:])[::-1][:3] + 1:
+        for k in np.argsort(sizes[1:], kind="stable")[::-1][:PARTS] + 1:
+            if not 16 <= sizes[k] <= 0.995 * h * w:
+                continue
             y, x = np.nonzero(labels == k)
-            points = np.stack([x, y], axis=1)
-            if len(points) < 16 or len(points) > 0.995 * h * w or not 0.08 <= f.polygon_area(f.hull(points)) / (h * w) <= 0.98:
+            ends = np.flatnonzero(np.r_[True, y[1:] != y[:-1]])  # the hull lies on the ends of rows
+            at = np.concatenate([ends, np.r_[ends[1:], len(y)] - 1])
+            points = np.stack([x[at], y[at]], axis=1)
+            if not 0.08 <= f.polygon_area(f.hull(points)) / (h * w) <= 0.98:
                 continue
-            found = candidate(points, float(sizes[k]), (h, w), edges)
-            if best is None or found["best_score"] > best["best_score"]:
-                best = found
-    if best is None:
-        return None
-    best["quad"] = best["quad"] * [bgr.shape[1] / w, bgr.shape[0] / h]
-    best["detection_confidence"] = min(1.0, 0.45 * best["best_score"] + 0.30 * best["silhouette"] + 0.15 * best["rectangularity"] + 0.10 * best["area_score"])
-    best["weak_detection"] = float(bool(best["used_fallback"]) or best["detection_confidence"] < 0.55)
-    return best
+            corners, box = f.widest_quad(points), f.ordered(f.least_rectangle(points))
+            # a hull whose corners are cut is a worse quad than its rectangle
+            found += [(name, q) for q in ((corners, box) if f.polygon_area(corners) >= 0.90 * f.polygon_area(box) else (box,))]
+    return sorted(found, key=lambda c: -f.polygon_area(c[1]))
+
+
+class Views:
+    """What candidates of one raster are judged by: edges, outline, evidence and colours."""
+
+    def __init__(self, bgr: np.ndarray):
+        self.bgr, self.grey = bgr, f.grey(bgr)
+        steep = np.hypot(f.sobel(self.grey, 0), f.sobel(self.grey, 1))
+        self.edges = f.dilate(steep >= 60.0, 5)
+        soft = f.blur(self.grey, 5)
+        smooth = np.hypot(f.sobel(soft, 0), f.sobel(soft, 1))
+        self.structure = smooth >= max(40.0, np.percentile(smooth, 92))
+        self.maps = masks(self.grey)
+
+    def _at(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, w = self.grey.shape
+        return np.clip(np.rint(points[..., 1]), 0, h - 1).astype(int), np.clip(np.rint(points[..., 0]), 0, w - 1).astype(int)
+
+    def side(self, a: np.ndarray, b: np.ndarray, middle: np.ndarray) -> tuple[list[float], list[float]]:
+        """Along a side: how near the outline runs, nearer inside than outside, and the share of it that goes on deeper inside."""
+        length = float(np.linalg.norm(b - a))
+        normal = np.array([-(b - a)[1], (b - a)[0]]) / max(length, 1e-6)
+        normal = normal if normal @ (middle - (a + b) / 2) >= 0 else -normal
+        half = max(3, round(min(self.grey.shape) * BAND))
+        out, into = max(2, round(half * 0.45)), max(3, round(half * 0.65))
+        t = np.linspace(0.03, 0.97, max(28, round(length / 4)))[:, None]
+        points = a + (b - a) * t
+        near = np.arange(-out, into + 1)
+        worth = np.where(near < 0, 0.75 * (1 - np.minimum(1, -near / out)), 1 - np.minimum(1, near / into))
+        hits = self.structure[self._at(points[:, None, :] + normal * near[None, :, None])]
+        deep = np.arange(max(into + 1, round(half * 0.55)), half + 1)
+        inside = self.structure[self._at(points[:, None, :] + normal * deep[None, :, None])].mean(axis=1) if len(deep) else np.zeros(len(points))
+        return (hits * worth).max(axis=1).tolist(), inside.tolist()
+
+    def colours(self, quad: np.ndarray, middle: np.ndarray) -> tuple[list[float], list[float]]:
+        """Mean L, a, b, saturation and value a little inside and outside the outline."""
+        off, means = max(2.0, COLOUR_AT * min(self.grey.shape)), []
+        for sign in (1, -1):
+            found = []
+            for k in range(4):
+                a, b = quad[k], quad[(k + 1) % 4]
+                length = float(np.linalg.norm(b - a))
+                normal = np.array([-(b - a)[1], (b - a)[0]]) / max(length, 1e-6)
+                normal = normal if normal @ (middle - (a + b) / 2) >= 0 else -normal
+                points = a + (b - a) * np.linspace(0.08, 0.92, max(18, round(length / 6)))[:, None]
+                found.append(self.bgr[self._at(points + sign * off * normal)])
+            c = np.concatenate(found)
+            s, v = f.saturation_value(c[None])
+            means.append([*f.lab(c).mean(axis=0).tolist(), float(s.mean()), float(v.mean())])
+        return means[0], means[1]
+
+    def judged(self, source: str, quad: np.ndarray) -> dict:
+        """The candidate's row: what is seen along its sides, in its box and on both sides of its outline."""
+        h, w = self.grey.shape
+        middle = quad.mean(axis=0)
+        t = np.linspace(0, 1, 100)[:, None]
+        outline = np.concatenate([quad[k] * (1 - t) + quad[(k + 1) % 4] * t for k in range(4)])
+        row = {"source": source, "edge_share": float(self.edges[self._at(outline)].mean())}
+        row |= {f"{p}_{a}": float(quad[k][j]) for k, p in enumerate(("tl", "tr", "br", "bl")) for j, a in enumerate("xy")}
+        for name, (k, m) in {"top": (0, 1), "right": (1, 2), "bottom": (3, 2), "left": (0, 3)}.items():
+            row[f"near_{name}"], row[f"deep_{name}"] = self.side(quad[k], quad[m], middle)
+        x1, y1 = (int(np.clip(np.floor(quad[:, k].min()), 0, n - 1)) for k, n in ((0, w), (1, h)))
+        x2, y2 = (int(np.clip(np.ceil(quad[:, k].max()), lo + 1, max(lo + 1, n))) for k, n, lo in ((0, w, x1), (1, h, y1)))
+        seen = (self.structure | self.maps["bright"])[y1:y2, x1:x2]
+        ys, xs = np.flatnonzero(seen.any(axis=1)), np.flatnonzero(seen.any(axis=0))
+        row["evidence"] = [float(x1 + xs[0]), float(y1 + ys[0]), float(x1 + xs[-1] + 1), float(y1 + ys[-1] + 1)] if len(xs) else None
+        row["inner"], row["outer"] = self.colours(quad, middle)
+        return row
+
+
+def seen(bgr: np.ndarray) -> dict:
+    """What the first look finds: the height and width it works at, candidates with what speaks for them, and line profiles."""
+    small = shrunk(bgr)
+    view = Views(small)
+    columns, rows = lines(view.grey)
+    return {"small_height": float(small.shape[0]), "small_width": float(small.shape[1]), "pool": [view.judged(*q) for q in quads(view.maps)], "columns": columns.tolist(), "rows": rows.tolist()}
+
+
+def seen_again(bgr: np.ndarray, box: list[float]) -> list[dict]:
+    """Candidates of a second look into ``box`` (x1, y1, x2, y2 at the size of the first), judged on the whole raster."""
+    small = shrunk(bgr)
+    x1, y1, x2, y2 = (int(v) for v in box)
+    if y2 - y1 < 40 or x2 - x1 < 30:
+        return []
+    view, part = Views(small), small[y1:y2, x1:x2]
+    return [view.judged(f"second_{name}", quad + [x1, y1]) for name, quad in quads(masks(f.grey(part)))]
 
 
 def rectified(bgr: np.ndarray, quad: np.ndarray, height: tuple[int, int] = (700, 1200)) -> np.ndarray:
@@ -213,33 +293,17 @@ def rectified(bgr: np.ndarray, quad: np.ndarray, height: tuple[int, int] = (700,
     return f.warped(bgr, f.perspective(q, target), h, w)
 
 
-def fallback_quad(height: int, width: int) -> np.ndarray:
-    """A box of a card's shape in the middle: 0.68 of the height, but at most 0.78 of the width."""
-    h = round(height * 0.68)
-    w, most = round(h * 0.715), round(width * 0.78)
-    if w > most:
-        w, h = most, round(most / 0.715)
-    ends = [(max(0, round(middle - n / 2)), min(whole, round(middle + n / 2))) for middle, n, whole in ((width // 2, w, width), (height // 2, h, height))]
-    (x1, x2), (y1, y2) = ends
-    return np.array([[x1, y1], [x2, y1], [x2, y2], [x1, y2]], np.float64)
-
-
-def analyse(bgr: np.ndarray, fallback: bool = True) -> tuple[str, dict[str, dict[str, float]]]:
-    """The stage that was reached ("done" at best) and the measurements of each family up to it.
-
-    Where no card stands out the centred box is measured, as a weak detection without any score.
-    """
-    found = detect(bgr)
-    if found is None:
-        if not fallback:
-            return "detection_failed", {}
-        found = {"quad": fallback_quad(*bgr.shape[:2]), "best_score": 0.0, "detection_confidence": 0.0, "used_fallback": 1.0, "weak_detection": 1.0}
-    out = {}
-    quad = found.pop("quad")
-    out["detection"] = found | {f"{p}_{a}": float(quad[k][j]) for k, p in enumerate(("tl", "tr", "br", "bl")) for j, a in enumerate("xy")}
-    out["geometry"] = {"coverage_ratio": f.polygon_area(quad) / (bgr.shape[0] * bgr.shape[1])}
-    card = rectified(bgr, quad)
-    own = visual(card)  # of the card alone, without what lies around it
-    out |= {"visual": own, "postwarp": postwarp(card), "centering": centering(card), "edge": edge(card), "corner": corner(card), "surface": surface(f.at_least(card, 600))}
+def analyse(bgr: np.ndarray, quad: np.ndarray) -> tuple[str, str | None, dict[str, dict[str, float]]]:
+    """The stage that was reached ("done" at best), what failed, and the measurements of each family up to it."""
+    out = {"geometry": {"coverage_ratio": f.polygon_area(quad) / (bgr.shape[0] * bgr.shape[1])}}
+    try:
+        card = rectified(bgr, quad)
+    except (ValueError, IndexError, ArithmeticError, np.linalg.LinAlgError) as e:  # a quad without area has no front view
+        return "warp_failed", f"{type(e).__name__}: {e}", out
+    try:
+        own = visual(card)  # of the card alone, without what lies around it
+        out |= {"visual": own, "postwarp": postwarp(card), "centering": centering(card), "edge": edge(card), "corner": corner(card), "surface": surface(f.at_least(card, 600))}
+    except (ValueError, IndexError, ArithmeticError) as e:
+        return "features_failed", f"{type(e).__name__}: {e}", out
     out["surface"] |= {"lighting_blur": own["blur_score"], "lighting_contrast": own["contrast_score"]}
-    return "done", out
+    return "done", None, out

@@ -18,7 +18,7 @@ POSTWARP = (
     "rectified_aspect_ratio", "rectified_aspect_ratio_deviation", "rectified_aspect_ratio_score", "outer_border_score", "outer_border_continuity_score", "margin_consistency_score",
     "crop_risk_score", "frame_coherence_score", "postwarp_score_raw", *(f"{s}_{m}" for s in SIDES for m in ("border_score", "border_peak_ratio", "border_strength", "border_continuity", "crop_risk", "texture_ratio")),
 )
-DETECTION = ("best_score", "detection_confidence", "used_fallback", "weak_detection", "aspect_score", "area_score", "centre_score", "rectangularity", "edge_support", "silhouette", *(f"{p}_{a}" for p in ("tl", "tr", "br", "bl") for a in "xy"))
+DETECTION = ("best_score", "detection_confidence", "used_fallback", "weak_detection", "aspect_score", "area_score", "centre_score", "rectangularity", "edge_support", "silhouette", "candidates", "competing", "second_look", *(f"{p}_{a}" for p in ("tl", "tr", "br", "bl") for a in "xy"))
 
 FAMILIES = {"detection": DETECTION, "visual": VISUAL, "geometry": GEOMETRY, "centering": CENTERING, "edge": EDGE, "corner": CORNER, "surface": SURFACE, "postwarp": POSTWARP}
 

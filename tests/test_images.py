@@ -72,16 +72,107 @@ def test_geometry():
     assert (f.warped(image, np.eye(3), 12, 12) == image).all()
 
 
-@pytest.mark.parametrize("angle", [0, 10])
-def test_detector_finds_the_corners(angle):
-    found = measure.detect(card(angle=angle))
+RASTERS = "path string, height int, width int, nChannels int, data binary"
+
+
+def frame(spark, images):
+    return spark.createDataFrame([(name, *a.shape, a.tobytes()) for name, a in images.items()], RASTERS)
+
+
+def corners(angle):
     a, c, s = np.deg2rad(angle), (167, 210), (107, 150)
-    want = np.array([[c[0] + x * s[0] * np.cos(a) - y * s[1] * np.sin(a), c[1] + x * s[0] * np.sin(a) + y * s[1] * np.cos(a)] for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
-    assert np.abs(found["quad"] - want).max() < 4 and not found["used_fallback"]
+    return np.array([[c[0] + x * s[0] * np.cos(a) - y * s[1] * np.sin(a), c[1] + x * s[0] * np.sin(a) + y * s[1] * np.cos(a)] for x, y in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
 
 
-def test_nothing_to_find():
-    assert measure.detect(np.full((100, 80, 3), 90, np.uint8)) is None
+def busy(angle, seed):
+    """A card before stripes and noise."""
+    y, x = np.mgrid[:420, :320]
+    back = np.clip(60 + 25 * np.sin(x / 9.0) + 20 * np.sin(y / 7.0 + x / 23.0) + np.random.default_rng(seed).normal(0, 8, (420, 320)), 0, 255).astype(np.uint8)
+    image, front = np.repeat(back[:, :, None], 3, 2), card(angle=angle)
+    inside = (front != 30).any(axis=2)
+    image[inside] = front[inside]
+    return image
+
+
+def test_detector_finds_the_corners(spark, monkeypatch):
+    from mintlens.operators import images
+
+    drawn = {f"{kind}{angle}": (kind, angle) for kind in ("plain", "busy") for angle in (0, 4, 10)}
+    pictures = {name: card(angle=angle) if kind == "plain" else busy(angle, angle + 1) for name, (kind, angle) in drawn.items()}
+    pictures["flat"] = np.full((420, 320, 3), 90, np.uint8)
+    for trust, again in ((images.LOOK_AGAIN, 0), (1.01, 6)):  # the second time no first look is trusted
+        monkeypatch.setattr(images, "LOOK_AGAIN", trust)
+        got = {r.path: r for r in images.detected(frame(spark, pictures)).select("path", "stage", "quad", "detection").collect()}
+        for name, (_, angle) in drawn.items():
+            assert np.abs(np.array(got[name].quad).reshape(4, 2) - corners(angle)).max() <= 3 and not got[name].detection.used_fallback and got[name].detection.candidates >= 3
+        assert sum(r.detection.second_look for r in got.values()) == again
+        assert got["flat"].detection.used_fallback == 1 and got["flat"].detection.candidates == 0
+    none = {r.path: r for r in images.detected(frame(spark, pictures), fallback=False).select("path", "stage", "quad").collect()}
+    assert none["flat"].stage == "detection_failed" and none["flat"].quad is None and none["plain0"].stage is None
+
+
+def test_every_stage_has_its_name(spark):
+    from mintlens.operators.images import _measure
+    from mintlens.operators.rules import stage_status
+    from pyspark.sql import functions as F
+
+    import pyarrow as pa
+
+    a = card()
+    row = {"path": "x", "height": 420, "width": 320, "nChannels": 3, "data": pa.scalar(a.tobytes(), pa.binary()), "stage": None, "error": None}
+    quad = lambda q: row | {"quad": np.asarray(q, float).ravel().tolist()}
+    assert _measure(quad(corners(0)))["stage"] == "done"
+    assert _measure(quad([[5, 5]] * 4))["stage"] == "warp_failed"
+    assert _measure(row | {"stage": "read_error"})["height"] is None
+    names = ["read_error", "detection_failed", "warp_failed", "features_failed", "exception", "done"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "stage string").select(stage_status("stage")).collect()]
+    assert got == ["not_evaluated", "invalid_detection", "warp_failed", "features_not_available", "exception", None]
+
+
+def test_measuring_that_fails_is_told_apart(monkeypatch):
+    monkeypatch.setattr(measure, "centering", lambda card: (_ for _ in ()).throw(ValueError("no rows")))
+    stage, error, found = measure.analyse(card(), corners(0))
+    assert stage == "features_failed" and "no rows" in error and set(found) == {"geometry"}
+
+
+def test_second_look_is_judged_on_the_whole_raster():
+    image = busy(4, 2)
+    rows = measure.seen_again(image, [20, 20, 310, 400])
+    assert rows and all(r["source"].startswith("second_") for r in rows)
+    best = min(rows, key=lambda r: abs(r["tl_x"] - corners(4)[0][0]) + abs(r["tl_y"] - corners(4)[0][1]))
+    assert abs(best["br_x"] - corners(4)[2][0]) < 4 and len(best["near_left"]) == len(best["deep_left"]) >= 28
+    assert measure.seen_again(image, [0, 0, 20, 20]) == []
+
+
+def test_candidates_as_rows_and_as_arrays_rank_alike(spark):
+    from mintlens.operators import detection
+    from pyspark.sql import functions as F
+
+    seen = measure.seen(busy(10, 5))
+    rows = [(k, n, *(c.get(f.split(" ")[0]) for f in detection.CANDIDATE.split(", "))) for k in range(3) for n, c in enumerate(seen["pool"][k:] + seen["pool"][k : k + 1] if k < 2 else [])]
+    df = spark.createDataFrame(rows, f"image int, n int, {detection.CANDIDATE}")
+    size = (F.lit(seen["small_width"]), F.lit(seen["small_height"]))
+    box = F.array(*(F.lit(v) for v in (30.0, 40.0, 305.0, 380.0)))
+    for outer in (None, box):
+        won = {r.image: r for r in detection.winners(detection.ranked(df, *size, outer), "image", "n").collect()}
+        pool = df.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("n", *(f.split(" ")[0] for f in detection.CANDIDATE.split(", "))))).alias("p"))
+        fields = ["n", *(f.split(" ")[0] for f in detection.CANDIDATE.split(", "))]
+        within = pool.withColumn("r", detection.ranked_pool(F.col("p"), fields, *size, outer))
+        for r in within.select("image", *(c.alias(n) for n, c in detection.winner(F.col("r")).items())).collect():
+            w = won[r.image]
+            assert (r.winner.n, r.offered, r.competing) == (w.winner.n, w.pool, w.competing) and r.winner.score == pytest.approx(w.winner.score) and w.winner.score > 0.5
+        assert won[0].pool == len({tuple(round(c[p], 1) for p in detection.POINTS) for c in seen["pool"]})
+
+
+def test_rasters_opened_by_boxes():
+    rng = np.random.default_rng(3)
+    m = rng.random((60, 70)) < 0.8
+    for h, w in ((3, 3), (1, 15), (15, 3)):
+        pad = np.pad(m, ((h // 2, h // 2), (w // 2, w // 2)), constant_values=True)
+        eroded = np.lib.stride_tricks.sliding_window_view(pad, (h, w)).all(axis=(2, 3))
+        back = np.pad(eroded, ((h // 2, h // 2), (w // 2, w // 2)))
+        assert (f.opened_box(m, h, w) == np.lib.stride_tricks.sliding_window_view(back, (h, w)).any(axis=(2, 3))).all()
+    assert np.allclose(f.lab(np.array([[255, 255, 255], [0, 0, 0], [0, 0, 255]])), [[255, 128, 128], [0, 128, 128], [136, 208, 195]], atol=1.5)
 
 
 def test_images_become_rows(spark, tmp_path):
@@ -158,14 +249,6 @@ def test_sizes():
     assert f.at_most(ramp, 50).shape == (40, 50, 3) and f.at_most(ramp, 100) is ramp and f.at_most(np.full((10, 20, 3), 7, np.uint8), 10).max() == 7
 
 
-@pytest.mark.parametrize(("size", "want"), [((100, 80), (16, 16, 64, 84)), ((1000, 300), (33, 336, 267, 664))])
-def test_fallback_is_a_card_in_the_middle(size, want):
-    quad = measure.fallback_quad(*size)
-    (x1, y1), (x2, y2) = quad[0], quad[2]
-    assert (x1, y1, x2, y2) == want and abs((x2 - x1) / (y2 - y1) - 0.715) < 0.02
-    assert measure.analyse(np.full((*size, 3), 90, np.uint8))[1]["detection"]["used_fallback"] == 1
-
-
 def test_cards_as_shown(spark):
     from mintlens.sources.images import cards, shown
 
