@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.math import aspect_quality, balance, clamp, iou, mean, rounded, safe, span, steps
-from ..schema import ANALYSIS, CORNERS, FAMILIES, SCHEMA_VERSION, SCORE_PARTS, SIDES
-from . import detection, rules, scoring
+from ..schema import ANALYSIS, CORNER, CORNERS, EDGE, FAMILIES, SCHEMA_VERSION, SCORE_PARTS, SIDES, VISUAL
+from . import detection, parts, rules, scoring
 from .candidates import chosen_box, fallback_box
 from .flatten import flatten, leading_first
 
@@ -24,6 +24,8 @@ POOL = f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in detection.CANDI
 LOOK = f"stage string, error string, small_height double, small_width double, pool {POOL}, columns array<double>, rows array<double>"
 #: Trust below which a detection is weak, and below which a second look is taken; overlap from which two boxes are the same.
 WEAK, LOOK_AGAIN, SAME_BOX = 0.55, 0.55, 0.8
+#: What the long table of parts tells of a side and of a corner.
+EDGE_PARTS, CORNER_PARTS = ("anomaly_ratio", "highlight_ratio", "roughness", "mean_intensity", "std_intensity", "profile_length"), ("highlight_ratio", "roughness", "mean_intensity", "std_intensity")
 #: Bytes of rasters that leave a worker together.
 RASTER_BYTES = 1 << 24
 
@@ -98,7 +100,8 @@ def _measure(row: dict) -> dict:
         out["stage"], out["error"], found = analyse(_raster(row), np.array(row["quad"], np.float64).reshape(4, 2))
     except Exception as e:
         return out | {"stage": "exception", "error": f"{type(e).__name__}: {e}"}
-    return out | {f: {n: float(values[n]) for n in FAMILIES[f] if n in values} for f, values in found.items()}
+    card = found.pop("card", {})
+    return out | {"parts": found.pop("parts", None), "card_height": card.get("height"), "card_width": card.get("width")} | {f: {n: float(values[n]) for n in FAMILIES[f] if n in values} for f, values in found.items()}
 
 
 def detected(images: DataFrame, keep: Sequence[str] = (), fallback: bool = True, rows_a_batch: int = 8) -> DataFrame:
@@ -176,12 +179,54 @@ def measured(images: DataFrame, rows_a_batch: int = 8, keep: Sequence[str] = (),
     measured ``features_failed``, and the others go on.  ``detected`` says how the card is found.  Spark's
     ``arrow.maxBytesPerBatch`` bounds what a worker receives at once.
     """
+    kept = [f"kept_{k}" for k in range(len(keep))]
+    d = cards(images, keep, fallback, rows_a_batch)
+    d = parts.families(d, F.col("card_height").cast("double"), F.col("card_width").cast("double"))
+    d = d.withColumn("surface", _with("surface", lighting_blur=F.col("visual.blur_score"), lighting_contrast=F.col("visual.contrast_score")))
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name not in FAMILIES else _completed(f.name) for f in T.StructType.fromDDL(ANALYSIS)]
+    return d.select(*(F.col(c).alias(name) for c, name in zip(kept, keep, strict=True)), *typed)
+
+
+def _completed(family: str) -> Column:
+    """A family's struct with all its fields, null where they are not measured."""
+    has = {"visual": VISUAL, "edge": [n for n in EDGE if n.split("_", 1)[-1] in EDGE_PARTS], "corner": [n for n in CORNER if n.split("_", 2)[-1] in CORNER_PARTS]}.get(family)
+    if has is None:
+        return F.col(family)
+    return F.when(F.col(family).isNotNull(), F.struct(*((F.col(f"{family}.{n}") if n in has else F.lit(None).cast("double")).alias(n) for n in FAMILIES[family]))).alias(family)
+
+
+def cards(images: DataFrame, keep: Sequence[str] = (), fallback: bool = True, rows_a_batch: int = 8) -> DataFrame:
+    """kept_0 and so on, stage, the families that the raster pass measures itself, and ``parts``, an array of what it sees of
+    each part of the card: ``parts.long_table`` makes rows of them.
+    """
     found = detected(images, keep, fallback, rows_a_batch)
     kept = [f"kept_{k}" for k in range(len(keep))]
-    made = T.StructType([f for f in T.StructType.fromDDL(ANALYSIS) if f.name != "detection"])
-    d = _each(found, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in made), _measure, [*kept, "detection"], rows_a_batch)
-    order = T.StructType.fromDDL(ANALYSIS).names
-    return d.select(*(F.col(c).alias(name) for c, name in zip(kept, keep, strict=True)), *order)
+    made = [f for f in T.StructType.fromDDL(ANALYSIS) if f.name not in ("detection", "visual", "edge", "corner")]
+    ddl = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in made)
+    return _each(found, f"{ddl}, card_height int, card_width int, parts array<{parts.PART}>", _measure, [*kept, "detection"], rows_a_batch)
+
+
+def _parts_look(row: dict) -> dict:
+    from mintlens.pixels import measure
+
+    if row["nChannels"] is None or row["nChannels"] <= 0:
+        return {}
+    try:
+        return {"parts": measure.parts(_raster(row))}
+    except Exception as e:  # one image must not fail the others
+        return {"error": f"{type(e).__name__}: {e}"}
+
+
+def card_parts(rasters: DataFrame, keep: Sequence[str] = (), rows_a_batch: int = 64) -> DataFrame:
+    """``keep``, error, family, part and metrics: nine rows for each raster that shows a card and nothing else.
+
+    A raster that can't be read gives one row without a part, with the message if there is one.
+    """
+    plain = rasters.select(*RASTER, *(F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)))
+    kept = [f"kept_{k}" for k in range(len(keep))]
+    d = _each(plain, f"error string, parts array<{parts.PART}>", _parts_look, kept, rows_a_batch)
+    m = d.withColumn("m", parts.metrics(F.col("parts"))).select(*(F.col(c).alias(n) for c, n in zip(kept, keep, strict=True)), "error", F.explode_outer("m").alias("m"))
+    return m.select(*keep, "error", "m.*")
 
 
 def _with(block: str, **values: Column) -> Column:

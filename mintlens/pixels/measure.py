@@ -18,12 +18,6 @@ def span(x: float, lo: float, hi: float) -> float:
     return float(min(max((x - lo) / (hi - lo), 0.0), 1.0))
 
 
-def visual(bgr: np.ndarray) -> dict[str, float]:
-    g = f.grey(bgr)
-    h, w = g.shape
-    return {"width": w, "height": h, "aspect_ratio": w / h, "area": w * h, "blur_score": float(f.laplacian(g).var()), "brightness_score": float(g.mean()), "contrast_score": float(g.std())}
-
-
 def centering(bgr: np.ndarray) -> dict[str, float]:
     """The content's box by the strongest gradients in a zone at each side, and the margins around it."""
     g = f.blur(f.grey(bgr), 5)
@@ -53,29 +47,23 @@ def corner_patches(g: np.ndarray, size: float = 0.12, inset: float = 0.01) -> di
     return {c: g[at[c.split("_")[0]], at[c.split("_")[1]]] for c in CORNERS}
 
 
-def _bright_share(a: np.ndarray) -> float:
-    return float((a > a.mean() + max(10.0, 1.2 * a.std())).mean())
+def part(family: str, name: str, grey: np.ndarray, bend: np.ndarray | None = None, profile: np.ndarray | None = None) -> dict:
+    """A part's row: counts of grey values, the profile along a side, and sums of second differences."""
+    bend = np.zeros(1) if bend is None else bend
+    return {"family": family, "part": name, "histogram": np.bincount(grey.ravel(), minlength=256).tolist(), "profile": [] if profile is None else profile.tolist(), "bend_sum": float(bend.sum()), "bend_squares": float((bend * bend).sum())}
 
 
-def edge(bgr: np.ndarray) -> dict[str, float]:
-    out = {}
-    for side, band in side_bands(f.grey(bgr)).items():
-        a = f.blur(band, 3).astype(np.float64)
-        profile = a.mean(axis=0 if side in ("top", "bottom") else 1)
-        off = np.abs(profile - np.convolve(profile, np.full(11, 1 / 11), "same")[: len(profile)])
-        out |= {
-            f"{side}_anomaly_ratio": float((off > max(6.0, 1.5 * off.std())).mean()), f"{side}_highlight_ratio": _bright_share(a), f"{side}_roughness": float(np.diff(profile).std()) if len(profile) > 1 else 0.0,
-            f"{side}_mean_intensity": float(a.mean()), f"{side}_std_intensity": float(a.std()), f"{side}_profile_length": len(profile),
-        }
-    return out
-
-
-def corner(bgr: np.ndarray) -> dict[str, float]:
-    out = {}
-    for name, patch in corner_patches(f.grey(bgr)).items():
+def parts(bgr: np.ndarray) -> list[dict]:
+    """The whole card, its sides and its corners, in the order of ``operators.parts.PARTS``."""
+    g = f.grey(bgr)
+    rows = [part("visual", "whole", g, f.laplacian(g))]
+    for side, band in side_bands(g).items():
+        a = f.blur(band, 3)
+        rows.append(part("edge", side, a, profile=a.astype(np.float64).mean(axis=0 if side in ("top", "bottom") else 1)))
+    for name, patch in corner_patches(g).items():
         a = f.blur(patch, 3)
-        out |= {f"{name}_highlight_ratio": _bright_share(a), f"{name}_roughness": float(f.laplacian(a).var()), f"{name}_mean_intensity": float(a.mean()), f"{name}_std_intensity": float(a.std())}
-    return out
+        rows.append(part("corner", name, a, f.laplacian(a)))
+    return rows
 
 
 def _whitened(s, v, lum, outer: tuple[slice, slice], inner: tuple[slice, slice]) -> float:
@@ -293,7 +281,7 @@ def rectified(bgr: np.ndarray, quad: np.ndarray, height: tuple[int, int] = (700,
     return f.warped(bgr, f.perspective(q, target), h, w)
 
 
-def analyse(bgr: np.ndarray, quad: np.ndarray) -> tuple[str, str | None, dict[str, dict[str, float]]]:
+def analyse(bgr: np.ndarray, quad: np.ndarray) -> tuple[str, str | None, dict]:
     """The stage that was reached ("done" at best), what failed, and the measurements of each family up to it."""
     out = {"geometry": {"coverage_ratio": f.polygon_area(quad) / (bgr.shape[0] * bgr.shape[1])}}
     try:
@@ -301,9 +289,9 @@ def analyse(bgr: np.ndarray, quad: np.ndarray) -> tuple[str, str | None, dict[st
     except (ValueError, IndexError, ArithmeticError, np.linalg.LinAlgError) as e:  # a quad without area has no front view
         return "warp_failed", f"{type(e).__name__}: {e}", out
     try:
-        own = visual(card)  # of the card alone, without what lies around it
-        out |= {"visual": own, "postwarp": postwarp(card), "centering": centering(card), "edge": edge(card), "corner": corner(card), "surface": surface(f.at_least(card, 600))}
+        # of the card alone, without what lies around it
+        out |= {"parts": parts(card), "card": {"height": card.shape[0], "width": card.shape[1]}}
+        out |= {"postwarp": postwarp(card), "centering": centering(card), "surface": surface(f.at_least(card, 600))}
     except (ValueError, IndexError, ArithmeticError) as e:
-        return "features_failed", f"{type(e).__name__}: {e}", out
-    out["surface"] |= {"lighting_blur": own["blur_score"], "lighting_contrast": own["contrast_score"]}
+        return "features_failed", f"{type(e).__name__}: {e}", {"geometry": out["geometry"]}
     return "done", None, out

@@ -198,3 +198,55 @@ SELECT vec_id, {rnd('score', 6)} AS score, CAST(x1 AS INT) AS x1, CAST(y1 AS INT
 
 
 add("line_boxes", line_profiles, _line_boxes, _line_sql())
+
+
+# -- parts of a card: a grey raster of 48 x 64 for each supplier, drawn by arithmetic ---------------------------------------------------------
+_WIDE, _TALL = 48, 64
+_PIXEL = "(70 + (7 * {x} + 11 * {y} + ({x} * {y}) % 13 + 3 * CAST(s_suppkey AS INT)) % 61 + CASE WHEN (5 * {x} + 3 * {y} + CAST(s_suppkey AS INT)) % 37 = 0 THEN 90 ELSE 0 END)"
+
+
+def drawn_cards(spark: SparkSession, d: str) -> DataFrame:
+    pixel = _PIXEL.format(x=f"(i % {_WIDE})", y=f"(i div {_WIDE})")
+    data = F.expr(f"unhex(array_join(transform(sequence(0, {_WIDE * _TALL - 1}), i -> lpad(hex({pixel}), 2, '0')), ''))")
+    drawn = (F.lit("drawn").alias("path"), F.lit(_TALL).alias("height"), F.lit(_WIDE).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
+    return table(spark, d, "supplier").select("s_suppkey", *drawn)
+
+
+_METRICS = ("mean_intensity", "std_intensity", "highlight_ratio", "roughness", "anomaly_ratio", "profile_length")
+
+
+def _parts(df: DataFrame) -> DataFrame:
+    from ..operators.images import card_parts
+
+    return card_parts(df, keep=("s_suppkey",)).select("s_suppkey", "family", "part", *(math.rounded(m, 6).alias(m) for m in _METRICS))
+
+
+def _parts_sql() -> str:
+    """Regions with their limits, smoothed pixel by pixel, then counted."""
+    regions = {
+        ("visual", "whole"): (0, 64, 0, 48), ("edge", "top"): (1, 5, 1, 47), ("edge", "bottom"): (59, 63, 1, 47), ("edge", "left"): (1, 63, 1, 5), ("edge", "right"): (1, 63, 43, 47),
+        ("corner", "top_left"): (1, 17, 1, 17), ("corner", "top_right"): (1, 17, 31, 47), ("corner", "bottom_left"): (47, 63, 1, 17), ("corner", "bottom_right"): (47, 63, 31, 47),
+    }
+    listed = ", ".join(f"('{f}', '{p}', {', '.join(map(str, r))})" for (f, p), r in regions.items())
+    side = "exp(-1 / 1.28::DOUBLE)"
+    a, b = f"({side} / (1 + 2 * {side}))", f"(1 / (1 + 2 * {side}))"
+    column = lambda x: f"({a} * {_PIXEL.format(x=x, y='yu')} + {b} * {_PIXEL.format(x=x, y='y')} + {a} * {_PIXEL.format(x=x, y='yd')})"
+    near = lambda part, order: f"coalesce(lag(q) OVER {part}, lead(q) OVER {part}) + coalesce(lead(q) OVER {part}, lag(q) OVER {part})"
+    return f"""
+WITH reg AS (SELECT * FROM (VALUES {listed}) AS t(family, part, y0, y1, x0, x1)),
+px AS (SELECT s_suppkey, family, part, x, y, CASE WHEN x = x0 THEN x + 1 ELSE x - 1 END AS xl, CASE WHEN x = x1 - 1 THEN x - 1 ELSE x + 1 END AS xr, CASE WHEN y = y0 THEN y + 1 ELSE y - 1 END AS yu, CASE WHEN y = y1 - 1 THEN y - 1 ELSE y + 1 END AS yd
+ FROM supplier, reg, range({_WIDE}) AS tx(x), range({_TALL}) AS ty(y) WHERE x >= x0 AND x < x1 AND y >= y0 AND y < y1),
+sm AS (SELECT s_suppkey, family, part, x, y, CASE WHEN family = 'visual' THEN {_PIXEL.format(x='x', y='y')} ELSE floor({a} * {column('xl')} + {b} * {column('x')} + {a} * {column('xr')} + 0.5::DOUBLE) END::BIGINT AS q FROM px),
+bent AS (SELECT *, {near("(PARTITION BY s_suppkey, family, part, y ORDER BY x)", "x")} + {near("(PARTITION BY s_suppkey, family, part, x ORDER BY y)", "y")} - 4 * q AS bend FROM sm),
+st AS (SELECT s_suppkey, family, part, count(*) AS n, sum(q) / count(*)::DOUBLE AS mean, sqrt(count(*)::DOUBLE * sum(q * q) - sum(q)::DOUBLE * sum(q)) / count(*)::DOUBLE AS std, sum(bend * bend) / count(*)::DOUBLE - power(sum(bend) / count(*)::DOUBLE, 2) AS bend FROM bent GROUP BY ALL),
+hi AS (SELECT s_suppkey, family, part, count(*) FILTER (q > mean + greatest(10, 1.2::DOUBLE * std)) / any_value(n)::DOUBLE AS highlight FROM sm JOIN st USING (s_suppkey, family, part) GROUP BY ALL),
+pr AS (SELECT s_suppkey, part, CASE WHEN part IN ('top', 'bottom') THEN x ELSE y END AS pos, avg(q) AS v FROM sm WHERE family = 'edge' GROUP BY ALL),
+mv AS (SELECT *, abs(v - sum(v) OVER (PARTITION BY s_suppkey, part ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) / 11::DOUBLE) AS off, v - lag(v) OVER (PARTITION BY s_suppkey, part ORDER BY pos) AS step FROM pr),
+sd AS (SELECT s_suppkey, part, stddev_pop(step) AS rough, greatest(6, 1.5::DOUBLE * stddev_pop(off)) AS lim, count(*) AS len FROM mv GROUP BY ALL),
+od AS (SELECT s_suppkey, part, count(*) FILTER (off > lim) / any_value(len)::DOUBLE AS odd FROM mv JOIN sd USING (s_suppkey, part) GROUP BY ALL)
+SELECT s_suppkey, family, part, {rnd('mean', 6)} AS mean_intensity, {rnd('std', 6)} AS std_intensity, {rnd('highlight', 6)} AS highlight_ratio, {rnd("CASE WHEN family = 'edge' THEN rough ELSE bend END", 6)} AS roughness,
+ CASE WHEN family = 'edge' THEN {rnd('odd', 6)} END AS anomaly_ratio, CASE WHEN family = 'edge' THEN len::DOUBLE END AS profile_length
+FROM st JOIN hi USING (s_suppkey, family, part) LEFT JOIN sd USING (s_suppkey, part) LEFT JOIN od USING (s_suppkey, part)"""
+
+
+add("card_parts", drawn_cards, _parts, _parts_sql())

@@ -31,12 +31,28 @@ def card(h=420, w=320, box=(60, 60, 360, 274), angle=0.0):
     return image
 
 
-def test_solid_gradient_and_checkerboard():
+def test_solid_gradient_and_checkerboard(spark):
+    from mintlens.operators import parts
+
     solid = np.full((40, 50, 3), 90, np.uint8)
-    v = measure.visual(solid)
-    assert v["blur_score"] == 0 and v["contrast_score"] == 0 and v["brightness_score"] == 90
     ramp = np.repeat(np.arange(256, dtype=np.uint8)[None, :, None], 20, 0).repeat(3, 2)
-    assert measure.visual(ramp)["brightness_score"] == 127.5
+    noise = np.random.default_rng(4).integers(0, 256, (90, 70, 3)).astype(np.uint8)
+    pictures = {"solid": solid, "ramp": ramp, "noise": noise}
+    df = spark.createDataFrame([(n, [tuple(r.values()) for r in measure.parts(a)]) for n, a in pictures.items()] + [("none", None)], f"name string, parts array<{parts.PART}>")
+    rows = {(r.name, r.family, r.part): r for r in parts.long_table(df).collect()}
+    assert len(rows) == 27 and [k[1:] for k in rows if k[0] == "solid"] == list(parts.PARTS)
+    whole = rows["solid", "visual", "whole"]
+    assert whole.roughness == 0 and whole.std_intensity == 0 and whole.mean_intensity == 90 and rows["ramp", "visual", "whole"].mean_intensity == 127.5
+    g = f.grey(noise)
+    for side, band in measure.side_bands(g).items():
+        a, r = f.blur(band, 3).astype(float), rows["noise", "edge", side]
+        profile = a.mean(axis=0 if side in ("top", "bottom") else 1)
+        off = np.abs(profile - np.convolve(profile, np.full(11, 1 / 11), "same"))
+        want = (a.mean(), a.std(), (a > a.mean() + max(10, 1.2 * a.std())).mean(), np.diff(profile).std(), (off > max(6.0, 1.5 * off.std())).mean(), len(profile))
+        assert (r.mean_intensity, r.std_intensity, r.highlight_ratio, r.roughness, r.anomaly_ratio, r.profile_length) == pytest.approx(want)
+    for name, patch in measure.corner_patches(g).items():
+        a, r = f.blur(patch, 3), rows["noise", "corner", name]
+        assert (r.mean_intensity, r.std_intensity, r.roughness) == pytest.approx((a.mean(), a.std(), f.laplacian(a).var())) and r.anomaly_ratio is None
     board = (np.indices((64, 64)).sum(axis=0) // 8 % 2 * 255).astype(np.uint8)
     assert f.laplacian(board).var() > 1000
 
