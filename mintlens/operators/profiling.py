@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ def value_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
 
 
 def counts_map(df: DataFrame, column: str) -> DataFrame:
-    """The same as one row that holds a map, for columns of few values; nulls count under "null", beside texts so spelt."""
-    one = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"))
+    """The same as one row: counts, a map, for columns of few values, and nulls, how many have none."""
+    one = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    entries = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "n"))))
+    return one.agg(F.map_from_entries(entries).alias("counts"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
 
 
 def percent(condition: Column) -> Column:
@@ -57,11 +59,18 @@ def _f1(p: Column, r: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * p * r, p + r), F.lit(0.0))
 
 
+METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1")
+
+
 def binary_metrics(counts: DataFrame) -> DataFrame:
     """accuracy, balanced_accuracy, precision, recall and f1 from ``confusion``; 0 where a denominator is 0."""
+    return counts.select(*(c.alias(n) for n, c in _metrics().items()))
+
+
+def _metrics() -> dict[str, Column]:
     tn, fp, fn, tp = map(F.col, ("tn", "fp", "fn", "tp"))
     p, r = _ratio(tp, tp + fp), _ratio(tp, tp + fn)
-    return counts.select(_ratio(tp + tn, tn + fp + fn + tp).alias("accuracy"), ((r + _ratio(tn, tn + fp)) / 2.0).alias("balanced_accuracy"), p.alias("precision"), r.alias("recall"), _f1(p, r).alias("f1"))
+    return {"accuracy": _ratio(tp + tn, tn + fp + fn + tp), "balanced_accuracy": (r + _ratio(tn, tn + fp)) / 2.0, "precision": p, "recall": r, "f1": _f1(p, r)}
 
 
 def class_report(counts: DataFrame) -> DataFrame:
@@ -108,7 +117,73 @@ def choose_rows(df: DataFrame, target: str, strict: Column, loose: Column, least
     raise ValueError("neither filter leaves rows of both classes")
 
 
+#: Distinct values that one group's last step holds, and parts into which a pass divides a group's values.
+HELD, PARTS = 1 << 16, 256
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], column: str, share: float, held: int = HELD) -> DataFrame:
+    """``keys`` and ``quantile``: the exact quantile of each group, interpolated between neighbours; nulls don't count.
+
+    No group's values gather in one buffer.  While a group has more than about ``held`` distinct values, a pass finds
+    marks that divide them into PARTS (a sketch of bounded size), and the next one keeps what lies between the marks on
+    either side of the rank and counts what lies below.  A third pass shrinks 10 billion values to a few thousand; of
+    these the distinct ones are counted and walked.  A group without values gives no row; a null key is a group.
+    """
+    names = [f"__k{n}" for n in range(len(keys))]
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(column).cast("double").alias("__v")).where("__v is not null")
+    rows = rows.select("*", *([F.lit(0).alias("__one")] if not names else []))
+    names = names or ["__one"]
+    at = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    at = at.select(*names, (F.lit(share) * (F.col("__n") - 1)).alias("__rank"), F.lit(0).cast("bigint").alias("__below"))
+    on = reduce(lambda x, y: x & y, (F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names))
+    while True:
+        marks = rows.groupBy(*names).agg(F.approx_count_distinct("__v").alias("__d"), F.count(F.lit(1)).alias("__m"), F.percentile_approx("__v", [k / PARTS for k in range(PARTS + 1)], 100 * PARTS).alias("__q")).persist()
+        if (most := marks.agg(F.max("__d")).first()[0]) is None or most <= held:
+            marks.unpersist()
+            break
+        both = marks.join(at.withColumnsRenamed({n: f"{n}_" for n in names}), on)
+        place = lambda rows: (F.col("__rank") - F.col("__below") + rows) / F.col("__m") * PARTS
+        # two marks and two rows to spare, as a mark may lie off by less than either
+        low, high = F.floor(place(-2)).cast("int") - 2, F.ceil(place(3)).cast("int") + 2
+        lo, hi = F.when(low > 0, F.get("__q", low)).otherwise(F.lit(float("-inf"))), F.when(high < PARTS, F.get("__q", high)).otherwise(F.lit(float("inf")))
+        bounds = both.select(*(F.col(n).alias(f"{n}_") for n in names), lo.alias("__lo"), hi.alias("__hi"), "__rank", "__below")
+        near = rows.join(bounds, on)
+        at = near.groupBy(*names).agg(F.first("__rank").alias("__rank"), (F.first("__below") + F.count_if(F.col("__v") < F.col("__lo"))).alias("__below"))
+        rows = near.where(F.col("__v").between(F.col("__lo"), F.col("__hi"))).select(*names, "__v")
+    counts = rows.groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("c"))
+    listed = counts.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct(F.col("__v").alias("v"), "c"))).alias("__l"))  # ``held`` entries, or about so many
+    d = listed.join(at.withColumnsRenamed({n: f"{n}_" for n in names}), on)
+    first, second = F.floor("__rank") - F.col("__below"), F.ceil("__rank") - F.col("__below")
+    zero = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
+
+    def walk(s: Column, x: Column) -> Column:
+        seen = s["seen"] + x["c"]
+        return F.struct(seen.alias("seen"), F.when(s["a"].isNull() & (seen > first), x["v"]).otherwise(s["a"]).alias("a"), F.when(s["b"].isNull() & (seen > second), x["v"]).otherwise(s["b"]).alias("b"))
+
+    d = d.withColumn("__w", F.aggregate("__l", zero, walk))
+    out = F.col("__w.a") + (F.col("__rank") - F.floor("__rank")) * (F.col("__w.b") - F.col("__w.a"))
+    return d.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=False)), out.alias("quantile"))
+
+
 def median_filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Nulls replaced by the column's exact median, from one aggregate row."""
-    medians = df.agg(*(F.median(c).alias(f"__m_{c}") for c in columns))
-    return df.join(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in columns}).select(*df.columns)
+    """Nulls replaced by the column's exact median, as ``quantiles`` finds it; a column of nulls alone stays as it is."""
+    medians = reduce(lambda a, b: a.unionByName(b), (quantiles(df, [], c, 0.5).select(F.lit(c).alias("c"), "quantile") for c in columns))
+    one = medians.agg(*(F.max(F.when(F.col("c") == c, F.col("quantile"))).alias(f"__m_{c}") for c in columns))
+    return df.join(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")) for c in columns}).select(*df.columns)
+
+
+def validated(predictions: DataFrame, keys: Sequence[str] = ("model", "fold"), target: str = "target", predicted: str = "y_pred") -> DataFrame:
+    """``keys`` and the five metrics of each group of stored predictions, from one aggregate; nulls in either class don't count."""
+    hit = lambda t, y: F.count_if((F.col(target) == t) & (F.col(predicted) == y))
+    counts = predictions.groupBy(*keys).agg(hit(0, 0).alias("tn"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(1, 1).alias("tp"))
+    return counts.select(*keys, *(c.alias(n) for n, c in _metrics().items()))
+
+
+def ranked_models(folds: DataFrame) -> DataFrame:
+    """rank, model and the means over its folds of the five metrics of ``validated``: by f1, then recall, balanced accuracy and name.
+
+    There are as many rows as models, so one task orders them.
+    """
+    means = folds.groupBy("model").agg(*(F.avg(m).alias(m) for m in METRICS))
+    order = Window.orderBy(F.desc("f1"), F.desc("recall"), F.desc("balanced_accuracy"), "model")
+    return means.select(F.row_number().over(order).alias("rank"), "model", *METRICS)

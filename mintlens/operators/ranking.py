@@ -43,8 +43,8 @@ def best_candidate(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     Queries and names meet as in ``containing``.
     """
-    q = queries.withColumn("q_low", _low(F.col("q_name")))
-    rows = catalogue.withColumn("low", _low(F.col("name")))
+    q = queries.select("query_id", "q_name", "q_set", "q_number").withColumn("q_low", _low(F.col("q_name")))
+    rows = catalogue.select("id", "name", "set_name", "number").withColumn("low", _low(F.col("name")))
     pairs = q.join(containing(q, rows), "q_low").join(rows, "low")
     scored = pairs.select("query_id", "id", "name", candidate_score(*(F.col(c) for c in ("name", "set_name", "number", "q_name", "q_set", "q_number"))).alias("score"))
     return first_by(scored, ["query_id"], -F.col("score"), F.col("id"))
@@ -65,17 +65,27 @@ def containing(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     return rarest.join(held, "gram").where(F.contains(F.col("low"), F.col("q_low"))).select("q_low", "low")
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it while the frame has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def search(queries: DataFrame, catalogue: DataFrame, exact: bool = False) -> DataFrame:
     """Every catalogue row with each query (query_id, q_name) that its name contains, in either case, or equals if ``exact``.
 
-    Queries are trimmed; blank and null ones find nothing.
+    Queries are trimmed; blank and null ones find nothing.  Where the catalogue has a column ``query_id`` of its own, the
+    query's is named with underscores before it.
     """
+    asked, low = _free(catalogue, "query_id"), _free(catalogue, "__low")
     if exact:
-        q = queries.select("query_id", F.trim("q_name").alias("name")).where("name <> ''")
-        return q.join(catalogue, "name").select("query_id", *catalogue.columns)
-    q = queries.select("query_id", _low(F.col("q_name")).alias("q_low"))
-    rows = catalogue.withColumn("low", _low(F.col("name")))
-    return q.join(containing(q, rows), "q_low").join(rows, "low").select("query_id", *catalogue.columns)
+        q = queries.select(F.col("query_id").alias(asked), F.trim("q_name").alias("name")).where("name <> ''")
+        return q.join(catalogue, "name").select(asked, *catalogue.columns)
+    q = queries.select(F.col("query_id").alias(asked), _low(F.col("q_name")).alias("q_low"))
+    rows = catalogue.withColumn(low, _low(F.col("name")))
+    pairs = containing(q, rows.select(F.col(low).alias("low"))).withColumnRenamed("low", low)
+    return q.join(pairs, "q_low").drop("q_low").join(rows, low).select(asked, *catalogue.columns)
 
 
 def listing(catalogue: DataFrame, *kinds: str) -> DataFrame:

@@ -308,13 +308,36 @@ add("stratified_split", split_events, lambda df: df.select("event_id", "split"),
 add("kfold_assign", split_events, lambda df: df.select("event_id", "fold"), f"{_SPLIT} SELECT event_id, fold FROM s")
 add("split_class_counts", split_events, lambda df: df.groupBy("split", "event_type").agg(F.count(F.lit(1)).alias("count")), f"{_SPLIT} SELECT split, event_type, count(*) AS count FROM s GROUP BY 1, 2")
 add("median_impute", of("events"), lambda df: profiling.median_filled(df.select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value")), ["value"]).select("event_id", math.rounded("value", 9).alias("value")), f"WITH v AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value FROM events) SELECT event_id, {rnd('coalesce(value, (SELECT median(value) FROM v))', 9)} AS value FROM v")
-add("percentile_90", of("events"), lambda df: df.groupBy("event_type").agg(math.rounded(F.percentile("value", 0.9), 6).alias("p90")), f"SELECT event_type, {rnd('quantile_cont(value, 0.9)', 6)} AS p90 FROM events GROUP BY 1")
+add("percentile_90", of("events"), lambda df: profiling.quantiles(df, ["event_type"], "value", 0.9).select("event_type", math.rounded("quantile", 6).alias("p90")), f"SELECT event_type, {rnd('quantile_cont(value, 0.9)', 6)} AS p90 FROM events GROUP BY 1")
 add("dataset_shape", of("lineitem"), lambda df: df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("bigint").alias("columns")), "SELECT count(*) AS rows, 11::BIGINT AS columns FROM lineitem")
+# three models of fixed scores, each with its own threshold, over five folds
+_CV = {"strict": 700, "even": 500, "loose": 300}
+_CV_SQL = f"""WITH {LABELLED_SQL},
+p AS (SELECT m.model, doc_id % 5 AS fold, y_true AS t, CASE WHEN y_prob >= m.cut / 1000::DOUBLE THEN 1 ELSE 0 END AS y FROM labelled, (VALUES {', '.join(f"('{m}', {c})" for m, c in _CV.items())}) AS m(model, cut)),
+c AS (SELECT model, fold, count(*) FILTER (t = 0 AND y = 0)::DOUBLE AS tn, count(*) FILTER (t = 0 AND y = 1)::DOUBLE AS fp, count(*) FILTER (t = 1 AND y = 0)::DOUBLE AS fn, count(*) FILTER (t = 1 AND y = 1)::DOUBLE AS tp FROM p GROUP BY ALL),
+r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS other FROM c),
+f AS (SELECT model, fold, (tp + tn) / (tn + fp + fn + tp) AS accuracy, (recall + other) / 2 AS balanced_accuracy, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM r),
+a AS (SELECT model, avg(accuracy) AS accuracy, avg(balanced_accuracy) AS balanced_accuracy, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1 FROM f GROUP BY 1),
+k AS (SELECT *, CAST(row_number() OVER (ORDER BY f1 DESC, recall DESC, balanced_accuracy DESC, model) AS INT) AS rank FROM a)"""
+
+
+def _fold_metrics(df: DataFrame) -> DataFrame:
+    models = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(c / 1000.0).alias("cut")) for m, c in _CV.items())))
+    p = df.select((F.col("doc_id") % 5).alias("fold"), F.col("y_true").alias("target"), "y_prob", models.alias("m"))
+    return profiling.validated(p.select("fold", "target", F.col("m.model").alias("model"), (F.col("y_prob") >= F.col("m.cut")).cast("int").alias("y_pred")))
+
+
 add(
     "cv_means",
-    split_events,
-    lambda df: df.groupBy("event_type", "fold").agg(F.count(F.lit(1)).alias("n")).groupBy("event_type").agg(math.rounded(F.avg("n"), 6).alias("mean_rows")),
-    f"{_SPLIT} SELECT event_type, {rnd('avg(n)', 6)} AS mean_rows FROM (SELECT event_type, fold, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1",
+    labelled,
+    lambda df: _fold_metrics(df).groupBy("model").agg(*(math.rounded(F.avg(m), 9).alias(m) for m in profiling.METRICS)),
+    f"{_CV_SQL} SELECT model, {', '.join(f'{rnd(m, 9)} AS {m}' for m in profiling.METRICS)} FROM a",
+)
+add(
+    "model_ranking",
+    labelled,
+    lambda df: profiling.ranked_models(_fold_metrics(df)).select("rank", "model", *(math.rounded(m, 9).alias(m) for m in ("f1", "recall"))),
+    f"{_CV_SQL} SELECT rank, model, {rnd('f1', 9)} AS f1, {rnd('recall', 9)} AS recall FROM k",
 )
 
 # -- matching, lookups, prices -----------------------------------------------------------------------------------------------------
@@ -425,12 +448,6 @@ def union_missing_columns(spark, d):
     return a.unionByName(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")), allowMissingColumns=True)
 
 
-@query("model_ranking", "SELECT 'forest' AS model, 0.91::DOUBLE AS f1")
-def model_ranking(spark, d):
-    rows = spark.createDataFrame([("linear", 0.85, 0.80, 0.9), ("forest", 0.91, 0.90, 0.91), ("boosting", 0.91, 0.89, 0.95)], "model string, f1 double, recall double, precision double")
-    return rows.orderBy(F.desc("f1"), F.desc("recall"), F.desc("precision")).limit(1).select("model", "f1")
-
-
 add("ttl_filter", of("events"), lambda df: pricing.live_rates(df.select("event_id", F.col("ts").alias("fetched_at")), F.lit("2024-01-10 00:00:00").cast("timestamp")).select("event_id"), "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 6 HOURS")
 add(
     "variant_pick",
@@ -569,8 +586,8 @@ add("sample_rows", judged, _samples, f"{STATUS_SQL} (SELECT {', '.join(_SHOWN)}
 add(
     "status_report",
     judged,
-    lambda df: profiling.counts_map(df.withColumn("s", F.nullif("analysis_status", F.lit("valid"))), "s").select(F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("report")),
-    f"{STATUS_SQL}, n AS (SELECT coalesce(nullif(analysis_status, 'valid'), 'null') AS s, count(*) AS c FROM status GROUP BY 1) SELECT string_agg(s || '=' || c, ',' ORDER BY s) AS report FROM n",
+    lambda df: profiling.counts_map(df.withColumn("s", F.nullif("analysis_status", F.lit("valid"))), "s").select(F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("report"), "nulls"),
+    f"{STATUS_SQL}, n AS (SELECT nullif(analysis_status, 'valid') AS s, count(*) AS c FROM status GROUP BY 1) SELECT string_agg(s || '=' || c, ',' ORDER BY s) AS report, CAST(coalesce(sum(c) FILTER (s IS NULL), 0) AS BIGINT) AS nulls FROM n",
 )
 _M = {k: "'" + v + "'" for k, v in rules.CAPTURE_MESSAGES.items()}
 add(

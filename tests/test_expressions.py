@@ -223,8 +223,9 @@ def test_names_strip_the_whole_root(spark):
 def test_counts_as_a_map_keep_nulls(spark):
     from mintlens.operators import profiling
 
-    assert profiling.counts_map(spark.createDataFrame([("a",), (None,), ("a",)], "x string"), "x").first().counts == {"a": 2, "null": 1}
-    assert profiling.counts_map(spark.createDataFrame([], "x int"), "x").first().counts == {}
+    told = profiling.counts_map(spark.createDataFrame([("a",), (None,), ("a",), ("null",)], "x string"), "x").first()
+    assert told.counts == {"a": 2, "null": 1} and told.nulls == 1
+    assert tuple(profiling.counts_map(spark.createDataFrame([], "x int"), "x").first()) == ({}, 0)
 
 
 def test_the_richest_variant_may_be_unfilled(spark):
@@ -280,3 +281,40 @@ def test_peaks_and_boxes_at_their_edges(spark):
     box = tuple(F.lit(float(x)) for x in (100, 100, 400, 520))
     got = one.select(c.plausible_outer_box(box, F.lit(600.0), F.lit(800.0)), c.chosen_box(none, none, F.lit(600.0), F.lit(800.0), F.lit(0.0), F.lit(0.0)), c.first_box(a=none, b=box)["source"], c.first_box(a=none)["box"], c.fallback_box(F.lit(80.0), F.lit(100.0))["box"]).first()
     assert list(got) == [True, "none", "b", None, [16.0, 16.0, 64.0, 84.0]]
+
+
+def test_quantiles_of_large_and_odd_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    groups = {"many": rng.normal(0, 1e6, 3000), "ties": np.repeat([1.0, 2.0, 2.5], [400, 500, 100]), "wide": np.exp(rng.uniform(-300, 300, 2000)), "one": np.array([7.0]), None: np.arange(50.0)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("many", None), ("empty", None)], "k string, x double")
+    for held in (profiling.HELD, 40):  # the second takes several passes
+        for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+            got = {r.k: r.quantile for r in profiling.quantiles(df, ["k"], "x", share, held).collect()}
+            assert set(got) == set(groups) and all(got[k] == pytest.approx(np.quantile(v, share), rel=1e-12) for k, v in groups.items())
+    assert profiling.quantiles(df.where("false"), ["k"], "x", 0.5).count() == 0
+    big = spark.range(10_000_000).select(F.lit("g").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(10_000_000)) / 4.0).alias("x"))
+    q = profiling.quantiles(big, ["k"], "x", 0.9)
+    assert q.first().quantile == pytest.approx(0.9 * 9_999_999 / 4.0, rel=1e-12) and "percentile(" not in q._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_median_fill_leaves_a_column_of_nulls(spark):
+    df = spark.createDataFrame([(1, None, None), (2, 3.0, None), (3, 5.0, None)], "id int, a double, b double")
+    assert sorted(map(tuple, profiling.median_filled(df, ["a", "b"]).collect())) == [(1, 4.0, None), (2, 3.0, None), (3, 5.0, None)]
+
+
+def test_search_leaves_columns_of_the_catalogue(spark):
+    rows = spark.createDataFrame([(1, "Mewtwo", 7, 9, "s"), (2, "Abra", 8, 9, "t")], "id int, name string, low int, query_id int, q_low string")
+    asked = spark.createDataFrame([(5, "mew"), (6, "Abra")], "query_id int, q_name string")
+    got = {tuple(r) for r in ranking.search(asked, rows).collect()}
+    assert got == {(5, 1, "Mewtwo", 7, 9, "s"), (6, 2, "Abra", 8, 9, "t")} and ranking.search(asked, rows).columns[0] == "_query_id"
+    assert {tuple(r) for r in ranking.search(asked, rows, exact=True).collect()} == {(6, 2, "Abra", 8, 9, "t")}
+
+
+def test_metrics_of_all_folds_in_one_aggregate(spark):
+    rows = [("a", f, t, t if (f + n) % 4 else 1 - t) for f in range(3) for n in range(12) for t in (0, 1)] + [("b", f, t, 1) for f in range(3) for t in (0, 1, 1)] + [("b", 0, None, 1)]
+    folds = profiling.validated(spark.createDataFrame(rows, "model string, fold int, target int, y_pred int"))
+    got = {(r.model, r.fold): r for r in folds.collect()}
+    assert len(got) == 6 and got["b", 0].recall == 1 and got["b", 0].precision == pytest.approx(2 / 3) and got["b", 0].balanced_accuracy == 0.5 and got["a", 1].accuracy == pytest.approx(0.75)
+    assert [(r["rank"], r.model) for r in profiling.ranked_models(folds).orderBy("rank").collect()] == [(1, "b"), (2, "a")]
