@@ -26,8 +26,8 @@ from .simhash import _Words, common, padded, rooted, shingles, units, whole_unit
 SHINGLE_WORDS, PERCENT, COORDINATES, MATCHES = 2, 80, 32, 13
 #: Texts of a posting that are compared as one, rows of numpy work at once, shingles hashed at once.
 POSTING_ROWS, CHUNK_ROWS, HASH_CHUNK = 1024, 256, 1 << 8
-#: Least shingle hashes by which pairs are screened, texts of a posting from which all its pairs are, and rounds over a part of the postings.
-SCREEN, SCREENED_ROWS, ROUNDS = 256, 8, 2
+#: Least shingle hashes by which pairs are screened, texts of a posting from which all its pairs are, and one posting in so many that joins most texts first.
+SCREEN, SCREENED_ROWS, JOINING = 256, 8, 4
 #: Rows of one text that one task joins with its group, and texts that one task compares with one other.
 COPIES, STAR = 1 << 20, 512
 
@@ -159,20 +159,14 @@ def matching(x: dict[str, pa.ChunkedArray], once: bool = True, least: int = MATC
                 yield alike(i, j)
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, m, b): of each row that has candidates in its unit, the one that agrees most, the least of equals."""
+def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cid of the rows that have a candidate in their unit."""
     for x in whole_units(batches):
         cid = x["cid"].to_numpy()
-        most, best = np.zeros(len(cid), np.int64), np.full(len(cid), np.iinfo(np.int64).max)
-        for i, j, m in matching(x, once=False):
-            for p, q in ((i, j), (j, i)):
-                was = most.copy()
-                np.maximum.at(most, p, m)
-                best[most > was] = np.iinfo(np.int64).max
-                top = m == most[p]
-                np.minimum.at(best, p[top], cid[q[top]])
-        on = most > 0
-        yield pa.RecordBatch.from_arrays([pa.array(y[on]) for y in (cid, most, best)], ["a", "m", "b"])
+        on = np.zeros(len(cid), bool)
+        for i, j, _ in matching(x, once=False):
+            on[i] = on[j] = True
+        yield pa.RecordBatch.from_arrays([pa.array(cid[on])], ["cid"])
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,15 +243,13 @@ def linked(docs: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
     """(node, root) over the cid of ``classes`` that reach another one by confirmed links.
 
     First every text is compared with the others of its postings by a short form of the signature, and those that agree
-    with none are left aside; each other one is confirmed with the one that it agrees with most.  Then, in a part of the
-    postings at a time, pairs that would join all candidates are confirmed, a forest a posting; last, all candidates that
-    are still apart.
+    with none are left aside.  Then, in a part of the postings, pairs that would join all candidates are confirmed, a
+    forest a posting, which joins most of what is alike; last, all candidates that are still apart.
     """
     tiles = postings(classes, keep)
     none = classes.select(F.col("cid"), F.col("cid").alias("root")).limit(0)
     short = classes.select("cid", "n", F.transform("toks", lambda t: F.shiftright(t, 48).cast("smallint")).alias("sig"), F.lit(None).cast("array<smallint>").alias("least"))
-    near = keep(dealt(tiles, none, short, 0, keep).mapInArrow(_nearest, "a bigint, m bigint, b bigint").groupBy("a").agg(F.max(F.struct("m", (-F.col("b")).alias("b"))).alias("x")))
-    alive = near.select(F.col("a").alias("cid"))
+    alive = keep(dealt(tiles, none, short, 0, keep).mapInArrow(_alive, "cid bigint").distinct())
     asked = keep(classes.join(alive, "cid").select("cid", "key", "loc", "n", F.transform("toks", lambda t: F.shiftright(t, 32).cast("int")).alias("sig")))
     tiles = keep(tiles.join(alive, "cid"))
     places = small(asked.select("cid", F.col("loc.doc_id").alias("__id"), F.col("loc.mark").alias("__mark")))
@@ -265,20 +257,12 @@ def linked(docs: DataFrame, classes: DataFrame, keep: Scratch) -> DataFrame:
     least = texts.join(places, same(texts, places, {"doc_id": "__id", "mark": "__mark"})).select("cid", "text").mapInArrow(_sketched, "cid bigint, least array<smallint>")
     prints = keep(asked.select("cid", "n", "sig").join(least.dropDuplicates(["cid"]), "cid"))
 
-    pairs = near.select("a", (-F.col("x.b")).alias("b"))
-    tried = keep(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = keep(confirmed(docs, tried, asked, keep))
+    some = tiles.where(F.pmod(F.xxhash64("tok"), F.lit(JOINING)) == 0)
+    first = keep(dealt(some, none, prints, 0, keep).mapInArrow(_forest, "a bigint, b bigint").distinct())
+    links = keep(confirmed(docs, first, asked, keep))
     reach = keep(components(links)).withColumnRenamed("node", "cid")
-    for k in range(ROUNDS):
-        some = tiles.where(F.pmod(F.xxhash64("tok"), F.lit(8)) == k)
-        pairs = dealt(some, reach, prints, 0, keep).mapInArrow(_forest, "a bigint, b bigint")
-        pairs = keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            tried, links = tried.union(pairs), links.union(keep(confirmed(docs, pairs, asked, keep)))
-            reach = keep(components(links)).withColumnRenamed("node", "cid")
-
     rest = dealt(tiles, reach, prints, SCREENED_ROWS, keep).mapInArrow(_crossing, "a bigint, b bigint")
-    rest = keep(rest.join(tried, ["a", "b"], "left_anti"))
+    rest = keep(rest.join(first, ["a", "b"], "left_anti"))
     return components(links.union(keep(confirmed(docs, rest, asked, keep))))
 
 
