@@ -23,9 +23,9 @@ MOST_WORDS, LEAST, FIRST, SUBSUMED = 4, 30, 2000, 80
 #: Factor of the score.
 SCALE = 2_000_000
 #: Rows of the sketch, bytes of text for each cell of a row, and the most cells: 2 x 64 MB of bits, whatever the corpus.
-DEPTH, BYTES_A_CELL, MOST_CELLS = 2, 32, 1 << 29
+DEPTH, BYTES_A_CELL, MOST_CELLS = 2, 64, 1 << 29
 #: Cells of a block, n-grams that a task counts before it sends them on, and bytes of text worked on at once.
-BLOCK, BUFFER, CHUNK_BYTES = 1 << 20, 1 << 22, 1 << 22
+BLOCK, BUFFER, CHUNK_BYTES = 1 << 20, 1 << 21, 1 << 21
 #: Candidates that one task ranks before the ranks are merged.
 RANKED = 1 << 17
 
