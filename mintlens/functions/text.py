@@ -86,6 +86,11 @@ def search_queries(name) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(name, first), starts, two), lambda q: F.char_length(q) >= 4))
 
 
+def title_case(x) -> Column:
+    """The first letter of every run of letters as a capital, the others small: what follows an apostrophe begins a run too."""
+    return F.array_join(F.transform(F.regexp_extract_all(_s(x), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), F.initcap), "")
+
+
 def clean_scan(x) -> Column:
     """A name as a text scan reads it: allowed signs only, stage words and one-letter or digit tokens gone, cut at the
     hit points, words capitalised."""
@@ -94,7 +99,7 @@ def clean_scan(x) -> Column:
     ends = F.filter(F.transform(words, lambda w, k: F.when(F.lower(w).isin("hp", "ps"), k + 1)), lambda k: k.isNotNull())
     kept = F.when(F.size(ends) > 0, F.slice(words, F.lit(1), F.array_min(ends) - 1)).otherwise(words)
     good = F.filter(kept, lambda w: (F.char_length(w) > 1) & ~w.rlike(r"^\p{N}+$") & ~F.lower(w).isin("basic", "stage", "fase", "etapa", "basico", "básico"))
-    return F.initcap(F.array_join(good, " "))
+    return title_case(F.array_join(good, " "))
 
 
 def token_confidence(tokens) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, math, text
 from ..operators import candidates as boxes
 from ..operators import flatten, pricing, profiling, ranking, rules, scoring
+from ..sources.images import with_names
 from .proxies import CAPTURES_SQL, KEYS, LABELLED_SQL, PROFILES_SQL, captures, labelled, profiles, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,9 +213,7 @@ add(
 add(
     "scan_path_labels",
     of("pages"),
-    lambda df: df.select("page_id", F.regexp_extract("url", r"://[^/]+/(.*)$", 1).alias("rel")).select(
-        "page_id", F.when(F.size(F.split("rel", "/")) >= 2, F.lower(F.trim(F.split("rel", "/")[0]))).otherwise("unknown").alias("label"), F.element_at(F.split("rel", "/"), -1).alias("filename"), F.lower("rel").rlike(r"\.(jpg|jpeg|png|webp|html)$").alias("listed")
-    ),
+    lambda df: with_names(df.select("page_id", F.concat(F.lit("/raw/"), F.regexp_extract("url", r"://[^/]+/(.*)$", 1)).alias("path")), "/raw").select("page_id", "label", F.col("image_filename").alias("filename"), F.lower("relative_path").rlike(r"\.(jpg|jpeg|png|webp|html)$").alias("listed")),
     "WITH r AS (SELECT page_id, regexp_extract(url, '://[^/]+/(.*)$', 1) AS rel FROM pages) SELECT page_id, CASE WHEN len(string_split(rel, '/')) >= 2 THEN lower(trim(string_split(rel, '/')[1])) ELSE 'unknown' END AS label, string_split(rel, '/')[-1] AS filename, regexp_matches(lower(rel), '\\.(jpg|jpeg|png|webp|html)$') AS listed FROM r",
 )
 _SPELL = "CASE doc_id % 8 WHEN 0 THEN ' Damaged ' WHEN 1 THEN 'ROTAS' WHEN 2 THEN 'dañada' WHEN 3 THEN 'undamaged' WHEN 4 THEN 'Clean' WHEN 5 THEN 'ok' WHEN 6 THEN 'other' END"
@@ -230,6 +229,22 @@ add(
     lambda df: flatten.flatten(df.select("event_id", F.struct("user_id", F.from_json("props", "k INT").alias("props"), F.array("value").alias("dropped")).alias("event"))),
     "SELECT event_id, user_id AS event_user_id, CAST(json_extract(props, '$.k') AS INT) AS event_props_k FROM events",
 )
+add(
+    "numeric_flatten",
+    of("events"),
+    lambda df: flatten.prefixed(df.select(F.struct("user_id", "value", "event_type", (F.col("event_id") % 2 == 0).alias("even"), F.struct(F.nullif(F.col("event_id") % 3, F.lit(0)).alias("rest")).alias("more")).alias("event")), {"event": "visual_"}),
+    "SELECT CAST(user_id AS DOUBLE) AS visual_user_id, CAST(value AS DOUBLE) AS visual_value, CAST(event_id % 2 = 0 AS DOUBLE) AS visual_even, CAST(coalesce(nullif(event_id % 3, 0), 0) AS DOUBLE) AS visual_more_rest FROM events",
+)
+_SCANNED = "concat(CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '\u2019') WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE p_name END, CASE p_partkey % 4 WHEN 0 THEN concat(' farfetch', chr(39), 'd BASIC 7 HP 60 gone') WHEN 1 THEN '  stage 1 mr. mime! x' WHEN 2 THEN ' ho-oh PS' ELSE '' END)"
+add(
+    "scan_names",
+    of("part"),
+    lambda df: df.select("p_partkey", text.clean_scan(F.expr(_SCANNED)).alias("name")),
+    f"""WITH t AS (SELECT p_partkey, string_split(trim(regexp_replace(regexp_replace({_SCANNED}, '[^\\p{{L}}\\p{{N}}''\\-\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM part),
+ k AS (SELECT p_partkey, CASE WHEN len(list_filter(w, lambda x: lower(x) IN ('hp', 'ps'))) > 0 THEN w[1:list_min(list_filter(range(1, len(w) + 1), lambda i: lower(w[i]) IN ('hp', 'ps'))) - 1] ELSE w END AS w FROM t),
+ g AS (SELECT p_partkey, array_to_string(list_filter(w, lambda x: len(x) > 1 AND NOT regexp_full_match(x, '\\p{{N}}+') AND lower(x) NOT IN ('basic', 'stage', 'fase', 'etapa', 'basico', 'básico')), ' ') AS n FROM k)
+ SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(n, '\\p{{L}}+|[^\\p{{L}}]+'), lambda r: upper(r[1]) || lower(r[2:])), '') AS name FROM g""",
+)
 add(
     "model_vector_defaults",
     captures,
