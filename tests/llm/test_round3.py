@@ -263,3 +263,28 @@ def test_skipped_postings_lose_no_pair(spark, tmp_path):
         for j, b in rows_[:i]:
             if len(set(a) & set(b)) >= minhash.MATCHES:
                 assert posted[i] & posted[j]
+
+
+# -- 1 sharding, draw by draw -------------------------------------------------------------------------------------------------------
+def test_shards_follow_the_draws(spark):
+    from math import log
+
+    from mintlens.llm import sharding
+
+    def reach(key, node, path=""):
+        """The child of the smallest draw, level by level."""
+        if not isinstance(node, dict):
+            return None
+        draw = lambda k: -log((int(hashlib.md5(f"{path}/{k}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / sharding.weight(node[k])
+        best = min(node, key=draw) if len(node) > 1 else next(iter(node))
+        return best if not isinstance(node[best], dict) else reach(key, node[best], f"{path}/{best}")
+
+    ids = [*range(400), -7, None]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id bigint, text string")
+    eight, nine = sharding.topology(8), sharding.topology(9)
+    got = sharding.shard_documents(df).collect()
+    for r in got:
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (reach(key, eight), reach(key, nine))
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
