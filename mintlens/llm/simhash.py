@@ -462,8 +462,10 @@ def dedupe(docs: DataFrame, radius: int = NEAR_RADIUS, tile_rows: int = NEAR_TIL
     Links are exact.  A pair of 0.8 is only missed if none of the ``probes`` least hashes is shared (0.2 ** 24; never,
     where a text has no more shingles; up to 6e-4 if most of them lie in tiles of over ``tile_rows`` texts and most of
     the others differ), or if the fingerprints differ in more than ``radius`` of 512 bits (about 1e-6 at 120).
-    ``probes=None, radius=512, hot_share=0`` is
-    the exact form: all of the prefix that similar texts must share, no pair skipped; it moves a fifth of all shingles.
+    ``probes=None, radius=512, hot_share=0`` takes
+    all of the prefix that similar texts must share and moves a fifth of all shingles.  What remains in any form: pairs that
+    meet in tiles of over SCREENED_ROWS texts only are left aside where their least SCREEN hashes fall five standard
+    deviations short (3e-7 at 0.8).
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
     with Scratch(docs.sparkSession) as keep:
