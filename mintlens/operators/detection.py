@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..functions.math import box_area, clamp, corner_angle, distance, line_angle_gap, num, quad_area, quad_aspect, quad_sides, steps
+from ..functions.math import clamp, corner_angle, distance, line_angle_gap, num, quad_area, quad_aspect, quad_sides, steps
 from .candidates import ASPECT, MIN_AREA, MIN_HEIGHT, MIN_VERTICAL_SUPPORT, MIN_WIDTH, SPREAD, SUPPORT, geometry_rules, hard_rules, one_at_least, plausible_outer_box, within_outer
 
 POINTS = tuple(f"{p}_{a}" for p in ("tl", "tr", "br", "bl") for a in "xy")
@@ -288,6 +288,3 @@ def widened(box: Sequence[Column], width: Column, height: Column, ratio: float =
 def confidence(w: Column) -> Column:
     """Trust in a winning candidate, 0 to 1."""
     return clamp(0.45 * w["score"] + 0.30 * w["silhouette"] + 0.15 * w["rectangularity"] + 0.10 * w["area"])
-
-
-__all__ = ["CANDIDATE", "POINTS", "WEIGHTS", "box_area", "confidence", "let", "line_box", "line_peaks", "ranked", "ranked_pool", "side_support", "widened", "winner", "winners"]
