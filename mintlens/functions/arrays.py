@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,19 +12,24 @@ def _a(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of ``values``, each computed once; as plain columns they would be computed again at every use, and in every step of a lambda."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), body), F.lit(0))
+
+
 def total(a) -> Column:
     return F.aggregate(_a(a), F.lit(0.0), lambda s, x: s + x)
 
 
 def mean(a) -> Column:
     """Null for an empty array."""
-    return F.when(F.size(_a(a)) > 0, total(a) / F.size(_a(a)))
+    return let(lambda s: F.when(F.size(s["a"]) > 0, total(s["a"]) / F.size(s["a"])), a=_a(a))
 
 
 def deviation(a) -> Column:
     """Population standard deviation, from the sum of squared differences to the mean."""
-    m = mean(a)
-    return F.sqrt(mean(F.transform(_a(a), lambda x: (x - m) * (x - m))))
+    squares = lambda s: F.transform(s["a"], lambda x: (x - s["m"]) * (x - s["m"]))
+    return let(lambda s: let(lambda s: F.sqrt(mean(squares(s))), a=s["a"], m=mean(s["a"])), a=_a(a))
 
 
 def argmax(a) -> Column:
@@ -35,7 +42,8 @@ def argmin(a) -> Column:
 
 
 def share_above(a, limit) -> Column:
-    return F.when(F.size(_a(a)) > 0, F.size(F.filter(_a(a), lambda x: x > limit)) / F.size(_a(a)))
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    return let(lambda s: F.when(F.size(s["a"]) > 0, F.size(F.filter(s["a"], lambda x: x > s["limit"])) / F.size(s["a"])), a=_a(a), limit=limit)
 
 
 def adaptive_limit(a, floor: float, factor: float) -> Column:
@@ -52,15 +60,14 @@ def differences(a) -> Column:
 
 def moving_average(a, width: int = 11) -> Column:
     """Centred mean over ``width`` elements; beyond the ends there are zeros, and the sum is always over ``width``."""
-    a, half = _a(a), width // 2
-    zeros = F.array_repeat(F.lit(0.0), half)
-    padded = F.concat(zeros, a, zeros)
-    return F.transform(a, lambda x, k: F.aggregate(F.slice(padded, k + 1, width), F.lit(0.0), lambda s, y: s + y) / float(width))
+    zeros = F.array_repeat(F.lit(0.0), width // 2)
+    means = lambda s: F.transform(s["a"], lambda x, k: total(F.slice(s["padded"], k + 1, width)) / float(width))
+    return let(lambda s: let(means, a=s["a"], padded=F.concat(zeros, s["a"], zeros)), a=_a(a))
 
 
 def residual(a, width: int = 11) -> Column:
     """Distance of each element from the moving average."""
-    return F.zip_with(_a(a), moving_average(a, width), lambda x, y: F.abs(x - y))
+    return let(lambda s: F.zip_with(s["a"], moving_average(s["a"], width), lambda x, y: F.abs(x - y)), a=_a(a))
 
 
 def longest_run(a, limit: float) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays
+from ..functions.arrays import let
 from ..functions.math import clamp, corner_angle, distance, line_angle_gap, num, quad_area, quad_aspect, quad_sides, steps
 from .candidates import ASPECT, MIN_AREA, MIN_HEIGHT, MIN_VERTICAL_SUPPORT, MIN_WIDTH, SPREAD, SUPPORT, geometry_rules, hard_rules, one_at_least, plausible_outer_box, within_outer
 
@@ -231,11 +232,6 @@ def _pairs(first: Column, second: Column, profile: Column, size: Column, limits:
     return F.filter(F.flatten(F.transform(first, pair)), fits)
 
 
-def let(body: Callable[[Column], Column], **values: Column) -> Column:
-    """``body`` of a struct of ``values``, each computed once; as plain columns they would be computed again in every step of a lambda."""
-    return F.get(F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), body), F.lit(0))
-
-
 def line_box(columns, rows, width, height, most: int = 8) -> Column:
     """A struct (score, x1, y1, x2, y2) of the best box between peaks of the two profiles, null where none fits.
 
