@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from .ranking import richest_variant
 from .rules import BAND_FACTORS, condition_band
 
@@ -48,21 +49,31 @@ def price_fields(block: Column, preferred: Sequence[str]) -> Column:
     variant among ``preferred``, else of its first variant.  Null where there is none, or no JSON object.
     """
     object_of = lambda x: F.from_json(x, "map<string,string>")
-    own = object_of(block)
-    # parsed with their texts at hand, as what is no object parses to null or to an empty map
-    variants = F.map_filter(F.transform_values(own, lambda _, v: F.when(v.startswith("{"), object_of(v))), lambda _, v: v.isNotNull())
-    best = F.element_at(variants, richest_variant(variants, preferred))
-    chosen = F.when(F.arrays_overlap(F.map_keys(own), F.array(*map(F.lit, DIRECT_FIELDS))), own).when(F.size(best) > 0, best).otherwise(F.get(F.map_values(variants), F.lit(0)))
-    return F.when(block.startswith("{") & (F.size(chosen) > 0), chosen)
+
+    def variants(s: Column) -> Column:
+        # parsed with their texts at hand, as what is no object parses to null or to an empty map
+        parsed = F.map_filter(F.transform_values(s["own"], lambda _, v: F.when(v.startswith("{"), object_of(v))), lambda _, v: v.isNotNull())
+        return let(richest, block=s["block"], own=s["own"], variants=parsed)
+
+    def richest(s: Column) -> Column:
+        return let(chosen, block=s["block"], own=s["own"], first=F.get(F.map_values(s["variants"]), F.lit(0)), best=F.element_at(s["variants"], richest_variant(s["variants"], preferred)))
+
+    def chosen(s: Column) -> Column:
+        direct = F.arrays_overlap(F.map_keys(s["own"]), F.array(*map(F.lit, DIRECT_FIELDS)))
+        one = F.when(direct, s["own"]).when(F.size(s["best"]) > 0, s["best"]).otherwise(s["first"])
+        return let(lambda c: F.when(c["block"].startswith("{") & (F.size(c["one"]) > 0), c["one"]), block=s["block"], one=one)
+
+    return let(lambda s: let(variants, block=s["block"], own=object_of(s["block"])), block=block)
 
 
 def market_prices(prices: Column) -> dict[str, Column]:
     """For each market a struct of its currency and fields as numbers, from a card's JSON of prices; null where it has none."""
-    out = {}
-    for market, (currency, fields, preferred) in MARKETS.items():
-        found = price_fields(F.get_json_object(prices, f"$.{market}"), preferred)
-        out[market] = F.when(found.isNotNull(), F.struct(F.lit(currency).alias("currency"), *(F.element_at(found, f).try_cast("double").alias(f) for f in fields)))
-    return out
+
+    def priced_in(currency: str, fields: Sequence[str]) -> Callable[[Column], Column]:
+        return lambda s: F.when(s["found"].isNotNull(), F.struct(F.lit(currency).alias("currency"), *(F.element_at(s["found"], f).try_cast("double").alias(f) for f in fields)))
+
+    found = {market: price_fields(F.get_json_object(prices, f"$.{market}"), preferred) for market, (_, _, preferred) in MARKETS.items()}
+    return {market: let(priced_in(currency, fields), found=found[market]) for market, (currency, fields, _) in MARKETS.items()}
 
 
 def band_factor(band: Column) -> Column:

@@ -9,6 +9,16 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_prices_are_parsed_once(spark):
+    from mintlens.operators import pricing
+
+    df = spark.createDataFrame([('{"cardmarket": {"normal": {"trend": 1}, "holo": {"trend": 2, "low": 3}}, "tcgplayer": {"marketPrice": "4"}}',)], "p string")
+    out = df.select(*(c.alias(m) for m, c in pricing.market_prices(F.col("p")).items()))
+    assert plan(out).count("from_json(") <= 4  # a market's block and its variants, for each of two markets
+    r = out.first()
+    assert r.cardmarket.asDict() == {"currency": "EUR", "trend": 2.0, "avg7": None, "avg30": None, "low": 3.0} and r.tcgplayer.marketPrice == 4.0
+
+
 def test_deviations_of_a_profile_are_computed_once(spark):
     from mintlens.functions import arrays
 
