@@ -11,6 +11,8 @@ from ..functions.text import edit_similarity, shared_prefix
 
 #: Characters of the runs by which queries find names.
 GRAM = 3
+#: Columns of the catalogue and those of queries that ask for them.
+ASKS = {"name": "q_name", "set_name": "q_set", "number": "q_number"}
 
 
 def _low(x: Column) -> Column:
@@ -41,12 +43,36 @@ def best_candidate(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """For each query (query_id, q_name, q_set, q_number) the best catalogue row (id, name, set_name, number) whose name
     contains the query's; ties go to the smaller id.
 
-    Queries and names meet as in ``containing``.
+    Equal queries are answered once, and of catalogue rows with equal name, set and number the first stands for all.  The
+    best row is the best one that is found by name alone, by name and set, by name and number, or by all three: each way
+    forms only pairs that score in all it looks at, and ``candidate_score`` with the rest left out is never too high and
+    right in one of them.  Texts meet as in ``containing``.
     """
-    q = queries.select("query_id", "q_name", "q_set", "q_number").withColumn("q_low", _low(F.col("q_name")))
-    rows = catalogue.select("id", "name", "set_name", "number").withColumn("low", _low(F.col("name")))
-    pairs = q.join(containing(q, rows), "q_low").join(rows, "low")
-    scored = pairs.select("query_id", "id", "name", candidate_score(*(F.col(c) for c in ("name", "set_name", "number", "q_name", "q_set", "q_number"))).alias("score"))
+    q = queries.select("query_id", *(_low(F.col(c)).alias(c) for c in ASKS.values()))
+    row = F.struct("id", F.col("name").alias("shown")).alias("row")
+    held = catalogue.select(row, *(_low(F.col(c)).alias(c) for c in ASKS)).groupBy(*ASKS).agg(F.min("row").alias("row"))
+    asked = q.select(*ASKS.values()).where("q_name <> ''").distinct()
+
+    def meet(c: str, turned: bool = False) -> DataFrame:
+        a, b = asked.select(F.col(ASKS[c]).alias("a")), held.select(F.col(c).alias("b"))
+        found = containing(b.toDF("q_low"), a.toDF("low")).toDF("b", "a") if turned else containing(a.toDF("q_low"), b.toDF("low")).toDF("a", "b")
+        return found.select(F.col("a").alias(ASKS[c]), F.col("b").alias(c))
+
+    blank = asked.select("q_number", F.lit("").alias("number"))  # contained in any number
+    met = {"name": meet("name"), "set_name": meet("set_name"), "number": meet("number").unionByName(meet("number", turned=True)).unionByName(blank).distinct()}
+    ways = ((), ("set_name",), ("number",), ("set_name", "number"))
+    found = asked
+    for k, told in enumerate(ways):
+        own, asks = ["name", *told], ["q_name", *(ASKS[c] for c in told)]
+        pairs = asked.select(*asks).distinct()
+        for c in own:
+            pairs = pairs.where(F.col(ASKS[c]) != "").join(met[c], ASKS[c])
+        rows = pairs.join(held.groupBy(*own).agg(F.min("row").alias("row")), own)
+        fields = [F.col(c) if known in own else F.lit("") for names in (ASKS, ASKS.values()) for c, known in zip(names, ASKS, strict=True)]
+        best = rows.groupBy(*asks).agg(F.min(F.struct((-candidate_score(*fields)).alias("order"), "row")).alias(f"b{k}"))
+        found = found.join(best, asks, "left" if told else "inner")
+    top = found.select(*ASKS.values(), F.least(*(F.col(f"b{k}") for k in range(len(ways)))).alias("b"))
+    scored = q.join(top, [*ASKS.values()]).select("query_id", F.col("b.row.id").alias("id"), F.col("b.row.shown").alias("name"), (-F.col("b.order")).alias("score"))
     return first_by(scored, ["query_id"], -F.col("score"), F.col("id"))
 
 

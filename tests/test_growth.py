@@ -9,6 +9,23 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def most_joined(df):
+    """Rows that the largest join of ``df`` gave when it ran."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind = lambda: p.getClass().getSimpleName()  # noqa: B023,E731
+        if kind() == "AdaptiveSparkPlanExec":
+            p = p.executedPlan()
+        while kind().endswith("QueryStageExec"):
+            p = p.plan()
+        if kind().endswith("JoinExec"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return most
+
+
 def test_prices_are_parsed_once(spark):
     from mintlens.operators import pricing
 
@@ -32,3 +49,25 @@ def test_deviations_of_a_profile_are_computed_once(spark):
     assert rows[0].share == sum(x > limit for x in p) / len(p) and [tuple(r) for r in rows[1:]] == [(None, None)] * 2
     padded = plan(df.select(arrays.residual("p").alias("x")))
     assert padded.count("concat(") <= 1  # the zeros beyond the ends are put there once, not for every element
+
+
+def test_best_candidate_forms_no_pairs_of_equal_names(spark):
+    from mintlens.operators import ranking
+
+    names, sets, numbers = ["mew", "Mewtwo", "mew ex"], ["base", "base 2", None, "jungle"], ["1", "12", "", "7"]
+    n = 3000
+    rows = spark.range(n).select(
+        F.col("id").cast("int").alias("id"), F.get(F.array(*map(F.lit, names)), (F.col("id") % 3).cast("int")).alias("name"),
+        F.get(F.array(*map(F.lit, sets)), (F.col("id") % 4).cast("int")).alias("set_name"), F.get(F.array(*map(F.lit, numbers)), (F.col("id") % 5 % 4).cast("int")).alias("number"),
+    )
+    queries = rows.select(
+        F.col("id").alias("query_id"), F.when(F.col("id") % 11 == 0, "two").otherwise(F.concat(F.lit(" "), "name")).alias("q_name"), F.when(F.col("id") % 2 == 0, F.upper("set_name")).otherwise("").alias("q_set"),
+        F.when(F.col("id") % 3 == 0, F.get(F.array(F.lit("1"), F.lit("2"), F.lit("127"), F.lit("x")), (F.col("id") % 7 % 4).cast("int"))).alias("q_number"),
+    )
+    # every pair scored, in plain Spark over one row of each kind
+    kinds = rows.groupBy("name", "set_name", "number").agg(F.min("id").alias("id"))
+    pairs = queries.crossJoin(kinds).where("contains(lower(name), lower(trim(q_name)))")
+    want = pairs.select("query_id", "id", ranking.candidate_score(*(F.col(c) for c in ("name", "set_name", "number", "q_name", "q_set", "q_number"))).alias("score")).groupBy("query_id").agg(F.min(F.struct(-F.col("score"), "id")).alias("b"))
+    got = ranking.best_candidate(queries, rows)
+    assert {r.query_id: (-r.score, r.id) for r in got.collect()} == {r.query_id: tuple(r.b) for r in want.collect()}
+    assert 0 < most_joined(got) <= 2 * n  # all pairs of equal names would be n * n / 3
