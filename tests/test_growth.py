@@ -71,3 +71,11 @@ def test_best_candidate_forms_no_pairs_of_equal_names(spark):
     got = ranking.best_candidate(queries, rows)
     assert {r.query_id: (-r.score, r.id) for r in got.collect()} == {r.query_id: tuple(r.b) for r in want.collect()}
     assert 0 < most_joined(got) <= 2 * n  # all pairs of equal names would be n * n / 3
+
+
+def test_batch_inference_forms_no_pairs_of_equal_names(spark):
+    from mintlens.plans import catalogue
+
+    df = catalogue.QUERIES["batch_inference"](spark, "/root/testdata/sf0.01")
+    assert 0 < most_joined(df) <= 2 * 2000  # 64 names, so all pairs would be some 62,500
+    assert df.count() == 2000
