@@ -38,9 +38,14 @@ Get = Callable[[str], Column]
 
 def side_support(near: Column, deep: Column) -> Column:
     """How well a side lies on an edge (0 to 1): the mean of what is near, less what goes on inside, and its longest run."""
-    s = F.zip_with(near, deep, lambda n, d: clamp(n * (1.0 - 0.72 * d)))
-    run = arrays.longest_run(F.transform(s, lambda x: (x >= 0.45).cast("double")), 0.5) / F.size(s)
-    return F.when(F.size(s) > 0, clamp(0.68 * arrays.mean(s) + 0.32 * run)).otherwise(0.0)
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0).alias("now"), F.lit(0).alias("best"))
+
+    def step(t: Column, x: Column) -> Column:
+        now = F.when(x >= 0.45, t["now"] + 1).otherwise(0)
+        return F.struct((t["n"] + 1).alias("n"), (t["sum"] + x).alias("sum"), now.alias("now"), F.greatest(t["best"], now).alias("best"))
+
+    support = lambda t: F.when(t["n"] > 0, clamp(0.68 * (t["sum"] / t["n"]) + 0.32 * (t["best"] / t["n"])))
+    return F.coalesce(F.aggregate(F.zip_with(near, deep, lambda n, d: clamp(n * (1.0 - 0.72 * d))), zero, step, support), F.lit(0.0))
 
 
 def _quad(get: Get) -> list[tuple[Column, Column]]:
@@ -184,19 +189,22 @@ def ranked_pool(pool: Column, fields: Sequence[str], width: Column, height: Colu
     return pool
 
 
-def winners(ranked_rows: DataFrame, image: str, order: str) -> DataFrame:
-    """For each image the best of its candidates: winner (a struct of its row), pool (distinct ones) and competing.
+def winners(ranked_rows: DataFrame, image: str, order: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """For each image the best of its candidates: winner (a struct of its row, or of the columns ``keep``), pool (distinct
+    ones) and competing.
 
     Quads that agree to a tenth of a pixel are one, the first by ``order``.  Only candidates with a plausible box and a
     score above 0 compete; equal scores go to the first by ``order``.  An image without one keeps a row with a null
-    winner.  Both aggregates combine before the shuffle.
+    winner.  Both aggregates combine before the shuffle, and need none where the rows lie together by ``image``; ``keep``
+    keeps what isn't asked for, such as profiles, out of it.
     """
-    fields = [c for c in ranked_rows.columns if c != image]
-    whole = F.struct(*fields)
-    once = ranked_rows.groupBy(image, "cell").agg(F.min_by(whole, F.col(order)).alias("c"))
-    competes = F.col("c.plausible") & (F.col("c.score") > 0)
-    best = F.max_by(F.when(competes, F.col("c")), F.when(competes, F.struct(F.col("c.score").alias("score"), (-F.col(f"c.{order}")).alias("order"))))
-    return once.groupBy(image).agg(best.alias("winner"), F.count(F.lit(1)).alias("pool"), F.count_if(competes).alias("competing"))
+    fields = [c for c in (ranked_rows.columns if keep is None else keep) if c != image]
+    shown = F.struct(*fields).alias("row")
+    competes = (F.col("plausible") & (F.col("score") > 0)).alias("competes")
+    rows = ranked_rows.select(image, "cell", F.struct(F.col(order).alias("order"), competes, F.col("score").alias("score"), shown).alias("c"))
+    once = rows.groupBy(image, "cell").agg(F.min_by("c", F.col("c.order")).alias("c"))
+    best = F.max_by(F.when(F.col("c.competes"), F.col("c.row")), F.when(F.col("c.competes"), F.struct("c.score", (-F.col("c.order")).alias("order"))))
+    return once.groupBy(image).agg(best.alias("winner"), F.count(F.lit(1)).alias("pool"), F.count_if("c.competes").alias("competing"))
 
 
 def winner(pool: Column) -> dict[str, Column]:

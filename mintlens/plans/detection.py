@@ -39,12 +39,29 @@ def _deep(side: str, k: str, mod: str) -> str:
     return f"CAST({mod.format(f'({k} + CAST(s AS INT) * {_SEED[side]})', 17)} AS DOUBLE) / CAST(70 AS DOUBLE)"
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_orderkey", F.expr(_ORDER).alias("order"), *(F.expr(e).alias(n) for n, e in _BASE.items()))
-    spread = lambda make, side: F.expr(f"transform(sequence(0, {_N} - 1), k -> {make(side, 'k', '{0} % {1}')})")
+_SEEN = {"near": _near, "deep": _deep}
+
+
+def _spread(make, side: str):
+    return F.expr(f"transform(sequence(0, {_N} - 1), k -> {make(side, 'k', '{0} % {1}')})")
+
+
+def _profiles(spark: SparkSession) -> DataFrame:
+    """What is seen along the sides depends on m + o and s alone, so each profile is drawn once: 127 x 13 rows."""
+    keys = spark.range(127 * 13).select(F.expr("id div 13").cast("double").alias("mo"), (F.col("id") % 13).cast("double").alias("s"))
+    drawn = keys.withColumns({"m": F.col("mo"), "o": F.lit(0.0)})
+    return drawn.select("mo", "s", *(_spread(make, side).alias(f"drawn_{name}_{side}") for side in detection.SIDES for name, make in _SEEN.items()))
+
+
+def candidates(spark: SparkSession, d: str, by: str | None = None) -> DataFrame:
+    """The ranked candidates; with ``by`` they lie together by that column, dealt out while rows are still a few numbers."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = rows.repartition(by) if by else rows
+    rows = rows.select("l_orderkey", F.expr(_ORDER).alias("order"), *(F.expr(e).alias(n) for n, e in _BASE.items())).withColumn("mo", F.col("m") + F.col("o"))
+    rows = rows.join(F.broadcast(_profiles(spark)), ["mo", "s"], "left")
     rows = rows.select(
         "l_orderkey", "order", F.lit("stand-in").alias("source"), *(F.expr(_corner(p)).alias(p) for p in detection.POINTS), (F.col("q") / 300.0).alias("edge_share"),
-        *(spread(make, side).alias(f"{name}_{side}") for side in detection.SIDES for name, make in (("near", _near), ("deep", _deep))),
+        *(F.coalesce(f"drawn_{name}_{side}", _spread(make, side)).alias(f"{name}_{side}") for side in detection.SIDES for name, make in _SEEN.items()),  # negative keys are drawn here
         F.array(*(F.expr(e) for e in ("CAST(70 AS DOUBLE) + m", "CAST(90 AS DOUBLE) + m", "CAST(470 AS DOUBLE) - s", "CAST(640 AS DOUBLE) - s"))).alias("evidence"),
         F.array(*(F.col("m") * k for k in (5.0, 3.0, 4.0, 2.0, 6.0))).alias("inner"), F.array(*(F.col("s") * k for k in (4.0, 5.0, 3.0, 6.0, 2.0))).alias("outer"), "o",
     )
@@ -56,7 +73,7 @@ _SHOWN = ("score", "penalty", "silhouette", "rectangularity", "edges", "colour",
 
 
 def _won(df: DataFrame) -> DataFrame:
-    w = detection.winners(df.drop("o"), "l_orderkey", "order")
+    w = detection.winners(df, "l_orderkey", "order", keep=("order", *_SHOWN))
     return w.select("l_orderkey", "pool", "competing", F.col("winner.order").alias("best"), *(math.rounded(F.col(f"winner.{n}"), 6).alias(n) for n in _SHOWN))
 
 
@@ -154,7 +171,7 @@ _FAILED_SQL = f"""{_ranked_sql()}
 SELECT l_orderkey, ord AS candidate, {', '.join(f'{rnd(x, 6)} AS {y}' for x, y in (("score", "score"), ("outerness", "outerness"), ("size", "size"), ("spread", "support_spread"), ("ms", "min_support"), ("trapezoid", "trapezoid"), ("angle_deviation", "angle_deviation"), ("parallel_gap", "parallel_gap")))},
  touch_count, plausible, valid AS geometry_valid, geometry_reasons, hard_fail_reasons FROM r"""
 
-add("candidate_winners", candidates, _won, _WON_SQL)
+add("candidate_winners", lambda spark, d: candidates(spark, d, by="l_orderkey"), _won, _WON_SQL)
 add("candidate_terms", candidates, _failed, _FAILED_SQL)
 
 

@@ -79,3 +79,13 @@ def test_batch_inference_forms_no_pairs_of_equal_names(spark):
     df = catalogue.QUERIES["batch_inference"](spark, "/root/testdata/sf0.01")
     assert 0 < most_joined(df) <= 2 * 2000  # 64 names, so all pairs would be some 62,500
     assert df.count() == 2000
+
+
+def test_candidate_winners_shuffle_a_few_numbers_of_a_row(spark):
+    import __spark_entry__ as entry
+
+    df = entry.queries()["candidate_winners"](spark, "/root/testdata/sf0.001")
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(") == 1  # both aggregates run where the rows lie
+    moved = next(line for line in plan(df).split("RepartitionByExpression")[1].splitlines()[1:] if line.strip())
+    assert "near_" not in moved and "drawn_" not in moved and "l_quantity" in moved
