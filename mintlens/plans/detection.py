@@ -219,6 +219,8 @@ add("line_boxes", line_profiles, _line_boxes, _line_sql())
 
 # -- parts of a card: a grey raster of 48 x 64 for each supplier, drawn by arithmetic ---------------------------------------------------------
 _WIDE, _TALL = 48, 64
+#: Tasks among which cards are dealt before they are drawn.
+CARD_TASKS = 96
 _PIXEL = "(70 + (7 * {x} + 11 * {y} + ({x} * {y}) % 13 + 3 * CAST(s_suppkey AS INT)) % 61 + CASE WHEN (5 * {x} + 3 * {y} + CAST(s_suppkey AS INT)) % 37 = 0 THEN 90 ELSE 0 END)"
 
 
@@ -226,7 +228,8 @@ def drawn_cards(spark: SparkSession, d: str) -> DataFrame:
     pixel = _PIXEL.format(x=f"(i % {_WIDE})", y=f"(i div {_WIDE})")
     data = F.expr(f"unhex(array_join(transform(sequence(0, {_WIDE * _TALL - 1}), i -> lpad(hex({pixel}), 2, '0')), ''))")
     drawn = (F.lit("drawn").alias("path"), F.lit(_TALL).alias("height"), F.lit(_WIDE).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
-    return table(spark, d, "supplier").select("s_suppkey", *drawn)
+    # a supplier is a few bytes and its raster much work: without this a file of any number of them is one task
+    return table(spark, d, "supplier").select("s_suppkey").repartition(CARD_TASKS, "s_suppkey").select("s_suppkey", *drawn)
 
 
 _METRICS = ("mean_intensity", "std_intensity", "highlight_ratio", "roughness", "anomaly_ratio", "profile_length")

@@ -89,3 +89,11 @@ def test_candidate_winners_shuffle_a_few_numbers_of_a_row(spark):
     assert text.count("Exchange hashpartitioning(") == 1  # both aggregates run where the rows lie
     moved = next(line for line in plan(df).split("RepartitionByExpression")[1].splitlines()[1:] if line.strip())
     assert "near_" not in moved and "drawn_" not in moved and "l_quantity" in moved
+
+
+def test_cards_are_drawn_and_measured_by_many_tasks(spark):
+    from mintlens.plans import detection
+
+    drawn = detection.drawn_cards(spark, "/root/testdata/sf0.1")
+    sizes = drawn.select(F.spark_partition_id().alias("k")).groupBy("k").count().collect()
+    assert len(sizes) > 48 and max(r["count"] for r in sizes) < 100  # of 1,000 suppliers in one small file
