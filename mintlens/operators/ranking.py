@@ -39,56 +39,66 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     return best.select(*keys, *(F.col("b.row")[c].alias(c) for c in rest))
 
 
-def best_candidate(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
+def _ways(names: Sequence[str]) -> Column:
+    """A row for each way to look at (name, set, number): ``way`` has bit 1 where the set counts and bit 2 where the number
+    does; what doesn't count is empty.
+    """
+    name, group, number = names
+    one = lambda way: F.struct(F.lit(way).alias("way"), F.col(name), (F.col(group) if way & 1 else F.lit("")).alias(group), (F.col(number) if way & 2 else F.lit("")).alias(number))
+    return F.inline(F.array(*map(one, range(4))))
+
+
+def best_candidate(queries: DataFrame, catalogue: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """For each query (query_id, q_name, q_set, q_number) the best catalogue row (id, name, set_name, number) whose name
-    contains the query's; ties go to the smaller id.
+    contains the query's, with the columns ``keep`` of that row; ties go to the smaller id.
 
     Equal queries are answered once, and of catalogue rows with equal name, set and number the first stands for all.  The
     best row is the best one that is found by name alone, by name and set, by name and number, or by all three: each way
     forms only pairs that score in all it looks at, and ``candidate_score`` with the rest left out is never too high and
-    right in one of them.  Texts meet as in ``containing``.
+    right in one of them.  Texts meet as in ``containing``.  All four ways share each join.
     """
-    q = queries.select("query_id", *(_low(F.col(c)).alias(c) for c in ASKS.values()))
-    row = F.struct("id", F.col("name").alias("shown")).alias("row")
+    q = queries.select("query_id", *(_low(F.col(c)).alias(c) for c in ASKS.values())).where("q_name <> ''")
+    row = F.struct("id", F.col("name").alias("shown"), *keep).alias("row")
     held = catalogue.select(row, *(_low(F.col(c)).alias(c) for c in ASKS)).groupBy(*ASKS).agg(F.min("row").alias("row"))
-    asked = q.select(*ASKS.values()).where("q_name <> ''").distinct()
-
-    def meet(c: str, turned: bool = False) -> DataFrame:
-        a, b = asked.select(F.col(ASKS[c]).alias("a")), held.select(F.col(c).alias("b"))
-        found = containing(b.toDF("q_low"), a.toDF("low")).toDF("b", "a") if turned else containing(a.toDF("q_low"), b.toDF("low")).toDF("a", "b")
-        return found.select(F.col("a").alias(ASKS[c]), F.col("b").alias(c))
-
-    blank = asked.select("q_number", F.lit("").alias("number"))  # contained in any number
-    met = {"name": meet("name"), "set_name": meet("set_name"), "number": meet("number").unionByName(meet("number", turned=True)).unionByName(blank).distinct()}
-    ways = ((), ("set_name",), ("number",), ("set_name", "number"))
-    found = asked
-    for k, told in enumerate(ways):
-        own, asks = ["name", *told], ["q_name", *(ASKS[c] for c in told)]
-        pairs = asked.select(*asks).distinct()
-        for c in own:
-            pairs = pairs.where(F.col(ASKS[c]) != "").join(met[c], ASKS[c])
-        rows = pairs.join(held.groupBy(*own).agg(F.min("row").alias("row")), own)
-        fields = [F.col(c) if known in own else F.lit("") for names in (ASKS, ASKS.values()) for c, known in zip(names, ASKS, strict=True)]
-        best = rows.groupBy(*asks).agg(F.min(F.struct((-candidate_score(*fields)).alias("order"), "row")).alias(f"b{k}"))
-        found = found.join(best, asks, "left" if told else "inner")
-    top = found.select(*ASKS.values(), F.least(*(F.col(f"b{k}") for k in range(len(ways)))).alias("b"))
-    scored = q.join(top, [*ASKS.values()]).select("query_id", F.col("b.row.id").alias("id"), F.col("b.row.shown").alias("name"), (-F.col("b.order")).alias("score"))
+    first = held.select("row", _ways([*ASKS])).groupBy("way", *ASKS).agg(F.min("row").alias("row"))
+    told = {c: F.col("way").bitwiseAND(bit) != 0 for c, bit in (("set_name", 1), ("number", 2))}
+    asks = ["way", *ASKS.values()]
+    all_ways = lambda df: df.select("query_id", _ways([*ASKS.values()])).where((~told["set_name"] | (F.col("q_set") != "")) & (~told["number"] | (F.col("q_number") != "")))
+
+    def meet(c: str, both: bool = False) -> DataFrame:
+        a, b, own, turned = F.col(ASKS[c]), _low(F.col(c)), F.lit(False).alias("turned"), F.lit(True).alias("turned")
+        texts, names = q.select(own, a.alias("q_low")), catalogue.select(own, b.alias("low"))
+        if both:  # the query's text may contain the row's too
+            texts, names = texts.unionByName(catalogue.select(turned, b.alias("q_low"))), names.unionByName(q.select(turned, a.alias("low")))
+        pick = lambda x, y: F.when(F.col("turned"), F.col(y)).otherwise(F.col(x)) if both else F.col(x)
+        return containing(texts, names, ["turned"]).select(pick("q_low", "low").alias(ASKS[c]), pick("low", "q_low").alias(c))
+
+    blank = q.select("q_number").where("q_number <> ''").withColumn("number", F.lit(""))  # contained in any number
+    met = {"set_name": meet("set_name"), "number": meet("number", both=True).unionByName(blank).distinct()}
+    pairs = all_ways(q).select(*asks).distinct().join(meet("name"), "q_name")
+    for c, counts in told.items():  # what doesn't count meets nothing; dealt by its name, as it is one key for all
+        dealt = pairs.withColumn("deal", F.when(counts, F.lit(0)).otherwise(F.hash("name")))
+        pairs = dealt.join(met[c].withColumn("deal", F.lit(0)), [ASKS[c], "deal"], "left").where(~counts | F.col(c).isNotNull()).withColumn(c, F.coalesce(c, F.lit(""))).drop("deal")
+    rows = pairs.join(first, ["way", *ASKS])
+    best = rows.groupBy(*asks).agg(F.min(F.struct((-candidate_score(*map(F.col, (*ASKS, *ASKS.values())))).alias("order"), "row")).alias("b"))
+    scored = all_ways(q.repartition("query_id")).join(best, asks).select("query_id", F.col("b.row.id").alias("id"), F.col("b.row.shown").alias("name"), (-F.col("b.order")).alias("score"), *(F.col("b.row")[c].alias(c) for c in keep))
     return first_by(scored, ["query_id"], -F.col("score"), F.col("id"))
 
 
-def containing(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(q_low, low) for each distinct query q_low and name low that contains it; a blank query finds nothing.
+def containing(queries: DataFrame, catalogue: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(q_low, low) for each distinct query q_low and name low that contains it; a blank query finds nothing.  Only those
+    with equal columns ``by`` meet, which go before the texts.
 
     They meet by an equi-join on the query's rarest run of GRAM characters (all of them, if it is shorter), so a query
     that is part of a word is found and no pair without a common run is formed.
     """
-    asked, names = queries.where("q_low <> ''").select("q_low").distinct(), catalogue.select("low").distinct()
+    asked, names = queries.where("q_low <> ''").select(*by, "q_low").distinct(), catalogue.select(*by, "low").distinct()
     runs = lambda x, k: F.when(F.char_length(x) >= k, F.transform(F.sequence(F.lit(1), F.char_length(x) - k + 1), lambda i: F.col(x).substr(i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    held = names.select("low", F.explode(F.array_distinct(F.concat(*(runs("low", k) for k in range(1, GRAM + 1))))).alias("gram"))
+    held = names.select(*by, "low", F.explode(F.array_distinct(F.concat(*(runs("low", k) for k in range(1, GRAM + 1))))).alias("gram"))
     longest = F.coalesce(*(F.when(F.char_length("q_low") >= k, runs("q_low", k)) for k in range(GRAM, 0, -1)))
-    sizes = held.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
-    rarest = asked.select("q_low", F.explode(longest).alias("gram")).join(sizes, "gram", "left").groupBy("q_low").agg(F.min_by("gram", F.struct(F.coalesce("m", F.lit(0)), "gram")).alias("gram"))
-    return rarest.join(held, "gram").where(F.contains(F.col("low"), F.col("q_low"))).select("q_low", "low")
+    sizes = held.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("m"))
+    rarest = asked.select(*by, "q_low", F.explode(longest).alias("gram")).join(sizes, [*by, "gram"], "left").groupBy(*by, "q_low").agg(F.min_by("gram", F.struct(F.coalesce("m", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(held, [*by, "gram"]).where(F.contains(F.col("low"), F.col("q_low"))).select(*by, "q_low", "low")
 
 
 def _free(df: DataFrame, name: str) -> str:

@@ -369,12 +369,12 @@ def best_candidate(spark, d):
     return candidates(spark, d)
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The best catalogue row for each part."""
+def candidates(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """The best catalogue row for each part, with its columns ``keep``."""
     part = table(spark, d, "part")
     number = F.col("p_size").cast("string")
     asked = part.select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q_name"), F.when(F.col("p_partkey") % 20 == 0, F.col("p_brand")).otherwise("").alias("q_set"), F.when(F.col("p_partkey") % 30 == 0, number).otherwise("").alias("q_number"))
-    return ranking.best_candidate(asked, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), number.alias("number")))
+    return ranking.best_candidate(asked, part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("set_name"), number.alias("number"), *keep), keep)
 
 
 @query(
@@ -771,10 +771,8 @@ def train_predict(spark, d):
 @query("batch_inference")
 def batch_inference(spark, d):
     """Price of every part: its best catalogue row, a predicted condition and the price for it."""
-    names = candidates(spark, d)
-    prices = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_retailprice")
     score = 1.0 + F.pmod(F.col("query_id"), F.lit(91)) / 10.0
-    return names.join(prices, "id").select("query_id", "id", *(c.alias(n) for n, c in pricing.priced(F.col("p_retailprice"), score).items()))
+    return candidates(spark, d, "p_retailprice").select("query_id", "id", *(c.alias(n) for n, c in pricing.priced(F.col("p_retailprice"), score).items()))
 
 
 @query("sequence_similarity")

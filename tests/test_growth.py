@@ -97,3 +97,15 @@ def test_cards_are_drawn_and_measured_by_many_tasks(spark):
     drawn = detection.drawn_cards(spark, "/root/testdata/sf0.1")
     sizes = drawn.select(F.spark_partition_id().alias("k")).groupBy("k").count().collect()
     assert len(sizes) > 48 and max(r["count"] for r in sizes) < 100  # of 1,000 suppliers in one small file
+
+
+def test_batch_inference_takes_prices_from_the_rows_that_it_found(spark):
+    from mintlens.operators import ranking
+    from mintlens.plans import catalogue
+
+    df = catalogue.QUERIES["batch_inference"](spark, "/root/testdata/sf0.01")
+    assert plan(df).count("Relation [") <= 24  # all ways to score share their joins, and no join of queries with prices by a few ids follows
+    rows = spark.createDataFrame([(2, "Mew", "base", "7", 2.5), (1, "mew ex", "base", "", 1.5), (3, "abra", None, None, None)], "id int, name string, set_name string, number string, price double")
+    queries = spark.createDataFrame([(1, "mew", "", ""), (2, "ew", "BASE", "17"), (3, "ab", "x", "y"), (4, "w e", None, None), (5, "zz", "base", "7")], "query_id int, q_name string, q_set string, q_number string")
+    got = ranking.best_candidate(queries, rows, ["price"]).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, "Mew", 10, 2.5), (2, 1, "mew ex", 14, 1.5), (3, 3, "abra", 8, None), (4, 1, "mew ex", 5, 1.5)]
