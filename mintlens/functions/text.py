@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -129,6 +130,11 @@ def joined_reasons(*reasons: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*reasons)))), "|")
 
 
+def named_reasons(found: Mapping[str, Column]) -> Column:
+    """``joined_reasons`` of names and when they hold: sorted beforehand, so nothing is evaluated outside of compiled code."""
+    return F.concat_ws("|", *(F.when(found[name], name) for name in sorted(found)))
+
+
 # -- JSON ------------------------------------------------------------------------------------------------------------------
 
 

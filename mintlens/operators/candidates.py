@@ -6,17 +6,24 @@ gives a row for each; these expressions then judge any number of them without Py
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.math import box_area, centre, clamp, distance, iou, num, quad_area, quad_aspect, quad_sides
-from ..functions.text import joined_reasons
+from ..functions.math import box_area, centre, clamp, distance, iou, num, quad_area, quad_sides
+from ..functions.text import named_reasons
 
 # A card's width over its height, and what is least asked of a candidate's share of the image.
 ASPECT, MIN_AREA, MIN_WIDTH, MIN_HEIGHT, MIN_VERTICAL_SUPPORT = 0.715, 0.16, 0.32, 0.42, 0.26
 # Soft limit, hard limit, penalty beyond the soft one, further penalty beyond the hard one.
 TOP_BOTTOM, LEFT_RIGHT, ASPECT_OFF = (0.14, 0.24, 0.18, 0.24), (0.16, 0.26, 0.16, 0.22), (0.065, 0.14, 0.18, 0.24)
 EVIDENCE, COVERED, SUPPORT, SPREAD = (0.78, 0.60, 0.22, 0.26), (0.72, 0.56, 0.12, 0.18), (0.16, 0.10, 0.28, 0.24), (0.18, 0.26, 0.14, 0.18)
+# What passing the soft limit of a rule costs, and what passing the hard one costs besides.
+PENALTIES = {
+    "top_bottom_length_mismatch": TOP_BOTTOM[2:], "left_right_length_mismatch": LEFT_RIGHT[2:], "aspect_ratio_off": ASPECT_OFF[2:], "implausible_area": (0.15, 0.20), "bbox_too_large": (0.16, 0.18),
+    "weak_evidence_coverage": EVIDENCE[2:], "oversized_vs_evidence": COVERED[2:], "low_min_side_support": SUPPORT[2:], "unbalanced_side_support": SPREAD[2:],
+}
 
 
 def one_at_least(x) -> Column:
@@ -73,19 +80,26 @@ def chosen_box(projection, component, width, height, projection_inner, component
     )
 
 
-def within_outer(quad, box, outer) -> dict[str, Column]:
-    """How a quad (with its box) lies in the outer box: is_internal, border_distance, relative_size, touches, touch_count,
-    centre_distance and the reason to reject it ("" for none).  Without an outer box it is not internal, at distance 1.
+def outer_margins(quad, box, outer) -> dict[str, Column]:
+    """How far the sides of a quad's box and its middle lie from those of the outer box, and its size against it: what
+    ``within_outer`` judges.  As columns of a frame they are computed once, not at every use.
     """
     w, h = one_at_least(num(outer[2]) - num(outer[0])), one_at_least(num(outer[3]) - num(outer[1]))
     norm = F.least(w, h)
     margins = [(num(box[0]) - num(outer[0])) / norm, (num(outer[2]) - num(box[2])) / norm, (num(box[1]) - num(outer[1])) / norm, (num(outer[3]) - num(box[3])) / norm]
+    middle = (sum((num(p[0]) for p in quad[1:]), num(quad[0][0])) / 4.0, sum((num(p[1]) for p in quad[1:]), num(quad[0][1])) / 4.0)
+    return {f"margin_{n}": m for n, m in zip(("left", "right", "top", "bottom"), margins, strict=True)} | {"middle_away": distance(middle, centre(outer)) / norm, "outer_share": quad_area(quad) / one_at_least(box_area(outer))}
+
+
+def within_outer(quad, box, outer, made: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    """How a quad (with its box) lies in the outer box: is_internal, border_distance, relative_size, touches, touch_count,
+    centre_distance and the reason to reject it ("" for none).  Without an outer box it is not internal, at distance 1.
+    ``made``: the frame's columns of ``outer_margins``, if it has them.
+    """
+    *margins, away, size = (made or outer_margins(quad, box, outer)).values()
     near = [m <= 0.12 for m in margins]
     count = sum((n.cast("int") for n in near[1:]), near[0].cast("int"))
     touches = near[0] | near[1] | near[2] | near[3]
-    middle = (sum((num(p[0]) for p in quad[1:]), num(quad[0][0])) / 4.0, sum((num(p[1]) for p in quad[1:]), num(quad[0][1])) / 4.0)
-    away = distance(middle, centre(outer)) / norm
-    size = quad_area(quad) / one_at_least(box_area(outer))
     border = sum((F.greatest(m, F.lit(0.0)) for m in margins[1:]), F.greatest(margins[0], F.lit(0.0))) / 4.0
     inside = (margins[0] >= -0.03) & (margins[1] >= -0.03) & (margins[2] >= -0.03) & (margins[3] >= -0.03)
     internal = inside & (size < 0.72) & ~touches & (border > 0.10) & (away < 0.28)
@@ -108,39 +122,57 @@ def area_plausibility(share) -> Column:
     return F.when(s < MIN_AREA, 0.0).when(s < 0.18, 0.35).when(s < 0.28, 0.75).when(s < 0.58, 1.0).when(s < 0.72, 0.55).when(s < 0.84, 0.20).otherwise(0.0)
 
 
-def geometry_rules(quad, width, height, box_width, box_height, evidence_width, evidence_height, covered, min_support, support_spread) -> dict[str, Column]:
-    """geometry_valid, geometry_penalty (0 to 1), geometry_reasons and the ratios that they rest on.
+def geometry_sides(quad, width, height) -> dict[str, Column]:
+    """Lengths of a quad's sides and the share of the image that it takes, for ``geometry_ratios``."""
+    sides = {f"side_{n}": x for n, x in zip(("top", "right", "bottom", "left"), quad_sides(quad), strict=True)}
+    return sides | {"area_ratio": quad_area(quad) / one_at_least(num(width) * num(height))}
 
-    The measurements beside the quad are shares: of the image that its box takes, of the box that edges bear out, and of
-    a side's length that lies on edges.  What is missing counts as 0.
-    """
-    zero = lambda x: F.coalesce(num(x), F.lit(0.0))
-    top, right, bottom, left = quad_sides(quad)
+
+def geometry_ratios(sides: Mapping[str, Column]) -> dict[str, Column]:
+    """The ratios that ``geometry_rules`` judges, from the columns of ``geometry_sides``."""
+    top, right, bottom, left, share = sides.values()
     gap = lambda a, b: F.abs(a - b) / one_at_least(F.greatest(a, b))
-    share = quad_area(quad) / one_at_least(num(width) * num(height))
-    v = {"top_bottom_diff_ratio": gap(top, bottom), "left_right_diff_ratio": gap(left, right), "aspect_ratio_deviation": F.abs(quad_aspect(quad) - ASPECT), "area_ratio": share, "area_plausibility_score": area_plausibility(share)}
-    tb, lr, dev, plausible = v["top_bottom_diff_ratio"], v["left_right_diff_ratio"], v["aspect_ratio_deviation"], v["area_plausibility_score"]
+    aspect = F.greatest(F.lit(1.0), (top + bottom) / 2.0) / F.greatest(F.lit(1.0), (right + left) / 2.0)
+    return {"top_bottom_diff_ratio": gap(top, bottom), "left_right_diff_ratio": gap(left, right), "aspect_ratio_deviation": F.abs(aspect - ASPECT), "area_ratio": share, "area_plausibility_score": area_plausibility(share)}
+
+
+def geometry_flags(ratios: Mapping[str, Column], box_width, box_height, evidence_width, evidence_height, covered, min_support, support_spread) -> dict[str, Column]:
+    """soft_<rule> and hard_<rule> for each of PENALTIES: whether its limits are passed, from the columns of ``geometry_ratios``."""
+    zero = lambda x: F.coalesce(num(x), F.lit(0.0))
+    tb, lr, dev, share, plausible = ratios.values()
     wide, evidence = F.greatest(zero(box_width), zero(box_height)), F.least(zero(evidence_width), zero(evidence_height))
     least, spread, cover = zero(min_support), zero(support_spread), zero(covered)
-    above = lambda x, t: (x > t[0], x > t[1], t[2], t[3])
-    below = lambda x, t: (x < t[0], x < t[1], t[2], t[3])
+    above = lambda x, t: (x > t[0], x > t[1])
+    below = lambda x, t: (x < t[0], x < t[1])
     found = {
         "top_bottom_length_mismatch": above(tb, TOP_BOTTOM),
         "left_right_length_mismatch": above(lr, LEFT_RIGHT),
         "aspect_ratio_off": above(dev, ASPECT_OFF),
-        "implausible_area": (plausible < 0.40, plausible <= 0.05, 0.15, 0.20),
-        "bbox_too_large": ((wide > 0.96) & (share > 0.78), (wide > 0.985) & (share > 0.84), 0.16, 0.18),
+        "implausible_area": (plausible < 0.40, plausible <= 0.05),
+        "bbox_too_large": ((wide > 0.96) & (share > 0.78), (wide > 0.985) & (share > 0.84)),
         "weak_evidence_coverage": below(evidence, EVIDENCE),
         "oversized_vs_evidence": below(cover, COVERED),
         "low_min_side_support": below(least, SUPPORT),
-        "unbalanced_side_support": (spread > SPREAD[0], (spread > SPREAD[1]) & (least < 0.18), SPREAD[2], SPREAD[3]),
+        "unbalanced_side_support": (spread > SPREAD[0], (spread > SPREAD[1]) & (least < 0.18)),
     }
+    return {f"{kind}_{name}": flag for name, flags in found.items() for kind, flag in zip(("soft", "hard"), flags, strict=True)}
+
+
+def geometry_rules(quad, width, height, box_width, box_height, evidence_width, evidence_height, covered, min_support, support_spread, ratios: Mapping[str, Column] | None = None, flags: Mapping[str, Column] | None = None) -> dict[str, Column]:
+    """geometry_valid, geometry_penalty (0 to 1), geometry_reasons and the ratios that they rest on.
+
+    The measurements beside the quad are shares: of the image that its box takes, of the box that edges bear out, and of
+    a side's length that lies on edges.  What is missing counts as 0.  ``ratios`` and ``flags``: the frame's columns of
+    ``geometry_ratios`` and ``geometry_flags``, if it has them; as columns they are computed once, not at every use.
+    """
+    v = dict(ratios or geometry_ratios(geometry_sides(quad, width, height)))
+    flags = flags or geometry_flags(v, box_width, box_height, evidence_width, evidence_height, covered, min_support, support_spread)
     valid, penalty = F.lit(True), F.lit(0.0)
-    for soft, hard, light, heavy in found.values():
-        valid = valid & ~hard
-        penalty = penalty + F.when(soft, light).otherwise(0.0) + F.when(hard, heavy).otherwise(0.0)
-    even = clamp(0.55 * F.greatest(F.lit(0.0), 1.0 - tb / TOP_BOTTOM[1]) + 0.45 * F.greatest(F.lit(0.0), 1.0 - lr / LEFT_RIGHT[1]))
-    reasons = joined_reasons(*(F.when(soft, name) for name, (soft, *_) in found.items()))
+    for name, (light, heavy) in PENALTIES.items():
+        valid = valid & ~flags[f"hard_{name}"]
+        penalty = penalty + F.when(flags[f"soft_{name}"], light).otherwise(0.0) + F.when(flags[f"hard_{name}"], heavy).otherwise(0.0)
+    even = clamp(0.55 * F.greatest(F.lit(0.0), 1.0 - v["top_bottom_diff_ratio"] / TOP_BOTTOM[1]) + 0.45 * F.greatest(F.lit(0.0), 1.0 - v["left_right_diff_ratio"] / LEFT_RIGHT[1]))
+    reasons = named_reasons({name: flags[f"soft_{name}"] for name in PENALTIES})
     return {"geometry_valid": valid, "geometry_penalty": clamp(penalty), "geometry_reasons": reasons, "side_length_consistency_score": even, **v}
 
 
@@ -163,7 +195,7 @@ def hard_rules(area, width, height, left, right, top, bottom, silhouette, min_su
         "internal_candidate": num(is_internal),
         "too_small_vs_outer_bbox": F.coalesce(size < 0.35, F.lit(False)),
     }
-    reasons = joined_reasons(*(F.when(c, name) for name, c in broken.items()))
+    reasons = named_reasons(broken)
     return {"hard_rules_ok": reasons == "", "hard_fail_reasons": reasons}
 
 

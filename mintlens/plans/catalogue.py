@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays, math, text
 from ..operators import candidates as boxes
 from ..operators import flatten, pricing, profiling, ranking, rules, scoring
+from ..session import compilable
 from ..sources.images import with_names
 from .proxies import CAPTURES_SQL, KEYS, LABELLED_SQL, PROFILES_SQL, captures, labelled, profiles, table
 
@@ -682,9 +683,15 @@ add(
 def _candidate_rules(df: DataFrame) -> DataFrame:
     x1, y1, x2, y2 = F.lit(20.0) + F.col("b"), F.col("cy"), F.lit(20.0) + F.col("b") + F.col("cw"), F.col("cy") + F.col("ch")
     quad, box, u, v = ((x1, y1), (x2 + F.col("a"), y1 + F.col("b")), (x2, y2), (x1 + F.col("c"), y2)), (x1, y1, x2 + F.col("a"), y2), F.col("u"), F.col("v")
-    g = boxes.geometry_rules(quad, F.lit(_W), F.lit(_H), (box[2] - box[0]) / _W, (y2 - y1) / _H, 0.5 + 0.5 * u, 0.6 + 0.5 * v, 0.4 + 0.6 * u, 0.4 * v, 0.3 * u)
-    w = boxes.within_outer(quad, box, _box("p"))
-    d = df.select(*KEYS, "u", "v", "px", *(c.alias(n) for n, c in (g | w).items()))
+    sides, margins = boxes.geometry_sides(quad, F.lit(_W), F.lit(_H)), boxes.outer_margins(quad, box, _box("p"))
+    d = df.withColumns(sides | margins)  # what is used several times stands in a column of its own
+    own = lambda names: {n: F.col(n) for n in names}
+    d = d.withColumns(ratios := boxes.geometry_ratios(own(sides)))
+    shares = ((box[2] - box[0]) / _W, (y2 - y1) / _H, 0.5 + 0.5 * u, 0.6 + 0.5 * v, 0.4 + 0.6 * u, 0.4 * v, 0.3 * u)
+    d = d.withColumns(flags := boxes.geometry_flags(own(ratios), *shares))
+    g = boxes.geometry_rules(quad, F.lit(_W), F.lit(_H), *shares, ratios=own(ratios), flags=own(flags))
+    w = boxes.within_outer(quad, box, _box("p"), made=own(margins))
+    d = d.select(*KEYS, "u", "v", "px", *(c.alias(n) for n, c in (g | w).items()))
     h = boxes.hard_rules("area_ratio", "v", "u", "u", "v", 0.5 * u, 0.5 * v, "v", 0.4 * v, "geometry_valid", 0.6 * u, 20.0 * v, "touch_count", "is_internal", F.when(F.col("px").isNotNull(), F.col("relative_size")))
     digits = [math.rounded(n, 6).alias(n) for n in ("geometry_penalty", "side_length_consistency_score", "area_plausibility_score", "border_distance", "relative_size", "centre_distance")]
     return d.select(*KEYS, *digits, "geometry_valid", "geometry_reasons", "is_internal", "touches", "touch_count", "rejection_reason", *(c.alias(n) for n, c in h.items()))
@@ -715,7 +722,7 @@ def _candidate_sql() -> str:
  valid AS geometry_valid, {_listed('[' + ', '.join(f"CASE WHEN {s} THEN '{n}' END" for n, (s, *_) in soft.items()) + ']')} AS geometry_reasons, inner_ AS is_internal, px IS NOT NULL AND touched > 0 AS touches, CAST(tc AS INT) AS touch_count, CASE WHEN NOT inner_ THEN '' WHEN size < 0.42 THEN 'too_small_inside_outer_bbox' WHEN far > 0.18 THEN 'too_far_from_outer_border' ELSE 'central_internal_shape' END AS rejection_reason, failed = '' AS hard_rules_ok, failed AS hard_fail_reasons FROM w"""
 
 
-add("candidate_rules", stand_ins, _candidate_rules, _candidate_sql())
+add("candidate_rules", lambda spark, d: stand_ins(compilable(spark), d), _candidate_rules, _candidate_sql())
 
 
 # -- images and models: no SQL can follow these -----------------------------------------------------------------------------------------

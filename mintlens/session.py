@@ -21,3 +21,15 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     return spark
+
+
+def compilable(spark: SparkSession) -> SparkSession:
+    """``spark``, which cuts what it generates into methods that the JVM compiles.
+
+    HotSpot only interprets methods of over 8,000 bytes, such as whole stages of many rules become; Spark's default lets
+    them grow to 65,535.  The setting holds for the session; one that differs from the default is left as it is.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(limit, "65535") == "65535":
+        spark.conf.set(limit, "8000")
+    return spark

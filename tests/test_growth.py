@@ -109,3 +109,17 @@ def test_batch_inference_takes_prices_from_the_rows_that_it_found(spark):
     queries = spark.createDataFrame([(1, "mew", "", ""), (2, "ew", "BASE", "17"), (3, "ab", "x", "y"), (4, "w e", None, None), (5, "zz", "base", "7")], "query_id int, q_name string, q_set string, q_number string")
     got = ranking.best_candidate(queries, rows, ["price"]).collect()
     assert sorted(map(tuple, got)) == [(1, 2, "Mew", 10, 2.5), (2, 1, "mew ex", 14, 1.5), (3, 3, "abra", 8, None), (4, 1, "mew ex", 5, 1.5)]
+
+
+def test_candidate_rules_measure_a_quad_once_in_compiled_code(spark):
+    from mintlens.functions import text
+    from mintlens.plans import catalogue
+
+    df = catalogue.QUERIES["candidate_rules"](spark, "/root/testdata/sf0.001")
+    p = plan(df)
+    assert "lambda" not in p and p.count("SQRT(") == 5  # four sides and one distance; 99 when every rule measured its quad again
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # larger methods are never compiled
+    flags = spark.createDataFrame([(True, True, None), (False, True, True), (None, False, False)], "b boolean, a boolean, c boolean")
+    named = {n: F.col(n) for n in ("b", "a", "c")}
+    rows = flags.select(text.named_reasons(named).alias("x"), text.joined_reasons(*(F.when(c, n) for n, c in named.items())).alias("y")).collect()
+    assert [tuple(r) for r in rows] == [("a|b",) * 2, ("a|c",) * 2, ("",) * 2]
